@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import mixing, resharding, secrets, simhash, token_orc, wu_manber
+from . import cross_entropy, merkle, mixing, resharding, secrets, simhash, token_orc, toxicity, warc, wu_manber
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -12,10 +12,14 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_warc_derivatives": lambda s, d: warc.op1(s, _table(s, d, "pages")),
     "op2_mix_sources": lambda s, d: mixing.op2(s, _table(s, d, "documents")),
     "op3_secret_scan": lambda s, d: secrets.op3(s, _table(s, d, "documents")),
     "op4_reshard": lambda s, d: resharding.op4(s, _table(s, d, "documents")),
+    "op5_cross_entropy": lambda s, d: cross_entropy.op5(s, _table(s, d, "documents"), _table(s, d, "labels")),
+    "op6_toxicity": lambda s, d: toxicity.op6(s, _table(s, d, "documents"), _table(s, d, "labels")),
     "op7_simhash": lambda s, d: simhash.op7(s, _table(s, d, "documents")),
+    "op8_merkle": lambda s, d: merkle.op8(s, _table(s, d, "documents")),
     "op9_decontaminate": lambda s, d: wu_manber.op9(s, _table(s, d, "documents"), _table(s, d, "benchmark")),
     "op10_token_orc": lambda s, d: token_orc.op10(s, _table(s, d, "documents")),
 }
