@@ -8,38 +8,111 @@ import numpy as np
 
 #: Words a worker remembers before it starts anew.
 MEMO_WORDS = 400_000
+#: ASCII marks that may follow a plain word as a piece of their own.
+MARKS = bytes(c for c in range(33, 127) if not chr(c).isalnum())
+#: The characters that byte-level vocabularies write bytes as: printable ones as they are, others from U+0100 on.
+_PRINTABLE = [*range(33, 127), *range(161, 173), *range(174, 256)]
+BYTE_CHARACTERS = {b: 256 + i for i, b in enumerate(b for b in range(256) if b not in _PRINTABLE)} | {32: 32}
 _ENCODERS: dict[str, "WordEncoder"] = {}
 
 
 class WordEncoder:
     """Encodes UTF-8 texts by a tokenizers file whose pieces never span white space and whose white space gives no ids.
 
-    A text's ids are then its words' ids in order, so each distinct word is encoded once. Words here are cut at ASCII white space only,
-    which every such pre-tokenizer cuts at as well."""
+    A text's ids are then its words' ids in order, so each distinct word is encoded once and remembered. Words here are cut at ASCII white space only,
+    which every such pre-tokenizer cuts at as well. Where the file lower-cases, maps bytes and marks ends of words, plain words (letters that
+    normalisation can't split, perhaps with marks after them) need no normalisation: many new ones are merged in one call and told apart by the ends;
+    anything else is encoded alone by the whole file. The memo has two generations, so it is bounded and frequent words stay."""
 
     def __init__(self, file: str):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         os.environ.setdefault("RAYON_NUM_THREADS", "1")
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(file)
         self.memo: dict[bytes, bytes] = {}
-
-    def _learn(self, words: list[bytes]) -> None:
-        texts = [w.decode("utf-8", "replace") for w in words]
-        for w, e in zip(words, self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)):
-            self.memo[w] = np.array(e.ids, "<u4").tobytes()
+        self.old: dict[bytes, bytes] = {}
+        suffix = getattr(self.tokenizer.model, "end_of_word_suffix", None)
+        self.ends = None
+        if suffix and [self._alone(w) for w in (b"ab.", b"Ab", b"ab!?'")] == [self._alone(b"ab") + self._alone(b"."), self._alone(b"ab"), self._alone(b"ab") + self._alone(b"!?'")]:
+            vocabulary = self.tokenizer.get_vocab()
+            self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
+            self.ends[[i for t, i in vocabulary.items() if t.endswith(suffix)]] = True
+            self.merger = Tokenizer.from_file(file)
+            self.merger.normalizer = None
+            self.merger.pre_tokenizer = pre_tokenizers.WhitespaceSplit()
+            if [self._merged([w])[0] for w in (b"ab", "öß".encode())] != [self._alone(w) for w in (b"ab", "öß".encode())]:
+                self.ends = None
+
+    def _alone(self, word: bytes) -> bytes:
+        return np.array(self.tokenizer.encode(word.decode("utf-8", "replace"), add_special_tokens=False).ids, "<u4").tobytes()
+
+    def _merged(self, words: list[bytes]) -> list[bytes]:
+        """Ids of plain lower-case words."""
+        out = []
+        for lo in range(0, len(words), 1000):
+            text = b" ".join(words[lo : lo + 1000]).decode("latin-1").translate(BYTE_CHARACTERS)
+            ids = np.array(self.merger.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4")
+            at = (4 * (np.flatnonzero(self.ends[ids]) + 1)).tolist()
+            raw = ids.tobytes()
+            out += [raw[a:b] for a, b in zip([0, *at], at)]
+        return out
+
+    def _learn(self, words: set[bytes]) -> None:
+        memo, alone, parts = self.memo, [], []
+        new = set()
+        for w in words:
+            base = w
+            if not w.isalpha():
+                base = w.rstrip(MARKS)
+                if not base.isalpha():
+                    s = base.decode("utf-8", "replace")
+                    if not s.isalpha() or max(s) >= "\u0130":
+                        alone.append(w)
+                        continue
+                    base = s.lower().encode()
+                parts.append((w, base, w[len(w.rstrip(MARKS)) :]))
+            if base not in memo:
+                new.add(base)
+        if self.ends is None:
+            alone, parts = list(words), []
+        else:
+            plain = list(new)
+            memo.update(zip(plain, self._merged(plain), strict=True))
+        if alone:
+            texts = [w.decode("utf-8", "replace") for w in alone]
+            for w, e in zip(alone, self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)):
+                memo[w] = np.array(e.ids, "<u4").tobytes()
+        for w, base, marks in parts:
+            if marks and marks not in memo:
+                memo[marks] = self._alone(marks)
+            memo[w] = memo[base] + memo[marks] if marks else memo[base]
 
     def encode(self, texts: list[bytes]) -> list[np.ndarray]:
         """Little-endian uint32 ids of each text."""
         if len(self.memo) > MEMO_WORDS:
-            self.memo.clear()
-        split = [t.split() for t in texts]
-        memo = self.memo
-        missing = {w for words in split for w in words if w not in memo}
+            self.memo, self.old = {}, self.memo
+        # Lower-casing ASCII first changes no ids but those of special tokens, which hold "<|".
+        special = any(b"<|" in t for t in texts)
+        split = [(t.lower() if self.ends is not None and b"<|" not in t else t).split() for t in texts]
+        missing = set().union(*split).difference(self.memo)
+        if missing and self.old:
+            self.memo.update([(w, self.old[w]) for w in missing if w in self.old])
+            missing = missing.difference(self.memo)
         if missing:
-            self._learn(list(missing))
-        return [np.frombuffer(b"".join([memo[w] for w in words]), "<u4") for words in split]
+            if special and self.ends is not None:
+                self._learn_mixed(missing)
+            else:
+                self._learn(missing)
+        get = self.memo.__getitem__
+        return [np.frombuffer(b"".join(map(get, words)), "<u4") for words in split]
+
+    def _learn_mixed(self, words: set[bytes]) -> None:
+        """Texts with special tokens keep their capitals: words with ASCII capitals or "<|" are encoded alone."""
+        odd = {w for w in words if b"<|" in w or w != w.lower()}
+        for w in odd:
+            self.memo[w] = self._alone(w)
+        self._learn(words - odd)
 
 
 def encoder(file: str) -> WordEncoder:
