@@ -177,7 +177,8 @@ def links(nodes: DataFrame, segments: list, radius: int, balls: bool, block: int
 
 
 def components(fps: DataFrame, radius: int = 4, block: int = 4096) -> DataFrame:
-    """From (doc_id, fp): (fp, comp, first_doc): every distinct fingerprint with the smallest doc_id reachable over links of at most radius bits."""
+    """From (doc_id, fp): (fp, comp, component_id, first_doc, n_docs): every distinct fingerprint with its component's least fingerprint and the smallest
+    doc_id reachable over links of at most radius bits."""
     distinct = written(fps.groupBy("fp").agg(F.min("doc_id").alias("first_doc"), F.count("*").alias("n_docs")), "simhash-nodes")
     segments = plan(distinct.count(), radius)
     nodes = distinct.select("fp", F.col("fp").alias("comp"))
@@ -187,7 +188,7 @@ def components(fps: DataFrame, radius: int = 4, block: int = 4096) -> DataFrame:
     nodes = merged(nodes, second)
     both = distinct.join(nodes, "fp")
     least = both.groupBy("comp").agg(F.min("first_doc").alias("component_id"))
-    return both.join(least, "comp").select("fp", "component_id", "first_doc", "n_docs")
+    return both.join(least, "comp").select("fp", "comp", "component_id", "first_doc", "n_docs")
 
 
 def merged(nodes: DataFrame, labels: DataFrame) -> DataFrame:
