@@ -2,5 +2,9 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict[str, str] = {}
+from .plans import catalog
+from .plans.dialect import DUCK, SPARK
+from .plans.relational import PLANS
+
+QUERIES: dict = {p.__name__: (lambda s, d, p=p: SPARK.spark_sql(s, d, p(SPARK))) for p in PLANS} | catalog.QUERIES
+ORACLES: dict[str, str] = {p.__name__: p(DUCK) for p in PLANS} | catalog.ORACLES
