@@ -11,8 +11,9 @@ K1, B = 1.5, 0.75
 
 
 def postings(docs: DataFrame, key: str = "doc_id", text: str = "text", of=tokens) -> DataFrame:
-    """(key, term, tf, dl): exploded and counted before any shuffle can carry text; dl rides along."""
-    terms = docs.select(F.col(key), of(F.col(text)).alias("t")).select(key, F.size("t").alias("dl"), F.explode("t").alias("term"))
+    """(key, term, tf, dl): exploded and counted before any shuffle can carry text; dl rides along. explode_outer keeps Spark from testing the array for
+    rows first, which would tokenise every text twice."""
+    terms = docs.select(F.col(key), of(F.col(text)).alias("t")).select(key, F.size("t").alias("dl"), F.explode_outer("t").alias("term")).filter("term IS NOT NULL")
     return terms.groupBy(key, "term", "dl").agg(F.count("*").alias("tf"))
 
 
@@ -35,7 +36,8 @@ def bm25(docs: DataFrame, queries: DataFrame, k: int = 10, where: Column | None
     used = q.select("term").distinct()
     hits = postings(docs, key, text).join(used, "term", "left_semi")
     stats = corpus_stats(docs, text).select("n", "avgdl")
-    df = hits.groupBy("term").agg(F.count("*").alias("df"))
+    # Counting by tf leaves this branch the same as the one that is scored, so Spark computes the postings once and reuses the exchange.
+    df = hits.groupBy("term").agg(F.count(F.when(F.col("tf") > 0, 1)).alias("df"))
     if where is not None:
         hits = hits.join(docs.filter(where).select(key), key, "left_semi")
     weights = df.crossJoin(F.broadcast(stats)).select("term", "avgdl", F.log1p((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5)).alias("idf"))
