@@ -42,6 +42,11 @@ def parallelism(spark: SparkSession) -> int:
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions", "200")))
 
 
+def text_batches(spark: SparkSession, most: str = "8m") -> None:
+    """Batches of texts that go to Python hold at most this many bytes, however long texts are (a batch has one row at least)."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", most)
+
+
 def word_count(text: Column) -> Column:
     """Words of a text; null has none."""
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import parallelism
+from .common import parallelism, text_batches
 
 LEAF = re.compile(r"[^.!?]*+[.!?]*+\s*+")
 WORDS = re.compile(r"\S*+\s*+")
@@ -117,6 +117,7 @@ def _fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
 
 def fingerprints(docs: DataFrame) -> DataFrame:
     """doc_id, fingerprint of each document."""
+    text_batches(docs.sparkSession)
     narrow = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     return narrow.mapInArrow(_fingerprints, "doc_id bigint, fingerprint string")
 
@@ -163,6 +164,7 @@ def _ranges(batches: Iterator[pa.RecordBatch], bounds: np.ndarray) -> Iterator[p
 def op8(spark: SparkSession, docs: DataFrame) -> DataFrame:
     """Every document with its edit by, and likeness to, the next by descending doc_id. Documents are dealt by ranges of doc_id once; the first row of
     each range is sent to the range before it as well. The driver gets bounds and a doc_id for each range."""
+    text_batches(spark)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     n = parallelism(spark)
     k = 4 * n

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import ranged, running_sums, small_table, word_count
+from .common import ranged, running_sums, small_table, text_batches, word_count
 
 #: The schedule's points: multiplier and modulus.
 MODULUS = 2**31 - 1
@@ -225,6 +225,7 @@ def _cut(batches: Iterator[pa.RecordBatch], at: int) -> Iterator[pa.RecordBatch]
 def mixed_documents(docs: DataFrame, **options) -> DataFrame:
     """The mix as documents: a row of docs for each epoch that takes words of it, every column as it was, the text cut to the words taken where it isn't
     taken whole. A document without words stays once. Rows equal in doc_id, source and text are one document here; it is taken as often as all of them."""
+    text_batches(docs.sparkSession)
     documents, manifest = mix(docs, **options)
     spans = manifest.groupBy("source_no", "start", "epoch").agg(F.collect_list(F.struct("from_word", "to_word")).alias("_spans"))
     spans = spans.select(F.col("source_no").alias("_n"), F.col("start").alias("_s"), "epoch", "_spans")

@@ -21,6 +21,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .common import text_batches
+
 KINDS = ("assign", "access", "hex", "literal")
 #: Fixed by the contract.
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
@@ -157,6 +159,7 @@ def _scan(batches: Iterator[pa.RecordBatch], threshold: float) -> Iterator[pa.Re
 
 def find(docs: DataFrame, threshold: float = 0.6) -> DataFrame:
     """doc_id, found: array of (kind, start, end, score), one row for each document."""
+    text_batches(docs.sparkSession)
     narrow = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     return narrow.mapInArrow(lambda it: _scan(it, threshold), "doc_id bigint, found array<struct<kind:string,start:bigint,end:bigint,score:double>>")
 

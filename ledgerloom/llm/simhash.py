@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import parallelism, written
+from .common import parallelism, text_batches, written
 from .components import connected
 from .encoding import slices
 
@@ -70,6 +70,7 @@ def _fingerprints(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.R
 
 def fingerprints(docs: DataFrame, size: int) -> DataFrame:
     """doc_id, fp (the 64 bits as a long)."""
+    text_batches(docs.sparkSession)
     narrow = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").cast("binary").alias("text"))
     return narrow.mapInArrow(lambda it: _fingerprints(it, size), "doc_id bigint, fp bigint")
 
@@ -112,9 +113,9 @@ def _find(parent: list, x: int) -> int:
     return x
 
 
-def _links(batches: Iterator[pa.RecordBatch], radius: int, forest: bool = True) -> Iterator[pa.RecordBatch]:
-    """From rows (seg, key, i, j, side, fp, comp) sorted by the first four: verified links between different components, as a forest over comp, or all
-    pairs of fingerprints."""
+def _links(batches: Iterator[pa.RecordBatch], radius: int) -> Iterator[pa.RecordBatch]:
+    """From rows (seg, key, i, j, side, fp, comp) sorted by the first four: verified links between different components, as a
+    forest over comp."""
     all_ = [b for b in batches if b.num_rows]
     if not all_:
         return
@@ -141,29 +142,25 @@ def _links(batches: Iterator[pa.RecordBatch], radius: int, forest: bool = True)
         m = np.bitwise_count(fp[a] ^ fp[b]) <= radius
         a, b = a[m], b[m]
         if len(a):
-            if forest:
-                moved = False
-                for x, y in set(zip(label[node[a]].tolist(), label[node[b]].tolist())):
-                    x, y = _find(parent, x), _find(parent, y)
-                    if x != y:
-                        parent[max(x, y)] = min(x, y)
-                        us.append(nodes[x])
-                        vs.append(nodes[y])
-                        moved = True
-                if moved:
-                    p = np.array(parent)
-                    while not np.array_equal(p, p[p]):
-                        p = p[p]
-                    parent, label = p.tolist(), p
-            else:
-                us.extend(np.minimum(comp[a], comp[b]).tolist())
-                vs.extend(np.maximum(comp[a], comp[b]).tolist())
+            moved = False
+            for x, y in set(zip(label[node[a]].tolist(), label[node[b]].tolist())):
+                x, y = _find(parent, x), _find(parent, y)
+                if x != y:
+                    parent[max(x, y)] = min(x, y)
+                    us.append(nodes[x])
+                    vs.append(nodes[y])
+                    moved = True
+            if moved:
+                p = np.array(parent)
+                while not np.array_equal(p, p[p]):
+                    p = p[p]
+                parent, label = p.tolist(), p
         lag += 1
     pairs = sorted(set(zip(us, vs)))
     yield pa.RecordBatch.from_arrays([pa.array([int(p[0]) for p in pairs], pa.int64()), pa.array([int(p[1]) for p in pairs], pa.int64())], names=["u", "v"])
 
 
-def links(nodes: DataFrame, segments: list, radius: int, balls: bool, block: int, forest: bool = True) -> DataFrame:
+def links(nodes: DataFrame, segments: list, radius: int, balls: bool, block: int) -> DataFrame:
     """nodes (fp, comp) -> links (u, v) between components that hold fingerprints at most radius bits apart under a common key."""
     e = nodes.select("fp", "comp").mapInArrow(lambda it: _entries(it, segments, balls), "seg int, key bigint, fp bigint, comp bigint")
     hot = e.groupBy("seg", "key").agg(F.count("*").alias("n"), F.min("comp").alias("a"), F.max("comp").alias("b")).filter("n > 1 AND a <> b")
@@ -173,7 +170,7 @@ def links(nodes: DataFrame, segments: list, radius: int, balls: bool, block: int
     e = e.withColumn("mine", mine).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     e = e.select("seg", "key", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), (F.col("mine") <= F.col("other")).cast("int").alias("side"), "fp", "comp")
     e = e.repartition(parallelism(nodes.sparkSession), "seg", "key", "i", "j").sortWithinPartitions("seg", "key", "i", "j", "fp")
-    return e.mapInArrow(lambda it: _links(it, radius, forest), "u bigint, v bigint")
+    return e.mapInArrow(lambda it: _links(it, radius), "u bigint, v bigint")
 
 
 def components(fps: DataFrame, radius: int = 4, block: int = 4096) -> DataFrame:

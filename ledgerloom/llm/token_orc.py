@@ -19,32 +19,29 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import parallelism, scratch, small_table
-from .encoding import encoder, slices, vocabulary_path
+from .common import parallelism, scratch, small_table, text_batches
+from .encoding import array_slices, encoder, vocabulary_path
 
 FILE_SCHEMA = "doc_id bigint, part int, part_start bigint, n_tokens bigint, ids array<int>"
 
 
 def _encode(batches: Iterator[pa.RecordBatch], file: str, end_id: int) -> Iterator[pa.RecordBatch]:
-    part, before, end = TaskContext.get().partitionId(), 0, np.array([end_id], "<u4")
-    enc = encoder(file)
+    part, before, enc = TaskContext.get().partitionId(), 0, encoder(file)
     for b in batches:
-        ids, texts = b.column(0), b.column(1)
-        texts = [t or b"" for t in texts.to_pylist()]
-        for lo, hi in slices(texts):
-            each = [np.concatenate([x, end]) for x in enc.encode(texts[lo:hi])]
-            n = np.array([len(x) for x in each], np.int64)
-            offsets = np.r_[0, np.cumsum(n)]
-            values = pa.array(np.concatenate(each).astype(np.int32))
+        for lo, hi in array_slices(b.column(1)):
+            ids, at = enc.encode_array(b.column(1).slice(lo, hi - lo))
+            values = np.insert(ids, at[1:], end_id).astype(np.int32)
+            at = at + np.arange(len(at))
             yield pa.RecordBatch.from_arrays(
-                [ids[lo:hi], pa.array(np.full(hi - lo, part, np.int32)), pa.array(before + offsets[:-1]), pa.array(n), pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), values)],
+                [b.column(0).slice(lo, hi - lo), pa.array(np.full(hi - lo, part, np.int32)), pa.array(before + at[:-1]), pa.array(np.diff(at)), pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.array(values))],
                 names=["doc_id", "part", "part_start", "n_tokens", "ids"],
             )
-            before += int(offsets[-1])
+            before += int(at[-1])
 
 
 def write_tokens(docs: DataFrame, path: str, vocabulary: str | None = None, end_id: int = 2, stripe_bytes: int = 64 << 20, row_index_stride: int = 1000, partitions: int | None = None) -> str:
     """Writes the ids of every document in ascending doc_id order under path; returns path."""
+    text_batches(docs.sparkSession)
     file = vocabulary or vocabulary_path()
     narrow = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").cast("binary").alias("text"))
     order = [F.asc_nulls_first("doc_id"), F.xxhash64("text")]

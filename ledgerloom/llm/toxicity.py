@@ -27,6 +27,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .common import text_batches
+
 #: ASCII letters and digits and all bytes of other code points make words.
 TO_WORDS = bytes(c if 0x30 <= c <= 0x39 or 0x61 <= c <= 0x7A or c >= 0x80 else 0x20 for c in range(256))
 UPPER, LETTERS, DIGITS, MARKS = (bytes(c for c in range(256) if c not in keep) for keep in (range(65, 91), [*range(65, 91), *range(97, 123)], range(48, 58), [c for c in range(33, 127) if not chr(c).isalnum()]))
@@ -35,7 +37,7 @@ PREFIXES = (4, 5, 6, 7)
 SHARES = (0.0, 1 / 256, 1 / 85)
 CATEGORIES = ("low_quality", "toxic", "toxic_low_quality")
 DENSE = 6
-MEMO_WORDS = 400_000
+MEMO_WORDS = 100_000
 
 
 def words_of(text: str | None) -> list[bytes]:
@@ -240,6 +242,7 @@ def _indexer(columns: dict[int, int]):
 
 def train_chain(docs: DataFrame, labels: DataFrame, max_rows: int = 20_000, max_features: int = 4096, min_rows: int = 3, min_z: float = 4.0, folds: int = 4) -> Chain:
     """Fits the chain on a bounded sample of labelled documents; the driver gets their selected features only."""
+    text_batches(docs.sparkSession)
     sample = labels.filter("doc_id IS NOT NULL AND quality IS NOT NULL AND toxic IS NOT NULL").groupBy(F.col("doc_id").cast("long").alias("_id"))
     sample = sample.agg((1 - F.min("quality")).cast("int").alias("low_quality"), F.max("toxic").cast("int").alias("toxic")).withColumn("toxic_low_quality", F.col("low_quality") * F.col("toxic"))
     sample = sample.orderBy(F.xxhash64("_id"), "_id").limit(max_rows)
@@ -280,6 +283,7 @@ def _predict(chain: Chain, texts: list, of) -> np.ndarray:
 
 def score(docs: DataFrame, chain: Chain) -> DataFrame:
     """doc_id, a probability p_<category> for each, toxic."""
+    text_batches(docs.sparkSession)
     handle = docs.sparkSession.sparkContext.broadcast(chain)
     toxic = CATEGORIES.index("toxic")
 
@@ -296,6 +300,7 @@ def score(docs: DataFrame, chain: Chain) -> DataFrame:
 
 def clean(docs: DataFrame, chain: Chain) -> DataFrame:
     """The documents that aren't toxic, every column as it was."""
+    text_batches(docs.sparkSession)
     handle, at = docs.sparkSession.sparkContext.broadcast(chain), docs.columns.index("text")
     toxic = CATEGORIES.index("toxic")
 

@@ -24,6 +24,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .common import text_batches
+
 CRLF = b"\r\n"
 TOKEN = re.compile(
     r"""<!--.*?(?:-->|\Z)|<(?P<raw>script|style|noscript|template|svg)\b[^>]*+>.*?(?:</(?P=raw)\s*+>|\Z)|<(?P<end>/?)(?P<tag>[a-z][^\s/>]*+)(?P<attrs>(?:[^>"'<]|"[^"<]*+"|'[^'<]*+')*+)>|<[a-z/!?][^>]*+(?:>|\Z)""",
@@ -125,6 +127,7 @@ def _derive(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def derive(responses: DataFrame) -> DataFrame:
     """responses: page_id, record_id, target_uri, warc_date, http_headers, payload -> two records for each, as RECORD_SCHEMA."""
+    text_batches(responses.sparkSession)
     return responses.select("page_id", "record_id", "target_uri", "warc_date", "http_headers", "payload").mapInArrow(_derive, RECORD_SCHEMA)
 
 

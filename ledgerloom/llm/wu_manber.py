@@ -21,6 +21,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .common import text_batches
+
 #: Words: digits, letters (A-Z lower-cased) and all bytes of code points from U+0080; everything else separates.
 TO_WORDS = bytes(c + 32 if 0x41 <= c <= 0x5A else c if 0x30 <= c <= 0x39 or 0x61 <= c <= 0x7A or c >= 0x80 else 0x20 for c in range(256))
 WINDOW = 10
@@ -125,6 +127,7 @@ _TABLES: dict = {}
 def find(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW, max_patterns: int = 500_000) -> DataFrame:
     """One row for each document: doc_id, n_words, spans (hit intervals of words, end exclusive), items (ids with occurring windows, ascending)."""
     spark = docs.sparkSession
+    text_batches(spark)
     df = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").cast("binary").alias("text"))
     schema = "doc_id bigint, text binary, n_words bigint, spans array<struct<start:int,end:int>>, items array<bigint>"
     kind = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
@@ -168,6 +171,7 @@ def unite(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
 def clean(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW, max_patterns: int = 500_000) -> DataFrame:
     """The documents without an occurrence, every column as it was."""
     spark, names = docs.sparkSession, docs.columns
+    text_batches(spark)
     at = names.index("text")
 
     def keep(handle):
