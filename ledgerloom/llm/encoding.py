@@ -5,9 +5,11 @@ from __future__ import annotations
 import os
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
 #: Words a worker remembers before it starts anew.
-MEMO_WORDS = 400_000
+MEMO_WORDS = 200_000
 #: ASCII marks that may follow a plain word as a piece of their own.
 MARKS = bytes(c for c in range(33, 127) if not chr(c).isalnum())
 #: The characters that byte-level vocabularies write bytes as: printable ones as they are, others from U+0100 on.
@@ -51,68 +53,103 @@ class WordEncoder:
         """Ids of plain lower-case words."""
         out = []
         for lo in range(0, len(words), 1000):
-            text = b" ".join(words[lo : lo + 1000]).decode("latin-1").translate(BYTE_CHARACTERS)
+            text = b" ".join(words[lo : lo + 1000])
+            text = text.decode() if text.isascii() else text.decode("latin-1").translate(BYTE_CHARACTERS)
             ids = np.array(self.merger.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4")
             at = (4 * (np.flatnonzero(self.ends[ids]) + 1)).tolist()
             raw = ids.tobytes()
             out += [raw[a:b] for a, b in zip([0, *at], at)]
         return out
 
-    def _learn(self, words: set[bytes]) -> None:
-        memo, alone, parts = self.memo, [], []
-        new = set()
-        for w in words:
-            base = w
-            if not w.isalpha():
-                base = w.rstrip(MARKS)
-                if not base.isalpha():
-                    s = base.decode("utf-8", "replace")
-                    if not s.isalpha() or max(s) >= "\u0130":
-                        alone.append(w)
-                        continue
-                    base = s.lower().encode()
-                parts.append((w, base, w[len(w.rstrip(MARKS)) :]))
-            if base not in memo:
-                new.add(base)
-        if self.ends is None:
-            alone, parts = list(words), []
-        else:
-            plain = list(new)
-            memo.update(zip(plain, self._merged(plain), strict=True))
-        if alone:
-            texts = [w.decode("utf-8", "replace") for w in alone]
-            for w, e in zip(alone, self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)):
-                memo[w] = np.array(e.ids, "<u4").tobytes()
-        for w, base, marks in parts:
-            if marks and marks not in memo:
-                memo[marks] = self._alone(marks)
-            memo[w] = memo[base] + memo[marks] if marks else memo[base]
-
-    def encode(self, texts: list[bytes]) -> list[np.ndarray]:
-        """Little-endian uint32 ids of each text."""
-        if len(self.memo) > MEMO_WORDS:
-            self.memo, self.old = {}, self.memo
-        # Lower-casing ASCII first changes no ids but those of special tokens, which hold "<|".
-        special = any(b"<|" in t for t in texts)
-        split = [(t.lower() if self.ends is not None and b"<|" not in t else t).split() for t in texts]
-        missing = set().union(*split).difference(self.memo)
+    def _remember(self, words: set[bytes], ids) -> None:
+        """Puts words that aren't in the memo there, from the old generation or by ids(words)."""
+        missing = words.difference(self.memo)
         if missing and self.old:
             self.memo.update([(w, self.old[w]) for w in missing if w in self.old])
             missing = missing.difference(self.memo)
         if missing:
-            if special and self.ends is not None:
-                self._learn_mixed(missing)
-            else:
-                self._learn(missing)
-        get = self.memo.__getitem__
-        return [np.frombuffer(b"".join(map(get, words)), "<u4") for words in split]
+            missing = list(missing)
+            self.memo.update(zip(missing, ids(missing), strict=True))
+
+    def _each_alone(self, words: list[bytes]) -> list[bytes]:
+        texts = [w.decode("utf-8", "replace") for w in words]
+        return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _plain(self, words: list[bytes]) -> list[bytes]:
+        ascii_, other = [w for w in words if w.isascii()], [w for w in words if not w.isascii()]
+        found = dict(zip(ascii_, self._merged(ascii_), strict=True)) | dict(zip(other, self._merged(other), strict=True))
+        return [found[w] for w in words]
+
+    def _units(self, words: pa.Array, odd: bool) -> tuple[list[bytes], np.ndarray, np.ndarray]:
+        """Ids of units, and the two units of each distinct word: a plain word and the marks after it, or what must be encoded alone and nothing. Only units
+        are remembered, so the memo holds what comes again. odd: some words come from texts that weren't lower-cased."""
+        if len(self.memo) > MEMO_WORDS:
+            self.memo, self.old = {}, self.memo
+        n = len(words)
+        if self.ends is None:
+            plain = np.zeros(n, bool)
+        else:
+            base = pc.ascii_rtrim(words, characters=MARKS.decode())
+            ok = pc.and_(pc.utf8_is_alpha(base), pc.invert(pc.match_substring_regex(base, r"[^\x00-\x{12F}]")))
+            if odd:
+                ok = pc.and_(ok, pc.invert(pc.match_substring_regex(words, r"[A-Z]|<\|")))
+            plain = ok.to_numpy(zero_copy_only=False)
+        first, second = np.zeros(n, np.int32), np.zeros(n, np.int32)
+        units: list[bytes] = [b""]
+        if plain.any():
+            mask = pa.array(plain)
+            own, short = words.filter(mask), base.filter(mask)
+            coded = pc.utf8_lower(short).dictionary_encode()
+            bases = coded.dictionary.cast(pa.binary()).to_pylist()
+            self._remember(set(bases), self._plain)
+            first[plain] = coded.indices.to_numpy(zero_copy_only=False) + len(units)
+            units += map(self.memo.__getitem__, bases)
+            more = pc.subtract(pc.binary_length(own), pc.binary_length(short)).to_numpy(zero_copy_only=False)
+            code = np.zeros(len(more), np.int32)
+            for k in np.unique(more[more > 0]).tolist():
+                here = more == k
+                coded = pc.utf8_slice_codeunits(own.filter(pa.array(here)), start=-k).dictionary_encode()
+                marks = coded.dictionary.cast(pa.binary()).to_pylist()
+                self._remember(set(marks), self._each_alone)
+                code[here] = coded.indices.to_numpy(zero_copy_only=False) + len(units)
+                units += map(self.memo.__getitem__, marks)
+            second[plain] = code
+        if not plain.all():
+            alone = words.filter(pa.array(~plain)).cast(pa.binary()).to_pylist()
+            self._remember({w for w in alone if w}, self._each_alone)
+            first[~plain] = np.arange(len(alone), dtype=np.int32) + len(units)
+            units += [self.memo[w] if w else b"" for w in alone]
+        return units, first, second
+
+    def encode_array(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all texts, offsets of each text in them); a null text has none. Words are told apart and ids are put together by Arrow and numpy; Python
+        sees each distinct unit once."""
+        texts = pc.fill_null(texts.cast(pa.binary()).view(pa.string()), "")
+        odd = pc.match_substring(texts, "<|")
+        some = pc.any(odd).as_py() or False
+        # Lower-casing ASCII first changes no ids but those of special tokens, which hold "<|".
+        low = texts if self.ends is None else pc.if_else(odd, texts, pc.ascii_lower(texts)) if some else pc.ascii_lower(texts)
+        lists = pc.ascii_split_whitespace(low)
+        coded = lists.flatten().dictionary_encode()
+        units, first, second = self._units(coded.dictionary, some)
+        length = np.fromiter(map(len, units), np.int32, len(units)) // 4
+        flat, start = np.frombuffer(b"".join(units), "<u4"), np.cumsum(length, dtype=np.int32) - length
+        at = coded.indices.to_numpy(zero_copy_only=False)
+        seq = np.empty(2 * len(at), np.int32)
+        seq[::2], seq[1::2] = first[at], second[at]
+        n = length[seq]
+        ends = np.cumsum(n, dtype=np.int32)
+        total = int(ends[-1]) if len(ends) else 0
+        ids = flat[np.arange(total, dtype=np.int32) + np.repeat(start[seq] - (ends - n), n)]
+        return ids, np.r_[0, ends[1::2]][lists.offsets.to_numpy() - lists.offsets[0].as_py()]
 
-    def _learn_mixed(self, words: set[bytes]) -> None:
-        """Texts with special tokens keep their capitals: words with ASCII capitals or "<|" are encoded alone."""
-        odd = {w for w in words if b"<|" in w or w != w.lower()}
-        for w in odd:
-            self.memo[w] = self._alone(w)
-        self._learn(words - odd)
+    def encode(self, texts: list[bytes]) -> list[np.ndarray]:
+        """Little-endian uint32 ids of each text."""
+        out = []
+        for lo, hi in slices(texts):
+            ids, at = self.encode_array(pa.array(texts[lo:hi], pa.binary()))
+            out += [ids[i:j] for i, j in zip(at[:-1], at[1:])]
+        return out
 
 
 def encoder(file: str) -> WordEncoder:
@@ -138,3 +175,11 @@ def slices(texts: list, most: int = 4 << 20):
             start, size = i + 1, 0
     if start < len(texts):
         yield start, len(texts)
+
+
+def array_slices(texts: pa.Array, most: int = 4 << 20):
+    """Consecutive (from, to) of about most bytes together."""
+    size = pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False)
+    block = np.cumsum(size, dtype=np.int64) // most
+    cuts = [0, *(np.flatnonzero(block[1:] != block[:-1]) + 1).tolist(), len(size)] if len(size) else [0, 0]
+    return [(i, j) for i, j in zip(cuts[:-1], cuts[1:]) if i < j]
