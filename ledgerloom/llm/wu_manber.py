@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import text_batches
+from .common import text_batches, written
 
 #: Words: digits, letters (A-Z lower-cased) and all bytes of code points from U+0080; everything else separates.
 TO_WORDS = bytes(c + 32 if 0x41 <= c <= 0x5A else c if 0x30 <= c <= 0x39 or 0x61 <= c <= 0x7A or c >= 0x80 else 0x20 for c in range(256))
@@ -153,6 +153,8 @@ def find(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW, max_patterns
 
     first = True
     for group in benchmark_groups(benchmark, max_patterns, size):
+        if not first:
+            df = written(df, "passes")  # so workers hold the tables of one group at a time
         df = df.mapInArrow(one_pass(spark.sparkContext.broadcast(group), first), schema)
         first = False
     return df.drop("text")
@@ -185,7 +187,9 @@ def clean(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW, max_pattern
         return run
 
     out = docs
-    for group in benchmark_groups(benchmark, max_patterns, size):
+    for i, group in enumerate(benchmark_groups(benchmark, max_patterns, size)):
+        if i:
+            out = written(out, "passes")
         out = out.mapInArrow(keep(spark.sparkContext.broadcast(group)), docs.schema)
     return out
 
