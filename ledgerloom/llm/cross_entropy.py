@@ -25,9 +25,11 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import written
-from .encoding import encoder, slices, vocabulary_path
+from .common import text_batches, written
+from .encoding import array_slices, encoder, vocabulary_path
 
+#: Target ids up to which they are broadcast (8 bytes each).
+BROADCAST_IDS = 8_000_000
 CHUNK_SCHEMA = "chunk bigint, doc_id bigint, n_tokens bigint, ids binary, keys binary, n_all binary, n_target binary"
 
 
@@ -37,7 +39,7 @@ def bigram_keys(ids: np.ndarray, size: int) -> np.ndarray:
     return h * (size + 1) + ids
 
 
-def _chunks(batches: Iterator[pa.RecordBatch], file: str, size: int, most: int) -> Iterator[pa.RecordBatch]:
+def _chunks(batches: Iterator[pa.RecordBatch], file: str, size: int, most: int, handle) -> Iterator[pa.RecordBatch]:
     """Documents with their ids by chunk, and a row for each chunk with its bigrams."""
     enc, pack = encoder(file), zstandard.ZstdCompressor(level=1)
     docs: list = []
@@ -57,11 +59,16 @@ def _chunks(batches: Iterator[pa.RecordBatch], file: str, size: int, most: int)
         return pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(zip(*rows), kinds)], names=[x.split()[0] for x in CHUNK_SCHEMA.split(", ")])
 
     for b in batches:
-        doc_ids, texts, good = b.column(0).to_pylist(), [t or b"" for t in b.column(1).to_pylist()], b.column(2).to_pylist()
-        for lo, hi in slices(texts):
-            for d, ids, t in zip(doc_ids[lo:hi], enc.encode(texts[lo:hi]), good[lo:hi]):
-                docs.append((d, ids.astype(np.int64), t))
-                held += len(ids)
+        doc_ids, good = b.column(0).to_pylist(), b.column(2).to_pylist()
+        if handle is not None and len(handle.value):
+            own = np.array([x if x is not None else 0 for x in doc_ids], np.int64)
+            found = handle.value[np.minimum(np.searchsorted(handle.value, own), len(handle.value) - 1)] == own
+            good = [bool(f) and d is not None for f, d in zip(found, doc_ids)]
+        for lo, hi in array_slices(b.column(1)):
+            ids, at = enc.encode_array(b.column(1).slice(lo, hi - lo))
+            for d, i, j, t in zip(doc_ids[lo:hi], at[:-1], at[1:], good[lo:hi]):
+                docs.append((d, ids[i:j].astype(np.int64), t))
+                held += int(j - i)
                 if held >= most:
                     yield flush()
     if docs:
@@ -97,12 +104,19 @@ def _score(key: tuple, docs: pa.Table, losses: pa.Table, size: int) -> pa.Table:
 
 def scores(docs: DataFrame, target_ids: DataFrame, vocabulary: str | None = None, mu: float = 64.0, alpha: float = 0.5, chunk_tokens: int = 2_000_000) -> DataFrame:
     """doc_id, n_tokens, target_entropy, background_entropy (nats a token), score. target_ids: doc_id of the target's documents."""
+    text_batches(docs.sparkSession)
     file = vocabulary or vocabulary_path()
     size = encoder(file).tokenizer.get_vocab_size()
     goal = target_ids.select(F.col("doc_id").cast("long").alias("_id")).filter("_id IS NOT NULL").distinct().withColumn("_t", F.lit(True))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").cast("binary").alias("text"))
-    rows = rows.join(goal, F.col("doc_id") == F.col("_id"), "left").select("doc_id", "text", F.coalesce("_t", F.lit(False)).alias("good"))
-    chunks = written(rows.mapInArrow(lambda it: _chunks(it, file, size, chunk_tokens), CHUNK_SCHEMA), "ngrams")
+    # Flags reach the texts without moving them while the ids are few enough to send along as plain numbers; beyond that both sides are dealt by doc_id.
+    handle = None
+    if goal.count() <= BROADCAST_IDS:
+        handle = docs.sparkSession.sparkContext.broadcast(np.sort(goal.select("_id").toArrow()["_id"].to_numpy()))
+        rows = rows.select("doc_id", "text", F.lit(False).alias("good"))
+    else:
+        rows = rows.join(goal, F.col("doc_id") == F.col("_id"), "left").select("doc_id", "text", F.coalesce("_t", F.lit(False)).alias("good"))
+    chunks = written(rows.mapInArrow(lambda it: _chunks(it, file, size, chunk_tokens, handle), CHUNK_SCHEMA), "ngrams")
     bigrams = chunks.filter("n_tokens < 0").select("chunk", "keys", "n_all", "n_target").mapInArrow(_bigrams, "chunk bigint, key bigint, n bigint, t bigint")
     counts = bigrams.groupBy("key").agg(F.sum("n").alias("n"), F.sum("t").alias("t"))
     counts = written(counts.select("key", F.expr(f"key div {size + 1}").alias("h"), (F.col("key") % (size + 1)).alias("w"), "n", "t"), "bigrams")

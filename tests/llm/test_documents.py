@@ -227,8 +227,9 @@ def same(got, want):
     assert text(got) == text(want)
 
 
-@pytest.mark.parametrize("chunk", [2_000_000, 3000])
-def test_cross_entropy(spark, tiny, odd, none, chunk):
+@pytest.mark.parametrize("chunk, sent", [(2_000_000, 8_000_000), (3000, 8_000_000), (3000, -1)])
+def test_cross_entropy(spark, tiny, odd, none, chunk, sent, monkeypatch):
+    monkeypatch.setattr(cross_entropy, "BROADCAST_IDS", sent)
     tokenizer = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
     labels = spark.read.parquet("/root/testdata/sf0.001/labels.parquet").filter("quality = 1 and toxic = 0")
     got = cross_entropy.scores(tiny, labels, chunk_tokens=chunk).collect()
