@@ -17,20 +17,26 @@ def _star(both: DataFrame, large: bool) -> DataFrame:
     return out.select(F.explode(F.array("u", "v")).alias("b"), F.col("m").alias("a"))
 
 
+def _sign(edges: DataFrame) -> tuple:
+    """Number and sum of hashes: what tells whether a round changed anything."""
+    return tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
+
+
 def connected(links: DataFrame, max_rounds: int = 60) -> DataFrame:
     """(u, v) -> (node, label): each linked node's least reachable node. Rounds end when no link changes, about log(nodes) of them; only two
     numbers of each round reach the driver."""
     edges = written(links.filter("u <> v").select(F.least("u", "v").alias("a"), F.greatest("u", "v").alias("b")).distinct(), "cc")
-    spark, last = edges.sparkSession, None
-    for _ in range(max_rounds):
+    last = _sign(edges)
+    for _ in range(max_rounds if last[0] else 0):
         both = edges.select(F.col("a").alias("u"), F.col("b").alias("v")).unionByName(edges.select(F.col("b").alias("u"), F.col("a").alias("v")))
         large = _star(both, True).filter("a <> b").distinct()
         down = large.select(F.col("b").alias("u"), F.col("a").alias("v"))
         edges = written(_star(down, False).filter("a <> b").distinct(), "cc")
-        now = tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
-        if now == last or now[0] == 0:
+        now = _sign(edges)
+        if now == last:
             break
         last = now
     else:
-        raise RuntimeError("links did not settle")
+        if last[0]:
+            raise RuntimeError("links did not settle")
     return edges.select(F.col("b").alias("node"), F.col("a").alias("label"))
