@@ -50,6 +50,20 @@ def outline(blocks: DataFrame, key: str = "doc_id", position: str = "position",
     return out.withColumn("path", F.array_join(F.array_compact(F.array("part", "item", "note")), " > ")).drop("_level")
 
 
+def suppress_running_headers(blocks: DataFrame, key: str = "doc_id", position: str = "position", text: str = "text", ahead: int = 3) -> DataFrame:
+    """Adds is_heading: a bare "PART I" or "ITEM 2." is a running header, and no heading, if of the next three blocks the first that isn't bare is ordinary
+    text rather than a heading with words of its own."""
+    s = F.trim(F.col(text))
+    bare = F.regexp_like(s, F.lit(r"^(?i)(part\s+[ivx]+|item\s+\d+[a-z]?)\.?$"))
+    kind = F.when(bare, "bare").when(heading(F.col(text)), "heading").otherwise("text")
+    w = Window.partitionBy(key).orderBy(position)
+    out = blocks.withColumn("_kind", kind)
+    coming = F.array_compact(F.array(*[F.nullif(F.lead("_kind", n).over(w), F.lit("bare")) for n in range(1, ahead + 1)]))
+    out = out.withColumn("_next", F.try_element_at(coming, F.lit(1)))
+    running = (F.col("_kind") == "bare") & (F.col("_next") == "text")
+    return out.withColumn("is_heading", (F.col("_kind") != "text") & ~F.coalesce(running, F.lit(False))).drop("_kind", "_next")
+
+
 def linked(chunks: DataFrame, key: str = "doc_id", position: str = "position", chunk: str = "chunk_id") -> DataFrame:
     w = Window.partitionBy(key).orderBy(position)
     return chunks.withColumn("prev_chunk_id", F.lag(chunk).over(w)).withColumn("next_chunk_id", F.lead(chunk).over(w))

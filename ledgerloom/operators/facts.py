@@ -2,10 +2,16 @@
 
 from __future__ import annotations
 
+import re
+from decimal import Context, Decimal
+
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.text import compact, local_name, name_tokens
+from .calculator import canonical
 
 FILTERS = ("accession", "company", "form", "unit", "period_start", "period_end", "instant")
 
@@ -62,6 +68,35 @@ def period_type(facts: DataFrame) -> DataFrame:
     return facts.withColumn("period_type", kind).withColumn("duration_days", F.when(kind == "duration", days))
 
 
+@F.pandas_udf(T.StringType())
+def exact_value(raw: pd.Series, scale: pd.Series, sign: pd.Series) -> pd.Series:
+    """The shown number times ten to its scale, exactly, as plain digits; null if it isn't a number."""
+
+    def one(text, power, minus):
+        shown = re.sub(r"[,\s]", "", text or "")
+        negative = minus == "-" or shown.startswith(("-", "("))
+        digits = shown.strip("()").lstrip("+-")
+        if not re.fullmatch(r"[0-9]+(\.[0-9]+)?", digits):
+            return None
+        value = Decimal(digits).scaleb(0 if pd.isna(power) else int(power), Context(prec=200))
+        return canonical(-value if negative else value)
+
+    return pd.Series([one(*x) for x in zip(raw, scale, sign)], dtype=object)
+
+
+def consistency(pairs: DataFrame) -> DataFrame:
+    """Cells beside facts (cell_* and fact_* of value, scale, end, months, unit): what agrees, one column each, and all of it. What a side doesn't state
+    can't disagree, but for the magnitude."""
+    stated = lambda a, b: F.col(a).isNull() | F.col(b).isNull() | (F.col(a) == F.col(b))
+    cell = F.col("cell_value") * F.pow(F.lit(10.0), F.coalesce("cell_scale", F.lit(0)))
+    checks = {
+        "magnitude_ok": F.abs(F.abs(cell) - F.abs("fact_value")) <= 1e-9 * F.abs("fact_value"), "sign_ok": F.signum("cell_value") == F.signum("fact_value"),
+        "end_ok": stated("cell_end", "fact_end"), "months_ok": stated("cell_months", "fact_months"), "unit_ok": stated("cell_unit", "fact_unit"),
+    }
+    out = pairs.withColumns({k: F.coalesce(c, F.lit(False)) for k, c in checks.items()})
+    return out.withColumn("consistent", F.forall(F.array(*checks), lambda x: x))
+
+
 def violations(facts: DataFrame) -> DataFrame:
     """(rule, key, n): repeated fact ids, and accessions with more than one company."""
     again = facts.groupBy("fact_id").agg(F.count("*").alias("n")).filter("n > 1").select(F.lit("fact_id is unique").alias("rule"), F.col("fact_id").cast("string").alias("key"), "n")

@@ -6,7 +6,7 @@ from decimal import Decimal
 import pytest
 from pyspark.sql import functions as F
 
-from ledgerloom.operators import facts, graph, mapping, tables
+from ledgerloom.operators import blocks, facts, graph, mapping, tables
 from ledgerloom.sources import html, xbrl
 
 FILING = """<html><body><ix:header><xbrli:context id="c1"><xbrli:entity><xbrli:identifier scheme="s">0001</xbrli:identifier><xbrli:segment><xbrldi:explicitMember dimension="us:Axis">us:M</xbrldi:explicitMember>
@@ -160,3 +160,21 @@ def test_graphs(spark):
     assert graph.cyclic(dag).count() == 0
     loop = dag.union(spark.createDataFrame([("x", "y"), ("y", "x"), ("z", "x")], dag.schema))
     assert {tuple(r) for r in graph.cyclic(loop).collect()} == {("x", "y"), ("y", "x"), ("z", "x")}
+
+
+def test_exact_values_and_consistency(spark):
+    rows = [("1,234.50", 6, None), ("(7)", -2, None), ("0.0", 3, "-"), ("n/a", 0, None), ("123456789012345678901234567890.5", 3, "-"), ("-5", None, None)]
+    df = spark.createDataFrame(rows, "raw string, scale int, sign string")
+    got = [r.x for r in df.select(facts.exact_value("raw", "scale", "sign").alias("x")).collect()]
+    assert got == ["1234500000", "-0.07", "0", None, "-123456789012345678901234567890500", "-5"]
+    pair = "cell_value double, cell_scale int, cell_end string, cell_months int, cell_unit string, fact_value double, fact_end string, fact_months int, fact_unit string"
+    df = spark.createDataFrame([(1.5, 6, "e", 3, None, 1.5e6, "e", 3, "USD"), (-1.5, 6, "e", 12, "USD", 1.5e6, "f", 3, "shares"), (2.0, None, None, None, None, 3.0, None, None, None)], pair)
+    flags = ["magnitude_ok", "sign_ok", "end_ok", "months_ok", "unit_ok", "consistent"]
+    assert [tuple(r) for r in facts.consistency(df).select(*flags).collect()] == [(True,) * 6, (True, False, False, False, False, False), (False, True, True, True, True, False)]
+
+
+def test_running_headers(spark):
+    said = ["PART I", "ITEM 1.", "Item 1. Business", "We sell things.", "PART I", "more text here.", "ITEM 2.", "PART II", "RISKS", "Text."]
+    df = spark.createDataFrame([(1, i, t) for i, t in enumerate(said)], "doc_id long, position long, text string")
+    got = [r.is_heading for r in blocks.suppress_running_headers(df).orderBy("position").collect()]
+    assert got == [True, True, True, False, False, False, True, True, True, False]
