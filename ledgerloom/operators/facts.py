@@ -79,7 +79,7 @@ def exact_value(raw: pd.Series, scale: pd.Series, sign: pd.Series) -> pd.Series:
         if not re.fullmatch(r"[0-9]+(\.[0-9]+)?", digits):
             return None
         value = Decimal(digits).scaleb(0 if pd.isna(power) else int(power), Context(prec=200))
-        return canonical(-value if negative else value)
+        return canonical(value.copy_negate() if negative else value)
 
     return pd.Series([one(*x) for x in zip(raw, scale, sign)], dtype=object)
 
