@@ -25,7 +25,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import text_batches, written
+from .common import give_back, text_batches, written
 from .encoding import array_slices, encoder, vocabulary_path
 
 #: Target ids up to which they are broadcast (8 bytes each).
@@ -73,6 +73,7 @@ def _chunks(batches: Iterator[pa.RecordBatch], file: str, size: int, most: int,
                     yield flush()
     if docs:
         yield flush()
+    give_back()
 
 
 def _unpack(blob: bytes, kind: str) -> np.ndarray:

@@ -40,8 +40,7 @@ class WordEncoder:
             vocabulary = self.tokenizer.get_vocab()
             self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
             self.ends[[i for t, i in vocabulary.items() if t.endswith(suffix)]] = True
-            self.merger = Tokenizer.from_file(file)
-            self.merger.normalizer = None
+            self.merger = Tokenizer(self.tokenizer.model)  # the same model, without normalisation
             self.merger.pre_tokenizer = pre_tokenizers.WhitespaceSplit()
             if [self._merged([w])[0] for w in (b"ab", "öß".encode())] != [self._alone(w) for w in (b"ab", "öß".encode())]:
                 self.ends = None
@@ -177,7 +176,7 @@ def slices(texts: list, most: int = 4 << 20):
         yield start, len(texts)
 
 
-def array_slices(texts: pa.Array, most: int = 4 << 20):
+def array_slices(texts: pa.Array, most: int = 2 << 20):
     """Consecutive (from, to) of about most bytes together."""
     size = pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False)
     block = np.cumsum(size, dtype=np.int64) // most

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import parallelism, text_batches, written
+from .common import give_back, parallelism, text_batches, written
 from .components import connected
 from .encoding import slices
 
@@ -158,6 +158,7 @@ def _links(batches: Iterator[pa.RecordBatch], radius: int) -> Iterator[pa.Record
         lag += 1
     pairs = sorted(set(zip(us, vs)))
     yield pa.RecordBatch.from_arrays([pa.array([int(p[0]) for p in pairs], pa.int64()), pa.array([int(p[1]) for p in pairs], pa.int64())], names=["u", "v"])
+    give_back()
 
 
 def links(nodes: DataFrame, segments: list, radius: int, balls: bool, block: int) -> DataFrame:

@@ -19,7 +19,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import parallelism, scratch, small_table, text_batches
+from .common import give_back, parallelism, scratch, small_table, text_batches
 from .encoding import array_slices, encoder, vocabulary_path
 
 FILE_SCHEMA = "doc_id bigint, part int, part_start bigint, n_tokens bigint, ids array<int>"
@@ -37,6 +37,7 @@ def _encode(batches: Iterator[pa.RecordBatch], file: str, end_id: int) -> Iterat
                 names=["doc_id", "part", "part_start", "n_tokens", "ids"],
             )
             before += int(at[-1])
+    give_back()
 
 
 def write_tokens(docs: DataFrame, path: str, vocabulary: str | None = None, end_id: int = 2, stripe_bytes: int = 64 << 20, row_index_stride: int = 1000, partitions: int | None = None) -> str:

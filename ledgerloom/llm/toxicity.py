@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import text_batches
+from .common import give_back, text_batches
 
 #: ASCII letters and digits and all bytes of other code points make words.
 TO_WORDS = bytes(c if 0x30 <= c <= 0x39 or 0x61 <= c <= 0x7A or c >= 0x80 else 0x20 for c in range(256))
@@ -215,6 +215,7 @@ def _evidence(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names, inv = np.unique(np.concatenate([*feats, np.zeros(0, np.int64)]), return_inverse=True)
         cols = [np.bincount(inv, minlength=len(names)), *[np.bincount(inv, y[at, c], len(names)) for c in range(y.shape[1])]]
         yield pa.RecordBatch.from_arrays([pa.array(names), *[pa.array(c.astype(np.int64)) for c in cols]], names=["feature", "n", *CATEGORIES])
+    give_back()
 
 
 def _indexer(columns: dict[int, int]):
@@ -293,6 +294,8 @@ def score(docs: DataFrame, chain: Chain) -> DataFrame:
         for b in batches:
             p = _predict(c, b.column(1).to_pylist(), of)
             yield pa.RecordBatch.from_arrays([b.column(0), *[pa.array(p[:, k]) for k in range(p.shape[1])], pa.array(p[:, toxic] >= c.threshold)], names=["doc_id", *[f"p_{x}" for x in CATEGORIES], "toxic"])
+        del of
+        give_back()
 
     narrow = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     return narrow.mapInArrow(run, "doc_id bigint, " + ", ".join(f"p_{c} double" for c in CATEGORIES) + ", toxic boolean")
@@ -309,6 +312,8 @@ def clean(docs: DataFrame, chain: Chain) -> DataFrame:
         of = _indexer(c.columns)
         for b in batches:
             yield b.filter(pa.array(_predict(c, b.column(at).to_pylist(), of)[:, toxic] < c.threshold))
+        del of
+        give_back()
 
     return docs.mapInArrow(run, docs.schema)
 
