@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import unit_scale
+from ..functions.text import duration_months, unit_scale
 
 
 def locator(explicit: str = "locator", path: str = "section_path", doc: str = "doc_id", start: str = "char_start", end: str = "char_end") -> Column:
@@ -46,8 +46,6 @@ def attach_footnotes(blocks: DataFrame) -> DataFrame:
 def start_from_contexts(cells: DataFrame, contexts: DataFrame) -> DataFrame:
     """A cell's duration in months up to its end gets the start of the context with that end and length; of several, that with the fewest dimensions, then the
     least id."""
-    from ..functions.text import duration_months
-
     c = contexts.filter("period_start IS NOT NULL").withColumn("months", duration_months(F.col("period_start"), F.col("period_end")))
     best = c.groupBy("doc_id", "period_end", "months").agg(F.min(F.struct(F.col("n_dimensions"), F.col("context_id"), F.col("period_start"))).alias("b"))
     out = cells.join(best, ["doc_id", "period_end", "months"], "left")

@@ -53,7 +53,7 @@ def evidence_metrics(first: DataFrame) -> DataFrame:
 
 
 def per_question(first: DataFrame, ks=KS) -> DataFrame:
-    """Panels for each question and overall (q_id null) from one pass by grouping sets."""
+    """Panels for each question and, with q_id null, overall."""
     items = item_hits(first, ks)
     one = panel(items, ["system", "k", "q_id"])
     return one.unionByName(panel(items, ["system", "k"]).withColumn("q_id", F.lit(None).cast(items.schema["q_id"].dataType)).select(one.columns))
