@@ -14,6 +14,7 @@ from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
 from ledgerloom.llm import secrets, simhash, token_orc, wu_manber
+from ledgerloom.llm.components import connected
 from ledgerloom.llm.encoding import WordEncoder
 from tests.llm.conftest import SCHEMA
 
@@ -183,6 +184,19 @@ def test_components_of_crowded_fingerprints(spark, block):
     assert got == {i: root(i) for i in range(len(fps))}
 
 
+@pytest.mark.parametrize("small", [0, 1_000_000])
+def test_connected(spark, small):
+    rng = np.random.default_rng(8)
+    pairs = [(int(a), int(b)) for a, b in rng.integers(0, 150, (90, 2))] + [(200 + i, 201 + i) for i in range(40)] + [(-5, 3)]
+    root = {x: x for p in pairs for x in p}
+    for _ in root:
+        for a, b in pairs:
+            root[a] = root[b] = min(root[a], root[b])
+    df = spark.createDataFrame(pairs, "u long, v long").repartition(3)
+    assert {r.node: r.label for r in connected(df, small_links=small).collect()} == {x: r for x, r in root.items() if x != r}
+    assert connected(df.limit(0), small_links=small).count() == 0
+
+
 def test_segment_plans_miss_no_pair():
     for n in (1, 10, 10**3, 10**5, 10**7, 10**9, 10**12):
         for radius in (0, 1, 3, 4, 8):
