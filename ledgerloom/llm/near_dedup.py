@@ -1,20 +1,24 @@
-"""SimHash near-dedup of documents, as a stage: one document of each group stays.
+"""Near-dedup of documents, as a stage: one document of each group stays.
 
-Shingles have five words; documents are duplicates at a similarity (Jaccard) of 0.8 or more. Two passes:
-1. Fingerprints at most 4 bits apart are one class (multi-index hashing, every pair of the kind).
-2. A representative of each class is entered in the segments' tables under the keys of larger balls, which hold every pair at most 8 bits apart and
-   most pairs up to `radius`; pairs at most `radius` bits apart are compared by their shingles, and those alike join their classes.
+Shingles have five words; documents are duplicates at a similarity (Jaccard) of 0.8 or more, and a group is what duplicates connect. Exact, by prefix
+filtering: texts of equal words are one node; a node's distinct shingles stand in one order that all share (the frequent ones of a sample last, so the
+order decides the cost, never the result), and two nodes at 0.8 have a common shingle among the first fifth of both. Nodes are entered under these; those
+that meet, and could reach 0.8 by their sizes and the shingle's places, are compared by their whole shingle sets (32-bit hashes).
 
-In the second pass all near pairs of a key with up to `limit` entries are compared. A crowded key gives stars around a few of its owners, and the
-classes left meet again in another round; after `rounds` of them all pairs of the keys still crowded are compared, in blocks. So a large group of near copies
-collapses by stars, and none of it is skipped.
+First, under each key, a few nodes are compared with the others (stars), so a large group of near copies collapses without all its pairs; while keys with
+more than `limit` entries hold several classes, up to `rounds` times. Then all pairs under every key whose nodes aren't in one class yet are compared, in
+blocks: every member is entered, so none is skipped for another.
+
+Two options lay SimHash fingerprints over this: texts at most `close` bits apart (4 by default) are one class without comparison (None: no text is), and of
+the pairs at 0.8 those at most `radius` bits apart (12 by default) are joined (64: all).
 
 Edge cases: a null text is an empty one; texts without words are all alike; a document without an id stays only in groups that have
-no other; of rows that repeat a doc_id and a fingerprint one stays; an empty table stays empty. Every column is kept.
+no other; of rows that repeat a doc_id in a group one stays; an empty table stays empty. Every column is kept.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -24,29 +28,118 @@ from pyspark.sql import functions as F
 
 from .common import give_back, parallelism, text_batches, written
 from .components import connected
-from .simhash import SEED, _entries, components, fingerprint, shingles
+from .simhash import SEED, components, fingerprint, shingles
 
 SIZE = 5
-#: Three segments and the radius of their balls: every pair at most 3 * (2 + 1) - 1 = 8 bits apart meets.
-SEGMENTS = [(0, 21, 2), (21, 21, 2), (42, 22, 2)]
-#: Fingerprints (8 bytes each) up to which the side that selects texts is broadcast.
+#: Ids (8 bytes each) up to which the side that selects texts is broadcast.
 BROADCAST_ROWS = 1_000_000
+#: Nodes sampled for the order of shingles, and the most shingles (16 bytes each) that are put last by it.
+SAMPLE, FREQUENT = 20_000, 100_000
+ENTRY = "key bigint, node bigint, size int, pos int"
+
 
+def _marked(batches: Iterator[pa.RecordBatch], at: int, bits: bool) -> Iterator[pa.RecordBatch]:
+    """Adds the hash of the words and, where bits count, the fingerprint (else zero)."""
+    import xxhash
 
-def _marked(batches: Iterator[pa.RecordBatch], at: int) -> Iterator[pa.RecordBatch]:
     for b in batches:
-        f = np.array([fingerprint(t.as_py().encode("utf-8", "surrogatepass") if t.is_valid else None, SIZE) for t in b.column(at)], np.uint64).view(np.int64)
-        yield pa.RecordBatch.from_arrays([*b.columns, pa.array(f)], names=[*b.schema.names, "_fp"])
+        texts = [t.as_py().encode("utf-8", "surrogatepass") if t.is_valid else b"" for t in b.column(at)]
+        h = np.array([xxhash.xxh64_intdigest(b" ".join(t.lower().split()), SEED) for t in texts], np.uint64).view(np.int64)
+        f = np.array([fingerprint(t, SIZE) if bits else 0 for t in texts], np.uint64).view(np.int64)
+        yield pa.RecordBatch.from_arrays([*b.columns, pa.array(h), pa.array(f)], names=[*b.schema.names, "_node", "_fp"])
     give_back()
 
 
-def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """fp, sorted distinct 32-bit hashes of the shingles."""
+def shingle_set(text: bytes | None) -> np.ndarray:
+    """Ascending distinct 64-bit hashes of the shingles."""
     import xxhash
 
+    h = xxhash.xxh64_intdigest
+    return np.unique(np.array([h(s, SEED) for s in shingles(text, SIZE)], "<u8"))
+
+
+def _sampled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        for t in b.column(1):
+            yield pa.RecordBatch.from_arrays([pa.array(shingle_set(t.as_py()).view(np.int64))], names=["key"])
+    give_back()
+
+
+def frequent(texts: DataFrame, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Shingles that several of the sampled nodes have, ascending, and their places from rare to frequent."""
+    sample = texts.filter(F.pmod("node", F.lit(max(1, n // SAMPLE))) == 0).mapInArrow(_sampled, "key bigint")
+    top = sample.groupBy("key").agg(F.count("*").alias("n")).filter("n > 2").orderBy(F.desc("n"), "key").limit(FREQUENT).collect()
+    keys = np.array([r.key for r in top], np.int64).view(np.uint64)
+    order = np.argsort(keys)
+    return keys[order], (len(top) - np.arange(len(top)))[order]
+
+
+def prefix(h: np.ndarray, last: tuple[np.ndarray, np.ndarray], least: float) -> np.ndarray:
+    """The first shingles of a set (ascending) in the common order: so many that sets which reach `least` share one of them."""
+    keys, place = last
+    if len(keys):
+        at = np.minimum(np.searchsorted(keys, h), len(keys) - 1)
+        rank = np.where(keys[at] == h, place[at], 0)
+        h = h[np.argsort(rank, kind="stable")]
+    return h[: len(h) - math.ceil(least * len(h) - 1e-9) + 1]
+
+
+def _entered(batches: Iterator[pa.RecordBatch], last, least: float) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        for lo in range(0, b.num_rows, 500):
+            s = b.slice(lo, 500)
+            nodes, found = s.column(0).to_numpy(), [shingle_set(t.as_py()) for t in s.column(1)]
+            keys = [prefix(h, last.value, least) if len(h) else h for h in found]
+            n = [len(k) for k in keys]
+            pos = np.concatenate([np.arange(k, dtype=np.int32) for k in n])
+            cols = [np.concatenate(keys).astype(np.uint64).view(np.int64), np.repeat(nodes, n), np.repeat(np.array([len(h) for h in found], np.int32), n), pos]
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], names=["key", "node", "size", "pos"])
+    give_back()
+
+
+def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of entries sorted by key, those whose key has another one; a batch's last key waits for the next batch."""
+    wait: list[pa.RecordBatch] = []
+
+    def several(rows: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        t = pa.Table.from_batches(rows).combine_chunks()
+        key = t.column(0).to_numpy()
+        same = key[1:] == key[:-1]
+        yield from t.filter(pa.array(np.r_[same, False] | np.r_[False, same])).to_batches()
+
     for b in batches:
-        out = [np.unique(np.array([xxhash.xxh32_intdigest(s, SEED) for s in shingles(t.as_py(), SIZE)], "<u4")).tobytes() for t in b.column(1)]
-        yield pa.RecordBatch.from_arrays([b.column(0), pa.array(out, pa.binary())], names=["fp", "shingles"])
+        if not b.num_rows:
+            continue
+        key = b.column(0).to_numpy()
+        cut = int(np.searchsorted(key, key[-1]))
+        if cut or (wait and wait[0].column(0)[0].as_py() != key[0]):
+            yield from several([*wait, b.slice(0, cut)])
+            wait = []
+        wait.append(b.slice(cut))
+    if wait:
+        yield from several(wait)
+    give_back()
+
+
+def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """node, sorted distinct 32-bit hashes of the shingles, their numbers in 256 buckets (255 at most), fp."""
+    for b in batches:
+        found = [np.unique(shingle_set(t.as_py()).astype("<u4")) for t in b.column(1)]
+        counts = [np.minimum(np.bincount(h >> np.uint32(24), minlength=256), 255).astype(np.uint8).tobytes() for h in found]
+        cols = [b.column(0), pa.array([h.tobytes() for h in found], pa.binary()), pa.array(counts, pa.binary()), pa.array([len(h) for h in found], pa.int32()), b.column(2)]
+        yield pa.RecordBatch.from_arrays(cols, names=["node", "shingles", "counts", "size", "fp"])
+    give_back()
+
+
+def _possible(batches: Iterator[pa.RecordBatch], least: float, radius: int) -> Iterator[pa.RecordBatch]:
+    """u, v of pairs (u, v, counts, size and fp of both) whose sets can reach the similarity: buckets differ by no more than sets do."""
+    for b in batches:
+        c, d = (np.frombuffer(b"".join(x.as_py() for x in b.column(k)), np.uint8).reshape(-1, 256).astype(np.int16) for k in (2, 5))
+        size = b.column(3).to_numpy().astype(np.int64) + b.column(6).to_numpy()
+        m = np.abs(c - d).sum(1, dtype=np.int64) <= size * (1 - least) / (1 + least) + 1e-6
+        m &= np.bitwise_count((b.column(4).to_numpy() ^ b.column(7).to_numpy()).view(np.uint64)) <= radius
+        m = pa.array(m)
+        yield pa.RecordBatch.from_arrays([b.column(0).filter(m), b.column(1).filter(m)], names=["u", "v"])
 
 
 def _alike(batches: Iterator[pa.RecordBatch], least: float) -> Iterator[pa.RecordBatch]:
@@ -56,148 +149,159 @@ def _alike(batches: Iterator[pa.RecordBatch], least: float) -> Iterator[pa.Recor
         for x, y in zip(b.column(2), b.column(3)):
             p, q = np.frombuffer(x.as_py(), "<u4"), np.frombuffer(y.as_py(), "<u4")
             n = len(np.intersect1d(p, q, assume_unique=True))
-            keep.append(n >= least * (len(p) + len(q) - n))
+            keep.append(n >= least * (len(p) + len(q) - n) - 1e-9)
         m = pa.array(keep, pa.bool_())
         yield pa.RecordBatch.from_arrays([b.column(0).filter(m), b.column(1).filter(m)], names=["u", "v"])
 
 
-def _verified(pairs: DataFrame, texts: DataFrame, least: float) -> DataFrame:
-    """The pairs whose shingle sets reach the similarity; only texts of fingerprints in a pair are read into sets."""
-    pairs = written(pairs.filter("u <> v").select("u", "v").distinct(), "dedup-pairs")
-    involved = pairs.select(F.explode(F.array("u", "v")).alias("fp")).distinct()
-    if involved.count() <= BROADCAST_ROWS:
-        involved = F.broadcast(involved)
-    sets = texts.join(involved, "fp", "left_semi").groupBy("fp").agg(F.min(F.struct("doc_id", "text")).alias("one")).select("fp", F.col("one.text").alias("text"))
-    sets = written(sets.mapInArrow(_sets, "fp bigint, shingles binary"), "dedup-sets")
-    x = sets.select(F.col("fp").alias("u"), F.col("shingles").alias("x"))
-    y = sets.select(F.col("fp").alias("v"), F.col("shingles").alias("y"))
-    return pairs.join(x, "u").join(y, "v").select("u", "v", "x", "y").mapInArrow(lambda it: _alike(it, least), "u bigint, v bigint")
-
-
-def _first_meeting(x: np.ndarray, y: np.ndarray, key: np.ndarray) -> np.ndarray:
-    """Whether a pair's first common key is this one: of the tables whose balls both reach, the first, and there the bits that both have."""
-    seg, done, out = key >> 24, np.zeros(len(key), bool), np.zeros(len(key), bool)
-    for t, (low, width, r) in enumerate(SEGMENTS):
-        a, b = ((f >> np.uint64(low)) & np.uint64((1 << width) - 1) for f in (x, y))
-        z = a & b
-        meets = (np.bitwise_count(a ^ z) <= r) & (np.bitwise_count(b ^ z) <= r)
-        out |= ~done & meets & (seg == t) & ((key & 0xFFFFFF) == z.astype(np.int64))
-        done |= meets
-    return out
-
-
-def _near(fp: np.ndarray, key: np.ndarray, group: np.ndarray, apart: np.ndarray | None, radius: int) -> list[tuple[np.ndarray, np.ndarray]]:
-    """Pairs of rows in a group (adjacent rows; of different sides, if `apart` numbers them) at most radius bits apart, each under its first key only."""
-    out, at, lag = [], np.arange(len(fp)), 1
-    while True:
-        at = at[at + lag < len(fp)]
-        at = at[group[at] == group[at + lag]]
-        if not len(at):
-            return out
-        m = at[np.bitwise_count(fp[at] ^ fp[at + lag]) <= radius]
-        if apart is not None:
-            m = m[apart[m] != apart[m + lag]]
-        m = m[_first_meeting(fp[m], fp[m + lag], key[m])]
-        out.append((fp[m], fp[m + lag]))
-        lag += 1
+def _in_pairs(rows: DataFrame, pairs: DataFrame) -> DataFrame:
+    nodes = pairs.select(F.explode(F.array("u", "v")).alias("node")).distinct()
+    return rows.join(F.broadcast(nodes) if nodes.count() <= BROADCAST_ROWS else nodes, "node", "left_semi")
+
+
+def _verified(pairs: DataFrame, texts: DataFrame, least: float, radius: int) -> DataFrame:
+    """The pairs (u, v) at most radius bits apart whose shingle sets reach the similarity; only texts of nodes in a pair are read into sets, and sets move
+    for pairs only whose buckets leave it open."""
+    sets = written(_in_pairs(texts, pairs).mapInArrow(_sets, "node bigint, shingles binary, counts binary, size int, fp bigint"), "dedup-sets")
+    x, y = (sets.select(F.col("node").alias(k), "counts", "size", "fp").toDF(k, f"c{k}", f"s{k}", f"f{k}") for k in "uv")
+    both = pairs.join(x, "u").join(y, "v").select("u", "v", "cu", "su", "fu", "cv", "sv", "fv")
+    pairs = written(both.mapInArrow(lambda it: _possible(it, least, radius), "u bigint, v bigint"), "dedup-possible")
+    sets = _in_pairs(sets.select("node", "shingles"), pairs)
+    both = pairs.join(sets.toDF("u", "x"), "u").join(sets.toDF("v", "y"), "v").select("u", "v", "x", "y")
+    return both.mapInArrow(lambda it: _alike(it, least), "u bigint, v bigint")
+
+
+def _can(size: np.ndarray, pos: np.ndarray, a: np.ndarray, b: np.ndarray, least: float) -> np.ndarray:
+    """Whether rows a and b can reach the similarity if their key is their first common one (a pair that does meets under that key too)."""
+    need = np.ceil(least / (1 + least) * (size[a].astype(np.int64) + size[b]) - 1e-9)
+    return np.minimum(size[a] - pos[a], size[b] - pos[b]) >= need
 
 
-def _pairs(found: list[tuple[np.ndarray, np.ndarray]], crowded: list) -> pa.RecordBatch:
-    u = np.concatenate([*[x for x, _ in found], np.array(crowded, np.uint64)]).view(np.int64)
-    v = np.concatenate([*[y for _, y in found], np.array(crowded, np.uint64)]).view(np.int64)
-    pairs = np.unique(np.c_[u, v], axis=0) if len(u) else np.zeros((0, 2), np.int64)
+def _groups(cols: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of rows sorted by cols: each row's group, the groups' first rows and their sizes."""
+    change = np.zeros(len(cols[0]), bool)
+    for c in cols:
+        change[1:] |= c[1:] != c[:-1]
+    first = np.flatnonzero(np.r_[True, change[1:]])
+    return np.cumsum(change), first, np.diff(np.r_[first, len(change)])
+
+
+def _pairs(found: list[tuple[np.ndarray, np.ndarray]]) -> pa.RecordBatch:
+    u, v = (np.concatenate([np.zeros(0, np.int64), *x]) for x in ([np.minimum(*p) for p in found], [np.maximum(*p) for p in found]))
+    pairs = np.unique(np.c_[u, v], axis=0)
     return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["u", "v"])
 
 
-def _crowds(batches: Iterator[pa.RecordBatch], radius: int, limit: int, pivots: int) -> Iterator[pa.RecordBatch]:
-    """Rows (key, fp) sorted by both -> pairs (u, v): all near pairs under a key with up to `limit` entries; under a crowded one, which is reported by a
-    pair of a fingerprint with itself, stars of its owners (whose segment is the key itself) around a few of them."""
+def _table(batches: Iterator[pa.RecordBatch]) -> list[np.ndarray]:
     all_ = [b for b in batches if b.num_rows]
-    if not all_:
+    return [c.to_numpy() for c in pa.Table.from_batches(all_).columns] if all_ else []
+
+
+def _stars(batches: Iterator[pa.RecordBatch], least: float, limit: int, pivots: int, turn: int) -> Iterator[pa.RecordBatch]:
+    """Rows (key, node, size, pos, class) sorted by key -> pairs of a few nodes of each key (others in each turn) with its nodes of other classes. A
+    crowded key of several classes is reported by a pair of a node with itself."""
+    cols = _table(batches)
+    if not cols:
         return
-    t = pa.Table.from_batches(all_)
-    key, fp = t.column(0).to_numpy(), t.column(1).to_numpy().view(np.uint64)
-    first = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
-    size = np.diff(np.r_[first, len(key)])
-    group = np.repeat(np.arange(len(first)), size)
-    small = (size <= limit)[group]
-    found = _near(fp[small], key[small], group[small], None, radius)
-    crowded = []
-    for at, n in zip(first[size > limit], size[size > limit]):
-        all_here, (low, width, _) = fp[at : at + n], SEGMENTS[key[at] >> 24]
-        crowded.append(all_here[0])
-        own = all_here[((all_here >> np.uint64(low)) & np.uint64((1 << width) - 1)) == np.uint64(key[at] & 0xFFFFFF)]
-        for p in range(pivots if len(own) else 0):
-            q = own[len(own) * p // pivots]
-            near = own[(np.bitwise_count(own ^ q) <= radius) & (own != q)]
-            found.append((np.minimum(near, q), np.maximum(near, q)))
-    del t, key, fp, group, small
-    yield _pairs(found, crowded)
-    del found
+    mixed = cols[1].view(np.uint64) * np.uint64(0x9E3779B97F4A7C15 + 2 * turn) ^ np.uint64(turn)
+    order = np.lexsort((mixed, cols[0]))
+    key, node, size, pos, comp = (c[order] for c in cols)
+    del cols, mixed, order
+    group, first, count = _groups([key])
+    several = np.minimum.reduceat(comp, first) != np.maximum.reduceat(comp, first)
+    crowded = node[first[several & (count > limit)]]
+    found, at = [(crowded, crowded)], np.flatnonzero(several[group])
+    for p in range(pivots):
+        a = at[p < count[group[at]]]
+        q = first[group[a]] + p
+        m = comp[a] != comp[q]
+        a, q = a[m], q[m]
+        m = _can(size, pos, a, q, least)
+        found.append((node[a[m]], node[q[m]]))
+    yield _pairs(found)
     give_back()
 
 
-def _block_pairs(batches: Iterator[pa.RecordBatch], radius: int) -> Iterator[pa.RecordBatch]:
-    """Rows (key, i, j, side, fp) sorted by the first three: near pairs of a block (i = j), or across two."""
-    all_ = [b for b in batches if b.num_rows]
-    if not all_:
+def _block_pairs(batches: Iterator[pa.RecordBatch], least: float) -> Iterator[pa.RecordBatch]:
+    """Rows (key, i, j, side, node, size, pos, class) sorted by the first three: pairs of a block (i = j), or across two, of different classes."""
+    cols = _table(batches)
+    if not cols:
         return
-    t = pa.Table.from_batches(all_)
-    key, i, j, side, fp = (t.column(c).to_numpy() for c in range(5))
-    fp, change = fp.view(np.uint64), np.zeros(len(key), bool)
-    for c in (key, i, j):
-        change[1:] |= c[1:] != c[:-1]
-    group = np.cumsum(change)
-    same = (i == j)
-    within = _near(fp[same], key[same], group[same], None, radius)
-    across = _near(fp[~same], key[~same], group[~same], side[~same], radius)
-    yield _pairs(within + across, [])
-
-
-def _entered(nodes: DataFrame) -> DataFrame:
-    e = nodes.select("fp", F.col("fp").alias("comp")).mapInArrow(lambda it: _entries(it, SEGMENTS, True), "seg int, key bigint, fp bigint, comp bigint")
-    return e.select((F.col("seg") * (1 << 24) + F.col("key")).alias("key"), "fp")
-
-
-def _meet(nodes: DataFrame, radius: int, limit: int, pivots: int) -> DataFrame:
-    e = _entered(nodes).repartition(parallelism(nodes.sparkSession), "key").sortWithinPartitions("key", "fp")
-    return e.mapInArrow(lambda it: _crowds(it, radius, limit, pivots), "u bigint, v bigint")
-
-
-def _meet_all(nodes: DataFrame, radius: int, block: int) -> DataFrame:
-    """All near pairs under each key; a key's entries are split into blocks that meet pair by pair in different tasks."""
-    e = _entered(nodes)
-    keys = e.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1").select("key", F.ceil(F.col("n") / block).cast("int").alias("blocks"))
-    e = e.join(keys, "key").withColumn("mine", F.pmod(F.xxhash64("fp"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    e = e.select("key", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), (F.col("mine") <= F.col("other")).cast("int").alias("side"), "fp")
-    e = e.repartition(parallelism(nodes.sparkSession), "key", "i", "j").sortWithinPartitions("key", "i", "j", "fp")
-    return e.mapInArrow(lambda it: _block_pairs(it, radius), "u bigint, v bigint")
-
-
-def classes(fps: DataFrame, texts: DataFrame, radius: int = 12, least: float = 0.8, rounds: int = 3, limit: int = 256, pivots: int = 2, block: int = 4096) -> DataFrame:
-    """fps: (doc_id, fp); texts: (doc_id, fp, text binary). -> (fp, class): every distinct fingerprint with its class's fingerprint."""
-    table = written(components(fps).select("fp", F.col("comp").alias("class")), "dedup-classes")
-    for turn in range(rounds + 1):
-        nodes = table.select(F.col("class").alias("fp")).distinct()
-        pairs = written(_meet(nodes, radius, limit, pivots) if turn < rounds else _meet_all(nodes, radius, block), "dedup-met")
-        labels = written(connected(_verified(pairs, texts, least)).select(F.col("node").alias("class"), "label"), "dedup-labels")
-        table = written(table.join(labels, "class", "left").select("fp", F.coalesce("label", "class").alias("class")), "dedup-classes")
-        if not pairs.filter("u = v").head(1):
+    key, i, j, side, node, size, pos, comp = cols
+    group, _, _ = _groups([key, i, j])
+    within, found, at, lag = i == j, [], np.arange(len(key)), 1
+    while True:
+        at = at[at + lag < len(key)]
+        at = at[group[at] == group[at + lag]]
+        if not len(at):
             break
-    return table
+        m = at[(comp[at] != comp[at + lag]) & (within[at] | (side[at] != side[at + lag]))]
+        m = m[_can(size, pos, m, m + lag, least)]
+        found.append((node[m], node[m + lag]))
+        lag += 1
+    yield _pairs(found)
+    give_back()
+
+
+def _meet(rows: DataFrame, least: float, limit: int, pivots: int, turn: int) -> DataFrame:
+    e = rows.repartition(parallelism(rows.sparkSession), "key").sortWithinPartitions("key")
+    return e.mapInArrow(lambda it: _stars(it, least, limit, pivots, turn), "u bigint, v bigint")
+
+
+def _meet_all(rows: DataFrame, least: float, block: int) -> DataFrame:
+    """All pairs of different classes under each key; a key's entries are split into blocks that meet pair by pair in different tasks."""
+    keys = rows.groupBy("key").agg(F.count("*").alias("n"), F.min("class").alias("a"), F.max("class").alias("b")).filter("a <> b")
+    e = rows.join(keys.select("key", F.ceil(F.col("n") / block).cast("int").alias("blocks")), "key")
+    e = e.withColumn("mine", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    e = e.select("key", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), (F.col("mine") <= F.col("other")).cast("int").alias("side"), "node", "size", "pos", "class")
+    e = e.repartition(parallelism(rows.sparkSession), "key", "i", "j").sortWithinPartitions("key", "i", "j")
+    return e.mapInArrow(lambda it: _block_pairs(it, least), "u bigint, v bigint")
+
+
+def _close(fps: DataFrame, close: int) -> DataFrame:
+    """fps: (node, fp). Links of each node to the least one of those linked over at most `close` bits."""
+    both = written(fps.join(components(fps.select(F.col("node").alias("doc_id"), "fp"), close).select("fp", "comp"), "fp").select("node", "comp"), "dedup-close")
+    return both.join(both.groupBy("comp").agg(F.min("node").alias("u")), "comp").filter("u <> node").select("u", F.col("node").alias("v"))
+
+
+def classes(texts: DataFrame, n: int, fps: DataFrame, radius: int = 12, least: float = 0.8, rounds: int = 3, limit: int = 256, pivots: int = 2, block: int = 4096, close: int | None = 4) -> DataFrame:
+    """texts: (node, text binary, fp), n rows, each node once; fps: (node, fp). -> (node, label): every node that is joined to a lesser one, with its
+    group's least node."""
+    spark = texts.sparkSession
+    last = spark.sparkContext.broadcast(frequent(texts, n))
+    entries = texts.mapInArrow(lambda it: _entered(it, last, least), ENTRY).repartition(parallelism(spark), "key").sortWithinPartitions("key")
+    met = written(entries.mapInArrow(_shared, ENTRY), "dedup-met")
+    links = None if close is None else written(_close(fps, close), "dedup-links")
+    labels, turn, crowded, compared = None if links is None else connected(links), 0, True, None
+    while True:
+        final = turn == rounds or not crowded
+        rows = met.withColumn("class", F.col("node")) if labels is None else met.join(labels, "node", "left").select("key", "node", "size", "pos", F.coalesce("label", "node").alias("class"))
+        pairs = written(_meet_all(rows, least, block) if final else _meet(rows, least, limit, pivots, turn), "dedup-near")
+        fresh = pairs.filter("u <> v").distinct()
+        fresh = written(fresh if compared is None else fresh.join(compared, ["u", "v"], "left_anti"), "dedup-pairs")
+        compared = fresh if compared is None else compared.unionByName(fresh)
+        new = written(_verified(fresh, texts, least, radius), "dedup-links")
+        links = new if links is None else links.unionByName(new)
+        labels = connected(links)
+        if final:
+            return labels
+        turn, crowded = turn + 1, bool(pairs.filter("u = v").head(1))
 
 
 def unique(docs: DataFrame, **options) -> DataFrame:
-    """One document of each group, every column as it was: the one with the least doc_id."""
+    """One document of each group, every column as it was: the one with the least doc_id. Options are those of classes()."""
+    bits = options.get("radius", 12) < 64 or options.get("close", 4) is not None
     text_batches(docs.sparkSession)
     at, names = docs.columns.index("text"), docs.columns
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
-    marked = written(docs.mapInArrow(lambda it: _marked(it, at), f"{fields}, _fp bigint"), "dedup-marked")
-    ids = marked.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("_fp").alias("fp"))
-    texts = marked.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("_fp").alias("fp"), F.col("text").cast("binary").alias("text"))
-    table = classes(ids, texts, **options)
-    each = ids.groupBy("fp").agg(F.min(F.struct(F.col("doc_id").isNull().alias("z"), F.col("doc_id").alias("d"))).alias("m"))
-    stays = each.join(table, "fp").groupBy("class").agg(F.min(F.struct("m.z", "m.d", "fp")).alias("k"))
-    stays = stays.select(F.col("k.fp").alias("_k"), F.col("k.d").alias("_d"))
-    kept = marked.join(stays, (F.col("_fp") == F.col("_k")) & F.col("doc_id").cast("long").eqNullSafe(F.col("_d")), "left_semi")
-    return kept.dropDuplicates(["doc_id", "_fp"]).select(*[F.col(f"`{c}`") for c in names])
+    marked = docs.mapInArrow(lambda it: _marked(it, at, bits), f"{fields}, _node bigint, _fp bigint").withColumn("_row", F.monotonically_increasing_id())
+    marked = written(marked, "dedup-marked")
+    rows = marked.select(F.col("doc_id").cast("long").alias("d"), F.col("_node").alias("node"), F.col("_row").alias("row"), F.col("_fp").alias("fp"))
+    each = written(rows.groupBy("node").agg(F.min(F.struct(F.col("d").isNull().alias("z"), "d", "row")).alias("m"), F.min("row").alias("row"), F.min("fp").alias("fp"), F.count("*").alias("copies")), "dedup-nodes")
+    spare = rows.select("node", F.col("row").alias("r")).join(each.filter("copies > 1").select("node", F.col("row").alias("one")), "node").filter("r <> one").select(F.col("r").alias("_row"))
+    spare = written(spare, "dedup-copies")
+    texts = marked.join(F.broadcast(spare) if spare.count() <= BROADCAST_ROWS else spare, "_row", "left_anti")
+    texts = texts.select(F.col("_node").alias("node"), F.col("text").cast("binary").alias("text"), F.col("_fp").alias("fp"))
+    labels = classes(texts, each.count(), each.select("node", "fp"), **options)
+    stays = each.join(labels, "node", "left").groupBy(F.coalesce("label", "node").alias("class")).agg(F.min(F.struct("m.z", "m.d", "node", "m.row")).alias("k"))
+    return marked.join(stays.select(F.col("k.row").alias("_row")), "_row", "left_semi").select(*[F.col(f"`{c}`") for c in names])
