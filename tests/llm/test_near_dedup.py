@@ -54,3 +54,8 @@ def test_crowded_keys_lose_no_pair(spark):
     expected = plain_kept(docs)
     for options in ({"limit": 4}, {"limit": 4, "rounds": 1, "block": 8}, {"limit": 4, "rounds": 0, "block": 8}):
         assert kept(spark, docs, **options) == expected
+
+
+def test_every_member_is_compared(spark):
+    docs = families(2, [20] * 12, 300, 10)
+    assert kept(spark, docs) == plain_kept(docs)
