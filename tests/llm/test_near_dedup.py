@@ -59,3 +59,14 @@ def test_crowded_keys_lose_no_pair(spark):
 def test_every_member_is_compared(spark):
     docs = families(2, [20] * 12, 300, 10)
     assert kept(spark, docs) == plain_kept(docs)
+
+
+def boilerplate():
+    rng = RNG(5)
+    line = " ".join(word(rng) for _ in range(9))
+    return [(i, " ".join([line] * 20 + [word(rng) for _ in range(60)])) for i in range(12)]
+
+
+def test_compared_texts_alone_are_joined(spark):
+    docs = boilerplate() + [(100, boilerplate()[0][1]), (101, None), (102, "")]
+    assert kept(spark, docs, radius=64, close=None) == plain_kept(docs, 64, None) == {*range(12), 101}
