@@ -61,6 +61,23 @@ def test_every_member_is_compared(spark):
     assert kept(spark, docs) == plain_kept(docs)
 
 
+def tails(seed, n, words, share):
+    """n pairs of a text and the same with a new tail, of similarity `share` or a little more."""
+    rng, docs = RNG(seed), []
+    for _ in range(n):
+        w = [word(rng) for _ in range(words)]
+        new = int((words - 4) * (1 - share) / (1 + share))
+        docs += [" ".join(w), " ".join(w[: words - new] + [word(rng) for _ in range(new)])]
+    return [(i, t) for i, t in enumerate(docs)]
+
+
+def test_all_pairs_at_any_bits(spark):
+    docs = tails(3, 120, 60, 0.8) + [(i + 1000, t) for i, t in tails(4, 40, 300, 0.8)]
+    got = kept(spark, docs, radius=64)
+    assert got == plain_kept(docs, 64)
+    assert len(got) == len(docs) // 2
+
+
 def boilerplate():
     rng = RNG(5)
     line = " ".join(word(rng) for _ in range(9))
