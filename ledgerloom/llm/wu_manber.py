@@ -7,7 +7,7 @@ suffix, and direct comparison of the words confirms an occurrence. Text of no pa
 The pattern tables are broadcast in groups of at most `max_patterns` windows; a larger benchmark takes several passes over the documents, each with
 one group, and the hit words of all passes are united, so results don't depend on the bound. Nothing is shuffled.
 
-Edge cases: null texts and ids are kept (a null text has no words); an item without words has no window; items with equal windows all count; repeated
+Edge cases: null texts and ids are kept (a null text has no words; windows of an item without an id hit words, only the items leave it out); an item without words has no window; items with equal windows all count; repeated
 document rows are separate rows, repeated item rows count once by item_id; empty tables give no rows, or no hits; other columns are ignored.
 """
 
@@ -78,12 +78,13 @@ def searchers(items: list[tuple[int, bytes]], size: int = WINDOW) -> list[Search
 
 
 def hits(words: list[bytes], search: list[Searcher]) -> tuple[list[tuple[int, int]], set[int]]:
-    """Disjoint ascending intervals of hit words, and the items that occur."""
+    """Disjoint ascending intervals of hit words, and the ids of the items that occur."""
     spans, items = [], set()
     for s in search:
         for start, found in s.search(words):
             spans.append((start, start + s.m))
             items.update(found)
+    items.discard(None)
     if not spans:
         return [], items
     spans.sort()
@@ -101,8 +102,6 @@ def benchmark_groups(benchmark: DataFrame, max_patterns: int, size: int) -> Iter
     group, n = [], 0
     rows = benchmark.select(F.col("item_id").cast("long"), F.col("text").cast("string").cast("binary")).filter(F.col("text").isNotNull())
     for item, text in rows.orderBy("item_id").toLocalIterator():
-        if item is None:
-            continue
         text = bytes(text)
         k = len(windows_of(words_of(text), size))
         if group and n + k > max_patterns:
