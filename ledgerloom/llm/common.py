@@ -39,8 +39,58 @@ def written(df: DataFrame, tag: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def parallelism(spark: SparkSession) -> int:
-    return max(1, int(spark.conf.get("spark.sql.shuffle.partitions", "200")))
+def parallelism(spark: SparkSession, rows: int = 0, each: int = 4_000_000) -> int:
+    """The session's shuffle partitions, or more where rows would be more than `each` to a task."""
+    return max(1, int(spark.conf.get("spark.sql.shuffle.partitions", "200")), -(-rows // each))
+
+
+def text_parts(df: DataFrame, each: int = 256 << 20) -> int:
+    """How many tasks texts of df are dealt to: the session's shuffle partitions, or more where the files that df reads would give over `each` stored
+    bytes to a task. Sources whose size Spark doesn't know (rows made on the driver) count as small."""
+    leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
+    sizes = [int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.length())]
+    return parallelism(df.sparkSession, sum(n for n in sizes if n < 1 << 62), each)
+
+
+def free(df: DataFrame, *names: str) -> list[str]:
+    """The names, with as many underscores before each as make it none of df's columns."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for n in names:
+        while n.lower() in taken:
+            n = "_" + n
+        taken.add(n.lower())
+        out.append(n)
+    return out
+
+
+def own_text(column: str = "text") -> Column:
+    """A text as valid UTF-8; bytes that are none become U+FFFD."""
+    return F.make_valid_utf8(F.col(column).cast("string"))
+
+
+def text_bytes(column: pa.Array) -> list[bytes | None]:
+    """A column of texts as bytes, valid UTF-8 or not."""
+    return column.cast(pa.binary()).to_pylist()
+
+
+def whole_groups(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[list[np.ndarray]]:
+    """Columns of rows sorted by their first `keys` columns, a batch or more at a time: rows of one key come together, a key that may go on waits."""
+    held: list[pa.RecordBatch] = []
+    for b in batches:
+        if not b.num_rows:
+            continue
+        held.append(b)
+        if held[0] is not b and all(held[0].column(i)[0] == b.column(i)[-1] for i in range(keys)):
+            continue
+        t = pa.Table.from_batches(held)
+        cols = [t.column(i).to_numpy() for i in range(keys)]
+        same = np.logical_and.reduce([c == c[-1] for c in cols])
+        cut = int(np.argmax(same)) if same.any() else len(same)
+        if cut:
+            yield [c.to_numpy() for c in t.slice(0, cut).columns]
+        held = t.slice(cut).combine_chunks().to_batches()
+    if held:
+        yield [c.to_numpy() for c in pa.Table.from_batches(held).columns]
 
 
 def text_batches(spark: SparkSession, most: str = "8m") -> None:
@@ -101,7 +151,7 @@ def running_sums(df: DataFrame, value: str, key: str | None, tag: str) -> tuple[
 
 def ranged(df: DataFrame, *order: Column) -> DataFrame:
     """Dealt by ranges of the order and sorted in each; Spark deals by a sample, so equal leading columns spread over several partitions."""
-    return df.repartitionByRange(parallelism(df.sparkSession), *order).sortWithinPartitions(*order)
+    return df.repartitionByRange(text_parts(df), *order).sortWithinPartitions(*order)
 
 
 def small_table(spark: SparkSession, rows: list, schema: str) -> DataFrame:

@@ -1,4 +1,4 @@
-"""Connected components by alternating large-star and small-star rounds over written tables."""
+"""Connected components: links are joined into stars inside each task, then nodes take their least neighbour until all links are stars."""
 
 from __future__ import annotations
 
@@ -11,63 +11,62 @@ from pyspark.sql import functions as F
 
 from .common import written
 
+#: Links that a task joins at once (some 100 bytes each while it does).
+AT_ONCE = 1_000_000
 
-def _star(both: DataFrame, large: bool) -> DataFrame:
-    """both: (u, v). Each u's least neighbour m, itself included; links m to the neighbours above u (large) or to all of them and u (small)."""
-    least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-    out = both.join(least, "u")
-    if large:
-        return out.filter("v > u").select(F.col("m").alias("a"), F.col("v").alias("b"))
-    return out.select(F.explode(F.array("u", "v")).alias("b"), F.col("m").alias("a"))
-
-
-def _sign(edges: DataFrame) -> tuple:
-    """Number and sum of hashes: what tells whether a round changed anything."""
-    return tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
-
-
-def _union(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(a, b) of all links -> (node, label) by union-find."""
-    all_ = [b for b in batches if b.num_rows]
-    if not all_:
-        return
-    t = pa.Table.from_batches(all_)
-    nodes, at = np.unique(np.concatenate([t.column(0).to_numpy(), t.column(1).to_numpy()]), return_inverse=True)
-    parent = list(range(len(nodes)))
-    half = len(at) // 2
-    for x, y in zip(at[:half].tolist(), at[half:].tolist()):
-        while parent[x] != x:
-            parent[x] = x = parent[parent[x]]
-        while parent[y] != y:
-            parent[y] = y = parent[parent[y]]
-        if x < y:
-            parent[y] = x
-        else:
-            parent[x] = y
-    p = np.array(parent)
-    while not np.array_equal(p, p[p]):
-        p = p[p]
-    m = p != np.arange(len(p))
-    yield pa.RecordBatch.from_arrays([pa.array(nodes[m]), pa.array(nodes[p[m]])], names=["node", "label"])
-
-
-def connected(links: DataFrame, max_rounds: int = 60, small_links: int = 1_000_000) -> DataFrame:
-    """(u, v) -> (node, label): each linked node's least reachable node. Rounds end when no link changes, about log(nodes) of them; only two
-    numbers of each round reach the driver. Up to small_links links (16 bytes each) are joined by one task instead, with the same labels."""
-    edges = written(links.filter("u <> v").select(F.least("u", "v").alias("a"), F.greatest("u", "v").alias("b")).distinct(), "cc")
-    last = _sign(edges)
-    if last[0] <= small_links:
-        return written(edges.repartition(1).mapInArrow(_union, "node bigint, label bigint"), "cc")
-    for _ in range(max_rounds if last[0] else 0):
+
+def stars(u: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(least node, node) of every other node of each component of the links (u, v)."""
+    nodes, at = np.unique(np.r_[u, v], return_inverse=True)
+    a, b, label = at[: len(u)], at[len(u) :], np.arange(len(nodes))
+    while len(a):
+        x, y = label[a], label[b]
+        m = x != y
+        a, b = a[m], b[m]
+        np.minimum.at(label, np.maximum(x, y)[m], np.minimum(x, y)[m])
+        while not np.array_equal(label, up := label[label]):
+            label = up
+    m = label != np.arange(len(nodes))
+    return nodes[label[m]], nodes[m]
+
+
+def _contracted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    held: list[pa.RecordBatch] = []
+
+    def joined() -> pa.RecordBatch:
+        t = pa.Table.from_batches(held)
+        return pa.RecordBatch.from_arrays([pa.array(x) for x in stars(t.column(0).to_numpy(), t.column(1).to_numpy())], names=["a", "b"])
+
+    for b in batches:
+        held.append(b)
+        if sum(x.num_rows for x in held) >= AT_ONCE:
+            held = [joined()]
+            if held[0].num_rows >= AT_ONCE // 2:
+                yield held.pop()
+    if held:
+        yield joined()
+
+
+def contracted(links: DataFrame) -> DataFrame:
+    """Two columns of links -> (a, b): the same components by stars, each task's links joined where they lie."""
+    return links.mapInArrow(_contracted, "a bigint, b bigint")
+
+
+def connected(links: DataFrame, max_rounds: int = 60, settle: bool = True) -> DataFrame:
+    """(u, v) -> (node, label), a row for each node with a lesser one: its least reachable node.
+
+    Links are stars once no node has a lesser neighbour and another one as well. Until then every node tells its neighbours the least of them, and that one
+    of all others (hash-to-min), about log(nodes) rounds, fewer as tasks join their links. The least neighbour is found with partial sums, so a centre of
+    many links costs no task more than others; what it tells comes from a join of two plain exchanges, which adaptive execution splits when skewed. Nothing
+    but the answer whether a round was the last reaches the driver. settle=False takes what the first look gives: labels are reachable, not yet least."""
+    edges = contracted(links)
+    for _ in range(max_rounds):
+        edges = written(edges, "cc")
         both = edges.select(F.col("a").alias("u"), F.col("b").alias("v")).unionByName(edges.select(F.col("b").alias("u"), F.col("a").alias("v")))
-        large = _star(both, True).filter("a <> b").distinct()
-        down = large.select(F.col("b").alias("u"), F.col("a").alias("v"))
-        edges = written(_star(down, False).filter("a <> b").distinct(), "cc")
-        now = _sign(edges)
-        if now == last:
-            break
-        last = now
-    else:
-        if last[0]:
-            raise RuntimeError("links did not settle")
-    return edges.select(F.col("b").alias("node"), F.col("a").alias("label"))
+        near = written(both.groupBy("u").agg(F.min("v").alias("m"), F.max("v").alias("most")), "cc-least")
+        if not settle or not near.filter("m < u AND m <> most").head(1):
+            return near.filter("m < u").select(F.col("u").alias("node"), F.col("m").alias("label"))
+        told = both.join(near.select("u", F.least("m", "u").alias("m")), "u").filter("v <> m").select("m", "v")
+        own = near.filter("m < u").select("m", F.col("u").alias("v"))
+        edges = contracted(told.unionByName(own))
+    raise RuntimeError("links did not settle")

@@ -1,19 +1,25 @@
 """Near-dedup of documents, as a stage: one document of each group stays.
 
-Shingles have five words; documents are duplicates at a similarity (Jaccard) of 0.8 or more, and a group is what duplicates connect. Exact, by prefix
-filtering: texts of equal words are one node; a node's distinct shingles stand in one order that all share (the frequent ones of a sample last, so the
-order decides the cost, never the result), and two nodes at 0.8 have a common shingle among the first fifth of both. Nodes are entered under these; those
-that meet, and could reach 0.8 by their sizes and the shingle's places, are compared by their whole shingle sets (32-bit hashes).
+Shingles have five words; two documents are duplicates at a similarity (Jaccard) of 0.8 or more, and a group is what duplicates connect. Every link is
+compared by shingles; two ways lead to candidates:
 
-First, under each key, a few nodes are compared with the others (stars), so a large group of near copies collapses without all its pairs; while keys with
-more than `limit` entries hold several classes, up to `rounds` times. Then all pairs under every key whose nodes aren't in one class yet are compared, in
-blocks: every member is entered, so none is skipped for another.
+1. SimHash with multi-index hashing (`simhash`): texts whose fingerprints a chain of links of at most `close` bits connects are compared with the least one
+   of them. That collapses most groups of near copies without their pairs.
+2. What fingerprints can't say (a pair at 0.8 differs by some ten bits, many by more) is found by prefix filtering, which misses no pair: texts of equal
+   words are one node; a node's distinct shingles stand in one order that all share (the frequent ones of a sample last, so the order decides the cost,
+   never the result), and two nodes at 0.8 have a common shingle among the first fifth of both. Nodes are entered under these; those that meet, and could
+   reach 0.8 by their sizes and the shingle's places, are candidates.
 
-Two options lay SimHash fingerprints over this: texts at most `close` bits apart (4 by default) are one class without comparison (None: no text is), and of
-the pairs at 0.8 those at most `radius` bits apart (12 by default) are joined (64: all).
+Under each key two nodes, chosen anew in every turn, are compared with the others first (stars), so what SimHash left of a large group collapses as well;
+while keys with more than `limit` entries hold several classes and turns find links, up to `rounds` times. Then all pairs under every key whose nodes aren't
+in one class yet are compared, in blocks: every member is entered, so none is skipped for another. Only pairs of different classes are emitted.
+
+Texts of candidates are picked by their nodes: up to `sent` nodes (8 bytes each) are sent to the texts, so these don't move; more nodes than that are joined with
+the texts, which moves them. Both give the same rows; the second alone would move all texts once in every turn, the first alone would have no bound.
 
 Edge cases: a null text is an empty one; texts without words are all alike; a document without an id stays only in groups that have
-no other; of rows that repeat a doc_id in a group one stays; an empty table stays empty. Every column is kept.
+no other; of rows that repeat a doc_id in a group one stays; texts of any length are compared whole, bytes that aren't UTF-8 as they are; ties go to the least
+doc_id; an empty table stays empty. Every column is kept, whatever its name. Hashes have 64 bits for words and entries, 32 for comparing.
 """
 
 from __future__ import annotations
@@ -23,30 +29,30 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import give_back, parallelism, text_batches, written
+from .common import free, give_back, parallelism, text_batches, text_bytes, text_parts, whole_groups, written
 from .components import connected
-from .simhash import SEED, components, fingerprint, shingles
+from .simhash import SEED, fingerprint, linked, merged, shingles
 
 SIZE = 5
 #: Ids (8 bytes each) up to which the side that selects texts is broadcast.
-BROADCAST_ROWS = 1_000_000
+SENT = 1_000_000
 #: Nodes sampled for the order of shingles, and the most shingles (16 bytes each) that are put last by it.
 SAMPLE, FREQUENT = 20_000, 100_000
 ENTRY = "key bigint, node bigint, size int, pos int"
 
 
-def _marked(batches: Iterator[pa.RecordBatch], at: int, bits: bool) -> Iterator[pa.RecordBatch]:
-    """Adds the hash of the words and, where bits count, the fingerprint (else zero)."""
+def _marked(batches: Iterator[pa.RecordBatch], at: int, names: list[str]) -> Iterator[pa.RecordBatch]:
+    """Adds the hash of the words and the fingerprint."""
     import xxhash
 
     for b in batches:
-        texts = [t.as_py().encode("utf-8", "surrogatepass") if t.is_valid else b"" for t in b.column(at)]
+        texts = [t or b"" for t in text_bytes(b.column(at))]
         h = np.array([xxhash.xxh64_intdigest(b" ".join(t.lower().split()), SEED) for t in texts], np.uint64).view(np.int64)
-        f = np.array([fingerprint(t, SIZE) if bits else 0 for t in texts], np.uint64).view(np.int64)
-        yield pa.RecordBatch.from_arrays([*b.columns, pa.array(h), pa.array(f)], names=[*b.schema.names, "_node", "_fp"])
+        f = np.array([fingerprint(t, SIZE) for t in texts], np.uint64).view(np.int64)
+        yield pa.RecordBatch.from_arrays([*b.columns, pa.array(h), pa.array(f)], names=[*b.schema.names, *names])
     give_back()
 
 
@@ -98,47 +104,39 @@ def _entered(batches: Iterator[pa.RecordBatch], last, least: float) -> Iterator[
 
 
 def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of entries sorted by key, those whose key has another one; a batch's last key waits for the next batch."""
-    wait: list[pa.RecordBatch] = []
-
-    def several(rows: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        t = pa.Table.from_batches(rows).combine_chunks()
-        key = t.column(0).to_numpy()
-        same = key[1:] == key[:-1]
-        yield from t.filter(pa.array(np.r_[same, False] | np.r_[False, same])).to_batches()
-
+    """Of entries sorted by key, those whose key has another one. A batch's last entry waits for the next batch if its key is new."""
+    last, wait = None, None  # the last key, and its entry if it is the only one so far
     for b in batches:
         if not b.num_rows:
             continue
+        if wait is not None:
+            b = pa.Table.from_batches([wait, b]).combine_chunks().to_batches()[0]
         key = b.column(0).to_numpy()
-        cut = int(np.searchsorted(key, key[-1]))
-        if cut or (wait and wait[0].column(0)[0].as_py() != key[0]):
-            yield from several([*wait, b.slice(0, cut)])
-            wait = []
-        wait.append(b.slice(cut))
-    if wait:
-        yield from several(wait)
+        same = key[1:] == key[:-1]
+        keep = np.r_[same, False] | np.r_[False, same]
+        if wait is None and last is not None:
+            keep |= key == last
+        last, wait = key[-1], None if keep[-1] else b.slice(len(key) - 1)
+        yield b.filter(pa.array(keep))
     give_back()
 
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """node, sorted distinct 32-bit hashes of the shingles, their numbers in 256 buckets (255 at most), fp."""
+    """node, sorted distinct 32-bit hashes of the shingles, their numbers in 256 buckets (255 at most)."""
     for b in batches:
         found = [np.unique(shingle_set(t.as_py()).astype("<u4")) for t in b.column(1)]
         counts = [np.minimum(np.bincount(h >> np.uint32(24), minlength=256), 255).astype(np.uint8).tobytes() for h in found]
-        cols = [b.column(0), pa.array([h.tobytes() for h in found], pa.binary()), pa.array(counts, pa.binary()), pa.array([len(h) for h in found], pa.int32()), b.column(2)]
-        yield pa.RecordBatch.from_arrays(cols, names=["node", "shingles", "counts", "size", "fp"])
+        cols = [b.column(0), pa.array([h.tobytes() for h in found], pa.binary()), pa.array(counts, pa.binary()), pa.array([len(h) for h in found], pa.int32())]
+        yield pa.RecordBatch.from_arrays(cols, names=["node", "shingles", "counts", "size"])
     give_back()
 
 
-def _possible(batches: Iterator[pa.RecordBatch], least: float, radius: int) -> Iterator[pa.RecordBatch]:
-    """u, v of pairs (u, v, counts, size and fp of both) whose sets can reach the similarity: buckets differ by no more than sets do."""
+def _possible(batches: Iterator[pa.RecordBatch], least: float) -> Iterator[pa.RecordBatch]:
+    """u, v of pairs (u, v, counts and size of both) whose sets can reach the similarity: buckets differ by no more than sets do."""
     for b in batches:
-        c, d = (np.frombuffer(b"".join(x.as_py() for x in b.column(k)), np.uint8).reshape(-1, 256).astype(np.int16) for k in (2, 5))
-        size = b.column(3).to_numpy().astype(np.int64) + b.column(6).to_numpy()
-        m = np.abs(c - d).sum(1, dtype=np.int64) <= size * (1 - least) / (1 + least) + 1e-6
-        m &= np.bitwise_count((b.column(4).to_numpy() ^ b.column(7).to_numpy()).view(np.uint64)) <= radius
-        m = pa.array(m)
+        c, d = (np.frombuffer(b"".join(x.as_py() for x in b.column(k)), np.uint8).reshape(-1, 256).astype(np.int16) for k in (2, 4))
+        size = b.column(3).to_numpy().astype(np.int64) + b.column(5).to_numpy()
+        m = pa.array(np.abs(c - d).sum(1, dtype=np.int64) <= size * (1 - least) / (1 + least) + 1e-6)
         yield pa.RecordBatch.from_arrays([b.column(0).filter(m), b.column(1).filter(m)], names=["u", "v"])
 
 
@@ -154,19 +152,19 @@ def _alike(batches: Iterator[pa.RecordBatch], least: float) -> Iterator[pa.Recor
         yield pa.RecordBatch.from_arrays([b.column(0).filter(m), b.column(1).filter(m)], names=["u", "v"])
 
 
-def _in_pairs(rows: DataFrame, pairs: DataFrame) -> DataFrame:
-    nodes = pairs.select(F.explode(F.array("u", "v")).alias("node")).distinct()
-    return rows.join(F.broadcast(nodes) if nodes.count() <= BROADCAST_ROWS else nodes, "node", "left_semi")
+def _in_pairs(rows: DataFrame, pairs: DataFrame, sent: int) -> DataFrame:
+    nodes = written(pairs.select(F.explode(F.array("u", "v")).alias("node")).distinct(), "dedup-in")
+    return rows.join(F.broadcast(nodes) if nodes.count() <= sent else nodes, "node", "left_semi")
 
 
-def _verified(pairs: DataFrame, texts: DataFrame, least: float, radius: int) -> DataFrame:
-    """The pairs (u, v) at most radius bits apart whose shingle sets reach the similarity; only texts of nodes in a pair are read into sets, and sets move
-    for pairs only whose buckets leave it open."""
-    sets = written(_in_pairs(texts, pairs).mapInArrow(_sets, "node bigint, shingles binary, counts binary, size int, fp bigint"), "dedup-sets")
-    x, y = (sets.select(F.col("node").alias(k), "counts", "size", "fp").toDF(k, f"c{k}", f"s{k}", f"f{k}") for k in "uv")
-    both = pairs.join(x, "u").join(y, "v").select("u", "v", "cu", "su", "fu", "cv", "sv", "fv")
-    pairs = written(both.mapInArrow(lambda it: _possible(it, least, radius), "u bigint, v bigint"), "dedup-possible")
-    sets = _in_pairs(sets.select("node", "shingles"), pairs)
+def _verified(pairs: DataFrame, texts: DataFrame, least: float, sent: int) -> DataFrame:
+    """The pairs (u, v) whose shingle sets reach the similarity; only texts of nodes in a pair are read into sets, and sets move for pairs only whose buckets
+    leave it open."""
+    sets = written(_in_pairs(texts, pairs, sent).mapInArrow(_sets, "node bigint, shingles binary, counts binary, size int"), "dedup-sets")
+    x, y = (sets.select(F.col("node").alias(k), "counts", "size").toDF(k, f"c{k}", f"s{k}") for k in "uv")
+    both = pairs.join(x, "u").join(y, "v").select("u", "v", "cu", "su", "cv", "sv")
+    pairs = written(both.mapInArrow(lambda it: _possible(it, least), "u bigint, v bigint"), "dedup-possible")
+    sets = _in_pairs(sets.select("node", "shingles"), pairs, sent)
     both = pairs.join(sets.toDF("u", "x"), "u").join(sets.toDF("v", "y"), "v").select("u", "v", "x", "y")
     return both.mapInArrow(lambda it: _alike(it, least), "u bigint, v bigint")
 
@@ -192,116 +190,103 @@ def _pairs(found: list[tuple[np.ndarray, np.ndarray]]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["u", "v"])
 
 
-def _table(batches: Iterator[pa.RecordBatch]) -> list[np.ndarray]:
-    all_ = [b for b in batches if b.num_rows]
-    return [c.to_numpy() for c in pa.Table.from_batches(all_).columns] if all_ else []
-
-
-def _stars(batches: Iterator[pa.RecordBatch], least: float, limit: int, pivots: int, turn: int) -> Iterator[pa.RecordBatch]:
-    """Rows (key, node, size, pos, class) sorted by key -> pairs of a few nodes of each key (others in each turn) with its nodes of other classes. A
-    crowded key of several classes is reported by a pair of a node with itself."""
-    cols = _table(batches)
-    if not cols:
-        return
-    mixed = cols[1].view(np.uint64) * np.uint64(0x9E3779B97F4A7C15 + 2 * turn) ^ np.uint64(turn)
-    order = np.lexsort((mixed, cols[0]))
-    key, node, size, pos, comp = (c[order] for c in cols)
-    del cols, mixed, order
-    group, first, count = _groups([key])
-    several = np.minimum.reduceat(comp, first) != np.maximum.reduceat(comp, first)
-    crowded = node[first[several & (count > limit)]]
-    found, at = [(crowded, crowded)], np.flatnonzero(several[group])
-    for p in range(pivots):
-        a = at[p < count[group[at]]]
-        q = first[group[a]] + p
-        m = comp[a] != comp[q]
-        a, q = a[m], q[m]
-        m = _can(size, pos, a, q, least)
-        found.append((node[a[m]], node[q[m]]))
-    yield _pairs(found)
-    give_back()
-
-
 def _block_pairs(batches: Iterator[pa.RecordBatch], least: float) -> Iterator[pa.RecordBatch]:
     """Rows (key, i, j, side, node, size, pos, class) sorted by the first three: pairs of a block (i = j), or across two, of different classes."""
-    cols = _table(batches)
-    if not cols:
-        return
-    key, i, j, side, node, size, pos, comp = cols
-    group, _, _ = _groups([key, i, j])
-    within, found, at, lag = i == j, [], np.arange(len(key)), 1
-    while True:
-        at = at[at + lag < len(key)]
-        at = at[group[at] == group[at + lag]]
-        if not len(at):
-            break
-        m = at[(comp[at] != comp[at + lag]) & (within[at] | (side[at] != side[at + lag]))]
-        m = m[_can(size, pos, m, m + lag, least)]
-        found.append((node[m], node[m + lag]))
-        lag += 1
-    yield _pairs(found)
+    for key, i, j, side, node, size, pos, comp in whole_groups(batches, 3):
+        group, _, _ = _groups([key, i, j])
+        within, found, at, lag = i == j, [], np.arange(len(key)), 1
+        while True:
+            at = at[at + lag < len(key)]
+            at = at[group[at] == group[at + lag]]
+            if not len(at):
+                break
+            m = at[(comp[at] != comp[at + lag]) & (within[at] | (side[at] != side[at + lag]))]
+            m = m[_can(size, pos, m, m + lag, least)]
+            found.append((node[m], node[m + lag]))
+            lag += 1
+        yield _pairs(found)
     give_back()
 
 
-def _meet(rows: DataFrame, least: float, limit: int, pivots: int, turn: int) -> DataFrame:
-    e = rows.repartition(parallelism(rows.sparkSession), "key").sortWithinPartitions("key")
-    return e.mapInArrow(lambda it: _stars(it, least, limit, pivots, turn), "u bigint, v bigint")
+def _mixed_keys(rows: DataFrame, turn: int) -> DataFrame:
+    """Of each key whose nodes aren't in one class: n entries, two nodes picked by hashes of this turn. All sums are partial, so a key's rows never meet."""
+    picked = [F.xxhash64("node", F.lit(2 * turn + k)) for k in (0, 1)]
+    of = [F.min_by(c, h).alias(f"{c}{k}") for k, h in enumerate(picked) for c in ("node", "size", "pos", "class")]
+    keys = rows.groupBy("key").agg(F.count("*").alias("n"), F.min("class").alias("a"), F.max("class").alias("b"), *of)
+    return written(keys.filter("a <> b").drop("a", "b"), "dedup-keys")
+
+
+def _may(size: Column, pos: Column, other_size: Column, other_pos: Column, least: float) -> Column:
+    """_can as a Column."""
+    return F.least(size - pos, other_size - other_pos) >= F.ceil(F.lit(least / (1 + least)) * (size + other_size) - 1e-9)
+
+
+def _stars(rows: DataFrame, keys: DataFrame, least: float) -> DataFrame:
+    """Pairs of each key's picked nodes with its nodes of other classes."""
+    meets = [F.when((F.col("class") != F.col(f"class{k}")) & _may(F.col("size"), F.col("pos"), F.col(f"size{k}"), F.col(f"pos{k}"), least), F.col(f"node{k}")) for k in (0, 1)]
+    found = rows.join(keys, "key").select("node", F.explode(F.array(*meets)).alias("p")).filter("p IS NOT NULL")
+    return found.select(F.least("p", "node").alias("u"), F.greatest("p", "node").alias("v"))
 
 
-def _meet_all(rows: DataFrame, least: float, block: int) -> DataFrame:
+def _meet_all(rows: DataFrame, keys: DataFrame, least: float, block: int) -> DataFrame:
     """All pairs of different classes under each key; a key's entries are split into blocks that meet pair by pair in different tasks."""
-    keys = rows.groupBy("key").agg(F.count("*").alias("n"), F.min("class").alias("a"), F.max("class").alias("b")).filter("a <> b")
-    e = rows.join(keys.select("key", F.ceil(F.col("n") / block).cast("int").alias("blocks")), "key")
+    keys = keys.select("key", F.ceil(F.col("n") / block).cast("int").alias("blocks"), "n")
+    n = keys.agg(F.sum(F.col("n") * F.col("blocks"))).first()[0] or 0
+    e = rows.join(keys.drop("n"), "key")
     e = e.withColumn("mine", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     e = e.select("key", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), (F.col("mine") <= F.col("other")).cast("int").alias("side"), "node", "size", "pos", "class")
-    e = e.repartition(parallelism(rows.sparkSession), "key", "i", "j").sortWithinPartitions("key", "i", "j")
+    e = e.repartition(parallelism(rows.sparkSession, n), "key", "i", "j").sortWithinPartitions("key", "i", "j")
     return e.mapInArrow(lambda it: _block_pairs(it, least), "u bigint, v bigint")
 
 
-def _close(fps: DataFrame, close: int) -> DataFrame:
-    """fps: (node, fp). Links of each node to the least one of those linked over at most `close` bits."""
-    both = written(fps.join(components(fps.select(F.col("node").alias("doc_id"), "fp"), close).select("fp", "comp"), "fp").select("node", "comp"), "dedup-close")
-    return both.join(both.groupBy("comp").agg(F.min("node").alias("u")), "comp").filter("u <> node").select("u", F.col("node").alias("v"))
+def _close(fps: DataFrame, n: int, close: int) -> DataFrame:
+    """fps: (node, fp), n rows. Pairs of each node with the least one of those that links of at most `close` bits reach at first sight."""
+    distinct = written(fps.groupBy("fp").agg(F.min("node").alias("first")), "dedup-fps")
+    nodes, found = linked(distinct, n, close)
+    comps = written(merged(nodes, connected(found, settle=False)), "dedup-close")
+    both = written(fps.join(comps, "fp").select("node", "comp"), "dedup-close")
+    least = written(both.groupBy("comp").agg(F.min("node").alias("u")), "dedup-least")
+    return both.join(least, "comp").filter("u <> node").select(F.least("u", "node").alias("u"), F.greatest("u", "node").alias("v"))
 
 
-def classes(texts: DataFrame, n: int, fps: DataFrame, radius: int = 12, least: float = 0.8, rounds: int = 3, limit: int = 256, pivots: int = 2, block: int = 4096, close: int | None = 4) -> DataFrame:
-    """texts: (node, text binary, fp), n rows, each node once; fps: (node, fp). -> (node, label): every node that is joined to a lesser one, with its
+def classes(texts: DataFrame, n: int, fps: DataFrame, least: float = 0.8, rounds: int = 3, limit: int = 256, block: int = 4096, close: int = 4, sent: int = SENT) -> DataFrame:
+    """texts: (node, text binary), n rows, each node once; fps: (node, fp). -> (node, label): every node that is joined to a lesser one, with its
     group's least node."""
     spark = texts.sparkSession
+    compared = written(_close(fps, n, close).distinct(), "dedup-pairs")
+    links = written(_verified(compared, texts, least, sent), "dedup-links")
     last = spark.sparkContext.broadcast(frequent(texts, n))
-    entries = texts.mapInArrow(lambda it: _entered(it, last, least), ENTRY).repartition(parallelism(spark), "key").sortWithinPartitions("key")
+    entries = texts.mapInArrow(lambda it: _entered(it, last, least), ENTRY).repartition(text_parts(texts), "key").sortWithinPartitions("key")
     met = written(entries.mapInArrow(_shared, ENTRY), "dedup-met")
-    links = None if close is None else written(_close(fps, close), "dedup-links")
-    labels, turn, crowded, compared = None if links is None else connected(links), 0, True, None
+    turn, found = 0, True
     while True:
-        final = turn == rounds or not crowded
-        rows = met.withColumn("class", F.col("node")) if labels is None else met.join(labels, "node", "left").select("key", "node", "size", "pos", F.coalesce("label", "node").alias("class"))
-        pairs = written(_meet_all(rows, least, block) if final else _meet(rows, least, limit, pivots, turn), "dedup-near")
-        fresh = pairs.filter("u <> v").distinct()
-        fresh = written(fresh if compared is None else fresh.join(compared, ["u", "v"], "left_anti"), "dedup-pairs")
-        compared = fresh if compared is None else compared.unionByName(fresh)
-        new = written(_verified(fresh, texts, least, radius), "dedup-links")
-        links = new if links is None else links.unionByName(new)
-        labels = connected(links)
+        labels = connected(links, settle=False)
+        rows = met.join(labels, "node", "left").select("key", "node", "size", "pos", F.coalesce("label", "node").alias("class"))
+        keys = _mixed_keys(rows, turn)
+        final = turn == rounds or not found or not keys.filter(F.col("n") > limit).head(1)
+        pairs = (_meet_all(rows, keys, least, block) if final else _stars(rows, keys, least)).distinct()
+        fresh = written(pairs.join(compared, ["u", "v"], "left_anti"), "dedup-pairs")
+        new = written(_verified(fresh, texts, least, sent), "dedup-links")
+        links, compared = links.unionByName(new), compared.unionByName(fresh)
         if final:
-            return labels
-        turn, crowded = turn + 1, bool(pairs.filter("u = v").head(1))
+            return connected(links)
+        turn, found = turn + 1, bool(new.head(1))
 
 
 def unique(docs: DataFrame, **options) -> DataFrame:
     """One document of each group, every column as it was: the one with the least doc_id. Options are those of classes()."""
-    bits = options.get("radius", 12) < 64 or options.get("close", 4) is not None
     text_batches(docs.sparkSession)
-    at, names = docs.columns.index("text"), docs.columns
+    at, names, sent = docs.columns.index("text"), docs.columns, options.get("sent", SENT)
+    node, fp, row = free(docs, "_node", "_fp", "_row")
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
-    marked = docs.mapInArrow(lambda it: _marked(it, at, bits), f"{fields}, _node bigint, _fp bigint").withColumn("_row", F.monotonically_increasing_id())
+    marked = docs.mapInArrow(lambda it: _marked(it, at, [node, fp]), f"{fields}, {node} bigint, {fp} bigint").withColumn(row, F.monotonically_increasing_id())
     marked = written(marked, "dedup-marked")
-    rows = marked.select(F.col("doc_id").cast("long").alias("d"), F.col("_node").alias("node"), F.col("_row").alias("row"), F.col("_fp").alias("fp"))
+    rows = marked.select(F.col("doc_id").cast("long").alias("d"), F.col(node).alias("node"), F.col(row).alias("row"), F.col(fp).alias("fp"))
     each = written(rows.groupBy("node").agg(F.min(F.struct(F.col("d").isNull().alias("z"), "d", "row")).alias("m"), F.min("row").alias("row"), F.min("fp").alias("fp"), F.count("*").alias("copies")), "dedup-nodes")
-    spare = rows.select("node", F.col("row").alias("r")).join(each.filter("copies > 1").select("node", F.col("row").alias("one")), "node").filter("r <> one").select(F.col("r").alias("_row"))
+    spare = rows.select("node", F.col("row").alias("r")).join(each.filter("copies > 1").select("node", F.col("row").alias("one")), "node").filter("r <> one").select(F.col("r").alias("row"))
     spare = written(spare, "dedup-copies")
-    texts = marked.join(F.broadcast(spare) if spare.count() <= BROADCAST_ROWS else spare, "_row", "left_anti")
-    texts = texts.select(F.col("_node").alias("node"), F.col("text").cast("binary").alias("text"), F.col("_fp").alias("fp"))
+    texts = marked.select(F.col(node).alias("node"), F.col("text").cast("binary").alias("text"), F.col(row).alias("row"))
+    texts = texts.join(F.broadcast(spare) if spare.count() <= sent else spare, "row", "left_anti").select("node", "text")
     labels = classes(texts, each.count(), each.select("node", "fp"), **options)
     stays = each.join(labels, "node", "left").groupBy(F.coalesce("label", "node").alias("class")).agg(F.min(F.struct("m.z", "m.d", "node", "m.row")).alias("k"))
-    return marked.join(stays.select(F.col("k.row").alias("_row")), "_row", "left_semi").select(*[F.col(f"`{c}`") for c in names])
+    return marked.join(stays.select(F.col("k.row").alias(row)), row, "left_semi").select(*[F.col(f"`{c}`") for c in names])

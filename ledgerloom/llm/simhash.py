@@ -5,15 +5,17 @@ entered in that segment's table under every key of a small Hamming ball around i
 64 bits. Balls are enumerated downwards only (a differing bit is set in exactly one of the two, so clearing bits on both sides meets at the common
 bits): half the keys, same pairs.
 
-Equal fingerprints are one node from the start, so groups of copies cost nothing here. Keys are worked off a partition at a time in numpy, and a
-partition emits a spanning forest of the links it verified, never all pairs of a group: first under the segments as they are, then, between different
+Equal fingerprints are one node from the start, so groups of copies cost nothing here. Keys are worked off in numpy, some at a time, and a
+task emits a spanning forest of the links it verified, never all pairs of a group: first under the segments as they are, then, between different
 components only, under the balls. A key under which more than `block` fingerprints meet is split into blocks that meet pair by pair in different
-tasks. Links are joined by alternating large-star and small-star rounds over written tables; nothing but counts reaches the driver.
+tasks. Links are joined by `components` over written tables; nothing but counts reaches the driver. Joins on a component or a fingerprint are between
+plain exchanges, so adaptive execution splits the rows of a large one.
 
 Segments follow the number of distinct fingerprints n: about 64 / log2(n) of them, at least two, so that a table has about as many keys as entries.
 
 Edge cases: a null text is empty; a text without words has fingerprint zero and is linked like any other; null doc_ids are kept and get the component
-of their fingerprint; repeated rows are separate rows; an empty table gives no rows; other columns are ignored.
+of their fingerprint; repeated rows are separate rows; texts of any length are read whole, bytes that aren't UTF-8 as they are; a bit set in exactly half
+the shingles is zero; an empty table gives no rows; other columns, whatever their names, are ignored.
 """
 
 from __future__ import annotations
@@ -27,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import give_back, parallelism, text_batches, written
+from .common import give_back, parallelism, text_batches, whole_groups, written
 from .components import connected
 from .encoding import slices
 
@@ -115,12 +117,13 @@ def _find(parent: list, x: int) -> int:
 
 def _links(batches: Iterator[pa.RecordBatch], radius: int) -> Iterator[pa.RecordBatch]:
     """From rows (seg, key, i, j, side, fp, comp) sorted by the first four: verified links between different components, as a
-    forest over comp."""
-    all_ = [b for b in batches if b.num_rows]
-    if not all_:
-        return
-    t = pa.Table.from_batches(all_)
-    cols = [t.column(i).to_numpy() for i in range(7)]
+    forest over comp for each batch of keys."""
+    for cols in whole_groups(batches, 4):
+        yield _forest(cols, radius)
+    give_back()
+
+
+def _forest(cols: list[np.ndarray], radius: int) -> pa.RecordBatch:
     side, fp, comp = cols[4], cols[5].view(np.uint64), cols[6]
     change = np.zeros(len(fp), bool)
     for c in cols[:4]:
@@ -157,12 +160,11 @@ def _links(batches: Iterator[pa.RecordBatch], radius: int) -> Iterator[pa.Record
                 parent, label = p.tolist(), p
         lag += 1
     pairs = sorted(set(zip(us, vs)))
-    yield pa.RecordBatch.from_arrays([pa.array([int(p[0]) for p in pairs], pa.int64()), pa.array([int(p[1]) for p in pairs], pa.int64())], names=["u", "v"])
-    give_back()
+    return pa.RecordBatch.from_arrays([pa.array([int(p[0]) for p in pairs], pa.int64()), pa.array([int(p[1]) for p in pairs], pa.int64())], names=["u", "v"])
 
 
-def links(nodes: DataFrame, segments: list, radius: int, balls: bool, block: int) -> DataFrame:
-    """nodes (fp, comp) -> links (u, v) between components that hold fingerprints at most radius bits apart under a common key."""
+def links(nodes: DataFrame, segments: list, n: int, radius: int, balls: bool, block: int) -> DataFrame:
+    """n nodes (fp, comp) -> links (u, v) between components that hold fingerprints at most radius bits apart under a common key."""
     e = nodes.select("fp", "comp").mapInArrow(lambda it: _entries(it, segments, balls), "seg int, key bigint, fp bigint, comp bigint")
     hot = e.groupBy("seg", "key").agg(F.count("*").alias("n"), F.min("comp").alias("a"), F.max("comp").alias("b")).filter("n > 1 AND a <> b")
     hot = hot.select("seg", "key", F.ceil(F.col("n") / block).cast("int").alias("blocks"))
@@ -170,22 +172,30 @@ def links(nodes: DataFrame, segments: list, radius: int, balls: bool, block: int
     mine = F.pmod(F.xxhash64("fp"), F.col("blocks")).cast("int")
     e = e.withColumn("mine", mine).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     e = e.select("seg", "key", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), (F.col("mine") <= F.col("other")).cast("int").alias("side"), "fp", "comp")
-    e = e.repartition(parallelism(nodes.sparkSession), "seg", "key", "i", "j").sortWithinPartitions("seg", "key", "i", "j", "fp")
+    entries = n * sum(1 + balls * len(_masks(w, r)) for _, w, r in segments)
+    e = e.repartition(parallelism(nodes.sparkSession, entries), "seg", "key", "i", "j").sortWithinPartitions("seg", "key", "i", "j", "fp")
     return e.mapInArrow(lambda it: _links(it, radius), "u bigint, v bigint")
 
 
+def linked(distinct: DataFrame, n: int, radius: int = 4, block: int = 4096) -> tuple[DataFrame, DataFrame]:
+    """From n rows (fp): (nodes, links). nodes: (fp, comp), comp a fingerprint reachable over links under unchanged segments; links (u, v) between those: what
+    is reachable over links of at most radius bits is what nodes and links connect."""
+    segments = plan(n, radius)
+    nodes = distinct.select("fp", F.col("fp").alias("comp"))
+    own = written(links(nodes, segments, n, radius, False, block), "simhash-links")
+    first = connected(own, settle=False)
+    nodes = written(merged(nodes, first), "simhash-own")
+    more = links(nodes, segments, n, radius, True, block)
+    return nodes, own.unionByName(more).unionByName(first.select(F.col("node").alias("u"), F.col("label").alias("v")))
+
+
 def components(fps: DataFrame, radius: int = 4, block: int = 4096) -> DataFrame:
     """From (doc_id, fp): (fp, comp, component_id, first_doc, n_docs): every distinct fingerprint with its component's least fingerprint and the smallest
     doc_id reachable over links of at most radius bits."""
     distinct = written(fps.groupBy("fp").agg(F.min("doc_id").alias("first_doc"), F.count("*").alias("n_docs")), "simhash-nodes")
-    segments = plan(distinct.count(), radius)
-    nodes = distinct.select("fp", F.col("fp").alias("comp"))
-    first = connected(links(nodes, segments, radius, False, block))
-    nodes = written(merged(nodes, first), "simhash-own")
-    second = connected(links(nodes, segments, radius, True, block))
-    nodes = merged(nodes, second)
-    both = distinct.join(nodes, "fp")
-    least = both.groupBy("comp").agg(F.min("first_doc").alias("component_id"))
+    nodes, found = linked(distinct, distinct.count(), radius, block)
+    both = written(distinct.join(merged(nodes, connected(found)), "fp"), "simhash-components")
+    least = written(both.groupBy("comp").agg(F.min("first_doc").alias("component_id")), "simhash-least")
     return both.join(least, "comp").select("fp", "comp", "component_id", "first_doc", "n_docs")
 
 

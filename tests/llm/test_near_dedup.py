@@ -1,8 +1,11 @@
 """Near-dedup against all pairs in plain Python."""
 
 import numpy as np
+import pyarrow as pa
+import pytest
 
 from ledgerloom.llm import near_dedup
+from ledgerloom.llm.common import whole_groups
 from tests.llm.test_pipeline import sets, similarity
 from tests.llm.test_searches import plain_fingerprint
 
@@ -25,9 +28,9 @@ def families(seed, sizes, words, edits):
     return [(int(i), docs[k]) for i, k in enumerate(rng.permutation(len(docs)))]
 
 
-def plain_kept(docs, radius=12, close=4):
-    """The least id of each component of: at most `close` bits apart, or alike at 0.8 and at most radius bits apart."""
-    info = [(sets(t), plain_fingerprint(t, 5)) for _, t in docs]
+def plain_kept(docs):
+    """The least id of each component of pairs at 0.8."""
+    info = [sets(t) for _, t in docs]
     comp = list(range(len(docs)))
 
     def root(x):
@@ -35,13 +38,14 @@ def plain_kept(docs, radius=12, close=4):
             x = comp[x]
         return x
 
-    for i, (x, f) in enumerate(info):
-        for j, (y, g) in enumerate(info[:i]):
-            bits = (f ^ g).bit_count()
-            if close is not None and bits <= close or bits <= radius and similarity(x, y) >= 0.8:
-                a, b = sorted((root(i), root(j)))
-                comp[b] = a
-    return {docs[root(i)][0] for i in range(len(docs))}
+    for i, x in enumerate(info):
+        for j, y in enumerate(info[:i]):
+            if similarity(x, y) >= 0.8:
+                comp[root(i)] = root(j)
+    least = {}
+    for i, (d, _) in enumerate(docs):
+        least[root(i)] = min(d, least.get(root(i), d))
+    return set(least.values())
 
 
 def kept(spark, docs, **options):
@@ -50,9 +54,9 @@ def kept(spark, docs, **options):
 
 
 def test_crowded_keys_lose_no_pair(spark):
-    docs = families(1, [60, 60, 40], 200, 12)
+    docs = families(1, [40, 40, 30], 200, 12)
     expected = plain_kept(docs)
-    for options in ({"limit": 4}, {"limit": 4, "rounds": 1, "block": 8}, {"limit": 4, "rounds": 0, "block": 8}):
+    for options in ({"limit": 4, "rounds": 1, "block": 8}, {"limit": 4, "rounds": 0, "block": 8}):
         assert kept(spark, docs, **options) == expected
 
 
@@ -73,8 +77,8 @@ def tails(seed, n, words, share):
 
 def test_all_pairs_at_any_bits(spark):
     docs = tails(3, 120, 60, 0.8) + [(i + 1000, t) for i, t in tails(4, 40, 300, 0.8)]
-    got = kept(spark, docs, radius=64)
-    assert got == plain_kept(docs, 64)
+    got = kept(spark, docs)
+    assert got == plain_kept(docs)
     assert len(got) == len(docs) // 2
 
 
@@ -84,6 +88,68 @@ def boilerplate():
     return [(i, " ".join([line] * 20 + [word(rng) for _ in range(60)])) for i in range(12)]
 
 
-def test_compared_texts_alone_are_joined(spark):
+def test_alike_fingerprints_alone_join_nothing(spark):
     docs = boilerplate() + [(100, boilerplate()[0][1]), (101, None), (102, "")]
-    assert kept(spark, docs, radius=64, close=None) == plain_kept(docs, 64, None) == {*range(12), 101}
+    assert len({plain_fingerprint(t, 5) for _, t in boilerplate()}) < 12
+    assert kept(spark, docs) == kept(spark, docs, close=0) == plain_kept(docs) == {*range(12), 101}
+
+
+@pytest.mark.parametrize("sent", [0, 10**6])
+def test_chains_join(spark, sent):
+    """Each text is near its neighbour only; ids run against the chain."""
+    rng = RNG(9)
+    w, docs = [word(rng) for _ in range(200)], []
+    for i in range(40):
+        w = [*w[8:], *(word(rng) for _ in range(8))]
+        docs.append((100 - i, " ".join(w)))
+    docs += [(500, "alone and apart from all of them")]
+    assert kept(spark, docs, sent=sent, limit=3) == plain_kept(docs) == {61, 500}
+
+
+def clusters_by_counting(docs):
+    """Least ids by all pairs with a common shingle, counted over postings: every pair at 0.8 is among them."""
+    number, postings, rows = {}, [], []
+    for i, (_, t) in enumerate(docs):
+        row = sorted(number.setdefault(s, len(number)) for s in sets(t))
+        for k in row:
+            if k == len(postings):
+                postings.append([])
+            postings[k].append(i)
+        rows.append(row)
+    postings, size, comp = [np.array(p) for p in postings], np.array([len(r) for r in rows]), list(range(len(docs)))
+    pairs = 0
+    for i, row in enumerate(rows):
+        if not row:
+            alike = [j for j in range(i) if not rows[j]]
+        else:
+            n = np.bincount(np.concatenate([postings[k] for k in row]), minlength=len(rows))
+            alike = np.flatnonzero(n[:i] >= 0.8 * (size[:i] + size[i] - n[:i])).tolist()
+        for j in alike:
+            pairs += rows[i] != rows[j]
+            a, b = i, j
+            while comp[a] != a:
+                a = comp[a]
+            while comp[b] != b:
+                b = comp[b]
+            comp[max(a, b)] = min(a, b)
+    roots = [i for i in range(len(docs)) if comp[i] == i]
+    return {docs[i][0] for i in roots}, pairs
+
+
+def test_recall_on_the_large_table(spark):
+    docs = sorted((r.doc_id, r.text) for r in spark.read.parquet("/root/testdata/sf0.1/documents.parquet").select("doc_id", "text").collect())
+    want, pairs = clusters_by_counting(docs)
+    assert pairs > 40
+    assert {r.doc_id for r in near_dedup.unique(spark.read.parquet("/root/testdata/sf0.1/documents.parquet")).select("doc_id").collect()} == want
+
+
+def test_shared_entries_in_any_batches():
+    rng = RNG(1)
+    for _ in range(200):
+        key = np.sort(rng.integers(0, 6, rng.integers(0, 12)))
+        cuts = np.sort(rng.integers(0, len(key) + 1, 3))
+        parts = [pa.RecordBatch.from_arrays([pa.array(p), pa.array(p * 10)], names=["key", "node"]) for p in np.split(key, cuts)]
+        got = [k for b in near_dedup._shared(iter(parts)) for k in b.column(0).to_pylist()]
+        assert sorted(got) == [k for k in key.tolist() if (key == k).sum() > 1]
+        whole = [g[0].tolist() for g in whole_groups(iter(parts), 1)]
+        assert sum(whole, []) == key.tolist() and all(not set(a) & set(b) for a, b in zip(whole, whole[1:]))

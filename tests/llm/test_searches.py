@@ -13,8 +13,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
-from ledgerloom.llm import secrets, simhash, token_orc, wu_manber
-from ledgerloom.llm.components import connected
+from ledgerloom.llm import components, secrets, simhash, token_orc, wu_manber
 from ledgerloom.llm.encoding import WordEncoder
 from tests.llm.conftest import SCHEMA
 
@@ -184,17 +183,22 @@ def test_components_of_crowded_fingerprints(spark, block):
     assert got == {i: root(i) for i in range(len(fps))}
 
 
-@pytest.mark.parametrize("small", [0, 1_000_000])
-def test_connected(spark, small):
+@pytest.mark.parametrize("at_once, parts", [(1_000_000, 1), (1_000_000, 3), (10, 2), (4, 40)])
+def test_connected(spark, at_once, parts, monkeypatch):
+    monkeypatch.setattr(components, "AT_ONCE", at_once)
     rng = np.random.default_rng(8)
-    pairs = [(int(a), int(b)) for a, b in rng.integers(0, 150, (90, 2))] + [(200 + i, 201 + i) for i in range(40)] + [(-5, 3)]
+    pairs = [(int(a), int(b)) for a, b in rng.integers(0, 150, (90, 2))] + [(200 + i, 201 + i) for i in range(40)] + [(-5, 3)] + [(900, 1000 + i) for i in range(300)] + [(899, 1100)]
+    pairs = [pairs[i] for i in rng.permutation(len(pairs))]
     root = {x: x for p in pairs for x in p}
     for _ in root:
         for a, b in pairs:
             root[a] = root[b] = min(root[a], root[b])
-    df = spark.createDataFrame(pairs, "u long, v long").repartition(3)
-    assert {r.node: r.label for r in connected(df, small_links=small).collect()} == {x: r for x, r in root.items() if x != r}
-    assert connected(df.limit(0), small_links=small).count() == 0
+    df = spark.createDataFrame(pairs, "u long, v long").repartition(parts)
+    got = [(r.node, r.label) for r in components.connected(df).collect()]
+    assert len(got) == len(dict(got)) and dict(got) == {x: r for x, r in root.items() if x != r}
+    assert components.connected(df.limit(0)).count() == 0
+    early = [(r.node, r.label) for r in components.connected(df, settle=False).collect()]
+    assert len(early) == len(dict(early)) and all(a > b and root[a] == root[b] for a, b in early)
 
 
 def test_segment_plans_miss_no_pair():
