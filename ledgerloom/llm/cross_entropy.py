@@ -7,11 +7,14 @@ minus background loss: the lower, the more it is like the target.
 Counts cover every token of every document and nothing is pruned. Documents are encoded once, in chunks of a bounded number of tokens; each chunk says
 which bigrams it has and how often. The sums over chunks are the counts (a row for each bigram, never broadcast); the losses of a chunk's bigrams come
 back to it by a join on bigrams and meet its documents by chunk. Only tables of the vocabulary's size are broadcast. No key holds more than a row for
-each chunk.
+each chunk (2 million tokens), and the join is one of two plain exchanges, so adaptive execution splits a frequent bigram's rows.
+
+Target ids reach the texts in one of two ways with the same rows: as plain numbers sent to every task, up to BROADCAST_IDS (64 MB), so texts don't move; beyond
+that by a join that deals the texts by doc_id, as numbers without a bound can't be sent and moving texts always would double the disk. Tests run both.
 
 Edge cases: a null text is empty; a document without tokens has n_tokens 0 and null entropies and score; null doc_ids are kept and are background;
-repeated documents count as often as they occur, repeated labels once; without labels the target model is uniform; an empty table gives no rows; other
-columns are ignored.
+repeated documents count as often as they occur, repeated labels once; without labels the target model is uniform; texts of any length are read whole, bytes
+that aren't UTF-8 count as U+FFFD; equal texts have equal scores; an empty table gives no rows; other columns, whatever their names, are ignored.
 """
 
 from __future__ import annotations
@@ -25,7 +28,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import give_back, text_batches, written
+from .common import give_back, own_text, text_batches, written
 from .encoding import array_slices, encoder, vocabulary_path
 
 #: Target ids up to which they are broadcast (8 bytes each).
@@ -109,7 +112,7 @@ def scores(docs: DataFrame, target_ids: DataFrame, vocabulary: str | None = None
     file = vocabulary or vocabulary_path()
     size = encoder(file).tokenizer.get_vocab_size()
     goal = target_ids.select(F.col("doc_id").cast("long").alias("_id")).filter("_id IS NOT NULL").distinct().withColumn("_t", F.lit(True))
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").cast("binary").alias("text"))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), own_text().cast("binary").alias("text"))
     # Flags reach the texts without moving them while the ids are few enough to send along as plain numbers; beyond that both sides are dealt by doc_id.
     handle = None
     if goal.count() <= BROADCAST_IDS:

@@ -11,11 +11,14 @@ gets a slot or two less than its budget needs, slots are appended; where it gets
 The sources' totals are on the driver: a row for each source (at most `max_sources`) and partition.
 
 Edge cases: a null text has no words; a null source is a source of its own, last in order; documents without words and null doc_ids are kept with taken
-0 or their own share; rows that repeat a doc_id count one by one; an empty table gives no rows; other columns are ignored.
+0 or their own share; rows that repeat a doc_id count one by one; a very long text is many blocks' words, taken by blocks; ties in source and doc_id go by
+size and text hash; an empty table gives no rows; other columns, whatever their names, are ignored by mix() and kept by mixed_documents(), whose rows come in
+no order: the manifest has the slots, and a reader that sorts by doc_id (as token files do) keeps the mix's amounts, not its order.
 """
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 from functools import reduce
 
@@ -24,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import ranged, running_sums, small_table, text_batches, word_count
+from .common import WORD, free, ranged, running_sums, small_table, text_batches, text_bytes, word_count
 
 #: The schedule's points: multiplier and modulus.
 MODULUS = 2**31 - 1
@@ -207,18 +210,29 @@ def op2(spark: SparkSession, docs: DataFrame) -> DataFrame:
     return out.select("doc_id", "source", "size", "source_size", "target", F.when(F.col("size") > 0, F.coalesce("taken", F.lit(0))).otherwise(0).cast("long").alias("taken"))
 
 
+def cut(text: bytes, spans: list[tuple[int, int]]) -> bytes:
+    """The text from the first to the last word of each span of words, as it stands; a line end between distant spans."""
+    words = [m.span() for m in re.finditer(WORD.encode(), text)]
+    joined: list[list[int]] = []
+    for a, b in sorted(spans):
+        if joined and a <= joined[-1][1]:
+            joined[-1][1] = max(b, joined[-1][1])
+        else:
+            joined.append([a, b])
+    return b"\n".join(text[words[a][0] : words[b - 1][1]] for a, b in joined)
+
+
 def _cut(batches: Iterator[pa.RecordBatch], at: int) -> Iterator[pa.RecordBatch]:
-    """Rows with _spans (word ranges) last: the text cut to them, whole texts as they are."""
+    """Rows with spans (word ranges) and words next to last and last: the text cut to the spans, whole texts as they are."""
     for b in batches:
         texts = []
-        for text, spans, size in zip(b.column(at).to_pylist(), b.column(b.num_columns - 2).to_pylist(), b.column(b.num_columns - 1).to_pylist()):
+        for text, spans, size in zip(text_bytes(b.column(at)), b.column(b.num_columns - 2).to_pylist(), b.column(b.num_columns - 1).to_pylist()):
             if text is None or not spans or sum(s["to_word"] - s["from_word"] for s in spans) == size:
                 texts.append(text)
-                continue
-            words = text.encode("utf-8", "surrogatepass").split()
-            texts.append(b" ".join(w for s in sorted(spans, key=lambda s: s["from_word"]) for w in words[s["from_word"] : s["to_word"]]).decode("utf-8", "replace"))
+            else:
+                texts.append(cut(text, [(s["from_word"], s["to_word"]) for s in spans]))
         cols = [*b.columns[:-2]]
-        cols[at] = pa.array(texts, pa.string())
+        cols[at] = pa.array(texts, pa.binary()).view(pa.string())
         yield pa.RecordBatch.from_arrays(cols, names=b.schema.names[:-2])
 
 
@@ -232,8 +246,9 @@ def mixed_documents(docs: DataFrame, **options) -> DataFrame:
     taken = documents.join(spans, (F.col("source_no") == F.col("_n")) & (F.col("start") == F.col("_s")) & (F.col("size") > 0), "left")
     some = taken.filter("size > 0 AND epoch IS NOT NULL").select("key", "_spans", "size")
     none = taken.filter("size = 0").select("key", F.lit(None).cast("array<struct<from_word:bigint,to_word:bigint>>").alias("_spans"), "size").dropDuplicates(["key"])
-    taken = some.unionByName(none).select(F.col("key").alias("_key"), "_spans", F.col("size").alias("_size"))
     names = docs.columns
-    one = docs.withColumn("_key", _key()).dropDuplicates(["_key"])
-    out = one.join(taken, "_key").select(*[F.col(f"`{x}`") for x in names], "_spans", "_size")
+    key, at, n = free(docs, "_key", "_spans", "_size")
+    taken = some.unionByName(none).select(F.col("key").alias(key), F.col("_spans").alias(at), F.col("size").alias(n))
+    one = docs.withColumn(key, _key()).dropDuplicates([key])
+    out = one.join(taken, key).select(*[F.col(f"`{x}`") for x in names], at, n)
     return out.mapInArrow(lambda it: _cut(it, names.index("text")), docs.schema)

@@ -11,7 +11,7 @@ compared by shingles; two ways lead to candidates:
    reach 0.8 by their sizes and the shingle's places, are candidates.
 
 Under each key two nodes, chosen anew in every turn, are compared with the others first (stars), so what SimHash left of a large group collapses as well;
-while keys with more than `limit` entries hold several classes and turns find links, up to `rounds` times. Then all pairs under every key whose nodes aren't
+as long as a turn halves the entries under keys that have more than `limit` and hold several classes, up to `rounds` times. Then all pairs under every key whose nodes aren't
 in one class yet are compared, in blocks: every member is entered, so none is skipped for another. Only pairs of different classes are emitted.
 
 Texts of candidates are picked by their nodes: up to `sent` nodes (8 bytes each) are sent to the texts, so these don't move; more nodes than that are joined with
@@ -153,8 +153,8 @@ def _alike(batches: Iterator[pa.RecordBatch], least: float) -> Iterator[pa.Recor
 
 
 def _in_pairs(rows: DataFrame, pairs: DataFrame, sent: int) -> DataFrame:
-    nodes = written(pairs.select(F.explode(F.array("u", "v")).alias("node")).distinct(), "dedup-in")
-    return rows.join(F.broadcast(nodes) if nodes.count() <= sent else nodes, "node", "left_semi")
+    nodes = pairs.select(F.explode(F.array("u", "v")).alias("node")).distinct()
+    return rows.join(F.broadcast(nodes) if 2 * pairs.count() <= sent or nodes.count() <= sent else nodes, "node", "left_semi")
 
 
 def _verified(pairs: DataFrame, texts: DataFrame, least: float, sent: int) -> DataFrame:
@@ -258,19 +258,20 @@ def classes(texts: DataFrame, n: int, fps: DataFrame, least: float = 0.8, rounds
     last = spark.sparkContext.broadcast(frequent(texts, n))
     entries = texts.mapInArrow(lambda it: _entered(it, last, least), ENTRY).repartition(text_parts(texts), "key").sortWithinPartitions("key")
     met = written(entries.mapInArrow(_shared, ENTRY), "dedup-met")
-    turn, found = 0, True
+    turn, before = 0, math.inf
     while True:
         labels = connected(links, settle=False)
         rows = met.join(labels, "node", "left").select("key", "node", "size", "pos", F.coalesce("label", "node").alias("class"))
         keys = _mixed_keys(rows, turn)
-        final = turn == rounds or not found or not keys.filter(F.col("n") > limit).head(1)
+        crowd = keys.filter(F.col("n") > limit).agg(F.sum("n")).first()[0] or 0
+        final = turn == rounds or not crowd or crowd > before / 2
         pairs = (_meet_all(rows, keys, least, block) if final else _stars(rows, keys, least)).distinct()
         fresh = written(pairs.join(compared, ["u", "v"], "left_anti"), "dedup-pairs")
         new = written(_verified(fresh, texts, least, sent), "dedup-links")
         links, compared = links.unionByName(new), compared.unionByName(fresh)
         if final:
             return connected(links)
-        turn, found = turn + 1, bool(new.head(1))
+        turn, before = turn + 1, crowd
 
 
 def unique(docs: DataFrame, **options) -> DataFrame:

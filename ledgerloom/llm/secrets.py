@@ -6,7 +6,8 @@ propagate, through any number of steps and concatenations), and each literal is
 looks like. Literals that score at least `threshold` are spans of kind "literal"; spans of the three base kinds always stay.
 
 Edge cases: a null text is empty and has no spans; null doc_ids are kept; repeated rows are separate rows; texts of any length are read whole in linear
-time; an empty table gives no rows; other columns are ignored. Positions are code points, ends exclusive; a base span is its whole match.
+time, names of any length count; bytes that aren't UTF-8 count as U+FFFD; a literal that several names reach has its best score, spans at one place come in
+the kinds' order; constants don't pass between documents; an empty table gives no rows; other columns, whatever their names, are ignored. Positions are code points, ends exclusive; a base span is its whole match.
 """
 
 from __future__ import annotations
@@ -21,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import text_batches
+from .common import own_text, text_batches
 
 KINDS = ("assign", "access", "hex", "literal")
 #: Fixed by the contract.
@@ -37,7 +38,7 @@ SENSITIVE = {
 #: Values that stand for a secret without being one.
 PLACEHOLDERS = {"changeme", "example", "password", "secret", "none", "null", "true", "false", "todo", "xxxxxxxx", "your_password", "placeholder", "undefined", "redacted"}
 PAIR = re.compile(
-    r"""(?P<name>(?<![\w$-])(?:--)?[A-Za-z_$][\w$.-]*+|"[\w$. -]{1,128}"|'[\w$. -]{1,128}')(?P<close>\]?)[ \t]*+(?::[ \t]*+[A-Za-z_][\w.]*+[ \t]*+(?==[^=>]))?(?P<op>:=|=>|=(?!=)|:(?!:))[ \t]*+(?=\S)"""
+    r"""(?P<name>(?<![\w$-])(?:--)?[A-Za-z_$][\w$.-]*+|"[\w$. -]++"|'[\w$. -]++')(?P<close>\]?)[ \t]*+(?::[ \t]*+[A-Za-z_][\w.]*+[ \t]*+(?==[^=>]))?(?P<op>:=|=>|=(?!=)|:(?!:))[ \t]*+(?=\S)"""
 )
 TERM = re.compile(r'''(?P<q>"""|\'\'\'|"|'|`)|(?P<name>[A-Za-z_$][\w$.]*+)(?P<more>[^\s"'`,;+(){}\[\]<>|&=]*+=*+)|(?P<bare>[^\s"'`,;(){}\[\]<>|&=]++=*+)''')
 JOIN = re.compile(r"[ \t]*+(?:\+|\.(?=[ \t\"'`])|\\\n)[ \t]*+")
@@ -160,7 +161,7 @@ def _scan(batches: Iterator[pa.RecordBatch], threshold: float) -> Iterator[pa.Re
 def find(docs: DataFrame, threshold: float = 0.6) -> DataFrame:
     """doc_id, found: array of (kind, start, end, score), one row for each document."""
     text_batches(docs.sparkSession)
-    narrow = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    narrow = docs.select(F.col("doc_id").cast("long").alias("doc_id"), own_text().alias("text"))
     return narrow.mapInArrow(lambda it: _scan(it, threshold), "doc_id bigint, found array<struct<kind:string,start:bigint,end:bigint,score:double>>")
 
 

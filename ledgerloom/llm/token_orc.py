@@ -5,7 +5,8 @@ entries each `row_index_stride` rows, Bloom filters on doc_id. Files hold consec
 statistics, and reads stripes in parallel. No text moves but in that one exchange.
 
 Edge cases: a null text is empty and yields the end id alone; null doc_ids come first; rows that repeat a doc_id are ordered by their text's hash,
-equal rows are interchangeable; an empty table yields files without rows; other columns are ignored.
+equal rows are interchangeable; bytes that aren't UTF-8 count as U+FFFD; a text of any length is one row; an empty table yields files without rows; other
+columns, whatever their names, are ignored.
 """
 
 from __future__ import annotations
@@ -19,7 +20,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import give_back, parallelism, scratch, small_table, text_batches
+from .common import give_back, own_text, scratch, small_table, text_batches, text_parts
 from .encoding import array_slices, encoder, vocabulary_path
 
 FILE_SCHEMA = "doc_id bigint, part int, part_start bigint, n_tokens bigint, ids array<int>"
@@ -44,9 +45,9 @@ def write_tokens(docs: DataFrame, path: str, vocabulary: str | None = None, end_
     """Writes the ids of every document in ascending doc_id order under path; returns path."""
     text_batches(docs.sparkSession)
     file = vocabulary or vocabulary_path()
-    narrow = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").cast("binary").alias("text"))
+    narrow = docs.select(F.col("doc_id").cast("long").alias("doc_id"), own_text().cast("binary").alias("text"))
     order = [F.asc_nulls_first("doc_id"), F.xxhash64("text")]
-    dealt = narrow.repartitionByRange(partitions or parallelism(docs.sparkSession), *order).sortWithinPartitions(*order)
+    dealt = narrow.repartitionByRange(partitions or text_parts(narrow), *order).sortWithinPartitions(*order)
     tokens = dealt.mapInArrow(lambda it: _encode(it, file, end_id), FILE_SCHEMA)
     (
         tokens.write.option("orc.bloom.filter.columns", "doc_id").option("orc.bloom.filter.fpp", "0.01").option("orc.create.index", "true")

@@ -10,9 +10,9 @@ a category are kept. Scoring
 covers every document in one map without a shuffle; only the fitted weights are broadcast. A document is toxic from the probability that served best
 (F1) out of fold.
 
-Edge cases: a null text is empty; labels with nulls are not used for what they don't say, repeated labels of a document count once (toxic if any says
-so); without labels of both kinds a category has its constant rate, and nothing is rejected; null doc_ids and repeated rows are scored like any other;
-an empty table gives no rows; other columns are kept by clean() and ignored by score().
+Edge cases: a null text is empty, texts of any length are read whole, bytes that aren't UTF-8 count as U+FFFD; labels with nulls are not used, repeated labels of
+a document count once (toxic if any says so), of rows that repeat a labelled doc_id one is fitted; equal texts have equal probabilities; without labels of both kinds a category has its constant rate, and nothing is rejected; null doc_ids and repeated rows are scored like any other;
+an empty table gives no rows; other columns, whatever their names, are kept by clean() and ignored by score().
 """
 
 from __future__ import annotations
@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import give_back, text_batches
+from .common import give_back, own_text, text_batches, text_bytes, written
 
 #: ASCII letters and digits and all bytes of other code points make words.
 TO_WORDS = bytes(c if 0x30 <= c <= 0x39 or 0x61 <= c <= 0x7A or c >= 0x80 else 0x20 for c in range(256))
@@ -247,8 +247,10 @@ def train_chain(docs: DataFrame, labels: DataFrame, max_rows: int = 20_000, max_
     sample = labels.filter("doc_id IS NOT NULL AND quality IS NOT NULL AND toxic IS NOT NULL").groupBy(F.col("doc_id").cast("long").alias("_id"))
     sample = sample.agg((1 - F.min("quality")).cast("int").alias("low_quality"), F.max("toxic").cast("int").alias("toxic")).withColumn("toxic_low_quality", F.col("low_quality") * F.col("toxic"))
     sample = sample.orderBy(F.xxhash64("_id"), "_id").limit(max_rows)
-    text = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    text = docs.select(F.col("doc_id").cast("long").alias("doc_id"), own_text().alias("text"))
     rows = text.join(F.broadcast(sample), F.col("doc_id") == F.col("_id")).select("doc_id", "text", *CATEGORIES)
+    # One row for each labelled doc_id, so the sample's bound holds; written, so documents are read once.
+    rows = written(rows.groupBy("doc_id", *CATEGORIES).agg(F.min_by("text", F.xxhash64("text")).alias("text")).select("doc_id", "text", *CATEGORIES), "toxicity-sample")
     counts = rows.mapInArrow(_evidence, "feature bigint, n bigint, " + ", ".join(f"{c} bigint" for c in CATEGORIES)).groupBy("feature").agg(*[F.sum(c).alias(c) for c in ("n", *CATEGORIES)])
     total = sample.agg(F.count("*").alias("n"), *[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in CATEGORIES]).first()
     if not total.n:
@@ -297,7 +299,7 @@ def score(docs: DataFrame, chain: Chain) -> DataFrame:
         del of
         give_back()
 
-    narrow = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    narrow = docs.select(F.col("doc_id").cast("long").alias("doc_id"), own_text().alias("text"))
     return narrow.mapInArrow(run, "doc_id bigint, " + ", ".join(f"p_{c} double" for c in CATEGORIES) + ", toxic boolean")
 
 
@@ -311,7 +313,8 @@ def clean(docs: DataFrame, chain: Chain) -> DataFrame:
         c = handle.value
         of = _indexer(c.columns)
         for b in batches:
-            yield b.filter(pa.array(_predict(c, b.column(at).to_pylist(), of)[:, toxic] < c.threshold))
+            texts = [t if t is None else t.decode("utf-8", "replace") for t in text_bytes(b.column(at))]
+            yield b.filter(pa.array(_predict(c, texts, of)[:, toxic] < c.threshold))
         del of
         give_back()
 

@@ -7,7 +7,8 @@ of their own blocks beside the response's. Identifiers are name-based, so reruns
 write() emits WARC/1.1 files through Spark's own text writer (records end in CRLF CRLF), so any path Spark can write will do; read() parses them.
 
 Edge cases: a null page_id or URL is kept (null, or an empty header); null HTML is an empty payload; repeated pages give equal records; unclosed tags,
-comments and scripts end with the text; an empty table gives no rows; other columns are ignored.
+comments and scripts end with the text; a head without its end ends with the first element that can't stand in it; pages of any length are read whole; an
+empty table gives no rows; other columns, whatever their names, are ignored. Records that are cut off or lack a length are read as far as they go, and marked.
 """
 
 from __future__ import annotations
@@ -17,6 +18,7 @@ import hashlib
 import html
 import re
 import uuid
+import zlib
 from collections.abc import Iterator
 from urllib.parse import urljoin
 
@@ -34,6 +36,8 @@ TOKEN = re.compile(
 ATTR = re.compile(r"""([a-z-]+)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 #: Elements that end a line.
 BLOCK = set("address article aside blockquote br center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr li main nav ol option p pre section summary table tbody td tfoot th thead title tr ul".split())
+#: Elements that can stand in a head; any other one ends it.
+HEAD = {"head", "title", "meta", "link", "base", "html"}
 #: Elements with links, and the attribute that has them.
 LINKS = {"a": "href", "area": "href", "link": "href", "img": "src", "iframe": "src", "source": "src", "form": "action"}
 
@@ -65,6 +69,8 @@ def parse(page: str, base: str) -> dict:
                 in_title = m.end()
         if tag in ("head", "body"):
             in_head = tag == "head" and not m["end"]
+        elif tag not in HEAD and not m["end"]:
+            in_head = False
         if not m["end"]:
             if tag == "html" or tag in LINKS:
                 attrs = {a.lower(): html.unescape(x or y or z) for a, x, y, z in ATTR.findall(m["attrs"])}
@@ -160,33 +166,51 @@ def write(records: DataFrame, path: str, compression: str = "gzip") -> None:
     serialised(records).write.option("lineSep", "\r\n").option("compression", compression).text(path)
 
 
-def parsed(data: bytes) -> Iterator[tuple[dict, bytes]]:
-    """(headers, block) of each record."""
+def parsed(data: bytes) -> Iterator[tuple[dict, bytes, bool]]:
+    """(headers, block, whole) of each record. Header names keep their case. A record that is cut off, or has no length, has the bytes up to the next
+    record or the end and isn't whole."""
     at = 0
     while (at := data.find(b"WARC/1.", at)) >= 0:
-        end = data.index(b"\r\n\r\n", at)
-        lines = data[at:end].decode("utf-8", "replace").split("\r\n")[1:]
-        headers = {k: v.strip() for k, _, v in (x.partition(":") for x in lines)}
-        n = int(headers["Content-Length"])
-        yield headers, data[end + 4 : end + 4 + n]
-        at = end + 4 + n
+        end = data.find(b"\r\n\r\n", at)
+        start = len(data) if end < 0 else end + 4
+        lines = data[at : start].decode("utf-8", "replace").split("\r\n")[1:]
+        headers = {k.strip(): v.strip() for k, _, v in (x.partition(":") for x in lines) if k.strip()}
+        said = next((v for k, v in headers.items() if k.lower() == "content-length"), "")
+        if end >= 0 and said.isascii() and said.isdigit() and start + int(said) <= len(data):
+            stop, whole = start + int(said), True
+        else:
+            more = data.find(b"\r\n\r\nWARC/1.", start)
+            stop, whole = (len(data) if more < 0 else more), False
+        yield headers, data[start:stop], whole
+        at = max(stop, at + 1)
+
+
+def unpacked(data: bytes) -> bytes:
+    """Plain bytes of a file, in one gzip member or one for each record; of a cut-off member what there is."""
+    out = []
+    while data[:2] == b"\x1f\x8b":
+        z = zlib.decompressobj(31)
+        try:
+            out.append(z.decompress(data) + z.flush())
+        except zlib.error:
+            break
+        data = z.unused_data
+    return b"".join(out) if out else data
 
 
 def read(spark: SparkSession, path: str) -> DataFrame:
-    """headers map<string,string>, block binary of every record in WARC files (plain or gzip), a file a row at a time."""
+    """headers map<string,string>, block binary, whole boolean of every record in the WARC files under path, whatever their names (plain or gzip). A file is
+    a row at a time, so files must be under Spark's 2 GB for a row, as crawls' are, and a task holds one and its plain bytes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import gzip
-
         kind = pa.map_(pa.string(), pa.string())
         for b in batches:
             for data in b.column(0):
-                data = data.as_py()
-                data = gzip.decompress(data) if data[:2] == b"\x1f\x8b" else data
-                rows = list(parsed(data))
-                yield pa.RecordBatch.from_arrays([pa.array([list(h.items()) for h, _ in rows], kind), pa.array([x for _, x in rows], pa.binary())], names=["headers", "block"])
+                rows = list(parsed(unpacked(data.as_py())))
+                yield pa.RecordBatch.from_arrays([pa.array([list(h.items()) for h, _, _ in rows], kind), pa.array([x for _, x, _ in rows], pa.binary()), pa.array([w for _, _, w in rows], pa.bool_())], names=["headers", "block", "whole"])
 
-    return spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path).select("content").mapInArrow(run, "headers map<string,string>, block binary")
+    text_batches(spark)
+    return spark.read.format("binaryFile").load(path).select("content").mapInArrow(run, "headers map<string,string>, block binary, whole boolean")
 
 
 def op1(spark: SparkSession, pages: DataFrame) -> DataFrame:

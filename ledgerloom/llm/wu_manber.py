@@ -7,8 +7,10 @@ suffix, and direct comparison of the words confirms an occurrence. Text of no pa
 The pattern tables are broadcast in groups of at most `max_patterns` windows; a larger benchmark takes several passes over the documents, each with
 one group, and the hit words of all passes are united, so results don't depend on the bound. Nothing is shuffled.
 
-Edge cases: null texts and ids are kept (a null text has no words; windows of an item without an id hit words, only the items leave it out); an item without words has no window; items with equal windows all count; repeated
-document rows are separate rows, repeated item rows count once by item_id; empty tables give no rows, or no hits; other columns are ignored.
+Edge cases: null texts and ids are kept (a null text has no words; windows of an item without an id hit words, only the items leave it out); an item without
+words has no window; items with equal windows all count; repeated document rows are separate rows, repeated item rows count once by item_id; texts of any
+length are searched whole, bytes that aren't UTF-8 are letters as any byte from 128 on; empty tables give no rows, or no hits; other columns, whatever their
+names, are ignored by find() and kept by clean().
 """
 
 from __future__ import annotations
@@ -21,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import text_batches, written
+from .common import text_batches, text_bytes, written
 
 #: Words: digits, letters (A-Z lower-cased) and all bytes of code points from U+0080; everything else separates.
 TO_WORDS = bytes(c + 32 if 0x41 <= c <= 0x5A else c if 0x30 <= c <= 0x39 or 0x61 <= c <= 0x7A or c >= 0x80 else 0x20 for c in range(256))
@@ -179,8 +181,7 @@ def clean(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW, max_pattern
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             search = _tables(handle, size)
             for b in batches:
-                texts = b.column(at).to_pylist()
-                mask = [not any(True for s in search for _ in s.search(words)) for words in (words_of(t.encode("utf-8", "surrogatepass") if t else None) for t in texts)]
+                mask = [not any(True for s in search for _ in s.search(words)) for words in map(words_of, text_bytes(b.column(at)))]
                 yield b.filter(pa.array(mask, pa.bool_()))
 
         return run

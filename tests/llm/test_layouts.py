@@ -55,6 +55,52 @@ def test_mix(spark, tiny, odd, none):
     assert mixing.mixed_documents(none).count() == 0
 
 
+def plain_taken(docs, block=1024):
+    """Words taken of each (doc_id, source, text) by walking the schedule slot by slot over lists of words."""
+    names = sorted({s for _, s, _ in docs if s is not None}) + [None] * any(s is None for _, s, _ in docs)
+    words = {s: [k for k in sorted((d is not None, d or 0, n_words(t), i) for i, (d, x, t) in enumerate(docs) if x == s) for _ in range(k[2])] for s in names}
+    goal = plain_targets([len(words[s]) for s in names])
+    budget = [min(round(g), 3 * len(words[s])) for g, s in zip(goal, names)]
+    each = [(b // len(words[s]) if words[s] else 0, b % len(words[s]) if words[s] else 0, -(-len(words[s]) // block)) for b, s in zip(budget, names)]
+    slots = [e * n + -(-r // block) for e, r, n in each]
+    total, taken, rank, i = sum(slots), Counter(), [0] * len(names), 0
+    edge = [mixing.MODULUS * sum(slots[:k]) // max(total, 1) for k in range(len(names) + 1)]
+    while any(r < n for r, n in zip(rank, slots)):
+        x = i * mixing.MULTIPLIER % mixing.MODULUS
+        k = max(j for j in range(len(names)) if edge[j] <= x and slots[j] > 0 or j == 0)
+        i += 1
+        if i > total + len(names):
+            k = next(j for j in range(len(names)) if rank[j] < slots[j])
+        if rank[k] >= slots[k]:
+            continue
+        own, n = words[names[k]], each[k][2]
+        epoch, at = divmod(rank[k], n)
+        full = len(own) // block
+        b = at if at >= full else int(mixing.shuffled(np.array([at]), full, k + 1)[0])
+        left = budget[k] - epoch * len(own) - at * block
+        rank[k] += 1
+        taken.update(own[b * block : b * block + max(0, min(block, left))])
+    return [taken[(d is not None, d or 0, n_words(t), i)] for i, (d, _, t) in enumerate(docs)], budget
+
+
+def test_taken_words_one_by_one(spark, tiny):
+    """Words of one document may change places with those of another with the same id only; ids are unique here."""
+    docs = [(r.doc_id, r.source, r.text) for r in tiny.collect()]
+    want, budget = plain_taken(docs)
+    got = {r.doc_id: r.taken for r in mixing.op2(spark, tiny).collect()}
+    assert got == {d: n for (d, _, _), n in zip(docs, want)} and sum(want) == sum(budget)
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.text(alphabet="ab \n\té", max_size=60), st.lists(st.tuples(st.integers(0, 20), st.integers(1, 6)), min_size=1, max_size=3))
+def test_cuts_keep_line_ends(text, spans):
+    words = text.encode().split()
+    spans = [(a, min(a + n, len(words))) for a, n in spans if a < len(words)]
+    want = [w for k, w in enumerate(words) if any(a <= k < b for a, b in spans)]
+    got = mixing.cut(text.encode(), spans)
+    assert got.split() == want and (len(spans) != 1 or got in text.encode())
+
+
 def test_mixed_documents(spark, tiny, odd):
     for df in (tiny, odd):
         taken = mixing.op2(spark, df).groupBy("doc_id").agg(F.sum("taken").alias("n"))
@@ -136,16 +182,55 @@ def test_shards(spark, odd, none):
     assert resharding.op4(spark, none).count() == 0
 
 
-def test_rewrite_touches_affected_shards_only(spark, tiny, tmp_path):
-    old = F.pmod(F.col("doc_id"), F.lit(4)).cast("int")
-    stored = tiny.withColumn("old_shard", F.when(old == 3, 2).otherwise(old))
-    rows, transfers = resharding.plan(stored, F.col("old_shard"), 3)
-    rows = rows.cache()
-    affected = resharding.rewrite(stored, rows, str(tmp_path / "out"))
-    back = spark.read.parquet(str(tmp_path / "out"))
-    want = rows.filter(F.col("shard").isin(affected))
-    assert Counter(map(tuple, back.select("doc_id", "shard", "text").collect())) == Counter(map(tuple, want.join(tiny, "doc_id").select("doc_id", "shard", "text").collect()))
-    assert set(back.columns) == {*tiny.columns, "shard"}
+def stored_shards(df, path, n):
+    """df written as shard=0 ... n - 1."""
+    df.withColumn("shard", F.pmod(F.xxhash64("doc_id", F.lit(4)), F.lit(n)).cast("int")).repartition(3).write.partitionBy("shard").parquet(path)
+
+
+def test_rewrite_in_place(spark, odd, tmp_path):
+    """Every row with all its columns is in one shard; shards that neither lose nor gain keep their very files."""
+    path = str(tmp_path / "shards")
+    docs = odd.drop("shard", "_row").withColumn("lang", F.coalesce("lang", F.lit("x")))
+    stored_shards(docs, path, 5)
+    rows = spark.read.parquet(path).withColumn("old_shard", F.col("shard")).drop("shard")
+    how = resharding.plan(rows, "old_shard", 5)
+    before = {f.name for f in tmp_path.glob("shards/shard=*/*.parquet")}
+    affected = resharding.rewrite(rows, "old_shard", how, path)
+    assert affected == how.affected() and affected
+    back = spark.read.parquet(path)
+    names = docs.columns
+    assert Counter(map(str, back.select(names).collect())) == Counter(map(str, docs.select(names).collect()))
+    kept = {f.name for f in tmp_path.glob("shards/shard=*/*.parquet")} & before
+    assert kept == {f.name for f in tmp_path.glob("shards/shard=*/*.parquet") if int(f.parent.name[6:]) not in affected}
+
+
+def test_rewrite_leaves_other_shards(spark, tmp_path):
+    path = str(tmp_path / "shards")
+    docs = spark.createDataFrame([(None if i == 7 else i, "x" * 99 if i % 3 < 2 else "y" * (99 if i % 2 else 9), i) for i in range(300)] + [(4, "x" * 99, 1), (4, "x" * 99, 2), (None, "x" * 99, 3)], "doc_id long, text string, place int")
+    docs = docs.withColumn("shard", F.when(F.col("doc_id").isNull(), 0).otherwise(F.pmod("doc_id", F.lit(3))).cast("int"))
+    docs.write.partitionBy("shard").parquet(path)
+    rows = spark.read.parquet(path).withColumnRenamed("shard", "old")
+    how = resharding.plan(rows, "old", 3)
+    how.runs = [r for r in how.runs if r[0] != 1 or r[2] == 1]  # as if shard 1 were at the level
+    files = {f for f in tmp_path.glob("shards/shard=1/*.parquet")}
+    assert resharding.rewrite(rows, "old", how, path) == [0, 2]
+    assert {f for f in tmp_path.glob("shards/shard=1/*.parquet")} == files
+    back = spark.read.option("mergeSchema", "true").parquet(path)
+    assert Counter((r.doc_id, r.text, r.place) for r in back.collect()) == Counter((r.doc_id, r.text, r.place) for r in docs.collect())
+    got = resharding.with_slots(back.filter("shard <> 1"), "shard", "_place").collect()
+    for s in (0, 2):
+        assert sorted(r.slot for r in got if r.shard == s) == list(range(sum(r.shard == s for r in got)))
+        ids = [r.doc_id for r in sorted((r for r in got if r.shard == s), key=lambda r: r.slot)]
+        assert ids == sorted(ids, key=lambda x: (x is not None, x or 0))
+
+
+def test_shards_that_go(spark, tiny):
+    docs = tiny.withColumn("old", F.pmod(F.col("doc_id"), F.lit(9)).cast("int"))
+    how = resharding.plan(docs, "old", 4)
+    assert how.emptied() == [4, 5, 6, 7, 8] and how.affected() == [0, 1, 2, 3]
+    got = how.shard_of(docs, "old", "new").collect()
+    loads = [sum(len(r.text.encode()) + 1 for r in got if r.new == j) for j in range(4)]
+    assert len(got) == tiny.count() and max(loads) - min(loads) < 0.2 * sum(loads) / 4
 
 
 def fewest_moved(supply, demand, cost):

@@ -13,7 +13,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
-from ledgerloom.llm import components, secrets, simhash, token_orc, wu_manber
+from ledgerloom.llm import components, cross_entropy, merkle, mixing, near_dedup, secrets, simhash, token_orc, toxicity, wu_manber
 from ledgerloom.llm.encoding import WordEncoder
 from tests.llm.conftest import SCHEMA
 
@@ -57,8 +57,8 @@ def test_contamination_of_odd_rows(spark, odd, none, most):
     long = max(texts, key=len)
     items = [(1, "the"), (2, "été ße"), (3, ""), (4, None), (5, " ".join(texts[3].split()[:14])), (6, " ".join(long.split()[100:130])), (6, "one"), (8, "alpha BETA; gamma"), (9, "no such words at all in any text here I hope")]
     bench = spark.createDataFrame(items, "item_id long, text string")
-    docs = [(r.doc_id, r.text) for r in odd.select("doc_id", "text").collect() if not (r.text and len(r.text) > 100_000)]
-    small = odd.filter("text is null or length(text) <= 100000")
+    docs = [(r.doc_id, r.text) for r in odd.select("doc_id", "text").collect()]
+    small = odd
     found = wu_manber.find(small, bench, max_patterns=most)
     assert sum(1 for r in found.collect() if r.spans) > 5
     if most > 3:
@@ -208,6 +208,26 @@ def test_segment_plans_miss_no_pair():
             assert sum(w for _, w, _ in segments) == 64 and sum(max(0, r + 1) for _, _, r in segments) == radius + 1
 
 
+def test_texts_that_are_no_utf8(spark, torn):
+    """Bytes that aren't UTF-8 count as U+FFFD, and rows that stay keep them."""
+    text = {r.doc_id: bytes(r.b).decode("utf-8", "replace") if r.b is not None else "" for r in torn.selectExpr("doc_id", "cast(text AS binary) AS b").collect()}
+    assert {r.doc_id: r.spans for r in secrets.op3(spark, torn).collect()} == {d: ",".join(f"{k}:{a}:{b}" for k, a, b, _ in secrets.scan(t)) for d, t in text.items()}
+    tokenizer = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
+    assert sorted(tuple(r) for r in token_orc.op10(spark, torn).select(*COLS10).collect()) == plain_tokens(sorted(text.items()), tokenizer)
+    assert {r.doc_id: r.n_chars for r in merkle.op8(spark, torn).collect()} == {d: len(t) for d, t in text.items()}
+    assert cross_entropy.scores(torn, torn.filter("doc_id = 1").select("doc_id")).count() == 4
+    labels = spark.createDataFrame([(1, 0, 1), (3, 1, 0)], "doc_id long, quality int, toxic int")
+    assert toxicity.op6(spark, torn, labels).count() == 4
+    bench = spark.createDataFrame([(1, "fine words here")], "item_id long, text string")
+    raw = lambda df: {r.doc_id: r.b for r in df.selectExpr("doc_id", "cast(text AS binary) AS b").collect()}
+    want = raw(torn)
+    assert raw(wu_manber.clean(torn, bench)) == {d: b for d, b in want.items() if d != 3}
+    assert raw(toxicity.clean(torn, toxicity.train_chain(torn, labels.limit(0)))) == want
+    assert raw(near_dedup.unique(torn)) == want
+    assert set(raw(mixing.mixed_documents(torn))) <= set(want)
+    assert simhash.op7(spark, torn).count() == 4
+
+
 # --- 3
 
 
@@ -256,6 +276,7 @@ def test_base_spans_stay(text):
         ("config['private_key'] = \"Zx81Qpw7Lm20\"", ["Zx81Qpw7Lm20"]),
         ("let pwd: string = `Zx81Qpw7Lm20`;", ["Zx81Qpw7Lm20"]),
         ("run --password=Zx81Qpw7Lm20 now", ["Zx81Qpw7Lm20"]),
+        ('{"' + "very long name of a " * 40 + 'secret": "Zx81Qpw7Lm20"}', ["Zx81Qpw7Lm20"]),
     ],
 )
 def test_literals_by_names(text, found):
