@@ -11,14 +11,23 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-#: Simple lexical tokens, the same in Java and RE2.
+#: Words of letters and digits.
 TOKEN = r"[\p{L}\p{N}]+"
 SPACES = "[  -  \\s]+"
 #: Scale words in order of priority, and phrases of months in order.
 SCALES = (("billion", 9), ("million", 6), ("thousand", 3))
 DURATIONS = (("twelve months", 12), ("year ended", 12), ("fiscal year", 12), ("nine months", 9), ("six months", 6), ("three months", 3), ("quarter", 3), ("one month", 1), ("month ended", 1))
-DASHES = {c: "-" for c in "‐‑‒–—―−"} | {c: "'" for c in "‘’ʼ"}
-LEXICAL = re.compile(r"\d{1,3}(?:,\d{3})+(?:\.\d+)?%?|\d+(?:\.\d+)?%?|\w+(?:[-/']\w+)*")
+#: Characters that count as a hyphen or an apostrophe.
+DASHES = dict.fromkeys("\u2010\u2011\u2012\u2013\u2014\u2212", "-") | dict.fromkeys("\u2018\u2019", "'")
+#: Fixed values, the token grammar: a number grouped by commas, or letters and digits with single - / ' between them; then a fraction and a percent sign.
+GROUPED = r"(?<!\w)[0-9]{1,3}(?:,[0-9]{3})+(?:\.[0-9]+)?%?(?!\w)"
+COMPOUND = r"[^\W_]+(?:[-/'][^\W_]+)*(?:\.[0-9]+)?%?"
+LEXICAL = re.compile(f"{GROUPED}|{COMPOUND}".replace("[0-9]", r"\d"))
+#: The same for texts of LIKE_LATIN alone, inside Spark.
+_WORD = r"[\p{L}\p{N}]"
+LATIN_LEXICAL = f"{GROUPED}|{COMPOUND}".replace(r"(?<!\w)", r"(?<![\p{L}\p{N}_])").replace(r"(?!\w)", r"(?![\p{L}\p{N}_])").replace(r"[^\W_]", _WORD)
+#: Characters that NFKC leaves alone and that fold by lower-casing: ASCII, most of the Latin letters up to U+017E, and the dashes and apostrophes above.
+LIKE_LATIN = "[\\x00-\\x7F\u00C0-\u00DE\u00E0-\u012F\u0131\u0134-\u013E\u0141-\u0148\u014A-\u017E" + "".join(DASHES) + "]*"
 DAYS_A_MONTH = 365.2425 / 12
 
 
@@ -37,15 +46,24 @@ def token_count(text: Column) -> Column:
 
 
 def lexical_tokens(text: str) -> list[str]:
-    """NFKC, one kind of dash and apostrophe, casefold; numbers keep decimals and percent signs and lose thousands' commas, words keep inner - / '."""
+    """NFKC, one kind of hyphen and apostrophe, casefold; tokens by the grammar, without the commas of grouped numbers."""
     text = unicodedata.normalize("NFKC", text or "").translate({ord(k): v for k, v in DASHES.items()}).casefold()
     return [t.replace(",", "") for t in LEXICAL.findall(text)]
 
 
 @F.pandas_udf(T.ArrayType(T.StringType()))
-def lexical(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+def _lexical(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
     for s in texts:
-        yield s.map(lexical_tokens)
+        yield s.map(lambda t: None if t is None else lexical_tokens(t))
+
+
+def lexical(text: Column) -> Column:
+    """lexical_tokens as a Column: inside Spark where no character needs NFKC or casefold, by Python for the other texts alone. Null has no tokens."""
+    text = F.coalesce(text, F.lit(""))
+    plain = F.regexp_like(text, F.lit(f"^{LIKE_LATIN}$"))
+    low = F.translate(F.lower(text), "".join(DASHES), "".join(DASHES.values()))
+    own = F.transform(F.regexp_extract_all(low, F.lit(LATIN_LEXICAL), F.lit(0)), lambda t: F.replace(t, F.lit(","), F.lit("")))
+    return F.coalesce(_lexical(F.when(~plain, text)), own)
 
 
 @F.pandas_udf(T.StringType())

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 from html.parser import HTMLParser
 
@@ -15,6 +16,8 @@ from ..functions.text import squeeze, token_count
 MIN_TOKENS, MAX_TOKENS, ROWS_A_CHUNK = 400, 800, 40
 #: Headings by their beginnings.
 HEADING = r"^(?i)(part\s+[ivx]+|item\s+\d+[a-z]?\.?|note\s+\d+)\b"
+#: Weights of type that count as bold.
+BOLD = {"700", "800", "bold"}
 SKIP = {"script", "style", "head", "noscript", "template", "nav", "footer"}
 HEADINGS = {"h1", "h2", "h3", "h4", "h5", "h6"}
 LEAVES = HEADINGS | {"p", "li", "td", "th", "blockquote", "pre", "figcaption", "dt", "dd"}
@@ -104,6 +107,70 @@ def row_groups(rows: DataFrame, key: str, order: list[str], size: int = ROWS_A_C
     return out.withColumn("suffix", (F.floor(F.col("row_idx") / size) * size).cast("int"))
 
 
+def chunk_groups(sizes: list[int], kinds: list[str], sections: list[str | None], least: int = MIN_TOKENS, most: int = MAX_TOKENS) -> list[int]:
+    """Number of the chunk of each block: a table stands alone; a heading or another section begins a chunk; else text is packed as in greedy_groups()."""
+    out, n, held, last = [], -1, 0, None
+    for size, kind, section in zip(sizes, kinds, sections):
+        fresh = last is None or kind in ("table", "heading") or last[0] == "table" or section != last[1]
+        if fresh or held + size > most and held >= least:
+            n, held = n + 1, 0
+        out.append(n)
+        held, last = held + size, (kind, section)
+    return out
+
+
+@F.pandas_udf(T.ArrayType(T.LongType()))
+def _chunked(sizes: pd.Series, kinds: pd.Series, sections: pd.Series, least: pd.Series, most: pd.Series) -> pd.Series:
+    return pd.Series([chunk_groups(list(x), list(k), list(s), a, b) for x, k, s, a, b in zip(sizes, kinds, sections, least, most)])
+
+
+def chunk_numbers(blocks: DataFrame, key: str = "doc_id", section: str = "section", least: int = MIN_TOKENS, most: int = MAX_TOKENS) -> DataFrame:
+    """(key, position, chunk) of blocks (key, position, n_tokens, block_type, section). Sizes, kinds and hashes of sections of a document are gathered; texts
+    aren't."""
+    own = F.struct("position", "n_tokens", "block_type", F.sha1(F.col(section).cast("string").cast("binary")).alias("s"))
+    rows = blocks.groupBy(key).agg(F.array_sort(F.collect_list(own)).alias("b"))
+    n = _chunked("b.n_tokens", "b.block_type", "b.s", F.lit(least), F.lit(most))
+    return rows.select(key, F.explode(F.arrays_zip(F.col("b.position").alias("position"), n.alias("chunk"))).alias("x")).select(key, "x.position", "x.chunk")
+
+
+def chunk_records(blocks: DataFrame, key: str = "doc_id", least: int = MIN_TOKENS, most: int = MAX_TOKENS) -> DataFrame:
+    """Chunks of blocks (key, position, text, char_start, char_end, n_tokens, block_type, section, fact_ids): key, chunk_no, chunk_id, block_type, section, text
+    (joined by blank lines), n_tokens, char_start, char_end, first_position, last_position, fact_ids (distinct, in order), retrieval_text (the section before the
+    text), prev_chunk_id, next_chunk_id."""
+    rows = blocks.join(chunk_numbers(blocks, key, "section", least, most), [key, "position"])
+    one = rows.groupBy(key, F.col("chunk").alias("chunk_no")).agg(
+        F.array_sort(F.collect_list(F.struct("position", "text", "block_type", "section", "fact_ids"))).alias("b"), F.sum("n_tokens").alias("n_tokens"),
+        F.min("char_start").alias("char_start"), F.max("char_end").alias("char_end"), F.min("position").alias("first_position"), F.max("position").alias("last_position"),
+    )
+    kind = F.when(F.exists("b", lambda x: x["block_type"] == "table"), "table").when(F.forall("b", lambda x: x["block_type"] == "heading"), "heading").otherwise("text")
+    text = F.array_join(F.col("b.text"), "\n\n")
+    out = one.select(
+        key, "chunk_no", chunk_id(F.col(key), F.col("first_position"), F.col("char_start"), F.col("char_end"), F.lit("")).alias("chunk_id"), kind.alias("block_type"),
+        F.col("b")[0]["section"].alias("section"), text.alias("text"), "n_tokens", "char_start", "char_end", "first_position", "last_position",
+        F.array_distinct(F.flatten(F.filter(F.col("b.fact_ids"), lambda x: x.isNotNull()))).alias("fact_ids"),
+    )
+    out = out.withColumn("retrieval_text", F.concat_ws("\n", F.nullif("section", F.lit("")), "text"))
+    return linked(out, key, "chunk_no")
+
+
+def period_columns(cells: DataFrame, by: list[str]) -> DataFrame:
+    """The distinct (period_start, period_end, header) of a table's columns, in the order in which they first appear."""
+    seen = cells.filter("period_end IS NOT NULL").groupBy(*by, "period_start", "period_end", "header").agg(F.min("col").alias("col"))
+    return seen.withColumn("n", F.row_number().over(Window.partitionBy(*by).orderBy("col", "period_start", "header")) - 1)
+
+
+def rooted(path: Column, root: Column) -> Column:
+    """A section path that begins with its root (an exhibit's name); null roots change nothing."""
+    path = F.coalesce(path, F.array().cast("array<string>"))
+    return F.when(root.isNull() | (F.coalesce(F.try_element_at(path, F.lit(1)), F.lit("")) == root), path).otherwise(F.concat(F.array(root), path))
+
+
+def bold(style: str, text: str) -> bool:
+    """A short block in bold type stands as a heading."""
+    m = re.search(r"font-weight\s*:\s*(\w+)", style or "", re.I)
+    return bool(m) and m[1].lower() in BOLD and 0 < len(text) <= 140
+
+
 class PageBlocks(HTMLParser):
     """Ordered leaf blocks (type, text) of a page; unclosed elements end where the next block begins."""
 

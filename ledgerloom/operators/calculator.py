@@ -6,8 +6,10 @@ import re
 from dataclasses import dataclass
 from decimal import ROUND_HALF_EVEN, Context, Decimal, DivisionByZero, InvalidOperation, Overflow
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 MAX_CHARS, MAX_NODES, MAX_DEPTH, MAX_NAMES, PRECISION = 1024, 256, 32, 64, 50
 LEXEME = re.compile(r"\s*(?:(?P<number>\d+(?:\.\d+)?|\.\d+)|(?P<name>[A-Za-z_][A-Za-z0-9_]*)|(?P<op>\*\*|//|[-+*/()])|(?P<bad>\S))")
@@ -123,16 +125,18 @@ def evaluate(text: str, bindings: dict[str, str]) -> str:
     free = names(node)
     if not free or free != set(bindings) or len(free) > MAX_NAMES:
         raise CalculatorError(f"missing {sorted(free - set(bindings))}, unused {sorted(set(bindings) - free)}, names {len(free)}")
+    return evaluated(node, bindings)
+
+
+def evaluated(node: Node, bindings: dict[str, str]) -> str:
+    """A parsed expression's value as plain digits."""
     ctx = Context(prec=PRECISION, rounding=ROUND_HALF_EVEN, traps=[DivisionByZero, InvalidOperation, Overflow])
 
     def go(n: Node) -> Decimal:
         if n.kind == "number":
             return Decimal(n.value)
         if n.kind == "name":
-            try:
-                return Decimal(bindings[n.value])
-            except InvalidOperation:
-                raise CalculatorError(f"{n.value} isn't a decimal") from None
+            return _decimal(n.value, bindings[n.value])
         a = go(n.inner[0])
         if n.kind == "unary":
             return ctx.minus(a) if n.value == "-" else ctx.plus(a)
@@ -145,8 +149,66 @@ def evaluate(text: str, bindings: dict[str, str]) -> str:
         raise CalculatorError(type(e).__name__) from None
 
 
+def calculated(text: str, columns: dict[str, Column]) -> Column:
+    """evaluate() over columns of decimals or of text, exactly: the result as plain digits, null where a row can't be evaluated. The expression is parsed once."""
+    node, order = parse(text), sorted(columns)
+    if names(node) != set(columns):
+        raise CalculatorError(f"names {sorted(names(node))}, columns {order}")
+
+    @F.pandas_udf(T.StringType())
+    def run(values: pd.DataFrame) -> pd.Series:
+        def one(row):
+            try:
+                return evaluated(node, dict(zip(order, row)))
+            except CalculatorError:
+                return None
+
+        return pd.Series([None if any(pd.isna(x) for x in row) else one(row) for row in values[order].itertuples(index=False)], dtype=object)
+
+    return run(F.struct(*[columns[k].cast("string").alias(k) for k in order]))
+
+
+def checked_metadata(value, depth: int = 0, above: tuple = ()):
+    """A deep copy of what rides along with a call: objects, lists, texts, integers, booleans and null only; floats, other types and cycles are errors."""
+    if value is None or isinstance(value, (str, bool, int)):
+        return value
+    if isinstance(value, (dict, list, tuple)):
+        if id(value) in above or depth > MAX_DEPTH:
+            raise CalculatorError("metadata refers to itself or is too deep")
+        inner = (*above, id(value))
+        if isinstance(value, dict):
+            if not all(isinstance(k, str) for k in value):
+                raise CalculatorError("metadata keys are texts")
+            return {k: checked_metadata(v, depth + 1, inner) for k, v in value.items()}
+        return [checked_metadata(v, depth + 1, inner) for v in value]
+    raise CalculatorError(f"metadata can't hold {type(value).__name__}")
+
+
+def calculate(expression: str, inputs: dict[str, dict], result_metadata=None) -> dict:
+    """inputs: name -> {value (decimal text), unit, basis, period, provenance}. The result with the rendered expression and, for every input in order of name, what
+    was given and its canonical value. Units are passed on, not checked; an unknown key or a value that isn't text is an error."""
+    bound, said = {}, []
+    for k in sorted(inputs):
+        x = inputs[k]
+        if not isinstance(x, dict) or not isinstance(x.get("value"), str) or (extra := sorted(set(x) - {"value", "unit", "basis", "period", "provenance"})):
+            raise CalculatorError(f"input {k} needs a decimal text as value and none but known keys")
+        bound[k] = x["value"]
+        said.append({"name": k} | checked_metadata(x) | {"canonical_value": canonical(_decimal(k, x["value"]))})
+    return {"result": evaluate(expression, bound), "expression": rendered(parse(expression)), "inputs": said, "result_metadata": checked_metadata(result_metadata), "precision": PRECISION}
+
+
+def _decimal(name: str, text: str) -> Decimal:
+    try:
+        x = Decimal(text)
+    except InvalidOperation:
+        x = Decimal("NaN")
+    if not x.is_finite():
+        raise CalculatorError(f"{name} isn't a decimal")
+    return x
+
+
 def compiled(text: str, columns: dict[str, Column]) -> Column:
-    """The expression over columns, inside Catalyst; a division by zero is null."""
+    """The expression over columns in doubles, inside Catalyst: fast, not exact (calculated() is); a division by zero is null."""
 
     def go(n: Node) -> Column:
         if n.kind == "number":

@@ -26,11 +26,12 @@ def checked_norms(vectors: DataFrame, key: str = "vec_id", v: str = "embedding")
 
 
 def cosine(vectors: DataFrame, queries: DataFrame, k: int = 10, where: Column | None = None, key: str = "vec_id", v: str = "embedding", qkey: str = "q_id", qv: str = "q_embedding") -> DataFrame:
-    """(q_id, key, score, rank): filters first, then every candidate is scored; in blocks of queries, each broadcast."""
-    pool = (vectors if where is None else vectors.filter(where)).select(key, F.col(v).alias("_v"), norm(v).alias("_n"))
+    """(q_id, key, score, rank): filters first, then every candidate is scored; in blocks of queries, each broadcast. A vector without a direction (zero, or not
+    finite) is no candidate, and as a query it has no results."""
+    pool = (vectors if where is None else vectors.filter(where)).select(key, F.col(v).alias("_v"), norm(v).alias("_n")).filter(_directed("_n"))
     n = queries.count()
     blocks = -(-n // QUERY_BLOCK)
-    numbered = queries.select(qkey, F.col(qv).alias("_q"), norm(qv).alias("_m"))
+    numbered = queries.select(qkey, F.col(qv).alias("_q"), norm(qv).alias("_m")).filter(_directed("_m"))
     out = None
     for b in range(max(1, blocks)):
         part = numbered if blocks <= 1 else numbered.filter(F.pmod(F.xxhash64(qkey), F.lit(blocks)) == b)
@@ -40,5 +41,36 @@ def cosine(vectors: DataFrame, queries: DataFrame, k: int = 10, where: Column |
     return out
 
 
+def by_dot(vectors: DataFrame, queries: DataFrame, k: int = 10, key: str = "vec_id", v: str = "embedding", qkey: str = "q_id", qv: str = "q_embedding") -> DataFrame:
+    """(q_id, key, score, rank) by the plain dot product, in the same blocks of queries."""
+    n, out = queries.count(), None
+    blocks = max(1, -(-n // QUERY_BLOCK))
+    for b in range(blocks):
+        part = queries.select(qkey, F.col(qv).alias("_q")).filter(F.pmod(F.xxhash64(qkey), F.lit(blocks)) == b)
+        scored = vectors.select(key, F.col(v).alias("_v")).crossJoin(F.broadcast(part)).select(qkey, key, F.round(dot("_v", "_q"), 6).alias("score"))
+        top = rank(scored, [qkey], k, key=key)
+        out = top if out is None else out.unionByName(top)
+    return out
+
+
+def _directed(n: str) -> Column:
+    return (F.col(n) > 0) & ~F.isnan(n) & (F.col(n) < float("inf"))
+
+
+def truncation(texts: DataFrame, n_tokens: Column, most: int) -> DataFrame:
+    """One row: how many texts an encoder of `most` tokens would cut, and the quantiles of their lengths, interpolated between ranks."""
+    n = texts.select(n_tokens.cast("long").alias("n"))
+    q = {f"p{p}": F.round(F.percentile("n", F.lit(p / 100)), 6).alias(f"p{p}") for p in (50, 90, 95, 99)}
+    over = F.count(F.when(F.col("n") > most, 1))
+    return n.agg(F.count("n").alias("n_texts"), over.alias("n_over"), F.round(F.try_divide(100.0 * over, F.count("n")), 6).alias("pct_over"), *q.values(), F.max("n").alias("longest"))
+
+
+def metadata(vectors: DataFrame, key: str = "vec_id", v: str = "embedding") -> DataFrame:
+    """One row about an index: vectors, dimensions, how many have a direction, and fingerprints of ids and values that no order of rows changes."""
+    n = norm(v)
+    h = lambda *c: F.sum(F.xxhash64(*c).cast("decimal(38,0)")).cast("string")
+    return vectors.agg(F.count("*").alias("n"), F.min(F.size(v)).alias("min_dim"), F.max(F.size(v)).alias("max_dim"), F.count(F.when((n > 0) & ~F.isnan(n), 1)).alias("n_directed"), h(key).alias("ids_hash"), h(key, v).alias("matrix_hash"))
+
+
 def score_distribution(ranked: DataFrame) -> DataFrame:
     return ranked.agg(F.count("*").alias("n"), F.min("score").alias("min_score"), F.round(F.expr("percentile(score, 0.5)"), 6).alias("median_score"), F.max("score").alias("max_score"))

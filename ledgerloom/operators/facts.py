@@ -54,10 +54,63 @@ def search(facts: DataFrame, text: str, k: int = 10) -> DataFrame:
     return top.withColumn("rank", F.row_number().over(w)).crossJoin(F.broadcast(n)).select("concept", "tier", "overlap", "matched_count", "rank")
 
 
-def observations(facts: DataFrame) -> DataFrame:
-    """What is known of each concept: counts and sorted distinct values, empty ones left out."""
-    known = lambda c: F.array_sort(F.filter(F.collect_set(c), lambda x: x != "")).alias(c + "s")
-    return facts.groupBy("concept").agg(F.count("*").alias("fact_count"), known("unit"), known("company"), known("accession"))
+def observations(facts: DataFrame, lists: tuple = ("unit",), counts: tuple = ("company", "accession")) -> DataFrame:
+    """What is known of each concept: the number of facts, sorted distinct values of `lists` (few by nature: units, forms), numbers of distinct values of
+    `counts` (as n_<column>). Empty values are left out. Distinct values are found before they are grouped, so no group of facts is gathered."""
+    out = facts.groupBy("concept").agg(F.count("*").alias("fact_count"))
+    for c in (*lists, *counts):
+        some = facts.select("concept", F.col(c).cast("string").alias("_v")).filter("_v <> ''").distinct().groupBy("concept")
+        got = some.agg(F.array_sort(F.collect_list("_v")).alias(c + "s")) if c in lists else some.agg(F.count("*").alias("n_" + c))
+        out = out.join(got, "concept", "left")
+    return out.withColumns({c + "s": F.coalesce(c + "s", F.array().cast("array<string>")) for c in lists} | {"n_" + c: F.coalesce("n_" + c, F.lit(0)) for c in counts})
+
+
+def enriched(facts: DataFrame, references: dict[str, tuple[str, DataFrame, str]]) -> DataFrame:
+    """facts joined with what they refer to: references[name] = (column of facts, relation, its key). Every column of a relation comes along but its key; a fact
+    is never dropped: `broken` lists the references that have no row."""
+    out, missing = facts, []
+    for name, (fk, parent, pk) in references.items():
+        own = parent.withColumnRenamed(pk, f"_{name}").withColumn(f"_has_{name}", F.lit(True))
+        out = out.join(own, F.col(fk) == F.col(f"_{name}"), "left").drop(f"_{name}")
+        missing.append(F.when(F.col(f"_has_{name}").isNull(), F.lit(name)))
+    return out.withColumn("broken", F.array_compact(F.array(*missing))).drop(*[f"_has_{n}" for n in references])
+
+
+def chunk_links(chunks: DataFrame, doc: str = "doc_id", chunk: str = "chunk_id", facts: str = "fact_ids") -> tuple[DataFrame, DataFrame]:
+    """chunks with arrays of fact ids -> (links (doc, fact, chunk), one for each fact of a document; report of facts that several chunks claim)."""
+    each = chunks.select(doc, chunk, F.explode(facts).alias("fact_id")).distinct()
+    n = each.groupBy(doc, "fact_id").agg(F.count("*").alias("n"), F.min(chunk).alias(chunk))
+    return n.filter("n = 1").select(doc, "fact_id", chunk), n.filter("n > 1").select(F.lit("a fact has one chunk").alias("rule"), F.concat_ws("-", doc, "fact_id").alias("key"), "n")
+
+
+#: The fields of a public fact, in order.
+PUBLIC_FIELDS = (
+    "fact_id", "doc_id", "accession", "source_role", "doc_role", "company", "cik", "entity_identifier", "entity_scheme", "form_type", "filing_date", "period_of_report", "fiscal_period",
+    "calendar_period", "concept", "local_name", "context_id", "period_type", "period_start", "period_end", "instant", "duration_days", "unit", "unit_measures", "decimals", "scale", "sign",
+    "raw_visible_text", "parsed_value", "normalized_value", "is_negative", "dimensions", "members", "chunk_id", "locator", "corpus_fingerprint", "schema_version",
+)
+
+
+def public(facts: DataFrame, include_dimensions: bool = True, fields: tuple = PUBLIC_FIELDS) -> DataFrame:
+    """Facts as they are given out: every public field in order, null where the source has none; typed periods; the exact value as plain digits; dimensions only
+    where they are asked for (the number of rows stays)."""
+    out = period_type(facts)
+    have = lambda c, kind: F.col(c).cast(kind) if c in out.columns else F.lit(None).cast(kind)
+    if "normalized_value" not in out.columns:
+        shown = have("raw_visible_text", "string") if "raw_visible_text" in out.columns else have("value", "decimal(38,10)").cast("string")
+        out = out.withColumn("normalized_value", exact_value(shown, have("scale", "int"), have("sign", "string")))
+    if "local_name" not in out.columns:
+        out = out.withColumn("local_name", local_name(F.col("concept")))
+    if not include_dimensions:
+        out = out.drop("dimensions", "members")
+    return out.select(*[F.col(c) if c in out.columns else F.lit(None).cast("string").alias(c) for c in fields])
+
+
+def trace(facts: DataFrame, got: DataFrame, filters: dict) -> DataFrame:
+    """One row about a query: the filters that were set, how many facts there are and were found, a fingerprint of the ids found in order."""
+    found = got.agg(F.count("*").alias("matched_count"), F.sha2(F.array_join(F.array_sort(F.collect_list(F.sha2(F.col("fact_id").cast("string").cast("binary"), 256))), ",").cast("binary"), 256).alias("fingerprint"))
+    applied = F.to_json(F.create_map(*[x for k, v in sorted(filters.items()) if v is not None for x in (F.lit(k), F.lit(str(v)))])) if any(v is not None for v in filters.values()) else F.lit("{}")
+    return facts.agg(F.count("*").alias("fact_count")).crossJoin(found).withColumn("filters", applied)
 
 
 def period_type(facts: DataFrame) -> DataFrame:

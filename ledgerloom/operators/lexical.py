@@ -1,26 +1,39 @@
-"""Exact BM25 over an inverted index of narrow rows."""
+"""Exact BM25 over an inverted index of narrow rows, written once and searched often."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+import tempfile
+import uuid
+from dataclasses import dataclass
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import tokens
+from ..functions.text import lexical
+from ..sources.canonical import canonical_json, sha256
 
 K1, B = 1.5, 0.75
+#: Folders of postings, by a hash of the term: a search reads those of its terms.
+BUCKETS = 32
+#: Terms of queries up to which they are sent as literals, so the scan prunes folders and row groups by them.
+SENT_TERMS = 2000
+
 
+def tokenised(docs: DataFrame, key: str = "doc_id", text: str = "text", of=lexical) -> DataFrame:
+    """(key, tokens): an empty array for an empty text."""
+    return docs.select(key, of(F.col(text)).alias("tokens"))
 
-def postings(docs: DataFrame, key: str = "doc_id", text: str = "text", of=tokens) -> DataFrame:
-    """(key, term, tf, dl): exploded and counted before any shuffle can carry text; dl rides along. explode_outer keeps Spark from testing the array for
-    rows first, which would tokenise every text twice."""
-    terms = docs.select(F.col(key), of(F.col(text)).alias("t")).select(key, F.size("t").alias("dl"), F.explode_outer("t").alias("term")).filter("term IS NOT NULL")
+
+def postings(tokens: DataFrame, key: str = "doc_id") -> DataFrame:
+    """(key, term, tf, dl): exploded and counted before any shuffle; dl rides along."""
+    terms = tokens.select(key, F.size("tokens").alias("dl"), F.explode("tokens").alias("term"))
     return terms.groupBy(key, "term", "dl").agg(F.count("*").alias("tf"))
 
 
-def corpus_stats(docs: DataFrame, text: str = "text", of=tokens) -> DataFrame:
+def corpus_stats(tokens: DataFrame) -> DataFrame:
     """One row: n, avgdl, min_dl, max_dl over all documents, empty ones too."""
-    dl = F.size(of(F.col(text)))
-    return docs.agg(F.count("*").alias("n"), F.avg(dl).alias("avgdl"), F.min(dl).cast("long").alias("min_dl"), F.max(dl).cast("long").alias("max_dl"))
+    dl = F.size("tokens")
+    return tokens.agg(F.count("*").alias("n"), F.avg(dl).alias("avgdl"), F.min(dl).cast("long").alias("min_dl"), F.max(dl).cast("long").alias("max_dl"))
 
 
 def rank(scored: DataFrame, by: list[str], k: int, score: str = "score", key: str = "doc_id") -> DataFrame:
@@ -29,28 +42,109 @@ def rank(scored: DataFrame, by: list[str], k: int, score: str = "score", key: st
     return scored.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """spark.checkpoint.dir, or a temporary folder on local masters only."""
+    at = spark.conf.get("spark.checkpoint.dir", None)
+    if at is None:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        at = "file://" + tempfile.gettempdir() + "/ledgerloom"
+    return at.rstrip("/")
+
+
+@dataclass
+class Index:
+    """Written tables: postings (key, term, tf, dl) in folders by term, sorted by it; terms (term, df, cf); one row of corpus statistics."""
+
+    spark: SparkSession
+    path: str
+    key: str
+    k1: float = K1
+    b: float = B
+
+    @classmethod
+    def build(cls, docs: DataFrame, path: str | None = None, key: str = "doc_id", text: str = "text", k1: float = K1, b: float = B, of=lexical) -> "Index":
+        """Texts are tokenised once, in a map; postings are dealt by term, with a frequent term's rows over several tasks."""
+        if k1 < 0 or not 0 <= b <= 1:
+            raise ValueError("k1 must not be negative, b lies between 0 and 1")
+        spark = docs.sparkSession
+        out = cls(spark, path or f"{shared_folder(spark)}/bm25-{uuid.uuid4().hex}", key, k1, b)
+        tokenised(docs, key, text, of).write.parquet(f"{out.path}/tokens")
+        tokens = spark.read.parquet(f"{out.path}/tokens")
+        corpus_stats(tokens).coalesce(1).write.parquet(f"{out.path}/stats")
+        rows = postings(tokens, key).withColumn("bucket", F.pmod(F.xxhash64("term"), F.lit(BUCKETS)).cast("int"))
+        rows.repartitionByRange("bucket", "term", key).sortWithinPartitions("bucket", "term").write.partitionBy("bucket").parquet(f"{out.path}/postings")
+        out.postings().groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("cf")).sort("term").write.parquet(f"{out.path}/terms")
+        return out
+
+    def postings(self) -> DataFrame:
+        return self.spark.read.parquet(f"{self.path}/postings")
+
+    def terms(self) -> DataFrame:
+        return self.spark.read.parquet(f"{self.path}/terms")
+
+    def stats(self) -> DataFrame:
+        return self.spark.read.parquet(f"{self.path}/stats")
+
+    def statistics(self) -> DataFrame:
+        """One row: n, avgdl, min_dl, max_dl, vocabulary, postings."""
+        return self.stats().crossJoin(self.terms().agg(F.count("*").alias("vocabulary"), F.sum("df").alias("postings")))
+
+    def config(self) -> dict:
+        """Fixed values of the tokenizer and the parameters."""
+        return {
+            "tokenizer": {"version": "sec_lexical_v1", "unicode_normalization": "NFKC", "case_normalization": "casefold", "grouping_commas": "removed_within_numeric_tokens", "stemming": False, "stop_words": False},
+            "k1": self.k1, "b": self.b,
+        }
+
+    def fingerprint(self) -> str:
+        """Of the configuration and of every posting, whatever their order."""
+        rows = self.postings().agg(F.count("*").alias("n"), *[F.sum(F.xxhash64(self.key, "term", "tf", "dl", F.lit(k)).cast("decimal(38,0)")).cast("string").alias(f"h{k}") for k in (0, 1)]).first()
+        return sha256(canonical_json(self.config() | rows.asDict()))
+
+    def score(self, queries: DataFrame, qkey: str = "q_id", qtext: str = "query", of=lexical) -> DataFrame:
+        """(q_id, key, score) of every document that shares a term with the query, rounded to six places, so the order of summation doesn't show."""
+        q = queries.select(qkey, F.explode(F.array_distinct(of(F.col(qtext)))).alias("term"))
+        used = [r.term for r in q.select("term").distinct().limit(SENT_TERMS + 1).collect()]
+        hits, df = self.postings(), self.terms()
+        if len(used) <= SENT_TERMS:
+            folders = [r[0] for r in self.spark.createDataFrame([(t,) for t in used], "term string").select(F.pmod(F.xxhash64("term"), F.lit(BUCKETS)).cast("int")).distinct().collect()]
+            hits, df = hits.filter(F.col("bucket").isin(folders) & F.col("term").isin(used)), df.filter(F.col("term").isin(used))
+        weights = df.crossJoin(F.broadcast(self.stats().select("n", "avgdl"))).select("term", "avgdl", F.log1p((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5)).alias("idf"))
+        part = F.col("idf") * F.col("tf") * (self.k1 + 1) / (F.col("tf") + self.k1 * (1 - self.b + self.b * F.col("dl") / F.col("avgdl")))
+        asked = q.join(weights, "term")
+        return hits.join(asked, "term").groupBy(qkey, self.key).agg(F.round(F.sum(part), 6).alias("score"))
+
+    def search(self, queries: DataFrame, k: int = 10, where: DataFrame | None = None, qkey: str = "q_id", qtext: str = "query") -> DataFrame:
+        """(q_id, key, score, rank) of the k best. `where` holds the keys of admitted documents; n, df and avgdl stay those of the whole corpus."""
+        scored = self.score(queries, qkey, qtext)
+        if where is not None:
+            scored = scored.join(where.select(self.key), self.key, "left_semi")
+        return rank(scored, [qkey], k, key=self.key)
+
+    def run(self, queries: DataFrame, k: int = 50, qkey: str = "q_id", qtext: str = "query") -> DataFrame:
+        """The batch of all queries: one row for each, its text, how many results it has and the results in order; queries without any are there, empty."""
+        got = self.search(queries, k, None, qkey, qtext).groupBy(qkey).agg(F.array_sort(F.collect_list(F.struct("rank", "score", self.key))).alias("ranked_results"))
+        none = F.array().cast(f"array<struct<rank:int,score:double,{self.key}:{self.postings().schema[self.key].dataType.simpleString()}>>")
+        out = queries.select(qkey, qtext).join(got, qkey, "left").withColumn("ranked_results", F.coalesce("ranked_results", none))
+        return out.withColumn("n_results", F.size("ranked_results"))
+
+
+_BUILT: dict[tuple, Index] = {}
+
+
+def index_of(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Index:
+    """The application's index of a table of files, built on the first call; other files are another index."""
+    at = (docs.sparkSession.sparkContext.applicationId, key, text, *sorted(docs.inputFiles()))
+    if at not in _BUILT:
+        _BUILT[at] = Index.build(docs, key=key, text=text)
+    return _BUILT[at]
+
+
 def bm25(docs: DataFrame, queries: DataFrame, k: int = 10, where: Column | None = None, key: str = "doc_id", text: str = "text", qkey: str = "q_id", qtext: str = "query") -> DataFrame:
-    """(q_id, key, score, rank) of the k best documents that share a term with the query. `where` restricts the candidates; n, df and avgdl stay those of the
-    whole corpus. Scores are rounded to six places before they are ranked, so the order of summation doesn't show."""
-    q = queries.select(qkey, F.explode(F.array_distinct(tokens(F.col(qtext)))).alias("term"))
-    used = q.select("term").distinct()
-    hits = postings(docs, key, text).join(used, "term", "left_semi")
-    stats = corpus_stats(docs, text).select("n", "avgdl")
-    # Counting by tf leaves this branch the same as the one that is scored, so Spark computes the postings once and reuses the exchange.
-    df = hits.groupBy("term").agg(F.count(F.when(F.col("tf") > 0, 1)).alias("df"))
-    if where is not None:
-        hits = hits.join(docs.filter(where).select(key), key, "left_semi")
-    weights = df.crossJoin(F.broadcast(stats)).select("term", "avgdl", F.log1p((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5)).alias("idf"))
-    part = F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
-    weighted = hits.join(weights, "term").select(key, "term", part.alias("part"))
-    scored = weighted.join(q, "term").groupBy(qkey, key).agg(F.round(F.sum("part"), 6).alias("score"))
-    return rank(scored, [qkey], k, key=key)
-
-
-def index_stats(docs: DataFrame) -> DataFrame:
-    return corpus_stats(docs).crossJoin(postings(docs).agg(F.countDistinct("term").alias("vocabulary"), F.count("*").alias("postings")))
-
-
-def top_terms(docs: DataFrame, k: int) -> DataFrame:
-    df = postings(docs).groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("cf"))
-    return df.orderBy(F.desc("df"), F.asc("term")).limit(k)
+    """(q_id, key, score, rank) over an index built for this call; `where` restricts the candidates."""
+    return Index.build(docs, key=key, text=text).search(queries, k, None if where is None else docs.filter(where), qkey, qtext)
+
+
+def top_terms(index: Index, k: int) -> DataFrame:
+    return index.terms().orderBy(F.desc("df"), F.asc("term")).limit(k)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from decimal import ROUND_HALF_EVEN, Context, Decimal, localcontext
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: Label -> (factor, dimension, canonical).
@@ -24,6 +24,64 @@ def compare_units(a: str, b: str) -> str:
     return "registered_equivalence" if REGISTRY[a][1:] == REGISTRY[b][1:] else "dimension_mismatch"
 
 
+def registry(spark: SparkSession) -> DataFrame:
+    """(label, factor, dimension, canonical): a row for each registered unit."""
+    return spark.createDataFrame([(k, float(f), d, c) for k, (f, d, c) in REGISTRY.items()], "label string, factor double, dimension string, canonical string")
+
+
+def with_units(df: DataFrame, unit: str = "unit", value: str = "value") -> DataFrame:
+    """df with dimension, canonical and base_value (the value in canonical units); all null for a unit that isn't registered."""
+    r = F.broadcast(registry(df.sparkSession))
+    out = df.join(r, F.col(unit) == F.col("label"), "left").withColumn("base_value", F.col(value).cast("double") * F.col("factor"))
+    return out.drop("label", "factor")
+
+
+def unit_status(pairs: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
+    """pairs with status: compare_units as a join with the registry."""
+    side = lambda n: F.broadcast(registry(pairs.sparkSession).select(F.col("label").alias(f"_{n}"), F.struct("dimension", "canonical").alias(f"_k{n}")))
+    out = pairs.join(side("x"), F.col(a) == F.col("_x"), "left").join(side("y"), F.col(b) == F.col("_y"), "left")
+    status = F.when(F.col(a) == F.col(b), "exact_label_match").when(F.col("_kx").isNull() | F.col("_ky").isNull(), "unregistered_unit")
+    status = status.when(F.col("_kx") == F.col("_ky"), "registered_equivalence").otherwise("dimension_mismatch")
+    return out.withColumn("status", status).drop("_x", "_kx", "_y", "_ky")
+
+
+def agrees(stated: Column, found: Column, precision: dict, both: bool = False) -> Column:
+    """matches() over columns of doubles or decimals; a relative tolerance may be a Column."""
+    if precision["mode"] == "ABS_TOLERANCE":
+        return F.abs(stated - found) <= (precision["tolerance"] if isinstance(precision["tolerance"], Column) else F.lit(float(precision["tolerance"])))
+    if precision["mode"] == "QUANTUM":
+        step = lambda x: F.bround(x / F.lit(float(precision["quantum"])))
+        return (step(stated) == step(found)) if both else (stated / F.lit(float(precision["quantum"])) == step(found))
+    return stated == found
+
+
+def comparison(stated: Column, found: Column, precision: dict) -> Column:
+    """compare() over columns."""
+    same = agrees(stated, found, precision)
+    return F.when(same, "signed_equivalent").when(agrees(F.abs(stated), F.abs(found), precision), "opposite_sign_magnitude_only").otherwise("different")
+
+
+def selected(variants: DataFrame, by: list[str], passed: str, order: list[str]) -> DataFrame:
+    """One variant of each group: the first in order that passed, else the first."""
+    w = Window.partitionBy(*by).orderBy(F.desc(passed), *order)
+    return variants.withColumn("_n", F.row_number().over(w)).filter("_n = 1").drop("_n")
+
+
+def lineage(required: DataFrame, found: DataFrame) -> DataFrame:
+    """required (target_id, input_id) with the status of each input (target_id, status of found); inputs without one are `missing`, and a target is complete
+    only if all its inputs are mapped."""
+    each = required.join(found.select(F.col("target_id").alias("input_id"), "status"), "input_id", "left").withColumn("status", F.coalesce("status", F.lit("missing")))
+    whole = each.groupBy("target_id").agg(F.count("*").alias("inputs"), F.count(F.when(F.col("status") == "mapped", 1)).alias("mapped"))
+    return each.join(whole, "target_id").select("target_id", "input_id", "status", (F.col("inputs") == F.col("mapped")).alias("complete"))
+
+
+def coverage(targets: DataFrame, candidates: DataFrame, found: DataFrame) -> DataFrame:
+    """A row for each target: its status, and how many candidates each stage gave it."""
+    n = candidates.groupBy("target_id").agg(*[F.count(F.when(F.col("stage") == k, 1)).alias(f"stage{k}") for k in (1, 2, 3)])
+    out = targets.select("target_id").join(found, "target_id", "left").join(n, "target_id", "left")
+    return out.withColumns({f"stage{k}": F.coalesce(f"stage{k}", F.lit(0)) for k in (1, 2, 3)})
+
+
 def in_base(value: str, unit: str) -> Decimal:
     with localcontext(Context(prec=100)):
         return Decimal(value) * REGISTRY[unit][0]

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 KS, MISS_KS, DEPTH = (1, 3, 5, 10, 20, 50), (10, 50), 50
@@ -87,23 +87,62 @@ def failure_counts(missed: DataFrame) -> DataFrame:
     return missed.select("system", "k", F.explode(F.split("labels", ";")).alias("label")).groupBy("system", "k", "label").agg(F.count("*").alias("n"))
 
 
+def long_metrics(metrics: DataFrame, names: list[str], by: tuple = ("k",)) -> DataFrame:
+    """(system, by, metric, value)."""
+    each = F.array(*[F.struct(F.lit(n).alias("metric"), F.col(n).cast("double").alias("value")) for n in names])
+    return metrics.select("system", *by, F.explode(each).alias("m")).select("system", *by, "m.metric", "m.value")
+
+
 def comparison(metrics: DataFrame, a: str, b: str, names: list[str]) -> DataFrame:
     """Long metrics of two systems side by side with the absolute difference."""
-    long = metrics.select("system", "k", F.explode(F.array(*[F.struct(F.lit(n).alias("metric"), F.col(n).cast("double").alias("value")) for n in names])).alias("m")).select("system", "k", "m.metric", "m.value")
-    x = long.filter(F.col("system") == a).select("k", "metric", F.col("value").alias("value_a"))
-    y = long.filter(F.col("system") == b).select("k", "metric", F.col("value").alias("value_b"))
-    return x.join(y, ["k", "metric"], "full_outer").withColumn("difference", F.round(F.abs(F.col("value_a") - F.col("value_b")), 9))
+    both = compared(metrics, [a, b], names)
+    return both.select("k", "metric", F.col(a).alias("value_a"), F.col(b).alias("value_b"), F.round(F.abs(F.col(a) - F.col(b)), 9).alias("difference"))
+
+
+def compared(metrics: DataFrame, systems: list[str], names: list[str], by: tuple = ("k",)) -> DataFrame:
+    """Long metrics of any number of systems side by side, a column for each, and for each pair the later one's gain over the earlier one, signed, as
+    <later>_minus_<earlier>."""
+    long = long_metrics(metrics.filter(F.col("system").isin(systems)), names, by)
+    out = long.groupBy(*by, "metric").pivot("system", systems).agg(F.first("value"))
+    return out.withColumns({f"{y}_minus_{x}": F.round(F.col(y) - F.col(x), 9) for i, x in enumerate(systems) for y in systems[i + 1 :]})
 
 
-def numeric_metrics(first: DataFrame, ks=KS) -> DataFrame:
-    """Facts are items, all of whose parts must be hit; a group is an answer in variants (any importance class will do); a question needs all its groups."""
+def numeric_metrics(first: DataFrame, group: Column, ks=KS) -> DataFrame:
+    """Facts are items, all of whose parts must be hit; `group` names the answer that an item is a variant of: any variant will do; a question needs all its
+    groups. Facts of several parts (inputs) also count by themselves: the share hit in full, and the mean share of inputs hit; null where there are none."""
     items = item_hits(first, ks)
-    groups = items.groupBy("system", "k", "q_id", (F.col("item_id") % 2).alias("group_id")).agg(F.max(F.col("all_parts").cast("int")).alias("any_variant"))
-    questions = groups.groupBy("system", "k", "q_id").agg(F.min("any_variant").alias("complete"))
-    a = items.groupBy("system", "k").agg(F.round(F.avg(F.col("all_parts").cast("double")), 9).alias("strict_fact_coverage"))
+    many = F.col("parts") > 1
+    facts = items.groupBy("system", "k").agg(
+        F.round(F.avg(F.col("all_parts").cast("double")), 9).alias("strict_fact_coverage"), F.round(F.avg(F.when(many, F.col("all_parts").cast("double"))), 9).alias("multi_input_strict_rate"),
+        F.round(F.avg(F.when(many, F.col("coverage"))), 9).alias("mean_input_coverage"),
+    )
+    groups = items.groupBy("system", "k", "q_id", group.alias("group_id")).agg(F.max(F.col("all_parts").cast("int")).alias("any_variant"))
     b = groups.groupBy("system", "k").agg(F.round(F.avg(F.col("any_variant").cast("double")), 9).alias("group_coverage"))
+    questions = groups.groupBy("system", "k", "q_id").agg(F.min("any_variant").alias("complete"))
     c = questions.groupBy("system", "k").agg(F.round(F.avg(F.col("complete").cast("double")), 9).alias("complete_question_rate"))
-    return a.join(b, ["system", "k"]).join(c, ["system", "k"])
+    return facts.join(b, ["system", "k"]).join(c, ["system", "k"])
+
+
+def derived_ranks(first: DataFrame, inputs: DataFrame) -> DataFrame:
+    """inputs (q_id, item_id, input_id): items that are derived take the parts of their inputs, as deep as graph.leaves() unfolded them, as parts of their own."""
+    leaf = first.select("system", "q_id", F.col("item_id").alias("input_id"), F.col("part_id").alias("_p"), "first_rank")
+    own = first.select("q_id", "item_id", "importance").distinct().join(inputs, ["q_id", "item_id"])
+    part = F.concat_ws("/", F.col("input_id").cast("string"), F.col("_p").cast("string"))
+    got = own.join(leaf, ["q_id", "input_id"]).select("system", "q_id", "item_id", part.alias("part_id"), "importance", "first_rank").distinct()
+    plain = first.join(inputs.select("q_id", "item_id").distinct(), ["q_id", "item_id"], "left_anti")
+    return plain.select("system", "q_id", "item_id", F.col("part_id").cast("string").alias("part_id"), "importance", "first_rank").unionByName(got)
+
+
+def scored(rankings: DataFrame, gold: DataFrame, group: Column, depth: int = DEPTH) -> dict[str, DataFrame]:
+    """All reports on rankings (system, q_id, rank, key) against gold, by name; rankings that aren't 1..n, repeat a key or go beyond depth stop it."""
+    defects = rankings.groupBy("system", "q_id").agg(F.count("*").alias("n"), F.min("rank").alias("low"), F.max("rank").alias("high"), F.countDistinct("rank").alias("ranks"), F.countDistinct("key").alias("keys"))
+    if bad := defects.filter(~((F.col("low") == 1) & (F.col("high") == F.col("n")) & (F.col("ranks") == F.col("n")) & (F.col("keys") == F.col("n")) & (F.col("n") <= depth))).head(3):
+        raise ValueError(f"malformed rankings: {[(r.system, r.q_id) for r in bad]}")
+    if rows := gold.groupBy("q_id", "item_id").agg(F.countDistinct("importance").alias("n")).filter("n > 1").head(3):
+        raise ValueError(f"items of several classes: {[(r.q_id, r.item_id) for r in rows]}")
+    first = first_ranks(rankings, gold)
+    missed = misses(first)
+    return {"evidence": evidence_metrics(first), "per_question": per_question(first), "numeric": numeric_metrics(first, group), "mrr": mrr(first), "histogram": first_hit_histogram(first), "misses": missed, "failures": failure_counts(missed)}
 
 
 def ordered_distinct(rows: DataFrame, by: list[str], order: list[str], value: str) -> DataFrame:

@@ -6,8 +6,13 @@ import re
 from collections.abc import Callable
 from dataclasses import dataclass, field
 
+from pyspark.sql import DataFrame, SparkSession
+
 from ..sources.canonical import canonical_json, sha256
+from . import calculator
+from . import facts as catalog
 
+#: Fixed value: the grammar of call ids.
 CALL_ID = re.compile(r"[A-Za-z][A-Za-z0-9_-]{0,63}")
 KINDS = {"string": str, "integer": int, "boolean": bool, "object": dict, "array": list}
 
@@ -87,8 +92,44 @@ class Registry:
             op = self.resolve(tool, operation)
             envelope["arguments"] = checked(arguments, op.arguments)
             envelope["result"] = op.call(**envelope["arguments"])
-        except ValueError as e:
-            envelope |= {"status": "error", "error": {"kind": getattr(e, "kind", "input"), "type": type(e).__name__, "message": str(e)}}
+        except Exception as e:  # whatever a tool raises becomes a record; the ledger has every call
+            kind = getattr(e, "kind", None) or ("input" if isinstance(e, ValueError) else "tool_failure")
+            envelope |= {"status": "error", "error": {"kind": kind, "type": type(e).__name__, "message": str(e).split("\n", 1)[0]}}
+        try:
+            canonical_json(envelope)
+        except (TypeError, ValueError) as e:
+            envelope |= {"arguments": repr(arguments), "status": "error", "result": None, "error": {"kind": "tool_failure", "type": type(e).__name__, "message": "not JSON"}}
         previous = self.ledger[-1]["hash"] if self.ledger else ""
         self.ledger.append(envelope | {"position": len(self.ledger), "hash": sha256(previous + canonical_json(envelope))})
         return envelope
+
+
+def standard(spark: SparkSession, search: Callable[[str, int], list[dict]], facts: DataFrame, most: int = 1000) -> Registry:
+    """The four operations: calculator.calculate, retrieval.search, xbrl.search and xbrl.query. search(query, top_k) gives rows best first; facts is a catalog as
+    in `facts`. Results are plain JSON; a query of more than `most` facts is an error, not a cut."""
+    r = Registry()
+    text = {"type": "string", "required": True, "pattern": r"(?s).*\S.*"}
+    top = {"type": "integer", "default": 10, "minimum": 1, "maximum": 50}
+
+    def retrieval(query: str, top_k: int) -> list[dict]:
+        got = search(query.strip(), top_k)
+        if len(got) < top_k:
+            raise ToolError("too_few_results", f"{len(got)} of {top_k} results")
+        return got
+
+    def concepts(query: str, top_k: int) -> list[dict]:
+        return [x.asDict() for x in catalog.search(facts, query, top_k).orderBy("rank").collect()]
+
+    def fact_query(concept: str, filters: dict, include_dimensions: bool) -> dict:
+        found = catalog.query(facts, concept, **filters)
+        rows = catalog.public(found, include_dimensions).orderBy("fact_id").limit(most + 1).collect()
+        if len(rows) > most:
+            raise ToolError("too_many_results", f"more than {most} facts; add filters")
+        said = catalog.trace(facts, found, {"concept": concept, **filters}).first().asDict()
+        return {"facts": [{k: v if v is None or isinstance(v, (str, int, bool, list)) else str(v) for k, v in x.asDict(recursive=True).items()} for x in rows], "trace": said}
+
+    r.register(Operation("calculator", "calculate", lambda **a: calculator.calculate(**a), {"expression": text, "inputs": {"type": "object", "required": True}, "result_metadata": {"type": "object", "default": {}}}))
+    r.register(Operation("retrieval", "search", retrieval, {"query": text, "top_k": top}))
+    r.register(Operation("xbrl", "search", concepts, {"query": text, "top_k": top}))
+    r.register(Operation("xbrl", "query", fact_query, {"concept": text, "filters": {"type": "object", "default": {}}, "include_dimensions": {"type": "boolean", "default": True}}))
+    return r

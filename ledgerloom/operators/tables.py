@@ -9,6 +9,7 @@ from datetime import date
 
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from ..functions.text import DAYS_A_MONTH, DURATIONS, SCALES
 from ..sources.html import Element, tree
@@ -18,6 +19,7 @@ NAME = "(" + "|".join(MONTHS) + r")[a-z]*\.?"
 ISO = re.compile(r"\b(20\d\d)[-/](\d{1,2})[-/](\d{1,2})\b")
 DAY = re.compile(rf"\b{NAME}\s+(\d{{1,2}})(?:st|nd|rd|th)?\b(?:\s*,?\s*(20\d\d))?", re.I)
 MONTH = re.compile(rf"\b{NAME}\s*,?\s*(20\d\d)\b", re.I)
+#: Footnote markers, and the units of a change.
 MARKER = re.compile(r"\((\d{1,2}|[a-z])\)|\[(\d{1,2})\]")
 CHANGE = re.compile(r"(ppt|pts?|pp|bps?)\s*$", re.I)
 
@@ -112,35 +114,88 @@ def _span(cell: Element, name: str) -> int:
     return min(max(1, int(s)), 1000) if s.isascii() and s.isdigit() else 1
 
 
+def is_data_row(texts: list[str], small: bool = False) -> bool:
+    """A label and then data; with `small` any number counts but a bare year."""
+    labelled = False
+    for t in texts:
+        n = number(t) if t else None
+        data = is_data(t) if not small else n is not None and not re.fullmatch(r"\(?(19|20)\d\d\)?", t.strip())
+        if labelled and data:
+            return True
+        labelled = labelled or bool(t) and n is None
+    return False
+
+
 def header_rows(texts: list[list[str]]) -> int:
-    """Rows before the first that has a label and then data."""
-    for i, row in enumerate(texts):
-        labelled = False
-        for t in row:
-            if t and labelled and is_data(t):
+    """Rows before the first with a label and data; if no row has large numbers, before the first with any number but a year."""
+    for small in (False, True):
+        for i, row in enumerate(texts):
+            if is_data_row(row, small):
                 return i
-            labelled = labelled or bool(t) and not is_data(t)
     return len(texts)
 
 
-def cells_of(table: Element, around: str = "") -> list[dict]:
-    """A row for each data cell: place, label, column header, value, flags, scale and period."""
+def bands(g: list[list[Element | None]], texts: list[list[str]], top: int) -> list[int]:
+    """The first row of each header band: row 0, and every later row without data in which a cell over several columns names a period."""
+    out = [0]
+    for r in range(top, len(g)):
+        if not is_data_row(texts[r], True):
+            wide = [c for c in range(1, len(g[r])) if g[r][c] is not None and g[r][c] is g[r][c - 1] and period([texts[r][c]])]
+            if wide and (out == [0] or r > out[-1]):
+                out.append(r)
+    return out
+
+
+def metadata_row(row: list[Element | None], texts: list[str]) -> str | None:
+    """caption, unit or qualifier, of a row that is one cell over the whole width, or has nothing but such text; null for any other row."""
+    said = {t for t in texts if t}
+    if len(said) != 1 or len({id(c) for c in row if c is not None and c.text()}) != 1 or number(next(iter(said))) is not None:
+        return None
+    t = next(iter(said))
+    low = t.lower()
+    if len(row) > 1 and not all(x == t for x in texts) and not re.fullmatch(r"\(.*\)", t):
+        return None
+    if any(w in low for w, _ in SCALES) or re.search(r"\b(usd|dollars?|per share|percent)\b|[$€£]", low):
+        return "unit"
+    if re.fullmatch(r"\(.*\)|(un)?audited|restated", low):
+        return "qualifier"
+    return "caption" if period([t]) is None else None
+
+
+def fact_ids(element: Element) -> list[str]:
+    """Ids of the facts tagged inside an element, innermost only, in order."""
+    tagged = [e for e in element.all("ix:nonfraction", "ix:nonnumeric") if e.attrs.get("id")]
+    return [e.attrs["id"] for e in tagged if not any(x.attrs.get("id") for x in e.all("ix:nonfraction", "ix:nonnumeric") if x is not e)]
+
+
+def assembled(table: Element, around: str = "") -> dict:
+    """caption, scale, qualifiers, header bands and data cells of a table. A title row gives the caption where there is none, a unit row the scale; columns take
+    their headers from the band above them."""
     g = grid(table)
     texts = [["" if c is None else c.text() for c in row] for row in g]
-    top = header_rows(texts)
-    width = len(g[0]) if g else 0
-    headers = []
-    for c in range(width):
-        own: list[str] = []
-        for r in range(top):
-            if texts[r][c] and (not own or own[-1] != texts[r][c]):
-                own.append(texts[r][c])
+    top, width = header_rows(texts), len(g[0]) if g else 0
+    kinds = [metadata_row(row, t) for row, t in zip(g, texts)]
+    titles = [" ".join(e.text() for e in table.children("caption"))] + [next(t for t in texts[r] if t) for r, k in enumerate(kinds) if k == "caption"]
+    caption = next((t for t in titles if t), "")
+    low = " ".join([caption, around, *[t for r, row in enumerate(texts) if r < top or kinds[r] == "unit" for t in row]]).lower()
+    scale, starts = next((p for w, p in SCALES if w in low), None), bands(g, texts, top)
+    headers, edges = [], []
+    for n, start in enumerate(starts):
+        end = next(r for r in range(start, len(g) + 1) if r == len(g) or r >= (top if n == 0 else start) and is_data_row(texts[r], True))
+        own: list[list[str]] = []
+        for c in range(width):
+            said: list[str] = []
+            for r in range(start, end):
+                if kinds[r] is None and texts[r][c] and (not said or said[-1] != texts[r][c]):
+                    said.append(texts[r][c])
+            own.append(said)
         headers.append(own)
-    caption = " ".join(e.text() for e in table.children("caption"))
-    low = " ".join([caption, around, *[t for row in texts[:top] for t in row]]).lower()
-    scale = next((p for w, p in SCALES if w in low), None)
+        edges.append((start, end))
     out = []
     for r in range(top, len(g)):
+        band = max((i for i, s in enumerate(starts) if s <= r), default=0)
+        if edges and edges[band][0] <= r < edges[band][1] and band or kinds[r]:
+            continue
         label, seen = next((t for t in texts[r] if t and number(t) is None), ""), set()
         for c in range(width):
             cell = g[r][c]
@@ -150,18 +205,25 @@ def cells_of(table: Element, around: str = "") -> list[dict]:
             n = number(texts[r][c])
             if n is None or not label:
                 continue
+            header = headers[band][c] if headers else []
             after = texts[r][c + 1] if c + 1 < width else ""
             percent = n["is_percent"] or after == "%" or "%" in label or re.search(r"\b(percent|percentage|rate)\b", label.lower()) is not None
-            p = period(headers[c])
+            p = period(header)
             markers = [a or b for a, b in MARKER.findall(label)]
             out.append({
-                "row": r, "col": c, "label": label, "header": " ".join(headers[c]), "raw_text": texts[r][c], "value": n["value"], "is_percent": percent, "change_unit": n["change_unit"],
+                "row": r, "col": c, "band": band, "label": label, "header": " ".join(header), "raw_text": texts[r][c], "value": n["value"], "is_percent": percent, "change_unit": n["change_unit"],
                 "scale": None if percent or n["change_unit"] else scale, "period_start": p and p["start"], "period_end": p and p["end"], "months": p and p["months"], "footnotes": markers, "caption": caption,
+                "fact_ids": fact_ids(cell),
             })
-    return out
+    return {"caption": caption, "scale": scale, "qualifiers": [next(t for t in texts[r] if t) for r, k in enumerate(kinds) if k == "qualifier"], "bands": starts, "cells": out}
 
 
-CELL_SCHEMA = "table_no bigint, row bigint, col bigint, label string, header string, raw_text string, value double, is_percent boolean, change_unit string, scale int, period_start date, period_end date, months int, footnotes array<string>, caption string"
+def cells_of(table: Element, around: str = "") -> list[dict]:
+    """A row for each data cell: place, band, label, column header, value, flags, scale, period and facts tagged in it."""
+    return assembled(table, around)["cells"]
+
+
+CELL_SCHEMA = "table_no bigint, row bigint, col bigint, label string, header string, raw_text string, value double, is_percent boolean, change_unit string, scale int, period_start date, period_end date, months int, footnotes array<string>, caption string, band bigint, fact_ids array<string>"
 
 
 def cells(pages: DataFrame, key: str = "page_id", html: str = "html") -> DataFrame:
@@ -194,3 +256,12 @@ def serialised(table: Element) -> str:
             at = c["row"]
         out.append(f"- {c['header'] or c['col']}: {c['raw_text']}")
     return "\n".join(out)
+
+
+def cell_facts(cells: DataFrame, facts: DataFrame, key: str = "page_id") -> DataFrame:
+    """cells with the facts tagged in them, by document and id: cells without one stay, an id that no fact has is listed in `unknown_facts`."""
+    each = cells.select("*", F.explode_outer("fact_ids").alias("_id"))
+    known = facts.select(F.col(key).alias("_k"), F.col("fact_id").alias("_f"), F.struct(*[c for c in facts.columns if c != key]).alias("_fact"))
+    j = each.join(known, (F.col(key) == F.col("_k")) & (F.col("_id") == F.col("_f")), "left")
+    out = j.groupBy(key, "table_no", "row", "col").agg(F.filter(F.collect_list("_fact"), lambda x: x.isNotNull()).alias("facts"), F.collect_list(F.when(F.col("_f").isNull(), F.col("_id"))).alias("unknown_facts"))
+    return cells.join(out, [key, "table_no", "row", "col"])

@@ -26,29 +26,33 @@ def _long(df, *cols):
 
 
 def bm25_topk(s, d):
-    return _long(lexical.bm25(table(s, d, "documents"), _queries(s, d), 10), "q_id", "doc_id", "score", "rank")
+    return _long(lexical.index_of(table(s, d, "documents")).search(_queries(s, d), 10), "q_id", "doc_id", "score", "rank")
 
 
 def bm25_filtered_topk(s, d):
-    return _long(lexical.bm25(table(s, d, "documents"), _queries(s, d), 10, where=F.col("lang") == "en"), "q_id", "doc_id", "score", "rank")
+    docs = table(s, d, "documents")
+    return _long(lexical.index_of(docs).search(_queries(s, d), 10, docs.filter("lang = 'en'")), "q_id", "doc_id", "score", "rank")
 
 
 def bm25_index_stats(s, d):
-    out = lexical.index_stats(table(s, d, "documents"))
+    out = lexical.index_of(table(s, d, "documents")).statistics()
     return out.select("n", F.round("avgdl", 6).alias("avgdl"), "min_dl", "max_dl", "vocabulary", "postings")
 
 
 def term_df_top(s, d):
-    return _long(lexical.top_terms(table(s, d, "documents"), 50), "term", "df", "cf")
+    return _long(lexical.top_terms(lexical.index_of(table(s, d, "documents")), 50), "term", "df", "cf")
 
 
-TOKENS = r"""toks AS (SELECT doc_id, lang, regexp_extract_all(lower(coalesce(text, '')), '[\p{L}\p{N}]+') AS t FROM documents),
+#: Tokens without look-around and NFKC, which the tables need for no text; casefold's one change beyond lower-casing here is of sharp s.
+_FOLD = "replace(translate(lower(coalesce(text, '')), '‐‑‒–—−‘’', '------' || chr(39) || chr(39)), 'ß', 'ss')"
+_LEX = r"""list_transform(regexp_extract_all({x}, '[0-9]{1,3}(?:,[0-9]{3})+(?:\.[0-9]+)?%?|[\p{L}\p{N}]+(?:[-/''][\p{L}\p{N}]+)*(?:\.[0-9]+)?%?'), lambda x: replace(x, ',', ''))""".replace("{x}", _FOLD)
+TOKENS = f"""toks AS (SELECT doc_id, lang, {_LEX} AS t FROM documents),
 post AS (SELECT doc_id, term, count(*) AS tf, any_value(dl) AS dl FROM (SELECT doc_id, len(t) AS dl, unnest(t) AS term FROM toks) GROUP BY doc_id, term),
 st AS (SELECT count(*) AS n, avg(len(t)) AS avgdl, min(len(t)) AS min_dl, max(len(t)) AS max_dl FROM toks)"""
 BM25 = (
     TOKENS
-    + r""",
-q AS (SELECT DISTINCT item_id AS q_id, unnest(regexp_extract_all(lower(text), '[\p{L}\p{N}]+')) AS term FROM benchmark),
+    + ",\nq AS (SELECT DISTINCT item_id AS q_id, unnest(" + _LEX + ") AS term FROM benchmark),"
+    + r"""
 dfs AS (SELECT term, count(*) AS df FROM post WHERE term IN (SELECT term FROM q) GROUP BY term),
 scored AS (SELECT q.q_id, p.doc_id, round(sum(ln(1 + (st.n - dfs.df + 0.5) / (dfs.df + 0.5)) * p.tf * 2.5 / (p.tf + 1.5 * (0.25 + 0.75 * p.dl / st.avgdl))), 6) AS score
   FROM q JOIN post p ON p.term = q.term JOIN dfs ON dfs.term = q.term JOIN toks ON toks.doc_id = p.doc_id CROSS JOIN st WHERE {where} GROUP BY q.q_id, p.doc_id),
@@ -98,8 +102,7 @@ def _systems(s, d, depth=50):
     v = table(s, d, "embeddings")
     q = _vector_queries(v)
     a = dense.cosine(v, q, depth)
-    scored = v.crossJoin(F.broadcast(q)).select("q_id", "vec_id", F.round(dense.dot("embedding", "q_embedding"), 6).alias("score"))
-    return a, lexical.rank(scored, ["q_id"], depth, key="vec_id")
+    return a, dense.by_dot(v, q, depth)
 
 
 def rrf_fusion(s, d):
@@ -127,10 +130,43 @@ def rank_contiguity_check(s, d):
 
 
 def corpus_identity_check(s, d):
-    """Ranked candidates must agree with the corpus row in every identity field."""
-    ranked = _dense(s, d).join(table(s, d, "embeddings").select("vec_id", F.col("label").alias("claimed")), "vec_id")
-    j = ranked.join(table(s, d, "embeddings").select("vec_id", "label"), "vec_id", "left")
-    return j.groupBy("q_id").agg(F.count("*").alias("n"), F.count(F.when(F.col("label").eqNullSafe(F.col("claimed")), 1)).alias("n_identical"))
+    """Ranked candidates must agree with the corpus row in every identity field; claims of every seventh vector are off by one, every eleventh is no vector."""
+    v = table(s, d, "embeddings").select("vec_id", "label")
+    claim = F.when(F.col("vec_id") % 7 == 0, F.col("label") + 1).otherwise(F.col("label"))
+    ranked = _dense(s, d).join(v.select("vec_id", claim.alias("label")), "vec_id").withColumn("vec_id", F.when(F.col("vec_id") % 11 == 0, -F.col("vec_id") - 1).otherwise(F.col("vec_id")))
+    merged = fusion.merged_metadata(ranked.select("vec_id", "label").distinct(), v, "vec_id", ["label"]).select("vec_id", (F.size("conflicts") > 0).alias("bad"))
+    known = ranked.join(v.select("vec_id", F.lit(True).alias("known")), "vec_id", "left").join(merged, "vec_id", "left")
+    return known.groupBy("q_id").agg(F.count("*").alias("n"), F.count(F.when(F.col("known").isNull(), 1)).alias("n_unknown"), F.count(F.when(F.col("known") & F.col("bad"), 1)).alias("n_conflicts"))
+
+
+def rank_sentinel(s, d):
+    return fusion.sentinel(_dense(s, d), key="vec_id")
+
+
+def score_defects(s, d):
+    """A ranking whose scores lack every fifth candidate, repeat every seventh and have one of a stranger."""
+    r = _dense(s, d).select("q_id", "vec_id", "score")
+    scores = r.filter("vec_id % 5 <> 0").unionByName(r.filter("vec_id % 7 = 0 AND vec_id % 5 <> 0")).unionByName(r.filter("vec_id % 5 = 0").select("q_id", (-F.col("vec_id") - 1).alias("vec_id"), "score"))
+    return fusion.score_defects(r, scores, key="vec_id")
+
+
+def truncation_summary(s, d):
+    return dense.truncation(table(s, d, "conversations"), T.token_count(F.col("text")), 32)
+
+
+def vector_metadata(s, d):
+    return dense.metadata(table(s, d, "embeddings")).select("n", "min_dim", "max_dim", "n_directed")
+
+
+def bm25_batch(s, d):
+    """Every passage with the number of its results, the empty ones too."""
+    q = _queries(s, d).unionByName(s.createDataFrame([(-1, "zzzunknownterm"), (-2, "")], "q_id long, query string"))
+    got = lexical.index_of(table(s, d, "documents")).run(q, 50)
+    return got.select("q_id", F.col("n_results").cast("long").alias("n_results"), F.try_element_at("ranked_results", F.lit(1))["doc_id"].alias("best"))
+
+
+def compared_systems(s, d):
+    return metrics.compared(metrics.evidence_metrics(_first(s, d)), ["cosine", "dot"], ["part_recall", "item_coverage", "weighted_strict"])
 
 
 _TWO = DENSE.format(where="true", k=50) + ", db AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY q_id ORDER BY dot DESC, vec_id) AS rank FROM sc) WHERE rank <= 50)"
@@ -147,7 +183,7 @@ def _gold(s, d):
     q = v.filter(F.col("vec_id") % 50 == 0).select(F.col("vec_id").alias("q_id"), "label")
     item = F.col("vec_id") % 5
     importance = F.when(item == 0, "core").when(item <= 2, "supporting").otherwise("optional")
-    return v.join(F.broadcast(q), "label").select("q_id", item.alias("item_id"), (F.floor(F.col("vec_id") / 5).cast("long") % 2).alias("part_id"), importance.alias("importance"), F.col("vec_id").alias("key"))
+    return v.join(q, "label").select("q_id", item.alias("item_id"), (F.floor(F.col("vec_id") / 5).cast("long") % 2).alias("part_id"), importance.alias("importance"), F.col("vec_id").alias("key"))
 
 
 def _first(s, d):
@@ -181,7 +217,7 @@ def per_question_metrics(s, d):
 
 
 def numeric_metrics_at_k(s, d):
-    return metrics.numeric_metrics(_first(s, d))
+    return metrics.numeric_metrics(_first(s, d), F.col("item_id") % 2)
 
 
 def part_mrr(s, d):
@@ -316,7 +352,8 @@ def corpus_fingerprint(s, d):
 
 def lexical_tokens(s, d):
     """Tokens after NFKC and casefold."""
-    return table(s, d, "documents").select("doc_id", F.size(T.lexical(F.col("text"))).cast("long").alias("n_tokens"), F.sha2(T.folded(F.col("text")).cast("binary"), 256).alias("fingerprint"))
+    t = T.lexical(F.col("text"))
+    return table(s, d, "documents").select("doc_id", t.alias("t")).select("doc_id", F.size("t").cast("long").alias("n_tokens"), F.sha2(F.array_join("t", " ").cast("binary"), 256).alias("fingerprint"))
 
 
 # --- runtime
@@ -328,7 +365,7 @@ def tool_registry(s, d) -> runtime.Registry:
 
     def search(query: str, top_k: int) -> list[dict]:
         q = s.createDataFrame([(0, query)], "q_id long, query string")
-        return [r.asDict() for r in lexical.bm25(table(s, d, "documents"), q, top_k).orderBy("rank").collect()]
+        return [r.asDict() for r in lexical.index_of(table(s, d, "documents")).search(q, top_k).orderBy("rank").collect()]
 
     r.register(runtime.Operation("retrieval", "search", search, {"query": {"type": "string", "required": True, "pattern": r"(?s).*\S.*"}, "top_k": {"type": "integer", "default": 10, "minimum": 1, "maximum": 50}}))
     return r
@@ -355,7 +392,7 @@ def ledger_hash(s, d):
 
 QUERIES = {f.__name__: f for f in (
     bm25_topk, bm25_filtered_topk, bm25_index_stats, term_df_top, dense_topk, dense_filtered_topk, embedding_norms, dense_score_distribution, rrf_fusion, candidate_union, overlap_diagnostics, rerank_topk,
-    rank_contiguity_check, corpus_identity_check, evidence_metrics_at_k, per_question_metrics, numeric_metrics_at_k, part_mrr, first_hit_histogram, miss_diagnostics, failure_counts, system_comparison,
+    rank_contiguity_check, corpus_identity_check, rank_sentinel, score_defects, truncation_summary, vector_metadata, bm25_batch, compared_systems, evidence_metrics_at_k, per_question_metrics, numeric_metrics_at_k, part_mrr, first_hit_histogram, miss_diagnostics, failure_counts, system_comparison,
     paragraphs_with_offsets, section_forward_fill, prev_next_links, token_counts, chunk_ids, greedy_chunks, row_group_split, page_blocks, page_headings, page_title, page_text_stats, outline_paths,
     unit_scale_detect, percent_cells, formula_eval, passage_provenance, min_hitting_set, corpus_fingerprint, lexical_tokens, tool_invoke_envelope, ledger_hash,
 )}
@@ -374,11 +411,17 @@ ORACLES = {
     "overlap_diagnostics": "WITH " + _UNION.replace("rank <= 50", "rank <= 20") + " SELECT q_id, count(*) AS n_union, count(CASE WHEN rank_a IS NOT NULL AND rank_b IS NOT NULL THEN 1 END) AS n_both, count(CASE WHEN rank_b IS NULL THEN 1 END) AS n_only_a, count(CASE WHEN rank_a IS NULL THEN 1 END) AS n_only_b, round(100.0::DOUBLE * count(CASE WHEN rank_a IS NOT NULL AND rank_b IS NOT NULL THEN 1 END) / count(*), 6) AS overlap_pct FROM un GROUP BY q_id",
     "rerank_topk": "WITH " + _UNION + ", rr AS (SELECT un.q_id, un.vec_id, round(coalesce(score_a, 0) - 0.01::DOUBLE * e.label, 6) AS score FROM un JOIN embeddings e ON e.vec_id = un.vec_id) SELECT q_id, vec_id, score, rank FROM (SELECT *, row_number() OVER (PARTITION BY q_id ORDER BY score DESC, vec_id) AS rank FROM rr) WHERE rank <= 10",
     "rank_contiguity_check": "WITH " + DENSE.format(where="true", k=50) + " SELECT q_id, count(*) AS n, min(rank) AS low, max(rank) AS high, min(rank) = 1 AND max(rank) = count(*) AND count(DISTINCT rank) = count(*) AND count(DISTINCT vec_id) = count(*) AND count(*) <= 50 AS ok FROM da GROUP BY q_id",
-    "corpus_identity_check": "WITH " + DENSE.format(where="true", k=10) + " SELECT q_id, count(*) AS n, count(CASE WHEN da.label = e.label THEN 1 END) AS n_identical FROM da LEFT JOIN embeddings e USING (vec_id) GROUP BY q_id",
+    "corpus_identity_check": "WITH " + DENSE.format(where="true", k=10) + " SELECT q_id, count(*) AS n, count(CASE WHEN vec_id % 11 = 0 THEN 1 END) AS n_unknown, count(CASE WHEN vec_id % 11 <> 0 AND vec_id % 7 = 0 THEN 1 END) AS n_conflicts FROM da GROUP BY q_id",
+    "rank_sentinel": "WITH " + DENSE.format(where="true", k=10) + " SELECT q_id, sha256(string_agg(rank::VARCHAR || ':' || vec_id::VARCHAR, ',' ORDER BY rank)) AS fingerprint FROM da GROUP BY q_id",
+    "score_defects": "WITH " + DENSE.format(where="true", k=10) + " SELECT q_id, vec_id, 'no_score' AS defect FROM da WHERE vec_id % 5 = 0 UNION ALL SELECT q_id, -vec_id - 1, 'no_candidate' FROM da WHERE vec_id % 5 = 0 UNION ALL SELECT q_id, vec_id, 'scored_twice' FROM da WHERE vec_id % 5 <> 0 AND vec_id % 7 = 0",
+    "truncation_summary": r"WITH t AS (SELECT len(list_filter(string_split_regex(coalesce(text, ''), '\s+'), lambda x: x <> '')) AS n FROM conversations) SELECT count(*) AS n_texts, count(CASE WHEN n > 32 THEN 1 END) AS n_over, round(100.0 * count(CASE WHEN n > 32 THEN 1 END) / count(*), 6) AS pct_over, round(quantile_cont(n, 0.5), 6) AS p50, round(quantile_cont(n, 0.9), 6) AS p90, round(quantile_cont(n, 0.95), 6) AS p95, round(quantile_cont(n, 0.99), 6) AS p99, max(n) AS longest FROM t",
+    "vector_metadata": "SELECT count(*) AS n, min(len(embedding))::INT AS min_dim, max(len(embedding))::INT AS max_dim, count(CASE WHEN list_dot_product(embedding::DOUBLE[], embedding::DOUBLE[]) > 0 THEN 1 END) AS n_directed FROM embeddings",
+    "bm25_batch": BM25_SQL.replace("{where}", "true").replace("SELECT q_id, doc_id, score, rank FROM ranked WHERE rank <= 10", "SELECT item_id AS q_id, count(r.rank) AS n_results, min(CASE WHEN r.rank = 1 THEN r.doc_id END) AS best FROM benchmark LEFT JOIN (SELECT * FROM ranked WHERE rank <= 50) r ON r.q_id = item_id GROUP BY item_id UNION ALL VALUES (-1, 0, NULL), (-2, 0, NULL)"),
+    "compared_systems": "WITH " + _GOLD + ", pn AS (SELECT system, k, " + _PANEL + " FROM it2 GROUP BY system, k), lg AS (UNPIVOT pn ON part_recall, item_coverage, weighted_strict INTO NAME metric VALUE v) SELECT a.k, a.metric, a.v AS cosine, b.v AS dot, round(b.v - a.v, 9) AS dot_minus_cosine FROM lg a JOIN lg b ON a.k = b.k AND a.metric = b.metric AND a.system = 'cosine' AND b.system = 'dot'",
     "evidence_metrics_at_k": "WITH " + _GOLD + " SELECT system, k, " + _PANEL + " FROM it2 GROUP BY system, k",
     "per_question_metrics": "WITH " + _GOLD + " SELECT system, k, coalesce(q_id, -1)::BIGINT AS q_id, " + _PANEL + " FROM it2 GROUP BY GROUPING SETS ((system, k, q_id), (system, k))",
     "numeric_metrics_at_k": "WITH " + _GOLD + """, gr AS (SELECT system, k, q_id, item_id % 2 AS g, max(all_parts::INT) AS ok FROM it2 GROUP BY ALL), qs AS (SELECT system, k, q_id, min(ok) AS ok FROM gr GROUP BY ALL)
-SELECT a.system, a.k, a.strict_fact_coverage, b.group_coverage, c.complete_question_rate FROM (SELECT system, k, round(avg(all_parts::INT), 9) AS strict_fact_coverage FROM it2 GROUP BY ALL) a
+SELECT a.system, a.k, a.strict_fact_coverage, a.multi_input_strict_rate, a.mean_input_coverage, b.group_coverage, c.complete_question_rate FROM (SELECT system, k, round(avg(all_parts::INT), 9) AS strict_fact_coverage, round(avg(CASE WHEN parts > 1 THEN all_parts::INT END), 9) AS multi_input_strict_rate, round(avg(CASE WHEN parts > 1 THEN coverage END), 9) AS mean_input_coverage FROM it2 GROUP BY ALL) a
 JOIN (SELECT system, k, round(avg(ok), 9) AS group_coverage FROM gr GROUP BY ALL) b USING (system, k) JOIN (SELECT system, k, round(avg(ok), 9) AS complete_question_rate FROM qs GROUP BY ALL) c USING (system, k)""",
     "part_mrr": "WITH " + _GOLD + " SELECT system, count(*) AS n_parts, round(sum(CASE WHEN first_rank <= 50 THEN 1.0::DOUBLE / first_rank ELSE 0 END) / count(*), 9) AS part_mrr FROM fr GROUP BY system",
     "first_hit_histogram": "WITH " + _GOLD + " SELECT system, CASE WHEN first_rank IS NULL THEN 'none' WHEN first_rank = 1 THEN '1' WHEN first_rank <= 3 THEN '2-3' WHEN first_rank <= 10 THEN '4-10' WHEN first_rank <= 50 THEN '11-50' ELSE 'beyond' END AS bucket, count(*) AS n FROM fr GROUP BY ALL",
@@ -400,6 +443,7 @@ SELECT doc_id, chunk, min(position) AS first_position, max(position) AS last_pos
     "formula_eval": "SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, l_extendedprice * (1 - l_discount) * (1 + l_tax) / -l_quantity AS result FROM lineitem",
     "passage_provenance": "SELECT DISTINCT b.item_id, d.doc_id FROM benchmark b JOIN documents d ON contains(d.text, b.text)",
     "corpus_fingerprint": "WITH h AS (SELECT sha256(text) AS h FROM documents), g AS (SELECT ('0x' || h[1:3])::INT AS g, sha256(string_agg(h, ',' ORDER BY h)) AS gh FROM h GROUP BY h[1:3]) SELECT sha256('0.1.1:' || string_agg(gh, ',' ORDER BY g)) AS fingerprint FROM g",
+    "lexical_tokens": "WITH " + TOKENS + " SELECT doc_id, len(t)::BIGINT AS n_tokens, sha256(array_to_string(t, ' ')) AS fingerprint FROM toks",
     "percent_cells": """WITH c AS (SELECT l_linenumber % 3 AS m, CASE l_linenumber % 3 WHEN 0 THEN -(printf('%.1f', l_discount * 100)::DOUBLE) WHEN 1 THEN printf('%.1f', l_discount * 100)::DOUBLE ELSE 1000 + printf('%.0f', l_quantity)::DOUBLE END AS v FROM lineitem)
 SELECT m = 0 AS is_percent, m = 0 AS is_negative, m = 2 AS has_comma, CASE WHEN m = 1 THEN 'pp' END AS change_unit, count(*) AS n, round(sum(v), 3) AS total FROM c GROUP BY ALL""",
     "outline_paths": """WITH t AS (SELECT o_custkey, o_orderkey AS position, CASE WHEN o_orderkey % 7 = 0 THEN 'PART ' || (['I', 'II', 'III'])[o_orderkey % 3 + 1] END AS p, CASE WHEN o_orderkey % 7 <> 0 AND o_orderkey % 3 = 0 THEN 'Item ' || (o_orderkey % 9)::VARCHAR || '.' END AS i FROM orders),

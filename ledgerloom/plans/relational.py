@@ -1,6 +1,6 @@
 """Fact queries, checks, units, periods, requirement graphs and release operations over the star schema.
 
-Each function takes a dialect and returns SQL. Facts are line items: accession = order, concept = return flag and line status, company = customer,
+Each function takes a dialect and returns SQL; `filings` runs operators for most of them and has this SQL beside it. Facts are line items: accession = order, concept = return flag and line status, company = customer,
 period = order date to ship date, unit = the supplier's nation.
 """
 
@@ -81,8 +81,8 @@ def duplicate_ids(d) -> str:
 
 UNITS = """registry AS (
   SELECT * FROM (VALUES ('USD', 1.0, 'monetary', 'USD'), ('USD_thousand', 1000.0, 'monetary', 'USD'), ('USD_million', 1000000.0, 'monetary', 'USD'), ('USD_billion', 1000000000.0, 'monetary', 'USD'),
-    ('shares', 1.0, 'share_count', 'shares'), ('shares_thousand', 1000.0, 'share_count', 'shares'), ('shares_million', 1000000.0, 'share_count', 'shares'),
-    ('USD_per_share', 1.0, 'monetary_per_share', 'USD_per_share'), ('pure', 1.0, 'ratio', 'pure'), ('percent', 0.01, 'ratio', 'pure'), ('percentage_point', 1.0, 'percentage_point', 'percentage_point')) AS r(label, factor, dimension, canonical))"""
+    ('shares', 1.0, 'share_count', 'shares'), ('shares_thousand', 1000.0, 'share_count', 'shares'), ('shares_million', 1000000.0, 'share_count', 'shares'), ('shares_billion', 1000000000.0, 'share_count', 'shares'),
+    ('USD_per_share', 1.0, 'monetary_per_share', 'USD_per_share'), ('USD_per_basic_share', 1.0, 'monetary_per_share', 'USD_per_share'), ('USD_per_diluted_share', 1.0, 'monetary_per_share', 'USD_per_share'), ('pure', 1.0, 'ratio', 'pure'), ('percent', 0.01, 'ratio', 'pure'), ('percentage_point', 1.0, 'percentage_point', 'percentage_point')) AS r(label, factor, dimension, canonical))"""
 #: The unit that each measured column is stated in.
 MEASURES = """measures AS (
   SELECT fact_id, company, concept, 'USD' AS unit, value AS v, cast(value as double) AS base FROM facts UNION ALL
@@ -233,13 +233,6 @@ def label_distribution(d) -> str:
 # --- audits and release
 
 
-def formula_audit(d) -> str:
-    """Stated net amounts recomputed and quantised half to even to two places."""
-    net = "l_extendedprice * (1 - l_discount) * (1 + l_tax)"
-    return f"""SELECT l_returnflag, l_linestatus, cast(count(*) as bigint) AS n, cast(sum(CASE WHEN abs({net} - {d.half_even(f"({net})", 2)}) < 0.0051 THEN 1 ELSE 0 END) as bigint) AS n_consistent, round(sum(l_extendedprice * (1 - l_discount)) / 1000, 3) AS net_thousands
-FROM {d.t("lineitem")} GROUP BY l_returnflag, l_linestatus"""
-
-
 def micro_average(d) -> str:
     """Sum of numerators over sum of denominators of the applicable slots, never the mean of ratios; slots without a denominator don't apply."""
     return f"""SELECT o_orderpriority, cast(sum(CASE WHEN l_returnflag = 'R' THEN 1 ELSE 0 END) as bigint) AS numerator, cast(count(*) as bigint) AS denominator,
@@ -276,12 +269,6 @@ def release_diff(d) -> str:
 SELECT o.s_suppkey, 's_acctbal' AS field, o.s_acctbal AS old_value, n.s_acctbal AS new_value FROM {d.t("supplier")} o JOIN new_ n ON o.s_suppkey = n.s_suppkey WHERE o.s_acctbal <> n.s_acctbal"""
 
 
-def number_parse(d) -> str:
-    """Numbers in the events' properties with their parts."""
-    v = d.json("props", "k")
-    return f"""SELECT event_id, cast({v} as double) AS value, {d.like(v, "^[0-9][0-9][0-9][0-9]$")} AS bare_year FROM {d.t("events")}"""
-
-
 def event_type_counts(d) -> str:
     """Grouping sets: overall and for each type."""
     return f"""SELECT event_type, cast(count(*) as bigint) AS n, round(sum(value), 4) AS total, cast(grouping(event_type) as bigint) AS overall FROM {d.t("events")} GROUP BY GROUPING SETS ((event_type), ())"""
@@ -290,5 +277,5 @@ def event_type_counts(d) -> str:
 PLANS = [
     facts_query_exact, facts_query_unknown_concept, concept_search_tiers, concept_observations, facts_enriched, fact_fd_violations, fk_orphans, duplicate_ids, unit_normalise, unit_comparison, precision_match,
     stage1_candidates, stage2_candidates, stage3_candidates, mapping_status, duration_months, temporal_catalog, header_vs_fact_period_conflicts, temporal_resolution, requirement_closure, topo_levels, cycle_check,
-    source_fingerprints, exact_duplicate_docs, label_distribution, formula_audit, micro_average, variant_selection, relational_division, errata_overlay, release_diff, number_parse, event_type_counts,
+    source_fingerprints, exact_duplicate_docs, label_distribution, micro_average, variant_selection, relational_division, errata_overlay, release_diff, event_type_counts,
 ]
