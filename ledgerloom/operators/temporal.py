@@ -68,4 +68,4 @@ def pseudo_targets(rows: DataFrame, by: list[str], order: list[str]) -> DataFram
     pairs = pairs.unionByName(kind("across_concepts", same("company", "accession", "period_start", "period_end", "value"), F.col("a.concept") < F.col("b.concept")))
     pairs = pairs.unionByName(kind("same_end", same("company", "concept", "period_end"), F.col("a.period_start") < F.col("b.period_start")))
     cols = [f"{x}_{c}" for x in ("first", "second") for c in order]
-    return extract(pairs, "_kind", cols, 1).drop("_kind") if not by else pairs.withColumn("_k", F.struct("kind", *by)).transform(lambda p: extract(p, "_k", cols, 1)).drop("_k")
+    return extract(pairs.withColumn("_k", F.struct("kind", *by)), "_k", cols, 1).drop("_k")
