@@ -1,6 +1,12 @@
 """From documents to token files: each stage works on all its predecessor kept.
 
-ORACLE_SQL is None: SimHash, the classifier and the tokenizer aren't SQL; tests/llm compares the stages with plain versions."""
+ORACLE_SQL is None: SimHash, the classifier and the tokenizer aren't SQL; tests/llm compares the stages with plain versions.
+
+Edge cases, for every stage: null texts are empty texts and null ids, sources and other columns are kept; an empty table stays empty; texts of any length are
+worked on whole; bytes that aren't UTF-8 stay in rows that stay and count as U+FFFD where text is read; rows that repeat a doc_id are rows of their own until
+near_dedup makes a group of equal texts one row; equal texts, or equal scores, are decided alike, and one of a group stays by the least doc_id; all but the last
+stage return every column of documents, whatever its name. Token files are in ascending doc_id order, so the mix's amounts count there, not its slots' order.
+"""
 
 from __future__ import annotations
 
