@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
 import tempfile
 import zipfile
 
@@ -17,12 +19,14 @@ def ship(spark: SparkSession) -> None:
     if app in _SENT:
         return
     home = os.path.dirname(os.path.abspath(__file__))
-    path = os.path.join(tempfile.mkdtemp(prefix="ledgerloom-"), "ledgerloom.zip")
+    folder = tempfile.mkdtemp(prefix="ledgerloom-")
+    atexit.register(shutil.rmtree, folder, True)
+    path = os.path.join(folder, "ledgerloom.zip")
     with zipfile.ZipFile(path, "w", zipfile.ZIP_DEFLATED) as z:
-        for folder, _, names in os.walk(home):
+        for at, _, names in os.walk(home):
             for n in sorted(names):
                 if n.endswith(".py"):
-                    f = os.path.join(folder, n)
+                    f = os.path.join(at, n)
                     z.write(f, os.path.relpath(f, os.path.dirname(home)))
     spark.sparkContext.addPyFile(path)
     _SENT.add(app)
