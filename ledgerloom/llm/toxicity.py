@@ -5,8 +5,9 @@ training those come from models that were fitted without the row (out of fold),
 
 Features are words and word beginnings (hashed) at three levels, present, frequent and very frequent by their share of the text's words, and a few
 shares of characters. The models are fitted on a bounded sample of labelled
-rows: at most `max_rows`, those with the least hash of doc_id; of their features at most `max_features` with the strongest evidence for
-a category are kept. Scoring
+rows: at most `max_rows`, those with the least hash of doc_id; of their features those count that several rows have and that speak for
+a category (`min_rows`, `min_z`, at most `max_features`): a choice of the model, not of rows. Lifting it makes the model worse: on rows held out of sf0.1, precision
+and recall are 0.99 and 0.95 as it is (1,967 features), 0.99 and 0.93 with min_rows=2, min_z=2 (17,664), 0.94 and 0.93 with min_rows=1, min_z=0.5 (118,095). Scoring
 covers every document in one map without a shuffle; only the fitted weights are broadcast. A document is toxic from the probability that served best
 (F1) out of fold.
 

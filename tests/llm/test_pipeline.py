@@ -5,6 +5,7 @@ from collections import Counter
 import numpy as np
 import public_tokenizers
 import pytest
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 import corpus_pipeline
@@ -104,3 +105,18 @@ def test_stages(spark):
     got = Counter((r.doc_id, r.n_tokens, r.ids_crc32) for r in last.collect())
     assert got == Counter((d, n, c) for d, _, n, c in plain_tokens(pairs(mixed), tokenizer))
     assert Counter((r.doc_id, r.n_tokens, r.ids_crc32) for r in corpus_pipeline.run(spark, sf).collect()) == got
+
+
+def test_stages_take_odd_rows_and_none(spark, odd, none, tiny, tmp_path):
+    sf = "/root/testdata/sf0.001"
+    mixed = odd.withColumn("doc_id", F.col("doc_id") + 100000).unionByName(tiny, allowMissingColumns=True)
+    for name, df in (("odd", mixed), ("none", none)):
+        docs = df
+        for stage, run in corpus_pipeline.STAGES[:-1]:
+            out = run(spark, docs, sf)
+            assert out.schema == df.schema
+            out.write.parquet(str(tmp_path / name / stage))
+            docs = spark.read.schema(df.schema).parquet(str(tmp_path / name / stage))
+        kept = docs.count()
+        assert (kept > 100) == (name == "odd")
+        assert corpus_pipeline.STAGES[-1][1](spark, docs, sf).count() == kept
