@@ -4,8 +4,9 @@ Symbols are words. Patterns are the windows of 10 consecutive item words (an ite
 searcher: a shift table over blocks of two words says how far the window may jump, a block with shift zero names a bucket of patterns with that
 suffix, and direct comparison of the words confirms an occurrence. Text of no pattern is passed in jumps of up to nine words.
 
-The pattern tables are broadcast in groups of at most `max_patterns` windows; a larger benchmark takes several passes over the documents, each with
-one group, and the hit words of all passes are united, so results don't depend on the bound. Nothing is shuffled.
+The pattern tables are broadcast in groups of at most `max_patterns` windows (tables take about 1 kB of a worker's memory for each: 260 MB, measured); a
+larger benchmark takes several passes over the documents, each with one group, which write the texts in between; the hit words of all passes are united, so
+results don't depend on the bound. Nothing is shuffled.
 
 Edge cases: null texts and ids are kept (a null text has no words; windows of an item without an id hit words, only the items leave it out); an item without
 words has no window; items with equal windows all count; repeated document rows are separate rows, repeated item rows count once by item_id; texts of any
@@ -125,7 +126,7 @@ def _tables(handle, size: int) -> list[Searcher]:
 _TABLES: dict = {}
 
 
-def find(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW, max_patterns: int = 500_000) -> DataFrame:
+def find(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW, max_patterns: int = 250_000) -> DataFrame:
     """One row for each document: doc_id, n_words, spans (hit intervals of words, end exclusive), items (ids with occurring windows, ascending)."""
     spark = docs.sparkSession
     text_batches(spark)
@@ -171,7 +172,7 @@ def unite(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return out
 
 
-def clean(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW, max_patterns: int = 500_000) -> DataFrame:
+def clean(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW, max_patterns: int = 250_000) -> DataFrame:
     """The documents without an occurrence, every column as it was."""
     spark, names = docs.sparkSession, docs.columns
     text_batches(spark)
