@@ -112,6 +112,30 @@ def test_token_files(spark, tiny, none, odd, tmp_path):
     assert all(a.start + a.n_tokens == b.start for a, b in zip(by, by[1:])) and [r.doc_id for r in by if r.doc_id is not None] == sorted(r.doc_id for r in got if r.doc_id is not None)
 
 
+def test_files_have_stripes_indexes_and_filters(spark, tmp_path):
+    """Footers say it: stripes, integers run-length encoded, row indexes and Bloom filters on doc_id; ids ascend from file to file, so statistics prune."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    path = token_orc.write_tokens(docs, str(tmp_path / "orc"), partitions=2, stripe_bytes=64 << 10)
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    ranges, stripes = [], 0
+    for file in sorted((tmp_path / "orc").glob("*.orc")):
+        reader = jvm.org.apache.orc.OrcFile.createReader(jvm.org.apache.hadoop.fs.Path(str(file)), jvm.org.apache.orc.OrcFile.readerOptions(conf))
+        rows, found = reader.rows(), reader.getStripes()
+        stripes += found.size()
+        for i in range(found.size()):
+            footer = rows.readStripeFooter(found.get(i))
+            kinds = {(x.getColumn(), x.getKind().toString()) for x in footer.getStreamsList()}
+            assert (1, "BLOOM_FILTER_UTF8") in kinds and (1, "ROW_INDEX") in kinds and not any(k == "BLOOM_FILTER_UTF8" and c != 1 for c, k in kinds)
+            assert {x.getKind().toString() for x in list(footer.getColumnsList())[1:]} == {"DIRECT_V2"}
+        assert reader.getRowIndexStride() == 1000
+        own = [r.doc_id for r in spark.read.orc(str(file)).select("doc_id").collect()]
+        assert own == sorted(own)
+        ranges.append((own[0], own[-1]))
+    assert len(ranges) == 2 and stripes >= 2 and sorted(ranges)[0][1] < sorted(ranges)[1][0]
+    some = token_orc.read_tokens(spark, path, [ranges[0][0], ranges[1][1]])
+    assert "PushedFilters: [In(doc_id" in some._jdf.queryExecution().toString() and some.count() == 2
+
+
 @settings(max_examples=300, deadline=None)
 @given(st.text(max_size=60) | st.text(alphabet="aΣσ ́ ͏ İßﬁ'sRE<|endoftext|>12́ \x1c\x85\t", max_size=40))
 def test_word_encoder(text):
