@@ -342,7 +342,8 @@ def passage_provenance(s, d):
 
 def min_hitting_set(s, d):
     gold = table(s, d, "lineitem").select(F.col("l_suppkey"), F.col("l_returnflag").alias("part"), (F.col("l_partkey") % 7).alias("alternative"))
-    return provenance.hitting_sets(gold, "l_suppkey", "part", "alternative")
+    got = provenance.hitting_sets(gold, "l_suppkey", "part", "alternative")
+    return got.select("l_suppkey", "n_parts", F.array_join("chosen", ",").alias("chosen"))
 
 
 def corpus_fingerprint(s, d):
@@ -443,6 +444,10 @@ SELECT doc_id, chunk, min(position) AS first_position, max(position) AS last_pos
     "formula_eval": "SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, l_extendedprice * (1 - l_discount) * (1 + l_tax) / -l_quantity AS result FROM lineitem",
     "passage_provenance": "SELECT DISTINCT b.item_id, d.doc_id FROM benchmark b JOIN documents d ON contains(d.text, b.text)",
     "corpus_fingerprint": "WITH h AS (SELECT sha256(text) AS h FROM documents), g AS (SELECT ('0x' || h[1:3])::INT AS g, sha256(string_agg(h, ',' ORDER BY h)) AS gh FROM h GROUP BY h[1:3]) SELECT sha256('0.1.1:' || string_agg(gh, ',' ORDER BY g)) AS fingerprint FROM g",
+    "min_hitting_set": """WITH g AS (SELECT l_suppkey, l_returnflag AS part, bit_or(1 << (6 - l_partkey % 7)::INT) AS m FROM lineitem GROUP BY ALL),
+c AS (SELECT s.l_suppkey, r.x::INT AS mask FROM (SELECT DISTINCT l_suppkey FROM g) s, range(1, 128) r(x) WHERE NOT EXISTS (SELECT 1 FROM g WHERE g.l_suppkey = s.l_suppkey AND (g.m & r.x::INT) = 0)),
+b AS (SELECT *, row_number() OVER (PARTITION BY l_suppkey ORDER BY bit_count(mask), mask DESC) AS n FROM c)
+SELECT l_suppkey, (SELECT count(*) FROM g WHERE g.l_suppkey = b.l_suppkey) AS n_parts, array_to_string(list_filter([0, 1, 2, 3, 4, 5, 6], lambda a: ((mask >> (6 - a)) & 1) = 1), ',') AS chosen FROM b WHERE n = 1""",
     "lexical_tokens": "WITH " + TOKENS + " SELECT doc_id, len(t)::BIGINT AS n_tokens, sha256(array_to_string(t, ' ')) AS fingerprint FROM toks",
     "percent_cells": """WITH c AS (SELECT l_linenumber % 3 AS m, CASE l_linenumber % 3 WHEN 0 THEN -(printf('%.1f', l_discount * 100)::DOUBLE) WHEN 1 THEN printf('%.1f', l_discount * 100)::DOUBLE ELSE 1000 + printf('%.0f', l_quantity)::DOUBLE END AS v FROM lineitem)
 SELECT m = 0 AS is_percent, m = 0 AS is_negative, m = 2 AS has_comma, CASE WHEN m = 1 THEN 'pp' END AS change_unit, count(*) AS n, round(sum(v), 3) AS total FROM c GROUP BY ALL""",
