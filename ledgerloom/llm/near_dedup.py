@@ -10,8 +10,8 @@ compared by shingles; two ways lead to candidates:
    never the result), and two nodes at 0.8 have a common shingle among the first fifth of both. Nodes are entered under these; those that meet, and could
    reach 0.8 by their sizes and the shingle's places, are candidates.
 
-Under each key two nodes, chosen anew in every turn, are compared with the others first (stars), so what SimHash left of a large group collapses as well;
-as long as a turn halves the entries under keys that have more than `limit` and hold several classes, up to `rounds` times. Then all pairs under every key whose nodes aren't
+Under keys with more than `limit` entries of several classes two nodes, chosen anew in every turn, are compared with the others first (stars), so what SimHash left
+of a large group collapses as well, as long as a turn halves the entries under such keys, up to `rounds` times. Then all pairs under every key whose nodes aren't
 in one class yet are compared, in blocks: every member is entered, so none is skipped for another. Only pairs of different classes are emitted.
 
 Texts of candidates are picked by their nodes: up to `sent` nodes (8 bytes each) are sent to the texts, so these don't move; more nodes than that are joined with
@@ -208,12 +208,16 @@ def _block_pairs(batches: Iterator[pa.RecordBatch], least: float) -> Iterator[pa
     give_back()
 
 
-def _mixed_keys(rows: DataFrame, turn: int) -> DataFrame:
-    """Of each key whose nodes aren't in one class: n entries, two nodes picked by hashes of this turn. All sums are partial, so a key's rows never meet."""
+def _mixed_keys(rows: DataFrame) -> DataFrame:
+    """(key, n) of the keys whose nodes aren't in one class. All sums are partial, so a key's rows never meet."""
+    keys = rows.groupBy("key").agg(F.count("*").alias("n"), F.min("class").alias("a"), F.max("class").alias("b"))
+    return written(keys.filter("a <> b").select("key", "n"), "dedup-keys")
+
+
+def _picked(rows: DataFrame, turn: int) -> DataFrame:
+    """Of each key two nodes, picked by hashes of this turn, also by partial sums."""
     picked = [F.xxhash64("node", F.lit(2 * turn + k)) for k in (0, 1)]
-    of = [F.min_by(c, h).alias(f"{c}{k}") for k, h in enumerate(picked) for c in ("node", "size", "pos", "class")]
-    keys = rows.groupBy("key").agg(F.count("*").alias("n"), F.min("class").alias("a"), F.max("class").alias("b"), *of)
-    return written(keys.filter("a <> b").drop("a", "b"), "dedup-keys")
+    return written(rows.groupBy("key").agg(*[F.min_by(c, h).alias(f"{c}{k}") for k, h in enumerate(picked) for c in ("node", "size", "pos", "class")]), "dedup-picked")
 
 
 def _may(size: Column, pos: Column, other_size: Column, other_pos: Column, least: float) -> Column:
@@ -221,16 +225,17 @@ def _may(size: Column, pos: Column, other_size: Column, other_pos: Column, least
     return F.least(size - pos, other_size - other_pos) >= F.ceil(F.lit(least / (1 + least)) * (size + other_size) - 1e-9)
 
 
-def _stars(rows: DataFrame, keys: DataFrame, least: float) -> DataFrame:
-    """Pairs of each key's picked nodes with its nodes of other classes."""
+def _stars(rows: DataFrame, crowded: DataFrame, turn: int, least: float) -> DataFrame:
+    """Pairs of the picked nodes of each crowded key with its nodes of other classes."""
+    rows = written(rows.join(crowded.select("key"), "key"), "dedup-crowded")
     meets = [F.when((F.col("class") != F.col(f"class{k}")) & _may(F.col("size"), F.col("pos"), F.col(f"size{k}"), F.col(f"pos{k}"), least), F.col(f"node{k}")) for k in (0, 1)]
-    found = rows.join(keys, "key").select("node", F.explode(F.array(*meets)).alias("p")).filter("p IS NOT NULL")
+    found = rows.join(_picked(rows, turn), "key").select("node", F.explode(F.array(*meets)).alias("p")).filter("p IS NOT NULL")
     return found.select(F.least("p", "node").alias("u"), F.greatest("p", "node").alias("v"))
 
 
 def _meet_all(rows: DataFrame, keys: DataFrame, least: float, block: int) -> DataFrame:
     """All pairs of different classes under each key; a key's entries are split into blocks that meet pair by pair in different tasks."""
-    keys = keys.select("key", F.ceil(F.col("n") / block).cast("int").alias("blocks"), "n")
+    keys = keys.withColumn("blocks", F.ceil(F.col("n") / block).cast("int"))
     n = keys.agg(F.sum(F.col("n") * F.col("blocks"))).first()[0] or 0
     e = rows.join(keys.drop("n"), "key")
     e = e.withColumn("mine", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
@@ -262,10 +267,11 @@ def classes(texts: DataFrame, n: int, fps: DataFrame, least: float = 0.8, rounds
     while True:
         labels = connected(links, settle=False)
         rows = met.join(labels, "node", "left").select("key", "node", "size", "pos", F.coalesce("label", "node").alias("class"))
-        keys = _mixed_keys(rows, turn)
-        crowd = keys.filter(F.col("n") > limit).agg(F.sum("n")).first()[0] or 0
+        keys = _mixed_keys(rows)
+        crowded = keys.filter(F.col("n") > limit)
+        crowd = crowded.agg(F.sum("n")).first()[0] or 0
         final = turn == rounds or not crowd or crowd > before / 2
-        pairs = (_meet_all(rows, keys, least, block) if final else _stars(rows, keys, least)).distinct()
+        pairs = (_meet_all(rows, keys, least, block) if final else _stars(rows, crowded, turn, least)).distinct()
         fresh = written(pairs.join(compared, ["u", "v"], "left_anti"), "dedup-pairs")
         new = written(_verified(fresh, texts, least, sent), "dedup-links")
         links, compared = links.unionByName(new), compared.unionByName(fresh)

@@ -185,7 +185,7 @@ def linked(distinct: DataFrame, n: int, radius: int = 4, block: int = 4096) -> t
     own = written(links(nodes, segments, n, radius, False, block), "simhash-links")
     first = connected(own, settle=False)
     nodes = written(merged(nodes, first), "simhash-own")
-    more = links(nodes, segments, n, radius, True, block)
+    more = written(links(nodes, segments, n, radius, True, block), "simhash-links")  # not read by the next Python stage in the same task
     return nodes, own.unionByName(more).unionByName(first.select(F.col("node").alias("u"), F.col("label").alias("v")))
 
 
