@@ -10,9 +10,10 @@ compared by shingles; two ways lead to candidates:
    never the result), and two nodes at 0.8 have a common shingle among the first fifth of both. Nodes are entered under these; those that meet, and could
    reach 0.8 by their sizes and the shingle's places, are candidates.
 
-Under keys with more than `limit` entries of several classes two nodes, chosen anew in every turn, are compared with the others first (stars), so what SimHash left
-of a large group collapses as well, as long as a turn halves the entries under such keys, up to `rounds` times. Then all pairs under every key whose nodes aren't
-in one class yet are compared, in blocks: every member is entered, so none is skipped for another. Only pairs of different classes are emitted.
+Under keys of several classes two nodes, chosen anew in every turn, are compared with the others first (stars), so what SimHash left of a group collapses as well:
+once, and while keys with more than `limit` entries hold several classes and turns find links, up to `rounds` times. Then all pairs under every key whose nodes aren't
+in one class yet are compared, in blocks: every member is entered, so none is skipped for another. Only pairs of different classes are emitted, and of these only
+what a sketch of both sets (32 buckets of their hashes) leaves possible, a bound that loses none.
 
 Texts of candidates are picked by their nodes: up to `sent` nodes (8 bytes each) are sent to the texts, so these don't move; more nodes than that are joined with
 the texts, which moves them. Both give the same rows; the second alone would move all texts once in every turn, the first alone would have no bound.
@@ -34,7 +35,7 @@ from pyspark.sql import functions as F
 
 from .common import free, give_back, parallelism, text_batches, text_bytes, text_parts, whole_groups, written
 from .components import connected
-from .simhash import SEED, fingerprint, linked, merged, shingles
+from .simhash import SEED, folded, linked, merged, shingle_hashes, shingles
 
 SIZE = 5
 #: Ids (8 bytes each) up to which the side that selects texts is broadcast.
@@ -44,15 +45,23 @@ SAMPLE, FREQUENT = 20_000, 100_000
 ENTRY = "key bigint, node bigint, size int, pos int"
 
 
+def sketch(hashes: np.ndarray) -> np.ndarray:
+    """Numbers of distinct hashes in 32 buckets (255 at most), as four longs."""
+    return np.minimum(np.bincount(np.unique(hashes) >> np.uint64(59), minlength=32), 255).astype(np.uint8).view(np.int64)
+
+
 def _marked(batches: Iterator[pa.RecordBatch], at: int, names: list[str]) -> Iterator[pa.RecordBatch]:
-    """Adds the hash of the words and the fingerprint."""
+    """Adds the hash of the words, the fingerprint and the sketch."""
     import xxhash
 
     for b in batches:
         texts = [t or b"" for t in text_bytes(b.column(at))]
         h = np.array([xxhash.xxh64_intdigest(b" ".join(t.lower().split()), SEED) for t in texts], np.uint64).view(np.int64)
-        f = np.array([fingerprint(t, SIZE) for t in texts], np.uint64).view(np.int64)
-        yield pa.RecordBatch.from_arrays([*b.columns, pa.array(h), pa.array(f)], names=[*b.schema.names, *names])
+        f, s = np.zeros(len(texts), np.uint64), np.zeros((len(texts), 4), np.int64)
+        for i, t in enumerate(texts):
+            own = shingle_hashes(t, SIZE)
+            f[i], s[i] = folded(own), sketch(own)
+        yield pa.RecordBatch.from_arrays([*b.columns, pa.array(h), pa.array(f.view(np.int64)), *[pa.array(np.ascontiguousarray(s[:, k])) for k in range(4)]], names=[*b.schema.names, *names])
     give_back()
 
 
@@ -190,9 +199,21 @@ def _pairs(found: list[tuple[np.ndarray, np.ndarray]]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["u", "v"])
 
 
+def _near(sketches: np.ndarray, size: np.ndarray, a: np.ndarray, b: np.ndarray, least: float) -> np.ndarray:
+    """Whether sets of rows a and b can reach the similarity: buckets differ by no more than sets do."""
+    out = np.zeros(len(a), bool)
+    for lo in range(0, len(a), 1 << 16):
+        x, y = a[lo : lo + (1 << 16)], b[lo : lo + (1 << 16)]
+        apart = np.abs(sketches[x] - sketches[y]).sum(1, dtype=np.int64)
+        out[lo : lo + (1 << 16)] = apart <= (size[x].astype(np.int64) + size[y]) * (1 - least) / (1 + least) + 1e-6
+    return out
+
+
 def _block_pairs(batches: Iterator[pa.RecordBatch], least: float) -> Iterator[pa.RecordBatch]:
-    """Rows (key, i, j, side, node, size, pos, class) sorted by the first three: pairs of a block (i = j), or across two, of different classes."""
-    for key, i, j, side, node, size, pos, comp in whole_groups(batches, 3):
+    """Rows (key, i, j, side, node, size, pos, class, four longs of a sketch) sorted by the first three: pairs of a block (i = j), or across two, of different
+    classes, that sizes, places and sketches leave open."""
+    for key, i, j, side, node, size, pos, comp, *longs in whole_groups(batches, 3):
+        sketches = np.stack(longs, axis=1).view(np.uint8).astype(np.int16)
         group, _, _ = _groups([key, i, j])
         within, found, at, lag = i == j, [], np.arange(len(key)), 1
         while True:
@@ -202,6 +223,7 @@ def _block_pairs(batches: Iterator[pa.RecordBatch], least: float) -> Iterator[pa
                 break
             m = at[(comp[at] != comp[at + lag]) & (within[at] | (side[at] != side[at + lag]))]
             m = m[_can(size, pos, m, m + lag, least)]
+            m = m[_near(sketches, size, m, m + lag, least)]
             found.append((node[m], node[m + lag]))
             lag += 1
         yield _pairs(found)
@@ -225,21 +247,21 @@ def _may(size: Column, pos: Column, other_size: Column, other_pos: Column, least
     return F.least(size - pos, other_size - other_pos) >= F.ceil(F.lit(least / (1 + least)) * (size + other_size) - 1e-9)
 
 
-def _stars(rows: DataFrame, crowded: DataFrame, turn: int, least: float) -> DataFrame:
-    """Pairs of the picked nodes of each crowded key with its nodes of other classes."""
-    rows = written(rows.join(crowded.select("key"), "key"), "dedup-crowded")
+def _stars(rows: DataFrame, keys: DataFrame, turn: int, least: float) -> DataFrame:
+    """Pairs of the picked nodes of each key with its nodes of other classes."""
+    rows = written(rows.join(keys.select("key"), "key"), "dedup-mixed")
     meets = [F.when((F.col("class") != F.col(f"class{k}")) & _may(F.col("size"), F.col("pos"), F.col(f"size{k}"), F.col(f"pos{k}"), least), F.col(f"node{k}")) for k in (0, 1)]
     found = rows.join(_picked(rows, turn), "key").select("node", F.explode(F.array(*meets)).alias("p")).filter("p IS NOT NULL")
     return found.select(F.least("p", "node").alias("u"), F.greatest("p", "node").alias("v"))
 
 
-def _meet_all(rows: DataFrame, keys: DataFrame, least: float, block: int) -> DataFrame:
-    """All pairs of different classes under each key; a key's entries are split into blocks that meet pair by pair in different tasks."""
+def _meet_all(rows: DataFrame, keys: DataFrame, sketches: DataFrame, least: float, block: int) -> DataFrame:
+    """sketches: (node, s0, s1, s2, s3). All pairs of different classes under each key; a key's entries are split into blocks that meet pair by pair in different tasks."""
     keys = keys.withColumn("blocks", F.ceil(F.col("n") / block).cast("int"))
     n = keys.agg(F.sum(F.col("n") * F.col("blocks"))).first()[0] or 0
-    e = rows.join(keys.drop("n"), "key")
+    e = rows.join(keys.drop("n"), "key").join(sketches, "node")
     e = e.withColumn("mine", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    e = e.select("key", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), (F.col("mine") <= F.col("other")).cast("int").alias("side"), "node", "size", "pos", "class")
+    e = e.select("key", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), (F.col("mine") <= F.col("other")).cast("int").alias("side"), "node", "size", "pos", "class", "s0", "s1", "s2", "s3")
     e = e.repartition(parallelism(rows.sparkSession, n), "key", "i", "j").sortWithinPartitions("key", "i", "j")
     return e.mapInArrow(lambda it: _block_pairs(it, least), "u bigint, v bigint")
 
@@ -255,45 +277,43 @@ def _close(fps: DataFrame, n: int, close: int) -> DataFrame:
 
 
 def classes(texts: DataFrame, n: int, fps: DataFrame, least: float = 0.8, rounds: int = 3, limit: int = 256, block: int = 4096, close: int = 4, sent: int = SENT) -> DataFrame:
-    """texts: (node, text binary), n rows, each node once; fps: (node, fp). -> (node, label): every node that is joined to a lesser one, with its
+    """texts: (node, text binary), n rows, each node once; fps: (node, fp, s0, s1, s2, s3). -> (node, label): every node that is joined to a lesser one, with its
     group's least node."""
     spark = texts.sparkSession
-    compared = written(_close(fps, n, close).distinct(), "dedup-pairs")
+    compared = written(_close(fps.select("node", "fp"), n, close).distinct(), "dedup-pairs")
     links = written(_verified(compared, texts, least, sent), "dedup-links")
     last = spark.sparkContext.broadcast(frequent(texts, n))
     entries = texts.mapInArrow(lambda it: _entered(it, last, least), ENTRY).repartition(text_parts(texts), "key").sortWithinPartitions("key")
     met = written(entries.mapInArrow(_shared, ENTRY), "dedup-met")
-    turn, before = 0, math.inf
+    turn, found, sketches = 0, True, fps.drop("fp")
     while True:
         labels = connected(links, settle=False)
         rows = met.join(labels, "node", "left").select("key", "node", "size", "pos", F.coalesce("label", "node").alias("class"))
         keys = _mixed_keys(rows)
-        crowded = keys.filter(F.col("n") > limit)
-        crowd = crowded.agg(F.sum("n")).first()[0] or 0
-        final = turn == rounds or not crowd or crowd > before / 2
-        pairs = (_meet_all(rows, keys, least, block) if final else _stars(rows, crowded, turn, least)).distinct()
+        final = turn == rounds or turn > 0 and (not found or not keys.filter(F.col("n") > limit).head(1))
+        pairs = (_meet_all(rows, keys, sketches, least, block) if final else _stars(rows, keys, turn, least)).distinct()
         fresh = written(pairs.join(compared, ["u", "v"], "left_anti"), "dedup-pairs")
         new = written(_verified(fresh, texts, least, sent), "dedup-links")
         links, compared = links.unionByName(new), compared.unionByName(fresh)
         if final:
             return connected(links)
-        turn, before = turn + 1, crowd
+        turn, found = turn + 1, bool(new.head(1))
 
 
 def unique(docs: DataFrame, **options) -> DataFrame:
     """One document of each group, every column as it was: the one with the least doc_id. Options are those of classes()."""
     text_batches(docs.sparkSession)
     at, names, sent = docs.columns.index("text"), docs.columns, options.get("sent", SENT)
-    node, fp, row = free(docs, "_node", "_fp", "_row")
+    node, fp, row, *marks = free(docs, "_node", "_fp", "_row", *[f"_s{k}" for k in range(4)])
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
-    marked = docs.mapInArrow(lambda it: _marked(it, at, [node, fp]), f"{fields}, {node} bigint, {fp} bigint").withColumn(row, F.monotonically_increasing_id())
+    marked = docs.mapInArrow(lambda it: _marked(it, at, [node, fp, *marks]), f"{fields}, {node} bigint, {fp} bigint, " + ", ".join(f"{m} bigint" for m in marks)).withColumn(row, F.monotonically_increasing_id())
     marked = written(marked, "dedup-marked")
-    rows = marked.select(F.col("doc_id").cast("long").alias("d"), F.col(node).alias("node"), F.col(row).alias("row"), F.col(fp).alias("fp"))
-    each = written(rows.groupBy("node").agg(F.min(F.struct(F.col("d").isNull().alias("z"), "d", "row")).alias("m"), F.min("row").alias("row"), F.min("fp").alias("fp"), F.count("*").alias("copies")), "dedup-nodes")
+    rows = marked.select(F.col("doc_id").cast("long").alias("d"), F.col(node).alias("node"), F.col(row).alias("row"), F.col(fp).alias("fp"), *[F.col(m).alias(f"s{k}") for k, m in enumerate(marks)])
+    each = written(rows.groupBy("node").agg(F.min(F.struct(F.col("d").isNull().alias("z"), "d", "row")).alias("m"), F.min("row").alias("row"), F.min("fp").alias("fp"), *[F.min(f"s{k}").alias(f"s{k}") for k in range(4)], F.count("*").alias("copies")), "dedup-nodes")
     spare = rows.select("node", F.col("row").alias("r")).join(each.filter("copies > 1").select("node", F.col("row").alias("one")), "node").filter("r <> one").select(F.col("r").alias("row"))
     spare = written(spare, "dedup-copies")
     texts = marked.select(F.col(node).alias("node"), F.col("text").cast("binary").alias("text"), F.col(row).alias("row"))
     texts = texts.join(F.broadcast(spare) if spare.count() <= sent else spare, "row", "left_anti").select("node", "text")
-    labels = classes(texts, each.count(), each.select("node", "fp"), **options)
+    labels = classes(texts, each.count(), each.select("node", "fp", "s0", "s1", "s2", "s3"), **options)
     stays = each.join(labels, "node", "left").groupBy(F.coalesce("label", "node").alias("class")).agg(F.min(F.struct("m.z", "m.d", "node", "m.row")).alias("k"))
     return marked.join(stays.select(F.col("k.row").alias(row)), row, "left_semi").select(*[F.col(f"`{c}`") for c in names])

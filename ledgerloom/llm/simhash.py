@@ -49,20 +49,28 @@ def shingles(text: bytes | None, size: int) -> list[bytes]:
     return [joined[a:b] for a, b in zip(starts, ends[size - 1 :].tolist())]
 
 
-def fingerprint(text: bytes | None, size: int) -> int:
-    """64 bits; a bit is one if set in over half the shingles' XXH64, repeats included."""
+def shingle_hashes(text: bytes | None, size: int) -> np.ndarray:
+    """XXH64 of the shingles, repeats included."""
     import xxhash
 
     h = xxhash.xxh64_intdigest
-    hashes = np.array([h(s, SEED) for s in shingles(text, size)], ">u8")
+    return np.array([h(s, SEED) for s in shingles(text, size)], np.uint64)
+
+
+def folded(hashes: np.ndarray) -> int:
+    """64 bits; a bit is one if set in over half the hashes."""
     if not len(hashes):
         return 0
-    ones = np.zeros(64, np.int64)
+    ones, hashes = np.zeros(64, np.int64), hashes.astype(">u8")
     for i in range(0, len(hashes), 1 << 16):
         ones += np.unpackbits(hashes[i : i + (1 << 16)].view(np.uint8).reshape(-1, 8), axis=1).sum(0, dtype=np.int64)
     return int.from_bytes(np.packbits(2 * ones > len(hashes)).tobytes(), "big")
 
 
+def fingerprint(text: bytes | None, size: int) -> int:
+    return folded(shingle_hashes(text, size))
+
+
 def _fingerprints(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.RecordBatch]:
     for b in batches:
         texts = b.column(1)
