@@ -10,10 +10,10 @@ compared by shingles; two ways lead to candidates:
    never the result), and two nodes at 0.8 have a common shingle among the first fifth of both. Nodes are entered under these; those that meet, and could
    reach 0.8 by their sizes and the shingle's places, are candidates.
 
-Under keys of several classes two nodes, chosen anew in every turn, are compared with the others first (stars), so what SimHash left of a group collapses as well:
-once, and while keys with more than `limit` entries hold several classes and turns find links, up to `rounds` times. Then all pairs under every key whose nodes aren't
-in one class yet are compared, in blocks: every member is entered, so none is skipped for another. Only pairs of different classes are emitted, and of these only
-what a sketch of both sets (32 buckets of their hashes) leaves possible, a bound that loses none.
+Keys of up to `limit` entries make few pairs whatever a group's size, at most (limit - 1) / 2 for an entry. Under keys with more two nodes, chosen anew in every turn, are compared with those of other classes first (stars), so what SimHash left of a large
+group collapses as well: while such keys hold several classes and turns find links, up to `rounds` times. Then all pairs under every key whose nodes aren't
+in one class yet are compared, in blocks: every member is entered, so none is skipped for another. Stars and blocks emit only pairs of different classes, and of these
+only what a sketch of both sets (32 buckets of their hashes) leaves possible, a bound that loses none.
 
 Texts of candidates are picked by their nodes: up to `sent` nodes (8 bytes each) are sent to the texts, so these don't move; more nodes than that are joined with
 the texts, which moves them. Both give the same rows; the second alone would move all texts once in every turn, the first alone would have no bound.
@@ -43,6 +43,8 @@ SENT = 1_000_000
 #: Nodes sampled for the order of shingles, and the most shingles (16 bytes each) that are put last by it.
 SAMPLE, FREQUENT = 20_000, 100_000
 ENTRY = "key bigint, node bigint, size int, pos int"
+#: An entry with its class and its node's sketch, without the key.
+FIELDS = ("node", "size", "pos", "class", "s0", "s1", "s2", "s3")
 
 
 def sketch(hashes: np.ndarray) -> np.ndarray:
@@ -239,20 +241,29 @@ def _mixed_keys(rows: DataFrame) -> DataFrame:
 def _picked(rows: DataFrame, turn: int) -> DataFrame:
     """Of each key two nodes, picked by hashes of this turn, also by partial sums."""
     picked = [F.xxhash64("node", F.lit(2 * turn + k)) for k in (0, 1)]
-    return written(rows.groupBy("key").agg(*[F.min_by(c, h).alias(f"{c}{k}") for k, h in enumerate(picked) for c in ("node", "size", "pos", "class")]), "dedup-picked")
+    return written(rows.groupBy("key").agg(*[F.min_by(c, h).alias(f"{c}_{k}") for k, h in enumerate(picked) for c in FIELDS]), "dedup-picked")
 
 
-def _may(size: Column, pos: Column, other_size: Column, other_pos: Column, least: float) -> Column:
-    """_can as a Column."""
-    return F.least(size - pos, other_size - other_pos) >= F.ceil(F.lit(least / (1 + least)) * (size + other_size) - 1e-9)
+def _star_pairs(batches: Iterator[pa.RecordBatch], least: float) -> Iterator[pa.RecordBatch]:
+    """Rows of an entry and the two picked ones of its key, eight columns each (FIELDS): pairs of different classes that sizes, places and sketches leave open."""
+    for b in batches:
+        cols, n, found = [c.to_numpy() for c in b.columns], b.num_rows, []
+        for k in (8, 16):
+            node, size, pos, comp, *longs = (np.r_[cols[i], cols[k + i]] for i in range(8))
+            sketches = np.stack(longs, axis=1).view(np.uint8).astype(np.int16)
+            m = np.flatnonzero(comp[:n] != comp[n:])
+            m = m[_can(size, pos, m, m + n, least)]
+            m = m[_near(sketches, size, m, m + n, least)]
+            found.append((node[m], node[m + n]))
+        yield _pairs(found)
+    give_back()
 
 
-def _stars(rows: DataFrame, keys: DataFrame, turn: int, least: float) -> DataFrame:
+def _stars(rows: DataFrame, keys: DataFrame, sketches: DataFrame, turn: int, least: float) -> DataFrame:
     """Pairs of the picked nodes of each key with its nodes of other classes."""
-    rows = written(rows.join(keys.select("key"), "key"), "dedup-mixed")
-    meets = [F.when((F.col("class") != F.col(f"class{k}")) & _may(F.col("size"), F.col("pos"), F.col(f"size{k}"), F.col(f"pos{k}"), least), F.col(f"node{k}")) for k in (0, 1)]
-    found = rows.join(_picked(rows, turn), "key").select("node", F.explode(F.array(*meets)).alias("p")).filter("p IS NOT NULL")
-    return found.select(F.least("p", "node").alias("u"), F.greatest("p", "node").alias("v"))
+    rows = written(rows.join(keys.select("key"), "key").join(sketches, "node"), "dedup-crowded")
+    both = rows.join(_picked(rows, turn), "key").select(*FIELDS, *[f"{c}_{k}" for k in (0, 1) for c in FIELDS])
+    return both.mapInArrow(lambda it: _star_pairs(it, least), "u bigint, v bigint")
 
 
 def _meet_all(rows: DataFrame, keys: DataFrame, sketches: DataFrame, least: float, block: int) -> DataFrame:
@@ -276,7 +287,7 @@ def _close(fps: DataFrame, n: int, close: int) -> DataFrame:
     return both.join(least, "comp").filter("u <> node").select(F.least("u", "node").alias("u"), F.greatest("u", "node").alias("v"))
 
 
-def classes(texts: DataFrame, n: int, fps: DataFrame, least: float = 0.8, rounds: int = 3, limit: int = 256, block: int = 4096, close: int = 4, sent: int = SENT) -> DataFrame:
+def classes(texts: DataFrame, n: int, fps: DataFrame, least: float = 0.8, rounds: int = 3, limit: int = 8, block: int = 4096, close: int = 4, sent: int = SENT) -> DataFrame:
     """texts: (node, text binary), n rows, each node once; fps: (node, fp, s0, s1, s2, s3). -> (node, label): every node that is joined to a lesser one, with its
     group's least node."""
     spark = texts.sparkSession
@@ -290,8 +301,9 @@ def classes(texts: DataFrame, n: int, fps: DataFrame, least: float = 0.8, rounds
         labels = connected(links, settle=False)
         rows = met.join(labels, "node", "left").select("key", "node", "size", "pos", F.coalesce("label", "node").alias("class"))
         keys = _mixed_keys(rows)
-        final = turn == rounds or turn > 0 and (not found or not keys.filter(F.col("n") > limit).head(1))
-        pairs = (_meet_all(rows, keys, sketches, least, block) if final else _stars(rows, keys, turn, least)).distinct()
+        crowded = keys.filter(F.col("n") > limit)
+        final = turn == rounds or not found or not crowded.head(1)
+        pairs = (_meet_all(rows, keys, sketches, least, block) if final else _stars(rows, crowded, sketches, turn, least)).distinct()
         fresh = written(pairs.join(compared, ["u", "v"], "left_anti"), "dedup-pairs")
         new = written(_verified(fresh, texts, least, sent), "dedup-links")
         links, compared = links.unionByName(new), compared.unionByName(fresh)
