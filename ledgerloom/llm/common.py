@@ -39,6 +39,12 @@ def written(df: DataFrame, tag: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def discard(spark: SparkSession, path: str) -> None:
+    """Removes a table of scratch() that a later one replaces."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
 def parallelism(spark: SparkSession, rows: int = 0, each: int = 4_000_000) -> int:
     """The session's shuffle partitions, or more where rows would be more than `each` to a task."""
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions", "200")), -(-rows // each))

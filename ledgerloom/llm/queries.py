@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import cross_entropy, merkle, mixing, resharding, secrets, simhash, token_orc, toxicity, warc, wu_manber
+from . import cross_entropy, filter_audit, importance, merkle, mixing, resharding, secrets, simhash, suffix_levels, token_orc, toxicity, warc, wu_manber
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -22,6 +22,9 @@ QUERIES = {
     "op8_merkle": lambda s, d: merkle.op8(s, _table(s, d, "documents")),
     "op9_decontaminate": lambda s, d: wu_manber.op9(s, _table(s, d, "documents"), _table(s, d, "benchmark")),
     "op10_token_orc": lambda s, d: token_orc.op10(s, _table(s, d, "documents")),
+    "op11_suffix_levels": lambda s, d: suffix_levels.op11(s, _table(s, d, "documents")),
+    "op12_importance": lambda s, d: importance.op12(s, _table(s, d, "documents"), _table(s, d, "benchmark")),
+    "op13_filter_audit": lambda s, d: filter_audit.op13(s, _table(s, d, "documents"), _table(s, d, "labels")),
 }
 
-ORACLES = {"op9_decontaminate": wu_manber.ORACLE}
+ORACLES = {"op9_decontaminate": wu_manber.ORACLE, "op12_importance": importance.ORACLE, "op13_filter_audit": filter_audit.ORACLE}
