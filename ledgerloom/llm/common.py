@@ -45,6 +45,23 @@ def discard(spark: SparkSession, path: str) -> None:
     at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
 
 
+class Tables:
+    """Written tables of one operator, which go once those that come after them are written."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.paths = spark, []
+
+    def written(self, df: DataFrame, tag: str, *partitions: str) -> DataFrame:
+        self.paths.append(scratch(self.spark, tag))
+        df.write.partitionBy(*partitions).parquet(self.paths[-1])
+        return self.spark.read.schema(df.schema).parquet(self.paths[-1])
+
+    def clear(self) -> None:
+        for path in self.paths:
+            discard(self.spark, path)
+        self.paths = []
+
+
 def parallelism(spark: SparkSession, rows: int = 0, each: int = 4_000_000) -> int:
     """The session's shuffle partitions, or more where rows would be more than `each` to a task."""
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions", "200")), -(-rows // each))

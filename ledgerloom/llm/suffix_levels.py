@@ -37,7 +37,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import discard, give_back, scratch, text_batches, text_bytes, written
+from .common import Tables, discard, give_back, scratch, text_batches, text_bytes, written
 
 LENGTH, NAME = 200, 64
 #: Windows hashed at once, and the low bits of a packed hash that hold a place among them.
@@ -234,20 +234,24 @@ def _windows(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.Reco
 
 def marks(docs: DataFrame, candidates: DataFrame, length: int = LENGTH, sent: int = SENT) -> DataFrame:
     """candidates: RUN under repeated names. (name, content, windows): which windows of a run of this content are repeated; null for all."""
-    contents = written(candidates.groupBy("name", "content").agg(F.count("*").alias("n"), F.min(F.struct("key", "at")).alias("one")), "suffix-contents")
+    own = Tables(docs.sparkSession)
+    contents = own.written(candidates.groupBy("name", "content").agg(F.count("*").alias("n"), F.min(F.struct("key", "at")).alias("one")), "suffix-contents")
     several = contents.groupBy("name").agg(F.count("*").alias("c")).filter("c > 1").select("name")
     ones = contents.join(several, "name", "left_semi").select("name", "content", "one.key", "one.at")
-    asked = written(ones.groupBy("key").agg(F.collect_list(F.struct("name", "content", "at")).alias("runs")), "suffix-asked")
+    asked = own.written(ones.groupBy("key").agg(F.collect_list(F.struct("name", "content", "at")).alias("runs")), "suffix-asked")
     of = picked(docs, asked.select("key"), sent).dropDuplicates(["key"]).join(asked, "key").select("text", "runs")
-    spans = written(of.mapInArrow(lambda it: _spans(it, length), "name bigint, content bigint, back int, span binary"), "suffix-spans")
-    blocks = written(spans.mapInArrow(lambda it: _blocks(it, length), "name bigint, content bigint, i int, j int, core bigint, whole bigint"), "suffix-blocks")
-    kinds = written(blocks.groupBy("core", "whole").agg(F.count("*").alias("n")), "suffix-kinds")
+    spans = own.written(of.mapInArrow(lambda it: _spans(it, length), "name bigint, content bigint, back int, span binary"), "suffix-spans")
+    blocks = own.written(spans.mapInArrow(lambda it: _blocks(it, length), "name bigint, content bigint, i int, j int, core bigint, whole bigint"), "suffix-blocks")
+    kinds = own.written(blocks.groupBy("core", "whole").agg(F.count("*").alias("n")), "suffix-kinds")
     alike = blocks.join(kinds.filter("n > 1"), ["core", "whole"], "left_semi").select("name", "content", F.explode(F.sequence("i", "j")).alias("i"))
     open_ = blocks.join(kinds.groupBy("core").agg(F.count("*").alias("c")).filter("c > 1"), "core", "left_semi").select("name", "content", "core", "i", "j")
-    each = written(open_.join(spans, ["name", "content"]).select("name", "content", "core", "i", "j", "span").mapInArrow(lambda it: _windows(it, length), "name bigint, content bigint, core bigint, i int, window bigint"), "suffix-windows")
+    each = own.written(open_.join(spans, ["name", "content"]).select("name", "content", "core", "i", "j", "span").mapInArrow(lambda it: _windows(it, length), "name bigint, content bigint, core bigint, i int, window bigint"), "suffix-windows")
     met = each.join(each.groupBy("core", "window").agg(F.count("*").alias("n")).filter("n > 1"), ["core", "window"], "left_semi").select("name", "content", "i")
     some = alike.unionByName(met).groupBy("name", "content").agg(F.collect_set("i").alias("windows"))  # a run's windows: 137 at most
-    return contents.select("name", "content", "n").join(some, ["name", "content"], "left").filter("n > 1 OR windows IS NOT NULL").select("name", "content", F.when(F.col("n") == 1, F.col("windows")).alias("windows"))
+    out = contents.select("name", "content", "n").join(some, ["name", "content"], "left").filter("n > 1 OR windows IS NOT NULL").select("name", "content", F.when(F.col("n") == 1, F.col("windows")).alias("windows"))
+    out = written(out, "suffix-marks")
+    own.clear()
+    return out
 
 
 def _trimmed(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.RecordBatch]:
@@ -277,13 +281,13 @@ def trimmed(docs: DataFrame, batches: int = 3, length: int = LENGTH, name: int =
     spark = docs.sparkSession
     text_batches(spark)
     keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"), key_of().alias("key"))
-    all_runs = scratch(spark, "suffix-runs")
-    runs(keyed, length, name).withColumn("batch", F.pmod("key", F.lit(batches)).cast("int")).write.partitionBy("batch").parquet(all_runs)
-    table, family = spark.read.schema(RUN + ", batch int").parquet(all_runs), Levels(spark)
+    own, family = Tables(spark), Levels(spark)
+    table = own.written(runs(keyed, length, name).withColumn("batch", F.pmod("key", F.lit(batches)).cast("int")), "suffix-runs", "batch")
     for k in range(batches):
         family.add(table.filter(F.col("batch") == k).select("name"))
     candidates = written(table.drop("batch").join(family.shared(), "name", "left_semi").select("key", "at", "name", "content"), "suffix-candidates")
-    marked = written(marks(keyed, candidates, length, sent), "suffix-marks")
+    own.clear()
+    marked = marks(keyed, candidates, length, sent)
     hits = candidates.join(marked, ["name", "content"]).groupBy("key").agg(F.collect_set(F.struct("at", "windows")).alias("hits"))  # a text's own: fewer than its bytes
     hits = written(hits, "suffix-hits")
     schema = "doc_id bigint, n_bytes bigint, spans array<struct<start:bigint,end:bigint>>, kept binary"
