@@ -1,12 +1,26 @@
-"""Requirement graphs (parent, child) by recursive plans."""
+"""Requirement graphs (parent, child): closure and levels by recursive plans, cycles as strongly connected components by rounds over written tables.
+
+Components come from three steps, repeated on the edges that are left. All are joins and partial sums; only row counts reach the driver.
+
+1. Ways without a choice. A node with one edge in has one predecessor, so predecessors make a forest whose trees hang on nodes with no edge in, or several, and on cycles. Pointer
+   doubling follows all ways at once in as many rounds as their length has binary digits. What hangs on a node with no edge in is on no cycle; a way that never ends is on a cycle or behind
+   one, and what 2^k steps back lead to are the cycles themselves.
+2. The same along edges out.
+3. Colours, when neither finds anything: the greatest node that reaches a node is its colour. Within a colour, what reaches the node it is named after is one component.
+
+A chain of n edges takes log n rounds; only cores in which every node has several edges in and out need as many rounds as their colours take to spread.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from ..sources.written import Rounds
 
 
 def leaves(edges: DataFrame) -> DataFrame:
-    """(root, leaf): the distinct nodes without children that each parent reaches. The graph must have no cycle (see cyclic())."""
+    """(root, leaf): the distinct nodes without children that each parent reaches. The graph must have no cycle (see cycles())."""
     return edges.sparkSession.sql(
         """WITH RECURSIVE reach AS (SELECT DISTINCT parent AS root, child FROM {edges} UNION ALL SELECT r.root, e.child FROM reach r JOIN {edges} e ON e.parent = r.child)
         SELECT DISTINCT root, child AS leaf FROM reach r WHERE NOT EXISTS (SELECT 1 FROM {edges} e WHERE e.parent = r.child)""",
@@ -24,16 +38,116 @@ def levels(edges: DataFrame) -> DataFrame:
     )
 
 
-def cyclic(edges: DataFrame, max_rounds: int = 1000) -> DataFrame:
-    """(parent, child) of the edges left when leaves are peeled until none remains: those on or behind cycles. Each round is a plan over the edges left,
-    of which only the count reaches the driver."""
-    left, n = edges.select("parent", "child").distinct(), -1
-    for turn in range(max_rounds):
-        left = left.join(left.select(left.parent.alias("child")).distinct(), "child", "left_semi").select("parent", "child")
-        if turn % 8 == 7:
-            left = left.checkpoint() if left.sparkSession.sparkContext.getCheckpointDir() else left
-        m = left.count()
-        if m in (n, 0):
-            return left
-        n = m
-    raise RuntimeError("the graph is deeper than max_rounds")
+def followed(pointers: DataFrame, rounds: Rounds) -> DataFrame:
+    """pointers (node, to): one row a node; `to` is null at an end. -> (node, to, least, steps, ended): where the way from node ends, the least node on it and its length; if
+    it never ends, a node of the cycle that it runs into, `least` being that cycle's least node if node is on it."""
+    cur = pointers.select("node", F.coalesce("to", "node").alias("to"), F.least("node", F.coalesce("to", "node")).alias("least"), F.col("to").isNotNull().cast("long").alias("steps"), F.col("to").isNull().alias("ended"), F.lit(True).alias("lower"))
+    cur, seen = rounds.put(cur), None
+    while True:
+        # A turn that ends no way leaves only those that never end: the node one step beyond the span would have ended. They have reached their cycles when a turn leads to as
+        # many nodes as the one before, and gone all round them when it finds no lesser node.
+        left = cur.filter("NOT ended").agg(F.count("*"), F.count_distinct("to"), F.count(F.when(F.col("lower"), 1))).first()
+        if not left[0] or (left[:2] == seen and not left[2]):
+            return cur.drop("lower")
+        seen = left[:2]
+        on = cur.select(F.col("node").alias("to"), F.col("to").alias("_to"), F.col("least").alias("_least"), F.col("steps").alias("_steps"), F.col("ended").alias("_ended"))
+        moved = cur.filter("NOT ended").join(on, "to").select("node", F.col("_to").alias("to"), F.least("least", "_least").alias("least"), (F.col("steps") + F.col("_steps")).alias("steps"), F.col("_ended").alias("ended"), (F.col("_least") < F.col("least")).alias("lower"))
+        new = rounds.put(cur.filter("ended").unionByName(moved))
+        rounds.drop(cur)
+        cur = new
+
+
+def _ways(edges: DataFrame, rounds: Rounds, a: str, b: str) -> tuple[DataFrame, DataFrame]:
+    """Follows the edges from b to a while a node has one: (nodes on no cycle, (node, cycle) of cycles found)."""
+    one = edges.groupBy(F.col(b).alias("node")).agg(F.count("*").alias("n"), F.min(a).alias("to"))
+    nodes = edges.select(F.explode(F.array(a, b)).alias("node")).distinct().join(one, "node", "left")
+    nodes = rounds.put(nodes.select("node", F.when(F.col("n") == 1, F.col("to")).alias("to"), F.col("n").isNull().alias("dead_end")))
+    at = followed(nodes.select("node", "to"), rounds)
+    ends = nodes.filter("dead_end").select(F.col("node").alias("to"))
+    free = rounds.put(at.filter("ended").join(ends, "to", "left_semi").select("node"))
+    image = at.filter("NOT ended").select(F.col("to").alias("node")).distinct()
+    found = rounds.put(at.join(image, "node", "left_semi").select("node", F.col("least").alias("cycle")))
+    rounds.drop(nodes, at)
+    return free, found
+
+
+def _without(edges: DataFrame, nodes: DataFrame) -> DataFrame:
+    for side in ("parent", "child"):
+        edges = edges.join(nodes.select(F.col("node").alias(side)), side, "left_anti")
+    return edges.select("parent", "child")
+
+
+def _coloured(edges: DataFrame, rounds: Rounds) -> tuple[DataFrame, DataFrame]:
+    """(nodes settled, (node, cycle) of components found): those of the nodes that colours are named after."""
+    cur = rounds.put(edges.select(F.explode(F.array("parent", "child")).alias("node")).distinct().select("node", F.col("node").alias("colour")))
+    while True:
+        sent = edges.join(cur.select(F.col("node").alias("parent"), "colour"), "parent").groupBy(F.col("child").alias("node")).agg(F.max("colour").alias("_c"))
+        new = rounds.put(cur.join(sent, "node", "left").select("node", F.greatest("colour", "_c").alias("colour"), (F.col("_c") > F.col("colour")).alias("changed")))
+        rounds.drop(cur)
+        changed, cur = new.filter("changed").limit(1).count(), new
+        if not changed:
+            break
+    c = cur.select("node", "colour")
+    inner = edges.join(c.toDF("parent", "colour"), "parent").join(c.toDF("child", "_c"), "child").filter("colour = _c").select("parent", "child", "colour")
+    inner = rounds.put(inner)
+    reached = rounds.put(c.filter("node = colour"))
+    front = reached
+    while True:
+        step = inner.join(front.select(F.col("node").alias("child")), "child", "left_semi").select(F.col("parent").alias("node"), "colour").distinct().join(reached.select("node"), "node", "left_anti")
+        front = rounds.put(step)
+        if not front.limit(1).count():
+            break
+        reached = rounds.put(reached.unionByName(front))
+    size = reached.groupBy("colour").agg(F.min("node").alias("cycle"), F.count("*").alias("n")).filter("n > 1")
+    return reached.select("node"), rounds.put(reached.join(size, "colour").select("node", "cycle"))
+
+
+def cycles(edges: DataFrame) -> DataFrame:
+    """(node, cycle): every node on a cycle with the least node of its strongly connected component. An edge from a node to itself is a cycle; null ends make no edge."""
+    rounds = Rounds(edges.sparkSession, "cycles")
+    whole = rounds.put(edges.select("parent", "child").dropna().distinct())
+    loops = whole.filter("parent = child").select(F.col("parent").alias("node"), F.col("parent").alias("cycle"))
+    out, live = None, rounds.put(whole.filter("parent <> child"))
+    n = live.count()
+    while n:
+        before = n
+        for a, b in (("parent", "child"), ("child", "parent")):
+            if n:
+                free, found = _ways(live, rounds, a, b)
+                out = found if out is None else out.unionByName(found)
+                live = rounds.put(_without(live, free.unionByName(found.select("node"))))
+                n = live.count()
+        if n == before:
+            settled, found = _coloured(live, rounds)
+            out = out.unionByName(found)
+            live = rounds.put(_without(live, settled))
+            n = live.count()
+    return loops if out is None else out.unionByName(loops.join(out.select("node"), "node", "left_anti"))
+
+
+def witness(edges: DataFrame, members: DataFrame) -> DataFrame:
+    """members: cycles(edges). (cycle, position, node): one closed way for each component, from its least node on: every node goes on to its least successor within the component, and of the
+    cycles that this makes the one with the least node is taken."""
+    rounds = Rounds(edges.sparkSession, "witness")
+    m = rounds.put(members)
+    inside = edges.select("parent", "child").dropna().join(m.toDF("parent", "cycle"), "parent").join(m.toDF("child", "_c"), "child").filter("cycle = _c")
+    on = rounds.put(inside.groupBy(F.col("parent").alias("node"), "cycle").agg(F.min("child").alias("to")))
+    at = followed(on.select("node", "to"), rounds)
+    ring = at.join(at.select(F.col("to").alias("node")).distinct(), "node", "left_semi").select("node", "least").join(on, "node")
+    best = ring.groupBy("cycle").agg(F.min("least").alias("least"))
+    ring = rounds.put(ring.join(best, ["cycle", "least"]).select("node", "cycle", "least", "to"))
+    steps = followed(ring.select("node", F.when(F.col("node") != F.col("least"), F.col("to")).alias("to")), rounds).select("node", "steps")
+    n = ring.groupBy("cycle").agg(F.count("*").alias("n"))
+    return ring.join(steps, "node").join(n, "cycle").select("cycle", F.pmod(F.col("n") - F.col("steps"), F.col("n")).alias("position"), "node")
+
+
+def cyclic(edges: DataFrame) -> DataFrame:
+    """(parent, child) of the edges on cycles or leading to one, found back from the cycles' nodes; as many rounds as the longest way to a cycle."""
+    rounds = Rounds(edges.sparkSession, "cyclic")
+    whole = rounds.put(edges.select("parent", "child").distinct())
+    reached = rounds.put(cycles(whole).select("node"))
+    front = reached
+    while front.limit(1).count():
+        front = rounds.put(whole.join(front.select(F.col("node").alias("child")), "child", "left_semi").select(F.col("parent").alias("node")).distinct().join(reached, "node", "left_anti"))
+        reached = reached.unionByName(front)
+    return whole.join(reached.select(F.col("node").alias("child")), "child", "left_semi").select("parent", "child")

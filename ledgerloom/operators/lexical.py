@@ -1,8 +1,12 @@
-"""Exact BM25 over an inverted index of narrow rows, written once and searched often."""
+"""Exact BM25 over an inverted index, written once and searched often.
+
+Postings lie in blocks: documents fall into blocks by a hash of their keys, and a term's postings within a block are one row with the greatest part that any of them can add
+to a score. A search first adds up these parts by query and block, without reading a posting; scores the most promising blocks of each query; and reads of the
+others only those that could still hold one of the k best. A block that is skipped can't, so ranks are those of a full search.
+"""
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from dataclasses import dataclass
 
@@ -11,12 +15,16 @@ from pyspark.sql import functions as F
 
 from ..functions.text import lexical
 from ..sources.canonical import canonical_json, sha256
+from ..sources.written import discard, shared_folder
+from .stored import kept
 
 K1, B = 1.5, 0.75
 #: Folders of postings, by a hash of the term: a search reads those of its terms.
 BUCKETS = 32
 #: Terms of queries up to which they are sent as literals, so the scan prunes folders and row groups by them.
 SENT_TERMS = 2000
+#: Documents that a block has about; blocks of each query that are scored first.
+BLOCK, FIRST = 64, 4
 
 
 def tokenised(docs: DataFrame, key: str = "doc_id", text: str = "text", of=lexical) -> DataFrame:
@@ -42,16 +50,6 @@ def rank(scored: DataFrame, by: list[str], k: int, score: str = "score", key: st
     return scored.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """spark.checkpoint.dir, or a temporary folder on local masters only."""
-    at = spark.conf.get("spark.checkpoint.dir", None)
-    if at is None:
-        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
-            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-        at = "file://" + tempfile.gettempdir() + "/ledgerloom"
-    return at.rstrip("/")
-
-
 @dataclass
 class Index:
     """Written tables: postings (key, term, tf, dl) in folders by term, sorted by it; terms (term, df, cf); one row of corpus statistics."""
@@ -63,8 +61,8 @@ class Index:
     b: float = B
 
     @classmethod
-    def build(cls, docs: DataFrame, path: str | None = None, key: str = "doc_id", text: str = "text", k1: float = K1, b: float = B, of=lexical) -> "Index":
-        """Texts are tokenised once, in a map; postings are dealt by term, with a frequent term's rows over several tasks."""
+    def build(cls, docs: DataFrame, path: str | None = None, key: str = "doc_id", text: str = "text", k1: float = K1, b: float = B, of=lexical, block: int = BLOCK) -> "Index":
+        """Texts are tokenised once, in a map; postings are dealt by term and block, so a frequent term's rows are spread over tasks."""
         if k1 < 0 or not 0 <= b <= 1:
             raise ValueError("k1 must not be negative, b lies between 0 and 1")
         spark = docs.sparkSession
@@ -72,13 +70,31 @@ class Index:
         tokenised(docs, key, text, of).write.parquet(f"{out.path}/tokens")
         tokens = spark.read.parquet(f"{out.path}/tokens")
         corpus_stats(tokens).coalesce(1).write.parquet(f"{out.path}/stats")
-        rows = postings(tokens, key).withColumn("bucket", F.pmod(F.xxhash64("term"), F.lit(BUCKETS)).cast("int"))
-        rows.repartitionByRange("bucket", "term", key).sortWithinPartitions("bucket", "term").write.partitionBy("bucket").parquet(f"{out.path}/postings")
-        out.postings().groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("cf")).sort("term").write.parquet(f"{out.path}/terms")
+        s = out.stats().first()
+        blocks = max(1, -(-s.n // block))
+        rows = postings(tokens, key).withColumn("block", F.pmod(F.xxhash64(key), F.lit(blocks)))
+        part = out._part(F.col("tf"), F.col("dl"), F.lit(s.avgdl))
+        rows = rows.groupBy("term", "block").agg(F.max(part).alias("best"), F.collect_list(F.struct(key, "tf", "dl")).alias("docs"))
+        rows = rows.withColumn("bucket", F.pmod(F.xxhash64("term"), F.lit(BUCKETS)).cast("int"))
+        rows.repartitionByRange("bucket", "term", "block").sortWithinPartitions("bucket", "term").write.partitionBy("bucket").parquet(f"{out.path}/blocks")
+        sums = out.blocks().select("term", F.size("docs").alias("df"), F.aggregate("docs", F.lit(0).cast("long"), lambda acc, x: acc + x["tf"]).alias("cf"))
+        sums.groupBy("term").agg(F.sum("df").alias("df"), F.sum("cf").alias("cf")).sort("term").write.parquet(f"{out.path}/terms")
         return out
 
+    def _part(self, tf: Column, dl: Column, avgdl: Column) -> Column:
+        """What a posting adds to a score, but for the term's weight."""
+        return tf * (self.k1 + 1) / (tf + self.k1 * (1 - self.b + self.b * dl / avgdl))
+
+    def drop(self) -> None:
+        discard(self.spark, self.path)
+
+    def blocks(self) -> DataFrame:
+        """(term, block, best, docs, bucket)"""
+        return self.spark.read.parquet(f"{self.path}/blocks")
+
     def postings(self) -> DataFrame:
-        return self.spark.read.parquet(f"{self.path}/postings")
+        """(term, key, tf, dl)"""
+        return self.blocks().select("term", F.explode("docs").alias("x")).select("term", "x.*")
 
     def terms(self) -> DataFrame:
         return self.spark.read.parquet(f"{self.path}/terms")
@@ -102,43 +118,68 @@ class Index:
         rows = self.postings().agg(F.count("*").alias("n"), *[F.sum(F.xxhash64(self.key, "term", "tf", "dl", F.lit(k)).cast("decimal(38,0)")).cast("string").alias(f"h{k}") for k in (0, 1)]).first()
         return sha256(canonical_json(self.config() | rows.asDict()))
 
-    def score(self, queries: DataFrame, qkey: str = "q_id", qtext: str = "query", of=lexical) -> DataFrame:
-        """(q_id, key, score) of every document that shares a term with the query, rounded to six places, so the order of summation doesn't show."""
+    def _asked(self, queries: DataFrame, qkey: str, qtext: str, of) -> tuple[DataFrame, DataFrame]:
+        """((q_id, term, idf, avgdl) of the queries' distinct terms, blocks of these terms)."""
         q = queries.select(qkey, F.explode(F.array_distinct(of(F.col(qtext)))).alias("term"))
         used = [r.term for r in q.select("term").distinct().limit(SENT_TERMS + 1).collect()]
-        hits, df = self.postings(), self.terms()
+        hits, df = self.blocks(), self.terms()
         if len(used) <= SENT_TERMS:
             folders = [r[0] for r in self.spark.createDataFrame([(t,) for t in used], "term string").select(F.pmod(F.xxhash64("term"), F.lit(BUCKETS)).cast("int")).distinct().collect()]
             hits, df = hits.filter(F.col("bucket").isin(folders) & F.col("term").isin(used)), df.filter(F.col("term").isin(used))
-        weights = df.crossJoin(F.broadcast(self.stats().select("n", "avgdl"))).select("term", "avgdl", F.log1p((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5)).alias("idf"))
-        part = F.col("idf") * F.col("tf") * (self.k1 + 1) / (F.col("tf") + self.k1 * (1 - self.b + self.b * F.col("dl") / F.col("avgdl")))
-        asked = q.join(weights, "term")
-        return hits.join(asked, "term").groupBy(qkey, self.key).agg(F.round(F.sum(part), 6).alias("score"))
+        s = self.stats().first()
+        weights = df.select("term", F.log1p((F.lit(s.n) - F.col("df") + 0.5) / (F.col("df") + 0.5)).alias("idf"), F.lit(s.avgdl).alias("avgdl"))
+        return q.join(weights, "term"), hits
+
+    def _scored(self, asked: DataFrame, hits: DataFrame, qkey: str, of_blocks: DataFrame | None = None) -> DataFrame:
+        """(q_id, key, score) of the documents of all blocks, or of those listed (q_id, block)."""
+        j = hits.join(asked, "term")
+        if of_blocks is not None:
+            j = j.join(of_blocks.select(qkey, "block"), [qkey, "block"], "left_semi")
+        each = j.select(qkey, "idf", "avgdl", F.explode("docs").alias("x")).select(qkey, "idf", "avgdl", "x.*")
+        return each.groupBy(qkey, self.key).agg(F.round(F.sum(F.col("idf") * self._part(F.col("tf"), F.col("dl"), F.col("avgdl"))), 6).alias("score"))
+
+    def score(self, queries: DataFrame, qkey: str = "q_id", qtext: str = "query", of=lexical) -> DataFrame:
+        """(q_id, key, score) of every document that shares a term with the query, rounded to six places, so the order of summation doesn't show."""
+        return self._scored(*self._asked(queries, qkey, qtext, of), qkey)
+
+    def bounds(self, queries: DataFrame, qkey: str = "q_id", qtext: str = "query", of=lexical) -> DataFrame:
+        """(q_id, block, bound): no document of the block has a greater score."""
+        asked, hits = self._asked(queries, qkey, qtext, of)
+        return hits.select("term", "block", "best").join(asked, "term").groupBy(qkey, "block").agg(F.sum(F.col("idf") * F.col("best")).alias("bound"))
 
     def search(self, queries: DataFrame, k: int = 10, where: DataFrame | None = None, qkey: str = "q_id", qtext: str = "query") -> DataFrame:
         """(q_id, key, score, rank) of the k best. `where` holds the keys of admitted documents; n, df and avgdl stay those of the whole corpus."""
-        scored = self.score(queries, qkey, qtext)
-        if where is not None:
-            scored = scored.join(where.select(self.key), self.key, "left_semi")
-        return rank(scored, [qkey], k, key=self.key)
+        return self.searched(queries, k, where, qkey, qtext)[0]
+
+    def searched(self, queries: DataFrame, k: int = 10, where: DataFrame | None = None, qkey: str = "q_id", qtext: str = "query", of=lexical) -> tuple[DataFrame, DataFrame]:
+        """(search(), blocks (q_id, block, bound, first, read): those scored first, and those read at all)."""
+        asked, hits = self._asked(queries, qkey, qtext, of)
+        bounds = hits.select("term", "block", "best").join(asked, "term").groupBy(qkey, "block").agg(F.sum(F.col("idf") * F.col("best")).alias("bound"))
+        order = Window.partitionBy(qkey).orderBy(F.desc("bound"), "block")
+        bounds = bounds.withColumn("first", F.row_number().over(order) <= FIRST)
+
+        def admitted(scored: DataFrame) -> DataFrame:
+            return scored if where is None else scored.join(where.select(self.key), self.key, "left_semi")
+
+        early = admitted(self._scored(asked, hits, qkey, bounds.filter("first")))
+        floor = rank(early, [qkey], k, key=self.key).filter(F.col("rank") == k).select(qkey, F.col("score").alias("floor"))
+        # Scores and bounds are sums in different orders, and scores are rounded.
+        open_ = F.col("floor").isNull() | (F.col("bound") * (1 + 1e-9) + 1e-6 >= F.col("floor"))
+        blocks = bounds.join(floor, qkey, "left").select(qkey, "block", "bound", "first", (F.col("first") | open_).alias("read"))
+        late = admitted(self._scored(asked, hits, qkey, blocks.filter("read AND NOT first")))
+        return rank(early.unionByName(late), [qkey], k, key=self.key), blocks
 
     def run(self, queries: DataFrame, k: int = 50, qkey: str = "q_id", qtext: str = "query") -> DataFrame:
         """The batch of all queries: one row for each, its text, how many results it has and the results in order; queries without any are there, empty."""
         got = self.search(queries, k, None, qkey, qtext).groupBy(qkey).agg(F.array_sort(F.collect_list(F.struct("rank", "score", self.key))).alias("ranked_results"))
-        none = F.array().cast(f"array<struct<rank:int,score:double,{self.key}:{self.postings().schema[self.key].dataType.simpleString()}>>")
+        none = F.array().cast(f"array<struct<rank:int,score:double,{self.key}:{self.blocks().schema["docs"].dataType.elementType[self.key].dataType.simpleString()}>>")
         out = queries.select(qkey, qtext).join(got, qkey, "left").withColumn("ranked_results", F.coalesce("ranked_results", none))
         return out.withColumn("n_results", F.size("ranked_results"))
 
 
-_BUILT: dict[tuple, Index] = {}
-
-
 def index_of(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Index:
-    """The application's index of a table of files, built on the first call; other files are another index."""
-    at = (docs.sparkSession.sparkContext.applicationId, key, text, *sorted(docs.inputFiles()))
-    if at not in _BUILT:
-        _BUILT[at] = Index.build(docs, key=key, text=text)
-    return _BUILT[at]
+    """The application's index of a table of files; the texts are hashed in every call, and other texts are another index."""
+    return kept(docs, "bm25", (key, text), lambda: Index.build(docs, key=key, text=text))
 
 
 def bm25(docs: DataFrame, queries: DataFrame, k: int = 10, where: Column | None = None, key: str = "doc_id", text: str = "text", qkey: str = "q_id", qtext: str = "query") -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..operators import blocks, calculator, dense, fusion, lexical, metrics, provenance, runtime
+from ..operators import blocks, calculator, dense, fusion, lexical, metrics, provenance, runtime, stored
 from ..sources import canonical
 
 
@@ -25,6 +25,12 @@ def _long(df, *cols):
 # --- lexical
 
 
+def bm25_index_build(s, d):
+    """Builds the written index anew: what the first of the other queries pays. Its postings, by document."""
+    index = lexical.Index.build(table(s, d, "documents"))
+    return index.postings().groupBy("doc_id").agg(F.count("*").alias("n_terms"), F.sum("tf").cast("long").alias("n_tokens"), F.max("dl").cast("long").alias("dl"))
+
+
 def bm25_topk(s, d):
     return _long(lexical.index_of(table(s, d, "documents")).search(_queries(s, d), 10), "q_id", "doc_id", "score", "rank")
 
@@ -68,9 +74,14 @@ def _vector_queries(vectors):
     return vectors.filter(F.col("vec_id") % 50 == 0).select(F.col("vec_id").alias("q_id"), F.col("embedding").alias("q_embedding"))
 
 
-def _dense(s, d, k=10, where=None):
+def _vectors(s, d) -> dense.VectorIndex:
+    """The written index of the embeddings; their values are hashed in every call, so an index of other ones is never taken."""
     v = table(s, d, "embeddings")
-    return dense.cosine(v, _vector_queries(v), k, where)
+    return stored.kept(v, "vectors", ("vec_id", "embedding", "label"), lambda: dense.VectorIndex.build(v, keep=("label",)))
+
+
+def _dense(s, d, k=10, where=None):
+    return _vectors(s, d).search(_vector_queries(table(s, d, "embeddings")), k, where)
 
 
 def dense_topk(s, d):
@@ -78,7 +89,22 @@ def dense_topk(s, d):
 
 
 def dense_filtered_topk(s, d):
-    return _long(_dense(s, d, where=F.col("label") % 2 == 0), "q_id", "vec_id", "score", "rank")
+    return _long(_dense(s, d, where=lambda r: r["label"] % 2 == 0), "q_id", "vec_id", "score", "rank")
+
+
+def dense_batch(s, d):
+    """Every query vector with the number of its results, those without a direction too."""
+    q = _vector_queries(table(s, d, "embeddings"))
+    none = q.select((-1 - F.col("q_id")).alias("q_id"), F.transform("q_embedding", lambda x: x * 0).alias("q_embedding"))
+    got = _vectors(s, d).run(q.unionByName(none), 20)
+    say = F.array_join(F.transform("ranked_results", lambda r: F.concat(r["rank"].cast("string"), F.lit(":"), r["vec_id"].cast("string"))), ",")
+    return got.select("q_id", F.col("n_results").cast("long").alias("n_results"), F.sha2(say.cast("binary"), 256).alias("fingerprint"))
+
+
+def vector_index_build(s, d):
+    """Builds the written index anew and reports on its blocks."""
+    blocks = dense.VectorIndex.build(table(s, d, "embeddings"), keep=("label",)).blocks()
+    return blocks.agg(F.sum("n").alias("n"), F.max("dim").alias("dim"), F.sum("n_vectors").alias("n_vectors"))
 
 
 def embedding_norms(s, d):
@@ -101,8 +127,8 @@ da AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY q_id ORDER BY sc
 def _systems(s, d, depth=50):
     v = table(s, d, "embeddings")
     q = _vector_queries(v)
-    a = dense.cosine(v, q, depth)
-    return a, dense.by_dot(v, q, depth)
+    index = _vectors(s, d)
+    return index.search(q, depth), index.search(q, depth, cosine=False)
 
 
 def rrf_fusion(s, d):
@@ -392,19 +418,22 @@ def ledger_hash(s, d):
 
 
 QUERIES = {f.__name__: f for f in (
-    bm25_topk, bm25_filtered_topk, bm25_index_stats, term_df_top, dense_topk, dense_filtered_topk, embedding_norms, dense_score_distribution, rrf_fusion, candidate_union, overlap_diagnostics, rerank_topk,
+    bm25_index_build, bm25_topk, bm25_filtered_topk, bm25_index_stats, term_df_top, dense_topk, dense_filtered_topk, dense_batch, vector_index_build, embedding_norms, dense_score_distribution, rrf_fusion, candidate_union, overlap_diagnostics, rerank_topk,
     rank_contiguity_check, corpus_identity_check, rank_sentinel, score_defects, truncation_summary, vector_metadata, bm25_batch, compared_systems, evidence_metrics_at_k, per_question_metrics, numeric_metrics_at_k, part_mrr, first_hit_histogram, miss_diagnostics, failure_counts, system_comparison,
     paragraphs_with_offsets, section_forward_fill, prev_next_links, token_counts, chunk_ids, greedy_chunks, row_group_split, page_blocks, page_headings, page_title, page_text_stats, outline_paths,
     unit_scale_detect, percent_cells, formula_eval, passage_provenance, min_hitting_set, corpus_fingerprint, lexical_tokens, tool_invoke_envelope, ledger_hash,
 )}
 
 ORACLES = {
+    "bm25_index_build": "WITH " + TOKENS + " SELECT doc_id, count(*) AS n_terms, sum(tf)::BIGINT AS n_tokens, max(dl)::BIGINT AS dl FROM post GROUP BY doc_id",
     "bm25_topk": BM25_SQL.replace("{where}", "true"),
     "bm25_filtered_topk": BM25_SQL.replace("{where}", "toks.lang = 'en'"),
     "bm25_index_stats": "WITH " + TOKENS + " SELECT n::BIGINT AS n, round(avgdl, 6) AS avgdl, min_dl::BIGINT AS min_dl, max_dl::BIGINT AS max_dl, (SELECT count(DISTINCT term) FROM post) AS vocabulary, (SELECT count(*) FROM post) AS postings FROM st",
     "term_df_top": "WITH " + TOKENS + " SELECT term, count(*) AS df, sum(tf)::BIGINT AS cf FROM post GROUP BY term ORDER BY df DESC, term LIMIT 50",
     "dense_topk": "WITH " + DENSE.format(where="true", k=10) + " SELECT q_id, vec_id, score, rank FROM da",
     "dense_filtered_topk": "WITH " + DENSE.format(where="label % 2 = 0", k=10) + " SELECT q_id, vec_id, score, rank FROM da",
+    "dense_batch": "WITH " + DENSE.format(where="true", k=20) + ", r AS (SELECT q_id, count(*) AS n, string_agg(rank::VARCHAR || ':' || vec_id::VARCHAR, ',' ORDER BY rank) AS t FROM da GROUP BY q_id) SELECT q_id, n AS n_results, sha256(t) AS fingerprint FROM r UNION ALL SELECT -1 - vec_id, 0, sha256('') FROM embeddings WHERE vec_id % 50 = 0",
+    "vector_index_build": "SELECT count(*) AS n, max(len(embedding))::INT AS dim, count(embedding) AS n_vectors FROM embeddings",
     "embedding_norms": "SELECT vec_id, len(embedding)::BIGINT AS dim, round(sqrt(list_dot_product(embedding::DOUBLE[], embedding::DOUBLE[])), 6) AS norm, sqrt(list_dot_product(embedding::DOUBLE[], embedding::DOUBLE[])) > 0 AS valid FROM embeddings",
     "dense_score_distribution": "WITH " + DENSE.format(where="true", k=50) + " SELECT count(*) AS n, min(score) AS min_score, round(quantile_cont(score, 0.5), 6) AS median_score, max(score) AS max_score FROM da",
     "rrf_fusion": "WITH " + _UNION + " SELECT q_id, vec_id, rrf AS score, rank FROM (SELECT *, row_number() OVER (PARTITION BY q_id ORDER BY rrf DESC, vec_id) AS rank FROM un) WHERE rank <= 50",

@@ -193,7 +193,14 @@ def topo_levels(s, d):
 def cycle_check(s, d):
     """One more edge closes a cycle through the region of the first supplier's nation."""
     back = table(s, d, "supplier").filter("s_suppkey = 0").join(table(s, d, "nation"), F.col("s_nationkey") == F.col("n_nationkey")).select(F.lit("S0").alias("parent"), F.concat(F.lit("R"), F.col("n_regionkey").cast("string")).alias("child"))
-    return graph.cyclic(_edges(s, d).filter("parent <> 'ALL'").unionByName(back)).select(F.col("parent").alias("node")).distinct()
+    return graph.cycles(_edges(s, d).filter("parent <> 'ALL'").unionByName(back)).select("node")
+
+
+def cycle_members(s, d):
+    """Customers in a circle: an urgent order of some size points from its customer to the next order's."""
+    o = table(s, d, "orders")
+    after = o.select((F.col("o_orderkey") - 1).alias("o_orderkey"), F.col("o_custkey").alias("child"))
+    return graph.cycles(o.filter("o_orderpriority = '1-URGENT' AND o_totalprice > 200000").select("o_orderkey", F.col("o_custkey").alias("parent")).join(after, "o_orderkey").select("parent", "child"))
 
 
 def source_fingerprints(s, d):
@@ -298,7 +305,7 @@ def tool_facts(s, d):
 
 QUERIES = {f.__name__: f for f in (
     facts_query_exact, facts_query_unknown_concept, concept_search_tiers, concept_observations, facts_enriched, fact_fd_violations, fk_orphans, duplicate_ids, unit_normalise, unit_comparison, precision_match,
-    stage1_candidates, stage2_candidates, stage3_candidates, mapping_status, duration_months, temporal_catalog, header_vs_fact_period_conflicts, temporal_resolution, requirement_closure, topo_levels, cycle_check,
+    stage1_candidates, stage2_candidates, stage3_candidates, mapping_status, duration_months, temporal_catalog, header_vs_fact_period_conflicts, temporal_resolution, requirement_closure, topo_levels, cycle_check, cycle_members,
     source_fingerprints, micro_average, variant_selection, relational_division, errata_overlay, release_diff, number_parse, formula_exact, derived_lineage, target_rows, conflict_extract, provenance_classes, tool_facts,
 )}
 
@@ -320,6 +327,9 @@ UNION ALL SELECT 'lineitem', l_orderkey::VARCHAR || '-' || l_linenumber::VARCHAR
     "temporal_resolution": "SELECT target_id, resolution, resolved AS period FROM (" + _sql["temporal_resolution"].replace("'unique_company_period' ELSE 'unresolved'", "'unique_table' WHEN firm.n > 1 THEN 'ambiguous' ELSE 'unresolved'") + ")",
     "cycle_check": "WITH RECURSIVE " + _sql["cycle_check"].split("RECURSIVE ", 1)[1].split(", closed AS", 1)[0] + """, closed AS (SELECT parent, child FROM edges WHERE parent <> 'ALL' UNION ALL SELECT 'S0', 'R' || n_regionkey::VARCHAR FROM nation JOIN supplier ON s_nationkey = n_nationkey WHERE s_suppkey = 0),
 steps AS (SELECT parent AS root, child FROM closed UNION SELECT s.root, c.child FROM steps s JOIN closed c ON c.parent = s.child) SELECT DISTINCT root AS node FROM steps WHERE root = child""",
+    "cycle_members": """WITH RECURSIVE e AS (SELECT DISTINCT a.o_custkey AS parent, b.o_custkey AS child FROM orders a JOIN orders b ON b.o_orderkey = a.o_orderkey + 1 WHERE a.o_orderpriority = '1-URGENT' AND a.o_totalprice > 200000),
+r AS (SELECT parent, child FROM e UNION SELECT r.parent, e.child FROM r JOIN e ON e.parent = r.child)
+SELECT a.parent AS node, min(b.parent) AS cycle FROM r a JOIN r b ON b.parent = a.child AND b.child = a.parent GROUP BY a.parent""",
     "source_fingerprints": "SELECT doc_id, fingerprint FROM (" + _sql["source_fingerprints"] + ")",
     "micro_average": """SELECT o_orderpriority, sum(CASE WHEN l_linenumber < 6 AND l_returnflag = 'R' THEN 1 ELSE 0 END)::BIGINT AS numerator, sum(CASE WHEN l_linenumber < 7 THEN 1 ELSE 0 END)::BIGINT AS denominator,
   round(sum(CASE WHEN l_linenumber < 6 AND l_returnflag = 'R' THEN 1 ELSE 0 END)::DOUBLE / sum(CASE WHEN l_linenumber < 7 THEN 1 ELSE 0 END), 9) AS micro, count(CASE WHEN l_linenumber = 7 THEN 1 END) AS n_missing,
