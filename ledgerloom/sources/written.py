@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -30,12 +30,17 @@ class Rounds:
         self.spark, self.folder, self.live = spark, f"{shared_folder(spark)}/{tag}-{uuid.uuid4().hex}", {}
 
     def put(self, df: DataFrame) -> DataFrame:
+        return self.counted(df)[0]
+
+    def counted(self, df: DataFrame, **sums: Column) -> tuple[DataFrame, dict]:
+        """The table and aggregates of its rows, which are taken as they are written."""
         path = f"{self.folder}/{len(self.live)}"
         self.live[path] = True
-        df.write.parquet(path)
+        seen = Observation()
+        (df.observe(seen, *[c.alias(k) for k, c in sums.items()]) if sums else df).write.parquet(path)
         out = self.spark.read.schema(df.schema).parquet(path)
         out._written_at = path
-        return out
+        return out, seen.get if sums else {}
 
     def drop(self, *tables: DataFrame) -> None:
         for t in tables:
