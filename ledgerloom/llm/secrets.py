@@ -3,7 +3,7 @@
 Source and configuration syntax (name = "literal", name: literal, "name": "literal", name := `literal`, name => 'literal', map["name"] = "literal",
 --name=literal) is parsed into pairs of a name and literals or other names. A name whose value is another name takes that name's literals (constants
 propagate, through any number of steps and concatenations), and each literal is scored by the most sensitive of the names it reaches and by what it
-looks like. Literals that score at least `threshold` are spans of kind "literal"; spans of the three base kinds always stay.
+looks like (8 to 2048 characters without white space, mixed and even; pieces of a concatenation also as a whole). Literals that score at least `threshold` are spans of kind "literal"; spans of the three base kinds always stay.
 
 Edge cases: a null text is empty and has no spans; null doc_ids are kept; repeated rows are separate rows; texts of any length are read whole in linear
 time, names of any length count; bytes that aren't UTF-8 count as U+FFFD; a literal that several names reach has its best score, spans at one place come in
@@ -40,7 +40,11 @@ PLACEHOLDERS = {"changeme", "example", "password", "secret", "none", "null", "tr
 PAIR = re.compile(
     r"""(?P<name>(?<![\w$-])(?:--)?[A-Za-z_$][\w$.-]*+|"[\w$. -]++"|'[\w$. -]++')(?P<close>\]?)[ \t]*+(?::[ \t]*+[A-Za-z_][\w.]*+[ \t]*+(?==[^=>]))?(?P<op>:=|=>|=(?!=)|:(?!:))[ \t]*+(?=\S)"""
 )
-TERM = re.compile(r'''(?P<q>"""|\'\'\'|"|'|`)|(?P<name>[A-Za-z_$][\w$.]*+)(?P<more>[^\s"'`,;+(){}\[\]<>|&=]*+=*+)|(?P<bare>[^\s"'`,;(){}\[\]<>|&=]++=*+)''')
+TERM = re.compile(r'''(?P<q>"""|\'\'\'|"|'|`)|(?P<name>[A-Za-z_$][\w$.]*+)''')
+#: What goes on after a name, and what stands without quotes, with padding.
+RUNS = {"more": re.compile(r"""([^\s"'`,;+(){}\[\]<>|&=]*+)=*+"""), "bare": re.compile(r"""([^\s"'`,;(){}\[\]<>|&=]*+)=*+""")}
+#: The longest literal that counts as a secret; longer ones are data.
+LONGEST = 2048
 JOIN = re.compile(r"[ \t]*+(?:\+|\.(?=[ \t\"'`])|\\\n)[ \t]*+")
 ENDS = {'"': re.compile(r'(?:[^"\\\n]|\\.)*+"'), "'": re.compile(r"(?:[^'\\\n]|\\.)*+'"), "`": re.compile(r"(?:[^`\\]|\\.)*+`", re.S), '"""': re.compile(r'(?:[^"\\]|\\.|"(?!""))*+"""', re.S), "'''": re.compile(r"(?:[^'\\]|\\.|'(?!''))*+'''", re.S)}
 
@@ -58,72 +62,91 @@ def sensitivity(name: str) -> float:
     for i in range(len(parts)):
         for j in (1, 2):
             run = "_".join(parts[i : i + j])
-            best = max(best, SENSITIVE.get(run, 0.0), SENSITIVE.get(run.rstrip("s"), 0.0))
+            best = max(best, SENSITIVE.get(run, 0.0), SENSITIVE.get(run.rstrip("0123456789").rstrip("s"), 0.0))
     return best
 
 
 def quality(literal: str) -> float:
     """0 to 1: how much a literal looks like a secret: length, mixture and evenness of its characters."""
     n = len(literal)
-    if n < 8 or literal.lower().strip("<>${}%*") in PLACEHOLDERS or len(set(literal)) < 4 or literal.startswith(("${", "{{", "<", "%(")) or re.search(r"\s", literal):
+    if not 8 <= n <= LONGEST or literal.lower().strip("<>${}%*") in PLACEHOLDERS or len(set(literal)) < 4 or literal.startswith(("${", "{{", "<", "%(")) or re.search(r"\s", literal):
         return 0.0
     entropy = -sum(c / n * math.log2(c / n) for c in Counter(literal).values())
     kinds = sum(bool(re.search(p, literal)) for p in (r"[a-z]", r"[A-Z]", r"[0-9]", r"[^A-Za-z0-9]"))
     return min(1.0, 0.25 + 0.15 * kinds + 0.1 * entropy)
 
 
-def pairs(text: str) -> list[tuple[str, list[tuple[int, int]], list[str]]]:
-    """(normal name, literal spans, names referred to) of each assignment, in order."""
-    out, at = [], 0
+class Runs:
+    """Ends of unquoted runs of a text. A chain (a:b:c:...) is run through once, however many names in it ask where it ends."""
+
+    def __init__(self, text: str):
+        self.text, self.seen = text, {"more": (0, 0, 0), "bare": (0, 0, 0)}
+
+    def end(self, kind: str, at: int) -> int:
+        """The end of the run at `at`, its padding included; `at` if there is none."""
+        lo, hi, padded = self.seen[kind]
+        if not lo <= at < hi:
+            m = RUNS[kind].match(self.text, at)
+            self.seen[kind] = lo, hi, padded = at, m.end(1), m.end()
+        return padded if at < hi or kind == "more" else at
+
+
+def pairs(text: str) -> list[tuple[str, list[tuple[int, int, bool]], dict[tuple[int, int], str]]]:
+    """(normal name, literals (start, end, quoted), names referred to by their spans) of each assignment, in order."""
+    out, at, runs = [], 0, Runs(text)
     while m := PAIR.search(text, at):
-        literals, names, p = [], [], m.end()
+        literals, names, p = [], {}, m.end()
         at = m.end()
-        while t := TERM.match(text, p):
-            if t["q"]:
+        while True:
+            t = TERM.match(text, p)
+            if t and t["q"]:
                 e = ENDS[t["q"]].match(text, t.end())
                 if not e:
                     break
-                literals.append((t.end(), e.end() - len(t["q"])))
+                literals.append((t.end(), e.end() - len(t["q"]), True))
                 p = e.end()
-            elif t["bare"]:
-                literals.append(t.span())
-                p = t.end()
             else:
-                if not t["more"]:
-                    names.append(normal(t["name"]))
-                literals.append(t.span())
-                p = t.end()
+                e = runs.end("more", t.end()) if t else runs.end("bare", p)
+                if e == p:
+                    break
+                if t and e == t.end():
+                    names[p, e] = normal(t["name"])
+                literals.append((p, e, False))
+                p = e
             j = JOIN.match(text, p)
             if not j:
                 break
             p = j.end()
-        if literals or names:
+        if literals:
             out.append((normal(m["name"]), literals, names))
             if text[m.end() : m.end() + 1] in "\"'`":
                 at = max(at, p)
     return out
 
 
+def joined(text: str, literals: list[tuple[int, int, bool]]) -> float:
+    """The quality of quoted pieces that one assignment puts together."""
+    pieces = [(a, b) for a, b, quoted in literals if quoted]
+    if len(pieces) < 2 or sum(b - a for a, b in pieces) > LONGEST:
+        return 0.0
+    return quality("".join(text[a:b] for a, b in pieces))
+
+
 def literals(text: str, threshold: float = 0.6) -> list[tuple[int, int, float]]:
-    """Literal spans that reach a sensitive name with their scores."""
+    """Literal spans that reach a sensitive name with their scores; a piece of a concatenation has its own quality or the whole one's, whichever is greater."""
     if "=" not in text and ":" not in text:
         return []
     found = pairs(text)
-    own: dict[str, list[tuple[int, int]]] = defaultdict(list)
+    own: dict[str, list[tuple[int, int, float]]] = defaultdict(list)
     defined = {n for n, _, _ in found}
-    reach: dict[str, set[str]] = defaultdict(set)
+    into: dict[str, set[str]] = defaultdict(set)
     for name, spans, names in found:
-        used = {x for x in names if x in defined and x != name}
-        own[name] += [s for s in spans if normal(text[s[0] : s[1]]) not in used]
-        for x in used:
-            reach[x].add(name)
+        used = {x for x in names.values() if x in defined and x != name}
+        whole = joined(text, spans)
+        own[name] += [(a, b, whole if quoted and a < b else 0.0) for a, b, quoted in spans if names.get((a, b)) not in used]
+        into[name] |= used
     best = {n: sensitivity(n) for n in defined}
-    todo = sorted(defined, key=lambda n: -best[n])
-    into: dict[str, set[str]] = defaultdict(set)
-    for x, names in reach.items():
-        for n in names:
-            into[n].add(x)
-    stack = [n for n in todo if best[n]]
+    stack = sorted((n for n in defined if best[n]), key=lambda n: -best[n])
     while stack:
         n = stack.pop()
         for x in into[n]:
@@ -133,8 +156,8 @@ def literals(text: str, threshold: float = 0.6) -> list[tuple[int, int, float]]:
     out = {}
     for n, spans in own.items():
         if best[n]:
-            for a, b in spans:
-                score = best[n] * quality(text[a:b])
+            for a, b, whole in spans:
+                score = best[n] * max(whole, quality(text[a:b]) if b - a <= LONGEST else 0.0)
                 if score >= threshold:
                     out[(a, b)] = max(score, out.get((a, b), 0.0))
     return [(a, b, s) for (a, b), s in sorted(out.items())]

@@ -296,6 +296,10 @@ def test_base_spans_stay(text):
         ("PART = 'Zx81Qpw7'\nAPI_KEY = PART + 'Lm20Rt55'\n", ["Zx81Qpw7", "Lm20Rt55"]),
         ("access_key: Zx81Qpw7Lm20\n", ["Zx81Qpw7Lm20"]),
         ("title = 'Zx81Qpw7Lm20'", []),
+        ('dbPwd="Zx8"+"1Qp"+"w7Lm20"', ["Zx8", "1Qp", "w7Lm20"]),
+        ('title = "Zx8" + "1Qp" + "w7Lm20"', []),
+        ("token2 = 'Zx81Qpw7Lm20'", ["Zx81Qpw7Lm20"]),
+        ("url: https://example.org:443/a:b\ndbPwd: Zx81Qpw7Lm20:x=\n", ["Zx81Qpw7Lm20:x="]),
         ("password = 'changeme'", []),
         ("config['private_key'] = \"Zx81Qpw7Lm20\"", ["Zx81Qpw7Lm20"]),
         ("let pwd: string = `Zx81Qpw7Lm20`;", ["Zx81Qpw7Lm20"]),
@@ -310,6 +314,10 @@ def test_literals_by_names(text, found):
 def test_long_text_in_linear_time():
     import time
 
+    for chain in ("a:", "a:b:", "a.", "a:/", "password:", 'a="', "<a xxxx ", "a:" * 1000 + "=" * 1000):
+        t = time.time()
+        secrets.scan(chain * (300_000 // len(chain)))
+        assert time.time() - t < 20
     t = time.time()
     secrets.scan("a" * 300_000 + ": " + "x=" * 100_000 + "'" * 50_000 + "password" * 20_000)
     assert time.time() - t < 20
