@@ -164,11 +164,11 @@ def schedule(spark: SparkSession, sources: list[Source]) -> DataFrame:
     return main.unionByName(small_table(spark, more, SLOT_SCHEMA)) if more else main
 
 
-def mix(docs: DataFrame, block_words: int = 1024, weights: tuple = WEIGHTS, max_sources: int = 100_000) -> tuple[DataFrame, DataFrame]:
+def mix(docs: DataFrame, block_words: int = 1024, weights: tuple = WEIGHTS, max_sources: int = 100_000, key: Column | None = None) -> tuple[DataFrame, DataFrame]:
     """(documents, manifest). documents: doc_id, source, size, source_no, source_size, target, start (words of its source before it), one row for each
     row of docs. manifest: slot, epoch, source_no, start, doc_id, from_word, to_word: the words that each slot takes of each document."""
     spark = docs.sparkSession
-    narrow = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), word_count(F.col("text").cast("string")).alias("size"), _key().alias("key"))
+    narrow = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), word_count(F.col("text").cast("string")).alias("size"), (_key() if key is None else key).alias("key"))
     table, sums = running_sums(ranged(narrow, F.asc_nulls_last("source"), F.asc_nulls_first("doc_id"), F.asc("size"), F.asc("key")), "size", "source", "mix")
     names = sorted({s for _, s in sums if s is not None}) + [None] * any(s is None for _, s in sums)
     if len(names) > max_sources:
@@ -238,9 +238,11 @@ def _cut(batches: Iterator[pa.RecordBatch], at: int) -> Iterator[pa.RecordBatch]
 
 def mixed_documents(docs: DataFrame, **options) -> DataFrame:
     """The mix as documents: a row of docs for each epoch that takes words of it, every column as it was, the text cut to the words taken where it isn't
-    taken whole. A document without words stays once. Rows equal in doc_id, source and text are one document here; it is taken as often as all of them."""
+    taken whole. A document without words stays once. Rows alike in every column are one document here; it is taken as often as all of them."""
     text_batches(docs.sparkSession)
-    documents, manifest = mix(docs, **options)
+    rest = [F.col(f"`{f.name}`") for f in docs.schema.fields if f.name not in ("doc_id", "source", "text") and "map<" not in f.dataType.simpleString() and f.dataType.simpleString() != "variant"]
+    own = F.concat_ws("/", _key(), F.hex(F.xxhash64(*rest, *[c.isNull() for c in rest]))) if rest else _key()
+    documents, manifest = mix(docs, key=own, **options)
     spans = manifest.groupBy("source_no", "start", "epoch").agg(F.collect_list(F.struct("from_word", "to_word")).alias("_spans"))
     spans = spans.select(F.col("source_no").alias("_n"), F.col("start").alias("_s"), "epoch", "_spans")
     taken = documents.join(spans, (F.col("source_no") == F.col("_n")) & (F.col("start") == F.col("_s")) & (F.col("size") > 0), "left")
@@ -249,6 +251,6 @@ def mixed_documents(docs: DataFrame, **options) -> DataFrame:
     names = docs.columns
     key, at, n = free(docs, "_key", "_spans", "_size")
     taken = some.unionByName(none).select(F.col("key").alias(key), F.col("_spans").alias(at), F.col("size").alias(n))
-    one = docs.withColumn(key, _key()).dropDuplicates([key])
+    one = docs.withColumn(key, own).dropDuplicates([key])
     out = one.join(taken, key).select(*[F.col(f"`{x}`") for x in names], at, n)
     return out.mapInArrow(lambda it: _cut(it, names.index("text")), docs.schema)

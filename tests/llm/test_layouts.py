@@ -117,6 +117,13 @@ def test_mixed_documents(spark, tiny, odd):
         assert {k: v for k, v in got.items() if v} == {k: v for k, v in want.items() if v}
 
 
+def test_mixed_rows_keep_their_columns(spark):
+    """Rows alike in id, source and text but not in another column stay apart."""
+    docs = spark.createDataFrame([(1, "one two three", lang, "s", n) for lang, n in (("en", 1), ("fr", 1), (None, 1), ("en", None))] + [(2, "four five", "en", "s", 1)] * 2, "doc_id long, text string, lang string, source string, n_chars long")
+    got = Counter((r.doc_id, r.lang, r.n_chars) for r in mixing.mixed_documents(docs).collect())
+    assert set(got) == {(1, "en", 1), (1, "fr", 1), (1, None, 1), (1, "en", None), (2, "en", 1)} and got[2, "en", 1] == 2
+
+
 def test_schedule_is_low_discrepancy(spark):
     src = [mixing.Source(i, n, t, 16) for i, (n, t) in enumerate([(4000, 9000.0), (9000, 3000.0), (50, 150.0), (0, 0.0), (30_000, 7777.0)])]
     rows = mixing.schedule(spark, src).orderBy("slot").collect()
