@@ -33,7 +33,7 @@ TOKEN = re.compile(
     r"""<!--.*?(?:-->|\Z)|<(?P<raw>script|style|noscript|template|svg)\b[^>]*+>.*?(?:</(?P=raw)\s*+>|\Z)|<(?P<end>/?)(?P<tag>[a-z][^\s/>]*+)(?P<attrs>(?:[^>"'<]|"[^"<]*+"|'[^'<]*+')*+)>|<[a-z/!?][^>]*+(?:>|\Z)""",
     re.S | re.I,
 )
-ATTR = re.compile(r"""([a-z-]+)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
+ATTR = re.compile(r"""(?<![a-z-])([a-z-]++)\s*+=\s*+(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 #: Elements that end a line.
 BLOCK = set("address article aside blockquote br center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr li main nav ol option p pre section summary table tbody td tfoot th thead title tr ul".split())
 #: Elements that can stand in a head; any other one ends it.

@@ -72,6 +72,21 @@ def test_derivatives(spark):
     assert [tuple(r) for r in warc.op1(spark, pages.repartition(3)).orderBy("record_id").collect()] == sorted(map(tuple, got), key=lambda t: t[2])
 
 
+def test_derivatives_of_odd_pages(spark):
+    import time
+
+    long = "<p>word <a href=/x>y</a>" * 40_000
+    pages = [(None, None, None), (1, None, "<p>a"), (2, "http://a/b", None), (2, "http://a/b", None), (3, "http://a/b", ""), (4, "http://a/b", "<a " + "x" * 1_000_000), (5, "http://a/b", "<a " + "x " * 300_000 + "=1>"), (6, "http://a/b", long), (6, "http://a/b", long)]
+    began = time.time()
+    got = warc.op1(spark, spark.createDataFrame(pages, "page_id long, url string, html string").withColumn("record_id", F.lit("clash"))).collect()
+    assert time.time() - began < 60
+    assert Counter((r.page_id, r.warc_type) for r in got) == Counter((p, k) for p, _, _ in pages for k in ("metadata", "conversion"))
+    text = {r.page_id: r.block.split() for r in got if r.warc_type == "conversion"}
+    assert text[1] == ["a"] and text[None] == text[2] == text[3] == [] and text[6] == ["word", "y"] * 40_000
+    twice = [r for r in got if r.page_id == 6]
+    assert len({r.record_id for r in twice}) == 2 and len({r.block for r in twice}) == 2  # rows alike are one record written twice
+
+
 def test_warc_files(spark, tmp_path):
     pages = spark.createDataFrame([(1, "http://a.b/c", "<html lang=xx><title>T &amp; t</title><body><p>x<br>y<a href='/d'>é</a>"), (None, None, None), (2, "u", ""), (2, "u", ""), (3, "http://[", "<a href='http://[x'>q <!-- never closed"), (4, "v", "WARC/1.1\r\n\r\n a < b <i title='1>2'>k</i>" + "<p>long" * 20000)], "page_id long, url string, html string").withColumn("block", F.lit("clash"))
     records = warc.derive(warc.responses(pages))
