@@ -73,16 +73,22 @@ def folded(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
         yield s.map(lambda t: None if t is None else " ".join(unicodedata.normalize("NFKC", t).split()).casefold())
 
 
+#: A number's text once currency, per cent, grouping commas and white space are gone: digits with at most one sign, or in a cell behind a bracket, which may be closed.
+DIGITS = r"[0-9]+(?:\.[0-9]+)?"
+SIGNED, CELL = rf"[-+]?{DIGITS}", rf"\({DIGITS}\)?|[-+]?{DIGITS}"
+#: The units of a change.
+CHANGE = r"(?i)(ppt|pts?|pp|bps?)\s*$"
+
+
 def parsed_number(raw: Column) -> Column:
     """struct(value double, is_percent, is_negative, has_comma, change_unit) of a numeric cell's text; value is null if it isn't a number."""
     s = F.trim(raw)
-    unit = F.lower(F.regexp_extract(s, r"(?i)(ppt|pts|pp|bps)\s*$", 1))
-    body = F.regexp_replace(s, r"(?i)(ppt|pts|pp|bps)\s*$", "")
-    negative = F.regexp_like(s, F.lit(r"^\s*\(.*\)\s*%?\s*$")) | F.regexp_like(s, F.lit(r"^\s*\$?\s*-"))
-    digits = F.regexp_replace(body, r"[$,%()\s-]", "")
-    ok = F.regexp_like(digits, F.lit(r"^[0-9]+(\.[0-9]+)?$"))
-    value = F.when(ok, F.when(negative, -digits.cast("double")).otherwise(digits.cast("double")))
-    return F.struct(value.alias("value"), s.contains("%").alias("is_percent"), negative.alias("is_negative"), s.contains(",").alias("has_comma"), F.nullif(unit, F.lit("")).alias("change_unit"))
+    unit, body = F.lower(F.regexp_extract(s, CHANGE, 1)), F.regexp_replace(s, CHANGE, "")
+    bare = F.regexp_replace(body, r"[$,%\s]", "")
+    negative = F.substring(bare, 1, 1).isin("(", "-")
+    digits = F.regexp_replace(bare, "[-+()]", "").cast("double")
+    value = F.when(F.regexp_like(bare, F.lit(f"^(?:{CELL})$")), F.when(negative, -digits).otherwise(digits))
+    return F.struct(value.alias("value"), body.contains("%").alias("is_percent"), negative.alias("is_negative"), s.contains(",").alias("has_comma"), F.nullif(unit, F.lit("")).alias("change_unit"))
 
 
 def unit_scale(text: Column) -> Column:

@@ -6,10 +6,11 @@ from collections.abc import Iterator
 from itertools import combinations
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import squeeze, tokens
+from ..functions.text import squeeze
 
 
 def fingerprint(text: Column) -> Column:
@@ -17,22 +18,45 @@ def fingerprint(text: Column) -> Column:
     return F.sha2(squeeze(F.lower(text)).cast("binary"), 256)
 
 
-def passages_in(docs: DataFrame, passages: DataFrame, key: str = "doc_id", pkey: str = "item_id", text: str = "text") -> DataFrame:
-    """(pkey, key) of documents that hold a passage as written. A passage's longest token is its anchor; only documents with the anchor as a token are
-    compared, by an equi-join on tokens."""
-    t = tokens(F.col(text))
-    # The first and last token of a passage may be cut out of longer ones; tokens between them are whole tokens of any document that holds it.
-    inner = F.when(F.size(t) > 2, F.slice(t, 2, F.greatest(F.size(t) - 2, F.lit(1)))).otherwise(F.array().cast("array<string>"))
-    longest = F.array_max(F.transform(inner, lambda x: F.struct(F.length(x).alias("n"), x.alias("t"))))["t"]
-    asked = passages.filter(F.col(text).isNotNull()).select(pkey, F.col(text).alias("_p"), longest.alias("anchor"))
-    anchors = asked.filter("anchor IS NOT NULL")
-    terms = docs.select(key, F.explode(F.array_distinct(tokens(F.col(text)))).alias("anchor"))
-    hits = terms.join(anchors.select(pkey, "anchor"), "anchor").select(key, pkey)
-    texts = docs.select(key, F.col(text).alias("_d"))
-    found = hits.join(texts, key).join(anchors.select(pkey, "_p"), pkey).filter(F.contains("_d", "_p")).select(pkey, key)
-    # Passages of one or two tokens have no anchor; they are compared one by one.
-    short = asked.filter("anchor IS NULL").join(texts, F.contains("_d", "_p")).select(pkey, key)
-    return found.unionByName(short).distinct()
+#: Characters of passages searched for in one pass over the texts; a task's automaton takes some fifty bytes for each.
+PASSAGE_CHARS = 4_000_000
+
+
+def _located(batches: Iterator[pa.RecordBatch], handle) -> Iterator[pa.RecordBatch]:
+    """Rows (key, text) to (key, passage, char_start): the first place of each passage in each text."""
+    import ahocorasick
+
+    automaton = ahocorasick.Automaton()
+    for passage, h in zip(handle.value.column(1).to_pylist(), handle.value.column(0).to_pylist()):
+        automaton.add_word(passage, (h, len(passage)))
+    automaton.make_automaton()
+    for b in batches:
+        row, found, start = [], [], []
+        for i, text in enumerate(b.column(1).to_pylist()):
+            first: dict[int, int] = {}
+            for end, (h, n) in automaton.iter(text or ""):
+                first.setdefault(h, end - n + 1)
+            row += [i] * len(first)
+            found += first.keys()
+            start += first.values()
+        yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(row, pa.int64())), pa.array(found, pa.int64()), pa.array(start, pa.int64())], names=["key", "passage", "char_start"])
+
+
+def passages_in(docs: DataFrame, passages: DataFrame, key: str = "doc_id", pkey: str = "item_id", text: str = "text", most: int = PASSAGE_CHARS) -> DataFrame:
+    """(pkey, key, char_start) of documents that hold a passage as written, and where it first starts, in characters. Different passages become one automaton (Aho and Corasick) that
+    finds all of them, of whatever length, in one run through a text; more than `most` characters of them are searched in several passes, each with its share by hash. Passages meet their
+    ids again by a join on the passages' hashes. A null or empty passage is nowhere."""
+    spark = docs.sparkSession
+    asked = passages.filter(F.length(text) > 0).select(F.xxhash64(text).alias("passage"), F.col(text).alias("_p"), pkey)
+    different = asked.groupBy("passage").agg(F.min("_p").alias("_p"))
+    total = different.agg(F.coalesce(F.sum(F.length("_p")), F.lit(0))).first()[0]
+    groups, out = max(1, -(-total // most)), None
+    schema = f"key {docs.schema[key].dataType.simpleString()}, passage bigint, char_start bigint"
+    for g in range(groups):
+        handle = spark.sparkContext.broadcast(different.filter(F.pmod(F.xxhash64("passage"), F.lit(groups)) == g).toArrow())
+        found = docs.select(F.col(key).alias("key"), text).mapInArrow(lambda it, handle=handle: _located(it, handle), schema)
+        out = found if out is None else out.unionByName(found)
+    return out.join(asked, "passage").select(pkey, F.col("key").alias(key), "char_start").distinct()
 
 
 def smallest_hitting_set(parts: list[set]) -> list | None:

@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import DAYS_A_MONTH, DURATIONS, SCALES
+from ..functions.text import CELL, CHANGE, SIGNED
 from ..sources.html import Element, tree
 
 MONTHS = {m.lower(): i for i, m in enumerate(calendar.month_abbr) if m}
@@ -19,22 +20,20 @@ NAME = "(" + "|".join(MONTHS) + r")[a-z]*\.?"
 ISO = re.compile(r"\b(20\d\d)[-/](\d{1,2})[-/](\d{1,2})\b")
 DAY = re.compile(rf"\b{NAME}\s+(\d{{1,2}})(?:st|nd|rd|th)?\b(?:\s*,?\s*(20\d\d))?", re.I)
 MONTH = re.compile(rf"\b{NAME}\s*,?\s*(20\d\d)\b", re.I)
-#: Footnote markers, and the units of a change.
+#: Footnote markers.
 MARKER = re.compile(r"\((\d{1,2}|[a-z])\)|\[(\d{1,2})\]")
-CHANGE = re.compile(r"(ppt|pts?|pp|bps?)\s*$", re.I)
+UNIT = re.compile(CHANGE)
 
 
 def number(text: str, cell: bool = True) -> dict | None:
     """The number of a text and its flags; brackets mean negative in a numeric cell only."""
     t = " ".join(text.split())
-    unit = CHANGE.search(t)
+    unit = UNIT.search(t)
     body = t[: unit.start()] if unit else t
-    s = re.sub(r"[$,%\s]", "", body)
-    negative = cell and s.startswith("(") or s.startswith("-")
-    s = s.lstrip("(+-").rstrip(")") if cell else s.lstrip("+-")
-    if not re.fullmatch(r"[0-9]+(\.[0-9]+)?", s):
+    bare = re.sub(r"[$,%\s]", "", body)
+    if not re.fullmatch(CELL if cell else SIGNED, bare):
         return None
-    v = float(s)
+    v, negative = float(bare.strip("-+()")), bare[0] in "(-"
     return {"value": -v if negative else v, "is_percent": "%" in body, "is_negative": negative, "has_comma": "," in t, "change_unit": (("basis_point" if unit[1].lower().startswith("bp") else "percentage_point") if unit else None)}
 
 

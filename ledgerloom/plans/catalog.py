@@ -471,7 +471,7 @@ SELECT doc_id, chunk, min(position) AS first_position, max(position) AS last_pos
     "page_title": r"SELECT page_id, trim(regexp_replace(regexp_extract(html, '<title>([^<]*)</title>', 1), '[ \t\n\r]+', ' ', 'g')) AS title, len(regexp_extract_all(html, '<a [^>]*href='))::BIGINT AS n_links FROM pages",
     "unit_scale_detect": "SELECT c_custkey, CASE c_custkey % 4 WHEN 0 THEN 3 WHEN 1 THEN 6 WHEN 2 THEN 9 ELSE 0 END::INT AS scale FROM customer",
     "formula_eval": "SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, l_extendedprice * (1 - l_discount) * (1 + l_tax) / -l_quantity AS result FROM lineitem",
-    "passage_provenance": "SELECT DISTINCT b.item_id, d.doc_id FROM benchmark b JOIN documents d ON contains(d.text, b.text)",
+    "passage_provenance": "SELECT DISTINCT b.item_id, d.doc_id, strpos(d.text, b.text) - 1 AS char_start FROM benchmark b JOIN documents d ON contains(d.text, b.text) WHERE b.text <> ''",
     "corpus_fingerprint": "WITH h AS (SELECT sha256(text) AS h FROM documents), g AS (SELECT ('0x' || h[1:3])::INT AS g, sha256(string_agg(h, ',' ORDER BY h)) AS gh FROM h GROUP BY h[1:3]) SELECT sha256('0.1.1:' || string_agg(gh, ',' ORDER BY g)) AS fingerprint FROM g",
     "min_hitting_set": """WITH g AS (SELECT l_suppkey, l_returnflag AS part, bit_or(1 << (6 - l_partkey % 7)::INT) AS m FROM lineitem GROUP BY ALL),
 c AS (SELECT s.l_suppkey, r.x::INT AS mask FROM (SELECT DISTINCT l_suppkey FROM g) s, range(1, 128) r(x) WHERE NOT EXISTS (SELECT 1 FROM g WHERE g.l_suppkey = s.l_suppkey AND (g.m & r.x::INT) = 0)),

@@ -6,7 +6,8 @@ from decimal import Decimal
 import pytest
 from pyspark.sql import functions as F
 
-from ledgerloom.operators import blocks, facts, graph, mapping, tables
+from ledgerloom.functions import text
+from ledgerloom.operators import blocks, facts, graph, mapping, provenance, tables
 from ledgerloom.sources import html, xbrl
 
 FILING = """<html><body><ix:header><xbrli:context id="c1"><xbrli:entity><xbrli:identifier scheme="s">0001</xbrli:identifier><xbrli:segment><xbrldi:explicitMember dimension="us:Axis">us:M</xbrldi:explicitMember>
@@ -19,6 +20,31 @@ TABLE = """<table><caption>Sales in millions</caption><tr><td></td><td colspan=2
 <tr><td>Phones (1)</td><td>$1,200</td><td>(5.5%)</td><td>1,100</td></tr><tr><td rowspan=2>Growth rate</td><td>12</td><td></td><td>3 bps</td></tr><tr><td>8</td><td>x</td><td>9</td></tr></table>"""
 
 
+@pytest.mark.parametrize("cell", [True, False])
+def test_one_grammar_of_numbers(cell):
+    good = {"5": 5, "-5": -5, "+5": 5, "$1,200.5": 1200.5, "12 %": 12, "3 bps": 3, "-0.5pp": -0.5} | ({"(5)": -5, "(5": -5, "$(1,2%)": -12} if cell else {})
+    bad = ["", "5)", "(+-5", "((5", "--5", "+-5", "-(5)", "(-5)", "5.", ".5", "1.2.3", "()", "5-", "a5"] + ([] if cell else ["(5)"])
+    assert {t: (tables.number(t, cell) or {}).get("value") for t in [*good, *bad]} == good | dict.fromkeys(bad)
+
+
+def test_both_parsers_read_alike(spark):
+    texts = ["5", "-5", "+5", "(5)", "(5", "$1,200.5", "12 %", "3 bps", "-0.5pp", "(1.5%) pt", "5)", "(+-5", "((5", "--5", "+-5", "(-5)", "5.", "()", "", "1 bp"]
+    got = spark.createDataFrame([(t,) for t in texts], "t string").select("t", text.parsed_number(F.col("t")).alias("n")).collect()
+    assert {r.t: r.n.value for r in got} == {t: (tables.number(t) or {}).get("value") for t in texts}
+
+
+def test_passages_with_one_common_word(spark):
+    """10^5 passages that share their longest word, short and overlapping ones, one under two ids."""
+    passages = [(i, f"a{i} incomprehensibilities b{i}") for i in range(100_000)] + [(-1, "a7 "), (-2, ""), (-3, None), (-4, "a7 incomprehensibilities b7"), (-5, "é")]
+    docs = [(1, "x a7 incomprehensibilities b7 a99999 incomprehensibilities b99999"), (2, "incomprehensibilities"), (3, None), (4, "né a7 a7 "), (5, "aa70 incomprehensibilities b7")]
+    want = {(p, d, t.index(x)) for p, x in passages if x for d, t in docs if t and x in t}
+    given = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(passages, "item_id long, text string")
+    for most in (4_000_000, 1_500_000):
+        found = provenance.passages_in(*given, most=most)
+        assert {tuple(r) for r in found.collect()} == want and found.count() == len(want)
+        assert "NestedLoop" not in found._jdf.queryExecution().executedPlan().toString()
+
+
 def test_inline_xbrl(spark):
     pages = spark.createDataFrame([("d1", FILING), ("d2", "<p>none"), ("d3", None)], "doc_id string, html string")
     got = {r.fact_id: r for r in xbrl.facts(pages).collect()}
