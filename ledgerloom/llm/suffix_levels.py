@@ -17,7 +17,7 @@ From names to bytes, without a pair of places ever being made:
    by the bytes that a block's windows have in common, and then by the block's content.
 3. Windows of the blocks still open are compared one by one, by hash.
 
-All counts are partial sums, so a passage that a third of all documents holds is one row for each task that saw it; joins that take places to their marks have such a passage as a skewed
+What joins meet is written before, as adaptive execution splits a skewed key only where nothing but a sort stands between exchange and join. All counts are partial sums, so a passage that a third of all documents holds is one row for each task that saw it; joins that take places to their marks have such a passage as a skewed
 key on one side, which adaptive execution splits (spark.sql.adaptive.skewJoin, on by default). What decides has two hashes, 128 bits. Texts move once to give the bytes of one place for each
 content, and once to lose their spans; only the documents concerned, while their keys (8 bytes each) are at most `sent`, else all texts.
 
@@ -236,7 +236,7 @@ def marks(docs: DataFrame, candidates: DataFrame, length: int = LENGTH, sent: in
     """candidates: RUN under repeated names. (name, content, windows): which windows of a run of this content are repeated; null for all."""
     own = Tables(docs.sparkSession)
     contents = own.written(candidates.groupBy("name", "content").agg(F.count("*").alias("n"), F.min(F.struct("key", "at")).alias("one")), "suffix-contents")
-    several = contents.groupBy("name").agg(F.count("*").alias("c")).filter("c > 1").select("name")
+    several = own.written(contents.groupBy("name").agg(F.count("*").alias("c")).filter("c > 1").select("name"), "suffix-several")
     ones = contents.join(several, "name", "left_semi").select("name", "content", "one.key", "one.at")
     asked = own.written(ones.groupBy("key").agg(F.collect_list(F.struct("name", "content", "at")).alias("runs")), "suffix-asked")
     of = picked(docs, asked.select("key"), sent).dropDuplicates(["key"]).join(asked, "key").select("text", "runs")
@@ -244,7 +244,8 @@ def marks(docs: DataFrame, candidates: DataFrame, length: int = LENGTH, sent: in
     blocks = own.written(spans.mapInArrow(lambda it: _blocks(it, length), "name bigint, content bigint, i int, j int, core bigint, whole bigint"), "suffix-blocks")
     kinds = own.written(blocks.groupBy("core", "whole").agg(F.count("*").alias("n")), "suffix-kinds")
     alike = blocks.join(kinds.filter("n > 1"), ["core", "whole"], "left_semi").select("name", "content", F.explode(F.sequence("i", "j")).alias("i"))
-    open_ = blocks.join(kinds.groupBy("core").agg(F.count("*").alias("c")).filter("c > 1"), "core", "left_semi").select("name", "content", "core", "i", "j")
+    cores = own.written(kinds.groupBy("core").agg(F.count("*").alias("c")).filter("c > 1").select("core"), "suffix-cores")
+    open_ = blocks.join(cores, "core", "left_semi").select("name", "content", "core", "i", "j")
     each = own.written(open_.join(spans, ["name", "content"]).select("name", "content", "core", "i", "j", "span").mapInArrow(lambda it: _windows(it, length), "name bigint, content bigint, core bigint, i int, window bigint"), "suffix-windows")
     met = each.join(each.groupBy("core", "window").agg(F.count("*").alias("n")).filter("n > 1"), ["core", "window"], "left_semi").select("name", "content", "i")
     some = alike.unionByName(met).groupBy("name", "content").agg(F.collect_set("i").alias("windows"))  # a run's windows: 137 at most
@@ -285,7 +286,8 @@ def trimmed(docs: DataFrame, batches: int = 3, length: int = LENGTH, name: int =
     table = own.written(runs(keyed, length, name).withColumn("batch", F.pmod("key", F.lit(batches)).cast("int")), "suffix-runs", "batch")
     for k in range(batches):
         family.add(table.filter(F.col("batch") == k).select("name"))
-    candidates = written(table.drop("batch").join(family.shared(), "name", "left_semi").select("key", "at", "name", "content"), "suffix-candidates")
+    shared = own.written(family.shared(), "suffix-shared")
+    candidates = written(table.drop("batch").join(shared, "name", "left_semi").select("key", "at", "name", "content"), "suffix-candidates")
     own.clear()
     marked = marks(keyed, candidates, length, sent)
     hits = candidates.join(marked, ["name", "content"]).groupBy("key").agg(F.collect_set(F.struct("at", "windows")).alias("hits"))  # a text's own: fewer than its bytes
