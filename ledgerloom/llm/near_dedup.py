@@ -13,7 +13,9 @@ compared by shingles; two ways lead to candidates:
 Keys of up to `limit` entries make few pairs whatever a group's size, at most (limit - 1) / 2 for an entry. Under keys with more two nodes, chosen anew in every turn, are compared with those of other classes first (stars), so what SimHash left of a large
 group collapses as well: while such keys hold several classes and turns find links, up to `rounds` times. Then all pairs under every key whose nodes aren't
 in one class yet are compared, in blocks: every member is entered, so none is skipped for another. Stars and blocks emit only pairs of different classes, and of these
-only what a sketch of both sets (32 buckets of their hashes) leaves possible, a bound that loses none.
+only what a sketch of both sets leaves possible: for each of 2,048 buckets of hashes, whether the set has an odd number in it. Every bucket in which two sketches differ
+holds a shingle that one set alone has, so the number of such buckets is a lower bound of the sets' difference, which 0.8 and the sizes bound from above. The bound loses
+no pair, and up to some thousand words it is tight: of texts at a similarity of 0.75 hardly a pair is left to compare by shingles.
 
 Texts of candidates are picked by their nodes: up to `sent` nodes (8 bytes each) are sent to the texts, so these don't move; more nodes than that are joined with
 the texts, which moves them. Both give the same rows; the second alone would move all texts once in every turn, the first alone would have no bound.
@@ -43,13 +45,20 @@ SENT = 1_000_000
 #: Nodes sampled for the order of shingles, and the most shingles (16 bytes each) that are put last by it.
 SAMPLE, FREQUENT = 20_000, 100_000
 ENTRY = "key bigint, node bigint, size int, pos int"
-#: An entry with its class and its node's sketch, without the key.
-FIELDS = ("node", "size", "pos", "class", "s0", "s1", "s2", "s3")
+#: An entry with its class, without the key and its node's sketch.
+FIELDS = ("node", "size", "pos", "class")
+#: Buckets of a sketch, a power of two.
+BUCKETS = 2048
 
 
-def sketch(hashes: np.ndarray) -> np.ndarray:
-    """Numbers of distinct hashes in 32 buckets (255 at most), as four longs."""
-    return np.minimum(np.bincount(np.unique(hashes) >> np.uint64(59), minlength=32), 255).astype(np.uint8).view(np.int64)
+def sketch(hashes: np.ndarray) -> bytes:
+    """Whether the number of distinct hashes in each bucket is odd, a bit for each."""
+    at = np.unique(hashes) >> np.uint64(64 - (BUCKETS.bit_length() - 1))
+    return np.packbits(np.bincount(at.astype(np.int64), minlength=BUCKETS).astype(np.uint8) & 1).tobytes()
+
+
+def _sketches(column: np.ndarray) -> np.ndarray:
+    return np.frombuffer(b"".join(column), np.uint64).reshape(-1, BUCKETS // 64)
 
 
 def _marked(batches: Iterator[pa.RecordBatch], at: int, names: list[str]) -> Iterator[pa.RecordBatch]:
@@ -59,11 +68,12 @@ def _marked(batches: Iterator[pa.RecordBatch], at: int, names: list[str]) -> Ite
     for b in batches:
         texts = [t or b"" for t in text_bytes(b.column(at))]
         h = np.array([xxhash.xxh64_intdigest(b" ".join(t.lower().split()), SEED) for t in texts], np.uint64).view(np.int64)
-        f, s = np.zeros(len(texts), np.uint64), np.zeros((len(texts), 4), np.int64)
+        f, s = np.zeros(len(texts), np.uint64), []
         for i, t in enumerate(texts):
             own = shingle_hashes(t, SIZE)
-            f[i], s[i] = folded(own), sketch(own)
-        yield pa.RecordBatch.from_arrays([*b.columns, pa.array(h), pa.array(f.view(np.int64)), *[pa.array(np.ascontiguousarray(s[:, k])) for k in range(4)]], names=[*b.schema.names, *names])
+            f[i] = folded(own)
+            s.append(sketch(own))
+        yield pa.RecordBatch.from_arrays([*b.columns, pa.array(h), pa.array(f.view(np.int64)), pa.array(s, pa.binary())], names=[*b.schema.names, *names])
     give_back()
 
 
@@ -202,20 +212,20 @@ def _pairs(found: list[tuple[np.ndarray, np.ndarray]]) -> pa.RecordBatch:
 
 
 def _near(sketches: np.ndarray, size: np.ndarray, a: np.ndarray, b: np.ndarray, least: float) -> np.ndarray:
-    """Whether sets of rows a and b can reach the similarity: buckets differ by no more than sets do."""
-    out = np.zeros(len(a), bool)
-    for lo in range(0, len(a), 1 << 16):
-        x, y = a[lo : lo + (1 << 16)], b[lo : lo + (1 << 16)]
-        apart = np.abs(sketches[x] - sketches[y]).sum(1, dtype=np.int64)
-        out[lo : lo + (1 << 16)] = apart <= (size[x].astype(np.int64) + size[y]) * (1 - least) / (1 + least) + 1e-6
+    """Whether sets of rows a and b can reach the similarity: no more buckets differ than the sets' difference has shingles."""
+    out, step = np.zeros(len(a), bool), 1 << 14
+    for lo in range(0, len(a), step):
+        x, y = a[lo : lo + step], b[lo : lo + step]
+        apart = np.bitwise_count(sketches[x] ^ sketches[y]).sum(1, dtype=np.int64)
+        out[lo : lo + step] = apart <= (size[x].astype(np.int64) + size[y]) * (1 - least) / (1 + least) + 1e-6
     return out
 
 
 def _block_pairs(batches: Iterator[pa.RecordBatch], least: float) -> Iterator[pa.RecordBatch]:
-    """Rows (key, i, j, side, node, size, pos, class, four longs of a sketch) sorted by the first three: pairs of a block (i = j), or across two, of different
+    """Rows (key, i, j, side, node, size, pos, class, sketch) sorted by the first three: pairs of a block (i = j), or across two, of different
     classes, that sizes, places and sketches leave open."""
-    for key, i, j, side, node, size, pos, comp, *longs in whole_groups(batches, 3):
-        sketches = np.stack(longs, axis=1).view(np.uint8).astype(np.int16)
+    for key, i, j, side, node, size, pos, comp, sketches in whole_groups(batches, 3):
+        sketches = _sketches(sketches)
         group, _, _ = _groups([key, i, j])
         within, found, at, lag = i == j, [], np.arange(len(key)), 1
         while True:
@@ -245,12 +255,12 @@ def _picked(rows: DataFrame, turn: int) -> DataFrame:
 
 
 def _star_pairs(batches: Iterator[pa.RecordBatch], least: float) -> Iterator[pa.RecordBatch]:
-    """Rows of an entry and the two picked ones of its key, eight columns each (FIELDS): pairs of different classes that sizes, places and sketches leave open."""
+    """Rows of an entry and the two picked ones of its key, five columns each (FIELDS and the sketch): pairs of different classes that sizes, places and sketches leave open."""
     for b in batches:
-        cols, n, found = [c.to_numpy() for c in b.columns], b.num_rows, []
-        for k in (8, 16):
-            node, size, pos, comp, *longs = (np.r_[cols[i], cols[k + i]] for i in range(8))
-            sketches = np.stack(longs, axis=1).view(np.uint8).astype(np.int16)
+        cols, n, found = [c.to_numpy(zero_copy_only=False) for c in b.columns], b.num_rows, []
+        for k in (5, 10):
+            node, size, pos, comp, sketches = (np.r_[cols[i], cols[k + i]] for i in range(5))
+            sketches = _sketches(sketches)
             m = np.flatnonzero(comp[:n] != comp[n:])
             m = m[_can(size, pos, m, m + n, least)]
             m = m[_near(sketches, size, m, m + n, least)]
@@ -261,18 +271,22 @@ def _star_pairs(batches: Iterator[pa.RecordBatch], least: float) -> Iterator[pa.
 
 def _stars(rows: DataFrame, keys: DataFrame, sketches: DataFrame, turn: int, least: float) -> DataFrame:
     """Pairs of the picked nodes of each key with its nodes of other classes."""
-    rows = written(rows.join(keys.select("key"), "key").join(sketches, "node"), "dedup-crowded")
-    both = rows.join(_picked(rows, turn), "key").select(*FIELDS, *[f"{c}_{k}" for k in (0, 1) for c in FIELDS])
+    rows = written(rows.join(keys.select("key"), "key"), "dedup-crowded")
+    picked = _picked(rows, turn)
+    for k in (0, 1):
+        picked = picked.join(sketches.toDF(f"node_{k}", f"sketch_{k}"), f"node_{k}")
+    both = rows.join(sketches, "node").join(written(picked, "dedup-picked"), "key")
+    both = both.select(*FIELDS, "sketch", *[f"{c}_{k}" for k in (0, 1) for c in (*FIELDS, "sketch")])
     return both.mapInArrow(lambda it: _star_pairs(it, least), "u bigint, v bigint")
 
 
 def _meet_all(rows: DataFrame, keys: DataFrame, sketches: DataFrame, least: float, block: int) -> DataFrame:
-    """sketches: (node, s0, s1, s2, s3). All pairs of different classes under each key; a key's entries are split into blocks that meet pair by pair in different tasks."""
+    """sketches: (node, sketch). All pairs of different classes under each key; a key's entries are split into blocks that meet pair by pair in different tasks."""
     keys = keys.withColumn("blocks", F.ceil(F.col("n") / block).cast("int"))
     n = keys.agg(F.sum(F.col("n") * F.col("blocks"))).first()[0] or 0
     e = rows.join(keys.drop("n"), "key").join(sketches, "node")
     e = e.withColumn("mine", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    e = e.select("key", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), (F.col("mine") <= F.col("other")).cast("int").alias("side"), "node", "size", "pos", "class", "s0", "s1", "s2", "s3")
+    e = e.select("key", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), (F.col("mine") <= F.col("other")).cast("int").alias("side"), *FIELDS, "sketch")
     e = e.repartition(parallelism(rows.sparkSession, n), "key", "i", "j").sortWithinPartitions("key", "i", "j")
     return e.mapInArrow(lambda it: _block_pairs(it, least), "u bigint, v bigint")
 
@@ -288,15 +302,15 @@ def _close(fps: DataFrame, n: int, close: int) -> DataFrame:
 
 
 def classes(texts: DataFrame, n: int, fps: DataFrame, least: float = 0.8, rounds: int = 3, limit: int = 8, block: int = 4096, close: int = 4, sent: int = SENT) -> DataFrame:
-    """texts: (node, text binary), n rows, each node once; fps: (node, fp, s0, s1, s2, s3). -> (node, label): every node that is joined to a lesser one, with its
+    """texts: (node, text binary, sketch), n rows, each node once; fps: (node, fp). -> (node, label): every node that is joined to a lesser one, with its
     group's least node."""
-    spark = texts.sparkSession
-    compared = written(_close(fps.select("node", "fp"), n, close).distinct(), "dedup-pairs")
+    spark, sketches, texts = texts.sparkSession, texts.select("node", "sketch"), texts.select("node", "text")
+    compared = written(_close(fps, n, close).distinct(), "dedup-pairs")
     links = written(_verified(compared, texts, least, sent), "dedup-links")
     last = spark.sparkContext.broadcast(frequent(texts, n))
     entries = texts.mapInArrow(lambda it: _entered(it, last, least), ENTRY).repartition(text_parts(texts), "key").sortWithinPartitions("key")
     met = written(entries.mapInArrow(_shared, ENTRY), "dedup-met")
-    turn, found, sketches = 0, True, fps.drop("fp")
+    turn, found = 0, True
     while True:
         labels = connected(links, settle=False)
         rows = met.join(labels, "node", "left").select("key", "node", "size", "pos", F.coalesce("label", "node").alias("class"))
@@ -316,16 +330,16 @@ def unique(docs: DataFrame, **options) -> DataFrame:
     """One document of each group, every column as it was: the one with the least doc_id. Options are those of classes()."""
     text_batches(docs.sparkSession)
     at, names, sent = docs.columns.index("text"), docs.columns, options.get("sent", SENT)
-    node, fp, row, *marks = free(docs, "_node", "_fp", "_row", *[f"_s{k}" for k in range(4)])
+    node, fp, row, mark = free(docs, "_node", "_fp", "_row", "_sketch")
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
-    marked = docs.mapInArrow(lambda it: _marked(it, at, [node, fp, *marks]), f"{fields}, {node} bigint, {fp} bigint, " + ", ".join(f"{m} bigint" for m in marks)).withColumn(row, F.monotonically_increasing_id())
+    marked = docs.mapInArrow(lambda it: _marked(it, at, [node, fp, mark]), f"{fields}, {node} bigint, {fp} bigint, {mark} binary").withColumn(row, F.monotonically_increasing_id())
     marked = written(marked, "dedup-marked")
-    rows = marked.select(F.col("doc_id").cast("long").alias("d"), F.col(node).alias("node"), F.col(row).alias("row"), F.col(fp).alias("fp"), *[F.col(m).alias(f"s{k}") for k, m in enumerate(marks)])
-    each = written(rows.groupBy("node").agg(F.min(F.struct(F.col("d").isNull().alias("z"), "d", "row")).alias("m"), F.min("row").alias("row"), F.min("fp").alias("fp"), *[F.min(f"s{k}").alias(f"s{k}") for k in range(4)], F.count("*").alias("copies")), "dedup-nodes")
+    rows = marked.select(F.col("doc_id").cast("long").alias("d"), F.col(node).alias("node"), F.col(row).alias("row"), F.col(fp).alias("fp"))
+    each = written(rows.groupBy("node").agg(F.min(F.struct(F.col("d").isNull().alias("z"), "d", "row")).alias("m"), F.min("row").alias("row"), F.min("fp").alias("fp"), F.count("*").alias("copies")), "dedup-nodes")
     spare = rows.select("node", F.col("row").alias("r")).join(each.filter("copies > 1").select("node", F.col("row").alias("one")), "node").filter("r <> one").select(F.col("r").alias("row"))
     spare = written(spare, "dedup-copies")
-    texts = marked.select(F.col(node).alias("node"), F.col("text").cast("binary").alias("text"), F.col(row).alias("row"))
-    texts = texts.join(F.broadcast(spare) if spare.count() <= sent else spare, "row", "left_anti").select("node", "text")
-    labels = classes(texts, each.count(), each.select("node", "fp", "s0", "s1", "s2", "s3"), **options)
+    texts = marked.select(F.col(node).alias("node"), F.col("text").cast("binary").alias("text"), F.col(mark).alias("sketch"), F.col(row).alias("row"))
+    texts = texts.join(F.broadcast(spare) if spare.count() <= sent else spare, "row", "left_anti").select("node", "text", "sketch")
+    labels = classes(texts, each.count(), each.select("node", "fp"), **options)
     stays = each.join(labels, "node", "left").groupBy(F.coalesce("label", "node").alias("class")).agg(F.min(F.struct("m.z", "m.d", "node", "m.row")).alias("k"))
     return marked.join(stays.select(F.col("k.row").alias(row)), row, "left_semi").select(*[F.col(f"`{c}`") for c in names])

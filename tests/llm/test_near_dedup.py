@@ -65,6 +65,25 @@ def test_every_member_is_compared(spark):
     assert kept(spark, docs) == plain_kept(docs)
 
 
+def test_sketches_lose_no_pair():
+    """The buckets that differ are never more than the sets' difference, and nearly as many while sets are small."""
+    rng = RNG(12)
+    for size in (0, 1, 5, 180, 1000, 20000):
+        for share in (0, 0.05, 0.12, 0.5, 1):
+            a = rng.integers(0, 2**63, size, np.uint64) * np.uint64(2)
+            b = a.copy()
+            new = int(size * share)
+            b[:new] = rng.integers(0, 2**63, new, np.uint64) * np.uint64(2) + np.uint64(1)
+            s = near_dedup._sketches([near_dedup.sketch(a), near_dedup.sketch(np.r_[b, b[:3]])])
+            apart, sizes, row = int(np.bitwise_count(s[0] ^ s[1]).sum()), np.array([len(set(a.tolist())), len(set(b.tolist()))]), np.array([0])
+            assert apart <= 2 * new and (apart - 2 * new) % 2 == 0
+            if size <= 180:
+                assert apart >= 2 * new * 0.8
+            common = size - new
+            if size and common >= 0.8 * (2 * size - common):
+                assert near_dedup._near(s, sizes, row, row + 1, 0.8)[0]
+
+
 def tails(seed, n, words, share):
     """n pairs of a text and the same with a new tail, of similarity `share` or a little more."""
     rng, docs = RNG(seed), []
