@@ -10,7 +10,7 @@ compared by shingles; two ways lead to candidates:
    never the result), and two nodes at 0.8 have a common shingle among the first fifth of both. Nodes are entered under these; those that meet, and could
    reach 0.8 by their sizes and the shingle's places, are candidates.
 
-Keys of up to `limit` entries make few pairs whatever a group's size, at most (limit - 1) / 2 for an entry. Under keys with more two nodes, chosen anew in every turn, are compared with those of other classes first (stars), so what SimHash left of a large
+Keys of up to `limit` entries make few pairs whatever a group's size, at most (limit - 1) / 2 for an entry. Under keys with more two nodes, the one with the fewest rarer shingles and another, chosen anew in every turn, are compared with those of other classes first (stars), so what SimHash left of a large
 group collapses as well: while such keys hold several classes and turns find links, up to `rounds` times. Then all pairs under every key whose nodes aren't
 in one class yet are compared, in blocks: every member is entered, so none is skipped for another. Stars and blocks emit only pairs of different classes, and of these
 only what a sketch of both sets leaves possible: for each of 2,048 buckets of hashes, whether the set has an odd number in it. Every bucket in which two sketches differ
@@ -249,9 +249,11 @@ def _mixed_keys(rows: DataFrame) -> DataFrame:
 
 
 def _picked(rows: DataFrame, turn: int) -> DataFrame:
-    """Of each key two nodes, picked by hashes of this turn, also by partial sums."""
-    picked = [F.xxhash64("node", F.lit(2 * turn + k)) for k in (0, 1)]
-    return written(rows.groupBy("key").agg(*[F.min_by(c, h).alias(f"{c}_{k}") for k, h in enumerate(picked) for c in FIELDS]), "dedup-picked")
+    """Of each key two nodes, also by partial sums: the one with the fewest rarer shingles before the key, and one by a hash of this turn. Of copies with few or
+    many edits the first has the fewest, so it is near most of them; ties go by the hash, which differs from key to key and from turn to turn."""
+    chance = F.pmod(F.xxhash64("key", "node", F.lit(turn)), F.lit(1 << 31))
+    picked = [F.col("pos").cast("long") * (1 << 31) + chance, chance]
+    return rows.groupBy("key").agg(*[F.min_by(c, h).alias(f"{c}_{k}") for k, h in enumerate(picked) for c in FIELDS])
 
 
 def _star_pairs(batches: Iterator[pa.RecordBatch], least: float) -> Iterator[pa.RecordBatch]:
