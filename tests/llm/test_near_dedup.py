@@ -65,6 +65,21 @@ def test_every_member_is_compared(spark):
     assert kept(spark, docs) == plain_kept(docs)
 
 
+def test_dense_groups_are_joined_before_all_pairs(spark, monkeypatch):
+    """One group around 0.8: stars join nearly all of it, so the last comparison is left with few of its pairs, and the result is that of all pairs."""
+    made, meet = [], near_dedup._meet_all
+
+    def counted(*args):
+        pairs = meet(*args)
+        made.append(pairs.distinct().count())
+        return pairs
+
+    docs = families(11, [150], 150, 9)
+    monkeypatch.setattr(near_dedup, "_meet_all", counted)
+    assert kept(spark, docs) == plain_kept(docs)
+    assert made[0] < 150 * 149 / 2 / 20
+
+
 def test_sketches_lose_no_pair():
     """The buckets that differ are never more than the sets' difference, and nearly as many while sets are small."""
     rng = RNG(12)
