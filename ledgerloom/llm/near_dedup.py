@@ -12,7 +12,7 @@ compared by shingles; two ways lead to candidates:
 
 Keys of up to `limit` entries make few pairs whatever a group's size, at most (limit - 1) / 2 for an entry. Under keys with more two nodes, the one with the fewest rarer shingles and another, chosen anew in every turn, are compared with those of other classes first (stars), so what SimHash left of a large
 group collapses as well: while such keys hold several classes and turns find links, up to `rounds` times. Then all pairs under every key whose nodes aren't
-in one class yet are compared, in blocks: every member is entered, so none is skipped for another. Stars and blocks emit only pairs of different classes, and of these
+in one class yet are compared, in blocks: every member is entered, so none is skipped for another. Classes are settled before each turn, or one group would count as many. Stars and blocks emit only pairs of different classes, and of these
 only what a sketch of both sets leaves possible: for each of 2,048 buckets of hashes, whether the set has an odd number in it. Every bucket in which two sketches differ
 holds a shingle that one set alone has, so the number of such buckets is a lower bound of the sets' difference, which 0.8 and the sizes bound from above. The bound loses
 no pair, and up to some thousand words it is tight: of texts at a similarity of 0.75 hardly a pair is left to compare by shingles.
