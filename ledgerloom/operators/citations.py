@@ -49,7 +49,8 @@ def start_from_contexts(cells: DataFrame, contexts: DataFrame) -> DataFrame:
     c = contexts.filter("period_start IS NOT NULL").withColumn("months", duration_months(F.col("period_start"), F.col("period_end")))
     best = c.groupBy("doc_id", "period_end", "months").agg(F.min(F.struct(F.col("n_dimensions"), F.col("context_id"), F.col("period_start"))).alias("b"))
     out = cells.join(best, ["doc_id", "period_end", "months"], "left")
-    return out.withColumn("period_start", F.coalesce("period_start", F.col("b.period_start"))).withColumn("period_source", F.when(F.col("b").isNotNull(), F.col("b.context_id"))).drop("b")
+    found = F.col("period_start").isNull() & F.col("b").isNotNull()
+    return out.withColumn("period_source", F.when(found, F.col("b.context_id"))).withColumn("period_start", F.coalesce("period_start", F.col("b.period_start"))).drop("b")
 
 
 def reconcile_periods(cells: DataFrame, links: DataFrame) -> DataFrame:

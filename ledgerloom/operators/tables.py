@@ -243,10 +243,10 @@ def cells(pages: DataFrame, key: str = "page_id", html: str = "html") -> DataFra
     return pages.select(key, html).mapInPandas(run, f"{key} {pages.schema[key].dataType.simpleString()}, {CELL_SCHEMA}")
 
 
-def serialised(table: Element) -> str:
-    """Row-wise text for retrieval: caption, then each labelled row with its columns' values."""
+def serialised(table: Element, got: list[dict] | None = None) -> str:
+    """Row-wise text for retrieval: caption, then each labelled row with its columns' values. got: the table's cells, where they are known already."""
     out, at = [], None
-    got = cells_of(table)
+    got = cells_of(table) if got is None else got
     if got and got[0]["caption"]:
         out.append(f"Table: {got[0]['caption']}")
     for c in got:

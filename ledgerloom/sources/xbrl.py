@@ -12,7 +12,9 @@ from pyspark.sql import functions as F
 from .html import Element, tree
 
 FACTS = ("ix:nonfraction", "ix:nonnumeric")
-DIMENSIONS = "array<struct<axis:string,member:string>>"
+CONTEXT = "context_id string, entity string, scheme string, period_start string, period_end string, instant string, dimensions array<struct<axis:string,member:string>>"
+UNIT = "unit_id string, measures array<string>, numerator array<string>, denominator array<string>"
+FACT = "fact_id string, concept string, context_id string, unit_id string, decimals string, scale int, sign string, raw_text string, value double"
 
 
 def contexts_of(root: Element) -> list[dict]:
@@ -83,22 +85,26 @@ def _rows(of, key: str, html: str, names: list[str]):
     return run
 
 
+def _table(pages: DataFrame, of, fields: str, key: str, html: str) -> DataFrame:
+    names = [x.split()[0] for x in fields.split(", ")]
+    return pages.select(key, html).mapInPandas(_rows(of, key, html, names), f"{key} {pages.schema[key].dataType.simpleString()}, position bigint, {fields}")
+
+
 def contexts(pages: DataFrame, key: str = "doc_id", html: str = "html") -> DataFrame:
-    kind = pages.schema[key].dataType.simpleString()
-    names = ["context_id", "entity", "scheme", "period_start", "period_end", "instant", "dimensions"]
-    return pages.select(key, html).mapInPandas(_rows(contexts_of, key, html, names), f"{key} {kind}, position bigint, context_id string, entity string, scheme string, period_start string, period_end string, instant string, dimensions {DIMENSIONS}")
+    return _table(pages, contexts_of, CONTEXT, key, html)
 
 
 def units(pages: DataFrame, key: str = "doc_id", html: str = "html") -> DataFrame:
-    kind = pages.schema[key].dataType.simpleString()
-    return pages.select(key, html).mapInPandas(_rows(units_of, key, html, ["unit_id", "measures", "numerator", "denominator"]), f"{key} {kind}, position bigint, unit_id string, measures array<string>, numerator array<string>, denominator array<string>")
+    return _table(pages, units_of, UNIT, key, html)
 
 
 def facts(pages: DataFrame, key: str = "doc_id", html: str = "html") -> DataFrame:
+    """Facts with their contexts and units; `ingest.ingest` gives the same from one parse."""
+    return resolved(_table(pages, facts_of, FACT, key, html), contexts(pages, key, html), units(pages, key, html), key)
+
+
+def resolved(own: DataFrame, contexts: DataFrame, units: DataFrame, key: str = "doc_id") -> DataFrame:
     """Facts with their contexts and units, by left joins within a document; scaled = value * 10^scale. Of repeated context or unit ids the last counts."""
-    kind = pages.schema[key].dataType.simpleString()
-    names = ["fact_id", "concept", "context_id", "unit_id", "decimals", "scale", "sign", "raw_text", "value"]
-    own = pages.select(key, html).mapInPandas(_rows(facts_of, key, html, names), f"{key} {kind}, position bigint, fact_id string, concept string, context_id string, unit_id string, decimals string, scale int, sign string, raw_text string, value double")
     last = lambda d, by: d.groupBy(key, by).agg(F.max_by(F.struct(*[c for c in d.columns if c not in (key, by, "position")]), "position").alias("x")).select(key, by, "x.*")
-    out = own.join(last(contexts(pages, key, html), "context_id"), [key, "context_id"], "left").join(last(units(pages, key, html), "unit_id"), [key, "unit_id"], "left")
+    out = own.join(last(contexts, "context_id"), [key, "context_id"], "left").join(last(units, "unit_id"), [key, "unit_id"], "left")
     return out.withColumn("scaled", F.col("value") * F.pow(F.lit(10.0), F.col("scale")))

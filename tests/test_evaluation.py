@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ledgerloom.functions import text
 from ledgerloom.operators import blocks, calculator, constraints, dense, evaluator, facts, fusion, ingest, lexical, metrics, provenance, runtime, tables, temporal
-from ledgerloom.sources import loads
+from ledgerloom.sources import loads, xbrl
 from ledgerloom.sources.html import tree
 
 
@@ -273,3 +273,24 @@ def test_temporal(spark):
     f = spark.createDataFrame([("d", ["f1", "f2"], "c1"), ("d", ["f2"], "c2")], "doc_id string, fact_ids array<string>, chunk_id string")
     links, bad = facts.chunk_links(f)
     assert rows(links) == [("d", "f1", "c1")] and rows(bad.select("key")) == [("d-f2",)]
+
+
+def test_one_parse_for_a_page(spark):
+    pages = spark.createDataFrame([("d1", PAGE), ("d2", None), ("d3", ""), ("d4", "<table><tr><td><table><tr><td>Inner</td><td>1,000</td></tr></table></td></tr></table>")], "doc_id string, html string")
+    own = ingest.parsed(pages)
+    assert own._jdf.queryExecution().executedPlan().toString().count("MapInArrow") == 1
+    kinds = {(r.doc_id, r.kind): r.n for r in own.groupBy("doc_id", "kind").agg(F.count("*").alias("n")).collect()}
+    assert kinds[("d1", "block")] == 8 and kinds[("d1", "fact")] == 2 and kinds[("d4", "block")] == 1 and not {d for d, _ in kinds} & {"d2", "d3"}
+    same = lambda a, b, key: rows(a.select(*b.columns).orderBy(key, "row", "col")) == rows(b.orderBy(key, "row", "col"))
+    assert same(ingest.part(own, "cell"), tables.cells(pages, "doc_id"), "doc_id")
+    assert sorted(map(str, rows(ingest.facts_of(own)))) == sorted(map(str, rows(xbrl.facts(pages))))
+    ingest.register(spark)
+    pages.createOrReplaceTempView("some_pages")
+    assert spark.sql("SELECT doc_id, b.block.text FROM some_pages, LATERAL parse_page(html) b WHERE b.kind = 'block'").count() == 9
+
+
+def test_sections_end_each_other(spark):
+    said = ["Item 1. A", "Sub", "Note 1 X", "Other", "Item 2. B", "text", "Part II", "Note 2 Y", "Item 3. C"]
+    given = spark.createDataFrame([(1, i, "paragraph" if t == "text" else "heading", t) for i, t in enumerate(said)], "doc_id int, position long, block_type string, text string")
+    got = [r.section_path for r in ingest.sectioned(given).orderBy("position").collect()]
+    assert got == [["Item 1. A"], ["Item 1. A", "Sub"], ["Item 1. A", "Note 1 X"], ["Item 1. A", "Other"], ["Item 2. B"], ["Item 2. B"], ["Part II"], ["Part II", "Note 2 Y"], ["Part II", "Item 3. C"]]
