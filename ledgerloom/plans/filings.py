@@ -10,7 +10,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..operators import calculator, constraints, facts, graph, mapping, provenance, runtime, temporal
+from ..operators import calculator, constraints, facts, graph, intervals, mapping, provenance, runtime, temporal
 from . import relational as R
 from .dialect import DUCK
 
@@ -123,6 +123,30 @@ def _targets(s, d):
     return table(s, d, "orders").select(F.col("o_orderkey").alias("target_id"), F.col("o_custkey").alias("company"), F.col("o_orderdate").cast("date").alias("at"), F.col("o_totalprice").alias("stated"))
 
 
+def price_intervals(s, d):
+    """Prices within 2% of an order's total, of the same company and year."""
+    span = F.col("stated") * 0.02
+    t = _targets(s, d).select("target_id", "company", F.year("at").alias("year"), (F.col("stated") - span).alias("low"), (F.col("stated") + span).alias("high"))
+    f = catalog(s, d).select("fact_id", "company", F.year("period_start").alias("year"), "value")
+    return intervals.within(t, f, "low", "high", "value", ("company", "year")).select("target_id", "fact_id", "value")
+
+
+def balance_neighbours(s, d):
+    """Prices within 5 of ten times a supplier's balance, without any key."""
+    t = table(s, d, "supplier").select("s_suppkey", (F.col("s_acctbal") * 10 - 5).alias("low"), (F.col("s_acctbal") * 10 + 5).alias("high"))
+    near = intervals.within(t, table(s, d, "lineitem").select("l_extendedprice"), "low", "high", "l_extendedprice")
+    return near.groupBy("s_suppkey").agg(F.count("*").alias("n"), F.min("l_extendedprice").alias("least"), F.max("l_extendedprice").alias("most"))
+
+
+def numeric_matches(s, d):
+    """Balances of suppliers, in several units, against those of customers of the nation (basis) in a period that may be missing: within 50 dollars, either sign."""
+    even = lambda c: F.when(F.col(c) % 2 == 0, "2024")
+    unit = F.when(F.col("s_suppkey") % 3 == 0, "USD").when(F.col("s_suppkey") % 3 == 1, "USD_thousand").otherwise("percent")
+    t = table(s, d, "supplier").select(F.col("s_suppkey").alias("target_id"), unit.alias("unit"), F.col("s_nationkey").alias("basis"), even("s_suppkey").alias("period"), F.when(unit == "USD_thousand", F.col("s_acctbal") / 1000).otherwise(F.col("s_acctbal")).alias("stated"))
+    f = table(s, d, "customer").select(F.col("c_custkey").alias("found_id"), F.lit("USD").alias("unit"), F.col("c_nationkey").alias("basis"), even("c_custkey").alias("period"), F.col("c_acctbal").alias("value"))
+    return intervals.numeric_matches(t, f, F.lit(50.0), signed=False)
+
+
 def stage1_candidates(s, d):
     t = _targets(s, d).withColumn("chunk_ids", F.array("target_id"))
     f = catalog(s, d).withColumn("chunk_id", F.col("accession"))
@@ -306,7 +330,8 @@ def tool_facts(s, d):
 QUERIES = {f.__name__: f for f in (
     facts_query_exact, facts_query_unknown_concept, concept_search_tiers, concept_observations, facts_enriched, fact_fd_violations, fk_orphans, duplicate_ids, unit_normalise, unit_comparison, precision_match,
     stage1_candidates, stage2_candidates, stage3_candidates, mapping_status, duration_months, temporal_catalog, header_vs_fact_period_conflicts, temporal_resolution, requirement_closure, topo_levels, cycle_check, cycle_members,
-    source_fingerprints, micro_average, variant_selection, relational_division, errata_overlay, release_diff, number_parse, formula_exact, derived_lineage, target_rows, conflict_extract, provenance_classes, tool_facts,
+    source_fingerprints, micro_average, variant_selection, relational_division, errata_overlay, release_diff, number_parse, formula_exact, derived_lineage, target_rows, conflict_extract, provenance_classes, tool_facts, price_intervals, balance_neighbours,
+    numeric_matches,
 )}
 
 _F = R.facts(DUCK)
@@ -347,4 +372,9 @@ SELECT target_id, period_start, period_end, count(*) AS n_rows, 'chunk' AS how F
     "conflict_extract": _STATES + " SELECT state, accession, concept FROM (SELECT *, row_number() OVER (PARTITION BY state ORDER BY accession, concept) AS n FROM st) WHERE n <= 5",
     "provenance_classes": f"WITH {_F}, g AS (SELECT accession, bool_or(line % 3 = 0) AS h, bool_or(line % 3 = 1) AS x, bool_or(line % 3 = 2) AS u FROM facts GROUP BY accession) SELECT CASE WHEN u THEN 'UNCLEAR' WHEN h THEN 'INGESTION_DERIVED_OR_INFERRED' ELSE 'EXPLICIT_EXACT' END AS class, count(*) AS n FROM g GROUP BY ALL",
     "tool_facts": f"WITH {_F}, one AS (SELECT concept, accession FROM facts ORDER BY fact_id LIMIT 1) SELECT 0::BIGINT AS call, fact_id, NULL::VARCHAR AS error FROM facts JOIN one USING (concept, accession) UNION ALL VALUES (1, NULL, 'input'), (2, NULL, 'input'), (3, NULL, 'input')",
+    "price_intervals": f"""WITH {_F} SELECT o_orderkey AS target_id, fact_id, value FROM orders JOIN facts ON company = o_custkey AND year(period_start) = year(o_orderdate)
+  AND value BETWEEN o_totalprice - o_totalprice * 0.02::DOUBLE AND o_totalprice + o_totalprice * 0.02::DOUBLE""",
+    "balance_neighbours": "SELECT s_suppkey, count(*) AS n, min(l_extendedprice) AS least, max(l_extendedprice) AS most FROM supplier JOIN lineitem ON l_extendedprice >= s_acctbal * 10 - 5 AND l_extendedprice <= s_acctbal * 10 + 5 GROUP BY s_suppkey",
+    "numeric_matches": """WITH t AS (SELECT *, CASE WHEN s_suppkey % 3 = 1 THEN s_acctbal / 1000 * 1000 ELSE s_acctbal END AS base FROM supplier WHERE s_suppkey % 3 < 2)
+SELECT s_suppkey AS target_id, c_custkey AS found_id, sign(base) = sign(c_acctbal) AS same_sign FROM t JOIN customer ON s_nationkey = c_nationkey AND s_suppkey % 2 = c_custkey % 2 AND abs(c_acctbal) >= abs(base) - 50 AND abs(c_acctbal) <= abs(base) + 50""",
 }
