@@ -149,11 +149,42 @@ def evaluated(node: Node, bindings: dict[str, str]) -> str:
         raise CalculatorError(type(e).__name__) from None
 
 
-def calculated(text: str, columns: dict[str, Column]) -> Column:
-    """evaluate() over columns of decimals or of text, exactly: the result as plain digits, null where a row can't be evaluated. The expression is parsed once."""
+def _decimals(node: Node, columns: dict[str, Column], types: dict[str, tuple[int, int]]) -> tuple[Column, int, int] | None:
+    """A node as a decimal Column with as many digits, in all and after the point, as its value can have; None where Spark's decimals can't hold that exactly."""
+    if node.kind == "name":
+        p, s = types[node.value]
+        c = columns[node.value].cast(f"decimal({p},{s})")
+    elif node.kind == "number":
+        whole, _, part = node.value.partition(".")
+        if not (whole + part).isdigit():
+            return None
+        p, s = len(whole + part), len(part)
+        c = F.lit(node.value).cast(f"decimal({p},{s})") if p <= 38 else None
+    else:
+        inner = [_decimals(n, columns, types) for n in node.inner]
+        if None in inner or node.value == "/":
+            return None
+        (a, p, s), *more = inner
+        c = -a if node.value == "-" else a
+        if more:
+            b, q, t = more[0]
+            c = {"+": a + b, "-": a - b, "*": a * b}[node.value]
+            p, s = (p + q, s + t) if node.value == "*" else (max(p - s, q - t) + 1 + max(s, t), max(s, t))
+    if p > 38 or s > 6:
+        return None
+    return c.cast(f"decimal({p},{s})"), p, s
+
+
+def calculated(text: str, columns: dict[str, Column], types: dict[str, tuple[int, int]] | None = None) -> Column:
+    """evaluate() over columns of decimals or of text, exactly: the result as plain digits, null where a row can't be evaluated. The expression is parsed once.
+    types: digits, in all and after the point, of columns that are decimals; where sums and products of these keep to 38 digits, six of them after the point, rows never go to Python."""
     node, order = parse(text), sorted(columns)
     if names(node) != set(columns):
         raise CalculatorError(f"names {sorted(names(node))}, columns {order}")
+    own = _decimals(node, columns, types) if types and set(types) == set(columns) else None
+    if own is not None:
+        digits = own[0].cast("string")
+        return F.when(digits.contains("."), F.regexp_replace(digits, r"\.?0+$", "")).otherwise(digits)
 
     @F.pandas_udf(T.StringType())
     def run(values: pd.DataFrame) -> pd.Series:

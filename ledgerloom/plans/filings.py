@@ -285,7 +285,7 @@ def number_parse(s, d):
 def formula_exact(s, d):
     """Net amounts in decimals, digit by digit."""
     dec = lambda c: F.col(c).cast("decimal(12,2)")
-    net = calculator.calculated("price * (1 - discount) * (1 + tax)", {"price": dec("l_extendedprice"), "discount": dec("l_discount"), "tax": dec("l_tax")})
+    net = calculator.calculated("price * (1 - discount) * (1 + tax)", {"price": dec("l_extendedprice"), "discount": dec("l_discount"), "tax": dec("l_tax")}, dict.fromkeys(("price", "discount", "tax"), (12, 2)))
     return table(s, d, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", net.alias("net"))
 
 

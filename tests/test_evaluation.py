@@ -294,3 +294,15 @@ def test_sections_end_each_other(spark):
     given = spark.createDataFrame([(1, i, "paragraph" if t == "text" else "heading", t) for i, t in enumerate(said)], "doc_id int, position long, block_type string, text string")
     got = [r.section_path for r in ingest.sectioned(given).orderBy("position").collect()]
     assert got == [["Item 1. A"], ["Item 1. A", "Sub"], ["Item 1. A", "Note 1 X"], ["Item 1. A", "Other"], ["Item 2. B"], ["Item 2. B"], ["Part II"], ["Part II", "Note 2 Y"], ["Part II", "Item 3. C"]]
+
+
+@pytest.mark.parametrize("text, inside", [("a * (1 - b) * (1 + b)", True), ("-a + b - 0.25", True), ("-(a - a)", True), ("a * b * a * b", False), ("a / 4", False), ("+a * 1000", True), ("a - 0.0000001", False)])
+def test_decimals_inside_spark(spark, text, inside):
+    given = [(Decimal(a), Decimal(b)) for a in ("0.00", "-0.01", "9999999999.99", "-9999999999.99", "100.00", "7.10") for b in ("0.00", "0.05", "-9999999999.99", "9999999999.99")] + [(None, Decimal("1.00"))]
+    df = spark.createDataFrame(given, "a decimal(12,2), b decimal(12,2)")
+    cols = {k: F.col(k) for k in calculator.names(calculator.parse(text))}
+    got = df.select("a", "b", calculator.calculated(text, cols, dict.fromkeys(cols, (12, 2))).alias("x"))
+    assert ("Python" not in got._jdf.queryExecution().executedPlan().toString()) == inside
+    for r in got.collect():
+        known = {k: str(r[k]) for k in cols}
+        assert r.x == (None if "None" in known.values() else calculator.evaluate(text, known))
