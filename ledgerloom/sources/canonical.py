@@ -34,8 +34,9 @@ def row_hash(*columns: Column) -> Column:
 
 
 def corpus_fingerprint(hashes: DataFrame, column: str, version: str) -> DataFrame:
-    """One row: a fingerprint that doesn't depend on the order of rows. Rows are hashed into 4096 groups first, so no task gathers all of them."""
-    grouped = hashes.groupBy(F.conv(F.substring(column, 1, 3), 16, 10).cast("int").alias("g")).agg(F.sha2(F.array_join(F.array_sort(F.collect_list(column)), ",").cast("binary"), 256).alias("h"))
+    """One row: a fingerprint that doesn't depend on the order of rows. Rows are hashed into 4096 groups first, so no task gathers all of them;
+    rows without a hash are a group of their own, and their number counts."""
+    grouped = hashes.groupBy(F.conv(F.substring(column, 1, 3), 16, 10).cast("int").alias("g")).agg(F.sha2(F.array_join(F.array_sort(F.collect_list(F.coalesce(column, F.lit("")))), ",").cast("binary"), 256).alias("h"))
     top = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("g", "h"))), lambda x: x["h"]), ",")
     return grouped.agg(F.sha2(F.concat(F.lit(version + ":"), top).cast("binary"), 256).alias("fingerprint"))
 

@@ -5,7 +5,7 @@ from datetime import date
 import pytest
 
 from ledgerloom.operators import citations
-from ledgerloom.sources import store
+from ledgerloom.sources import canonical, store
 
 
 def test_raw_store(tmp_path):
@@ -81,3 +81,8 @@ def test_periods_of_cells(spark):
     facts = spark.createDataFrame([("d", -5.0, "c1", "e1"), ("d", 5.0, "c2", "e2"), ("d", 7.0, "c3", "e1")], "doc_id string, scaled double, context_id string, period_end string")
     asked = spark.createDataFrame([(1, "d", 5.0, "e1"), (2, "d", 5.0, None), (3, "d", 7.0, "e9"), (4, "d", 9.0, None)], "cell_id long, doc_id string, magnitude double, period_end string")
     assert {r.cell_id: (r.context_id, r.status) for r in citations.match_by_value(asked, facts).collect()} == {1: ("c1", "assigned_unique"), 2: (None, "rejected_ambiguous"), 3: (None, "no_compatible_fact"), 4: (None, "no_compatible_fact")}
+
+
+def test_fingerprint_counts_rows_without_a_hash(spark):
+    one = lambda *h: canonical.corpus_fingerprint(spark.createDataFrame([(x,) for x in h], "h string"), "h", "1").first().fingerprint
+    assert len({one("ab1"), one("ab1", None), one("ab1", None, None), one("ab1", "ab1")}) == 4 and one("ab1", None, "cd2") == one(None, "cd2", "ab1")
