@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.text import compact, local_name, name_tokens
+from ..sources.canonical import corpus_fingerprint
 from .calculator import canonical
 
 FILTERS = ("accession", "company", "form", "unit", "period_start", "period_end", "instant")
@@ -107,8 +108,10 @@ def public(facts: DataFrame, include_dimensions: bool = True, fields: tuple = PU
 
 
 def trace(facts: DataFrame, got: DataFrame, filters: dict) -> DataFrame:
-    """One row about a query: the filters that were set, how many facts there are and were found, a fingerprint of the ids found in order."""
-    found = got.agg(F.count("*").alias("matched_count"), F.sha2(F.array_join(F.array_sort(F.collect_list(F.sha2(F.col("fact_id").cast("string").cast("binary"), 256))), ",").cast("binary"), 256).alias("fingerprint"))
+    """One row about a query: the filters that were set, how many facts there are and were found, a fingerprint of the ids found that no partitioning changes and
+    no task gathers."""
+    ids = got.select(F.sha2(F.col("fact_id").cast("string").cast("binary"), 256).alias("h"))
+    found = got.agg(F.count("*").alias("matched_count")).crossJoin(corpus_fingerprint(ids, "h", "facts"))
     applied = F.to_json(F.create_map(*[x for k, v in sorted(filters.items()) if v is not None for x in (F.lit(k), F.lit(str(v)))])) if any(v is not None for v in filters.values()) else F.lit("{}")
     return facts.agg(F.count("*").alias("fact_count")).crossJoin(found).withColumn("filters", applied)
 

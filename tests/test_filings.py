@@ -204,3 +204,11 @@ def test_running_headers(spark):
     df = spark.createDataFrame([(1, i, t) for i, t in enumerate(said)], "doc_id long, position long, text string")
     got = [r.is_heading for r in blocks.suppress_running_headers(df).orderBy("position").collect()]
     assert got == [True, True, True, False, False, False, True, True, True, False]
+
+
+def test_trace(catalog):
+    one = lambda got, **k: facts.trace(catalog, got, k).first()
+    got = facts.query(catalog, "us:NetIncomeLoss")
+    a, b = one(got, concept="us:NetIncomeLoss", form=None), one(got.repartition(7))
+    assert (a.fact_count, a.matched_count, a.filters, b.filters) == (5, 2, '{"concept":"us:NetIncomeLoss"}', "{}") and a.fingerprint == b.fingerprint
+    assert len({a.fingerprint, one(got.limit(1)).fingerprint, one(got.limit(0)).fingerprint, one(got.unionByName(got)).fingerprint}) == 4 and one(got.limit(0)).matched_count == 0
