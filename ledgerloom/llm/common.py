@@ -39,6 +39,11 @@ def written(df: DataFrame, tag: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def dealt(df: DataFrame) -> DataFrame:
+    """A side of a join that grows with the input: it is dealt and sorted, never broadcast, as a broadcast table passes whole through the driver."""
+    return df.hint("merge")
+
+
 def discard(spark: SparkSession, path: str) -> None:
     """Removes a table of scratch() that a later one replaces."""
     at = spark._jvm.org.apache.hadoop.fs.Path(path)

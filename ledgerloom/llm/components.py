@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import dealt, written
 
 #: Links that a task joins at once (some 100 bytes each while it does).
 AT_ONCE = 1_000_000
@@ -66,7 +66,7 @@ def connected(links: DataFrame, max_rounds: int = 60, settle: bool = True) -> Da
         near = written(both.groupBy("u").agg(F.min("v").alias("m"), F.max("v").alias("most")), "cc-least")
         if not settle or not near.filter("m < u AND m <> most").head(1):
             return near.filter("m < u").select(F.col("u").alias("node"), F.col("m").alias("label"))
-        told = both.join(near.select("u", F.least("m", "u").alias("m")), "u").filter("v <> m").select("m", "v")
+        told = both.join(dealt(near.select("u", F.least("m", "u").alias("m"))), "u").filter("v <> m").select("m", "v")
         own = near.filter("m < u").select("m", F.col("u").alias("v"))
         edges = contracted(told.unionByName(own))
     raise RuntimeError("links did not settle")

@@ -9,7 +9,7 @@ Equal fingerprints are one node from the start, so groups of copies cost nothing
 task emits a spanning forest of the links it verified, never all pairs of a group: first under the segments as they are, then, between different
 components only, under the balls. A key under which more than `block` fingerprints meet is split into blocks that meet pair by pair in different
 tasks. Links are joined by `components` over written tables; nothing but counts reaches the driver. Joins on a component or a fingerprint are between
-plain exchanges, so adaptive execution splits the rows of a large one.
+plain exchanges whatever Spark's broadcast threshold, so no side passes through the driver and adaptive execution splits the rows of a large one.
 
 Segments follow the number of distinct fingerprints n: about 64 / log2(n) of them, at least two, so that a table has about as many keys as entries.
 
@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import give_back, parallelism, text_batches, whole_groups, written
+from .common import dealt, give_back, parallelism, text_batches, whole_groups, written
 from .components import connected
 from .encoding import slices
 
@@ -176,7 +176,7 @@ def links(nodes: DataFrame, segments: list, n: int, radius: int, balls: bool, bl
     e = nodes.select("fp", "comp").mapInArrow(lambda it: _entries(it, segments, balls), "seg int, key bigint, fp bigint, comp bigint")
     hot = e.groupBy("seg", "key").agg(F.count("*").alias("n"), F.min("comp").alias("a"), F.max("comp").alias("b")).filter("n > 1 AND a <> b")
     hot = hot.select("seg", "key", F.ceil(F.col("n") / block).cast("int").alias("blocks"))
-    e = e.join(hot, ["seg", "key"])
+    e = e.join(dealt(hot), ["seg", "key"])
     mine = F.pmod(F.xxhash64("fp"), F.col("blocks")).cast("int")
     e = e.withColumn("mine", mine).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     e = e.select("seg", "key", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), (F.col("mine") <= F.col("other")).cast("int").alias("side"), "fp", "comp")
@@ -202,17 +202,17 @@ def components(fps: DataFrame, radius: int = 4, block: int = 4096) -> DataFrame:
     doc_id reachable over links of at most radius bits."""
     distinct = written(fps.groupBy("fp").agg(F.min("doc_id").alias("first_doc"), F.count("*").alias("n_docs")), "simhash-nodes")
     nodes, found = linked(distinct, distinct.count(), radius, block)
-    both = written(distinct.join(merged(nodes, connected(found)), "fp"), "simhash-components")
+    both = written(distinct.join(dealt(merged(nodes, connected(found))), "fp"), "simhash-components")
     least = written(both.groupBy("comp").agg(F.min("first_doc").alias("component_id")), "simhash-least")
-    return both.join(least, "comp").select("fp", "comp", "component_id", "first_doc", "n_docs")
+    return both.join(dealt(least), "comp").select("fp", "comp", "component_id", "first_doc", "n_docs")
 
 
 def merged(nodes: DataFrame, labels: DataFrame) -> DataFrame:
     """nodes with comp replaced by its label, where it has one."""
-    return nodes.join(labels.select(F.col("node").alias("comp"), "label"), "comp", "left").select("fp", F.coalesce("label", "comp").alias("comp"))
+    return nodes.join(dealt(labels.select(F.col("node").alias("comp"), "label")), "comp", "left").select("fp", F.coalesce("label", "comp").alias("comp"))
 
 
 def op7(spark: SparkSession, docs: DataFrame, size: int = 4, radius: int = 4) -> DataFrame:
     """doc_id, fingerprint (16 hex digits), component_id (null only where a component has null doc_ids alone)."""
     fps = written(fingerprints(docs, size), "simhash")
-    return fps.join(components(fps, radius), "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    return fps.join(dealt(components(fps, radius)), "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")

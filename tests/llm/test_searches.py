@@ -11,6 +11,7 @@ import pytest
 import xxhash
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from ledgerloom.llm import components, cross_entropy, merkle, mixing, near_dedup, secrets, simhash, token_orc, toxicity, wu_manber
@@ -321,3 +322,17 @@ def test_long_text_in_linear_time():
     t = time.time()
     secrets.scan("a" * 300_000 + ": " + "x=" * 100_000 + "'" * 50_000 + "password" * 20_000)
     assert time.time() - t < 20
+
+
+def test_simhash_broadcasts_no_side_that_grows(spark, odd):
+    """With any threshold, the driver gathers no table of fingerprints or links for a broadcast."""
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", str(1 << 40))
+    try:
+        fps = simhash.fingerprints(odd, 4)
+        nodes = fps.select("fp", F.col("fp").alias("comp")).distinct()
+        for df in (simhash.op7(spark, odd), simhash.links(nodes, simhash.plan(60, 4), 60, 4, True, 4096), simhash.merged(nodes, fps.selectExpr("fp AS node", "doc_id AS label"))):
+            df.collect()
+            assert "Broadcast" not in df._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
