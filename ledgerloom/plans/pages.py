@@ -29,9 +29,10 @@ def filings(s, d):
     total = t("orders").groupBy("o_custkey").agg(F.count("*").alias("cnt"), F.sum(F.col("o_totalprice").cast("decimal(12,2)")).alias("tot"))
     c = t("customer").join(total, F.col("c_custkey") == F.col("o_custkey"), "left").withColumn("day", F.date_add(F.lit("2020-01-01").cast("date"), F.pmod("c_custkey", F.lit(700)).cast("int")))
     shown, balance = F.format_number(F.abs("c_acctbal"), 2), F.col("c_acctbal")
+    minus_zero = balance.cast("string") == "-0.0"  # shown with its sign, as SQL's format does
     own = {
         "k": F.col("c_custkey"), "n": F.col("c_name"), "seg": F.col("c_mktsegment"), "nk": F.col("c_nationkey"), "cnt": F.coalesce("cnt", F.lit(0)), "tot": F.format_number(F.coalesce("tot", F.lit(0).cast("decimal(22,2)")), 2),
-        "b": F.when(balance < 0, F.concat(F.lit("("), shown, F.lit(")"))).otherwise(shown), "day": F.col("day"), "start": F.date_sub("day", 89), "iso": F.date_sub("day", 366),
+        "b": F.when(balance < 0, F.concat(F.lit("("), shown, F.lit(")"))).when(minus_zero, F.concat(F.lit("-"), shown)).otherwise(shown), "day": F.col("day"), "start": F.date_sub("day", 89), "iso": F.date_sub("day", 366),
         "head": F.concat(F.lit("Three Months Ended "), F.date_format("day", "MMMM d, yyyy")), "none": F.when(F.col("cnt").isNull(), "<p>No orders.</p>").otherwise(""),
     }
     c = c.repartition(int(s.conf.get("spark.sql.shuffle.partitions")), "c_custkey")  # rows are small and parsing isn't
