@@ -137,7 +137,8 @@ def chunk_records(blocks: DataFrame, key: str = "doc_id", least: int = MIN_TOKEN
     """Chunks of blocks (key, position, text, char_start, char_end, n_tokens, block_type, section, fact_ids): key, chunk_no, chunk_id, block_type, section, text
     (joined by blank lines), n_tokens, char_start, char_end, first_position, last_position, fact_ids (distinct, in order), retrieval_text (the section before the
     text), prev_chunk_id, next_chunk_id."""
-    rows = blocks.join(chunk_numbers(blocks, key, "section", least, most), [key, "position"])
+    numbers = chunk_numbers(blocks, key, "section", least, most).hint("merge")  # a row for each block, which Spark's estimate of arrays makes too small and would broadcast
+    rows = blocks.join(numbers, [key, "position"])
     one = rows.groupBy(key, F.col("chunk").alias("chunk_no")).agg(
         F.array_sort(F.collect_list(F.struct("position", "text", "block_type", "section", "fact_ids"))).alias("b"), F.sum("n_tokens").alias("n_tokens"),
         F.min("char_start").alias("char_start"), F.max("char_end").alias("char_end"), F.min("position").alias("first_position"), F.max("position").alias("last_position"),

@@ -29,3 +29,8 @@ def test_zeros_of_both_signs(spark, edges, name):
     got = pages.QUERIES[name](spark, edges)
     own = ", ".join(f'"{c}"' for c in got.columns)
     assert said(got.collect()) == said(db.execute(f"SELECT {own} FROM ({pages.ORACLES[name]})").fetchall())
+
+
+def test_chunk_numbers_are_not_broadcast(spark, edges):
+    plan = pages.filing_chunks(spark, edges)._jdf.queryExecution().executedPlan().toString()
+    assert "Broadcast" not in plan
