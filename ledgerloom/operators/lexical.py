@@ -23,8 +23,12 @@ K1, B = 1.5, 0.75
 BUCKETS = 32
 #: Terms of queries up to which they are sent as literals, so the scan prunes folders and row groups by them.
 SENT_TERMS = 2000
+#: Terms of all queries together up to which they are broadcast (some 10 MB), so that postings aren't dealt by term.
+SENT_ROWS = 200_000
 #: Documents that a block has about; blocks of each query that are scored first.
 BLOCK, FIRST = 64, 4
+#: Blocks to a task that builds the index, about: each writes a file to every folder.
+LEAST_A_TASK, MOST_A_TASK = 32, 256
 
 
 def tokenised(docs: DataFrame, key: str = "doc_id", text: str = "text", of=lexical) -> DataFrame:
@@ -32,10 +36,10 @@ def tokenised(docs: DataFrame, key: str = "doc_id", text: str = "text", of=lexic
     return docs.select(key, of(F.col(text)).alias("tokens"))
 
 
-def postings(tokens: DataFrame, key: str = "doc_id") -> DataFrame:
-    """(key, term, tf, dl): exploded and counted before any shuffle; dl rides along."""
-    terms = tokens.select(key, F.size("tokens").alias("dl"), F.explode("tokens").alias("term"))
-    return terms.groupBy(key, "term", "dl").agg(F.count("*").alias("tf"))
+def postings(tokens: DataFrame, key: str = "doc_id", *also: str) -> DataFrame:
+    """(key, also, term, dl, tf): exploded and counted before any shuffle, and without one if tokens are dealt by some of `key` and `also`; dl rides along."""
+    terms = tokens.select(key, *also, F.size("tokens").alias("dl"), F.explode("tokens").alias("term"))
+    return terms.groupBy(key, *also, "term", "dl").agg(F.count("*").alias("tf"))
 
 
 def corpus_stats(tokens: DataFrame) -> DataFrame:
@@ -62,7 +66,8 @@ class Index:
 
     @classmethod
     def build(cls, docs: DataFrame, path: str | None = None, key: str = "doc_id", text: str = "text", k1: float = K1, b: float = B, of=lexical, block: int = BLOCK) -> "Index":
-        """Texts are tokenised once, in a map; postings are dealt by term and block, so a frequent term's rows are spread over tasks."""
+        """Texts are tokenised once, in a map; documents, not postings, are dealt, by block, so that all that follows is within tasks and a frequent term's rows are
+        spread over them. Tokens are removed once the blocks are written."""
         if k1 < 0 or not 0 <= b <= 1:
             raise ValueError("k1 must not be negative, b lies between 0 and 1")
         spark = docs.sparkSession
@@ -72,11 +77,13 @@ class Index:
         corpus_stats(tokens).coalesce(1).write.parquet(f"{out.path}/stats")
         s = out.stats().first()
         blocks = max(1, -(-s.n // block))
-        rows = postings(tokens, key).withColumn("block", F.pmod(F.xxhash64(key), F.lit(blocks)))
+        parts = max(min(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-blocks // LEAST_A_TASK)), -(-blocks // MOST_A_TASK))
+        dealt = tokens.withColumn("block", F.pmod(F.xxhash64(key), F.lit(blocks))).repartition(parts, "block")
         part = out._part(F.col("tf"), F.col("dl"), F.lit(s.avgdl))
-        rows = rows.groupBy("term", "block").agg(F.max(part).alias("best"), F.collect_list(F.struct(key, "tf", "dl")).alias("docs"))
+        rows = postings(dealt, key, "block").groupBy("term", "block").agg(F.max(part).alias("best"), F.collect_list(F.struct(key, "tf", "dl")).alias("docs"))
         rows = rows.withColumn("bucket", F.pmod(F.xxhash64("term"), F.lit(BUCKETS)).cast("int"))
-        rows.repartitionByRange("bucket", "term", "block").sortWithinPartitions("bucket", "term").write.partitionBy("bucket").parquet(f"{out.path}/blocks")
+        rows.sortWithinPartitions("bucket", "term").write.partitionBy("bucket").parquet(f"{out.path}/blocks")
+        discard(spark, f"{out.path}/tokens")
         sums = out.blocks().select("term", F.size("docs").alias("df"), F.aggregate("docs", F.lit(0).cast("long"), lambda acc, x: acc + x["tf"]).alias("cf"))
         sums.groupBy("term").agg(F.sum("df").alias("df"), F.sum("cf").alias("cf")).sort("term").write.parquet(f"{out.path}/terms")
         return out
@@ -128,15 +135,20 @@ class Index:
             hits, df = hits.filter(F.col("bucket").isin(folders) & F.col("term").isin(used)), df.filter(F.col("term").isin(used))
         s = self.stats().first()
         weights = df.select("term", F.log1p((F.lit(s.n) - F.col("df") + 0.5) / (F.col("df") + 0.5)).alias("idf"), F.lit(s.avgdl).alias("avgdl"))
-        return q.join(weights, "term"), hits
+        asked = q.join(weights, "term")
+        return F.broadcast(asked) if q.limit(SENT_ROWS + 1).count() <= SENT_ROWS else asked, hits
 
     def _scored(self, asked: DataFrame, hits: DataFrame, qkey: str, of_blocks: DataFrame | None = None) -> DataFrame:
         """(q_id, key, score) of the documents of all blocks, or of those listed (q_id, block)."""
-        j = hits.join(asked, "term")
+        j = hits
+        if of_blocks is not None:  # by block alone, so a document's postings come together and its score needs no other shuffle
+            j = j.join(of_blocks.groupBy("block").agg(F.collect_set(qkey).alias("_of")).hint("merge"), "block")
+        j = j.join(asked, "term")
         if of_blocks is not None:
-            j = j.join(of_blocks.select(qkey, "block"), [qkey, "block"], "left_semi")
-        each = j.select(qkey, "idf", "avgdl", F.explode("docs").alias("x")).select(qkey, "idf", "avgdl", "x.*")
-        return each.groupBy(qkey, self.key).agg(F.round(F.sum(F.col("idf") * self._part(F.col("tf"), F.col("dl"), F.col("avgdl"))), 6).alias("score"))
+            j = j.filter(F.array_contains("_of", F.col(qkey)))
+        each = j.select(qkey, "block", "idf", "avgdl", F.explode("docs").alias("x")).select(qkey, "block", "idf", "avgdl", "x.*")
+        scores = each.groupBy(qkey, "block", self.key).agg(F.round(F.sum(F.col("idf") * self._part(F.col("tf"), F.col("dl"), F.col("avgdl"))), 6).alias("score"))
+        return scores.select(qkey, self.key, "score")
 
     def score(self, queries: DataFrame, qkey: str = "q_id", qtext: str = "query", of=lexical) -> DataFrame:
         """(q_id, key, score) of every document that shares a term with the query, rounded to six places, so the order of summation doesn't show."""

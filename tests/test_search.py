@@ -2,6 +2,8 @@
 
 import math
 import random
+import re
+from pathlib import Path
 
 import numpy as np
 import pytest
@@ -137,3 +139,13 @@ def test_kept_indexes_go(spark):
     assert stored.kept(v, "vectors", ("vec_id", "embedding"), lambda: 1 / 0) is index
     stored.forget()
     assert stored.kept(v, "vectors", ("vec_id", "embedding"), lambda: dense.VectorIndex.build(v)) is not index
+
+
+def test_scores_are_summed_where_blocks_lie(spark):
+    """A search deals postings by block once, never by query; the tokens of the build are gone."""
+    docs = spark.createDataFrame([(i, f"word{i % 7} word{i % 3} and more") for i in range(400)], "doc_id long, text string")
+    index = lexical.Index.build(docs, block=8)
+    assert "tokens" not in {p.name for p in Path(index.path.removeprefix("file://")).iterdir()}
+    got = index.search(spark.createDataFrame([(1, "word1 more"), (2, "word2")], "q_id long, query string"), 3)
+    assert not re.search(r"hashpartitioning\(q_id#\d+L?, (block#\d+L?, )?doc_id", got._jdf.queryExecution().executedPlan().toString())
+    assert got.count() == 6
