@@ -27,10 +27,14 @@ def within(left: DataFrame, right: DataFrame, low: str, high: str, value: str, o
     size = F.floor(F.log2(F.nullif(F.greatest(F.abs(lo), F.abs(hi)), F.lit(0.0)))) - BITS
     level = F.greatest(F.coalesce(F.greatest(width, size), F.lit(-1000)), F.lit(-1000)).cast("int")
     a = left.filter((F.col(low) <= F.col(high)) & ~F.isnan(F.col(low).cast("double")) & ~F.isnan(F.col(high).cast("double"))).withColumn("_level", level)
-    used = [r[0] for r in a.select("_level").distinct().collect()]
+    levels = a.select(*on, "_level").distinct()
     a = a.withColumn("_bin", F.explode(F.sequence(_bin(lo, F.col("_level")), _bin(hi, F.col("_level"))))).withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salt - 1))))
     v = F.greatest(F.least(F.col(value).cast("double"), F.lit(8e307)), F.lit(-8e307))
-    b = right.filter(F.col(value).isNotNull() & ~F.isnan(F.col(value).cast("double"))).withColumn("_level", F.explode(F.lit(used).cast("array<int>")))
+    b = right.filter(F.col(value).isNotNull() & ~F.isnan(F.col(value).cast("double")))
+    if on:  # only the powers in use under the value's own key
+        b = b.join(levels, list(on))
+    else:
+        b = b.withColumn("_level", F.explode(F.lit([r[0] for r in levels.collect()]).cast("array<int>")))
     b = b.filter(F.abs(v) / F.pow(F.lit(2.0), F.col("_level")) < F.lit(2.0 ** (BITS + 3))).withColumn("_bin", _bin(v, F.col("_level")))
     b = b.withColumn("_salt", F.pmod(F.xxhash64(*[F.col(f"`{c}`") for c in right.columns]), F.lit(salt)).cast("int"))
     return a.join(b, [*on, "_level", "_bin", "_salt"]).filter((F.col(value) >= F.col(low)) & (F.col(value) <= F.col(high))).drop("_level", "_bin", "_salt")
